@@ -155,7 +155,7 @@ sib as (select a.hybrid, a.fy as year, a.parent1, a.parent2, count(distinct b.hy
  and (b.parent1 in (a.parent1, a.parent2) or b.parent2 in (a.parent1, a.parent2)) group by all)"""
 
 
-@query("d15_tester_matched_years", "D15", WITH_META + SIBS + f""", tc as (select year, parent2, count(*) as c, row_number() over (partition by year order by count(*) desc, parent2) as r from sib group by all),
+@query("d15_tester_matched_years", "D15", WITH_META + SIBS + f""", tc as (select year, parent2, count(*) as c, row_number() over (partition by year order by count(*) desc, parent2) as r from sib group by year, parent2),
 tx as (select year, string_agg(case when r <= 3 then concat(parent2, '(', cast(c as varchar), ')') end, ', ' order by r) as top_testers, count(case when parent2 in ('T1','T2') then 1 end) as tester_overlap from tc group by year),
 ny as (select m.year, count(distinct hybrid) as nk, count(distinct case when fy = m.year then hybrid end) as nn, count(case when fy = m.year then 1 end) as nr from meta m join fh using (hybrid) group by m.year),
 ms as (select year, count(*) as n_novel, avg(n_half_sibs) as mean_half_sibs from sib group by year)

@@ -31,35 +31,37 @@ def running_sums(
     sums: dict[str, Column],
     split_rows: int = SPLIT_ROWS,
     known: tuple[int, int] | None = None,
+    maxima: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """Add inclusive running sums in ``order`` within ``group``; ``order`` must be total.
+    """Add inclusive running sums (and maxima) in ``order`` within ``group``; ``order`` must be total.
 
     ``known`` passes an upper bound on the largest group and on all rows when the caller has
     counted them already.
     """
     largest, total = known or group_sizes(df, group)
+    maxima = maxima or {}
     start, here = Window.unboundedPreceding, Window.currentRow
     if largest <= split_rows:
         w = Window.partitionBy(*group).orderBy(*order).rowsBetween(start, here)
-        return df.withColumns({name: F.sum(c).over(w) for name, c in sums.items()})
+        return df.withColumns({n: F.sum(c).over(w) for n, c in sums.items()} | {n: F.max(c).over(w) for n, c in maxima.items()})
 
     slices = max(2, math.ceil(total / split_rows))
-    weighted = df.withColumns({f"__w_{name}": c for name, c in sums.items()})
+    weighted = df.withColumns({f"__w_{n}": c for n, c in (sums | maxima).items()})
     ranged = materialize(
         weighted.repartitionByRange(slices, *[F.col(g) for g in group], *order).withColumn(
             "__slice", F.spark_partition_id()
         )
     )
-    by_slice = ranged.groupBy(*group, "__slice").agg(*[F.sum(f"__w_{n}").alias(f"__t_{n}") for n in sums])
+    fold = {n: F.sum for n in sums} | {n: F.max for n in maxima}
+    by_slice = ranged.groupBy(*group, "__slice").agg(*[f(f"__w_{n}").alias(f"__t_{n}") for n, f in fold.items()])
     before = Window.partitionBy(*group).orderBy("__slice").rowsBetween(start, -1)
-    offsets = by_slice.select(
-        *group, "__slice", *[F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__o_{n}") for n in sums]
-    )
+    offsets = by_slice.select(*group, "__slice", *[f(f"__t_{n}").over(before).alias(f"__o_{n}") for n, f in fold.items()])
     inside = Window.partitionBy("__slice", *group).orderBy(*order).rowsBetween(start, here)
-    local = ranged.withColumns({f"__l_{n}": F.sum(f"__w_{n}").over(inside) for n in sums})
+    local = ranged.withColumns({f"__l_{n}": f(f"__w_{n}").over(inside) for n, f in fold.items()})
     joined = null_safe_join(local, offsets, [*group, "__slice"])
-    joined = joined.withColumns({n: F.col(f"__l_{n}") + F.col(f"__o_{n}") for n in sums})
-    return joined.select(*df.columns, *sums)
+    total_sums = {n: F.col(f"__l_{n}") + F.coalesce(f"__o_{n}", F.lit(0)) for n in sums}
+    total_max = {n: F.greatest(f"__l_{n}", f"__o_{n}") for n in maxima}
+    return joined.withColumns(total_sums | total_max).select(*df.columns, *fold)
 
 
 def positions(

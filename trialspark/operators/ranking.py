@@ -108,17 +108,48 @@ def ktau(
     pairs with equal targets ignored."""
     group = [group] if isinstance(group, str) else list(group)
     base = materialize(df.select(*group, F.col(actual).alias("__a"), F.col(pred).alias("__p"), F.col(key).alias("__k")))
+    m = _concordance(base, group, [F.col("__p"), F.col("__k")], split_rows)
+    tau = F.try_divide(F.col("concordant") - F.col("discordant"), F.col("concordant") + F.col("discordant"))
+    return m.select(*group, "n", "concordant", "discordant", tau.alias("tau"), (F.lit(1.0) - tau).alias("loss"))
+
+
+def _concordance(base: DataFrame, group: list[str], order: list[Column], split_rows: int) -> DataFrame:
+    """Per group: rows, and pairs whose ``__a`` rises or falls along ``order``."""
     sizes = O.group_sizes(base, group)
-    ordered = O.positions(base, group, [F.col("__p"), F.col("__k")], "__pos", split_rows, sizes)
+    ordered = O.positions(base, group, order, "__pos", split_rows, sizes)
     ranked = _dense_rank(ordered, group, "__a", "__rank", split_rows, sizes).select(*group, "__pos", "__rank")
     counted = _earlier_by_rank(ranked, group, "__pos", "__rank", F.lit(1), sizes, split_rows)
-    m = counted.groupBy(*group).agg(
+    return counted.groupBy(*group).agg(
         F.sum(F.when(F.col("__lv") == 0, 1)).alias("n"),
         F.sum("n_below").alias("concordant"),
         F.sum("n_above").alias("discordant"),
     )
-    tau = F.try_divide(F.col("concordant") - F.col("discordant"), F.col("concordant") + F.col("discordant"))
-    return m.select(*group, "n", "concordant", "discordant", tau.alias("tau"), (F.lit(1.0) - tau).alias("loss"))
+
+
+def tau_b(
+    df: DataFrame,
+    group: list[str],
+    actual: str = "actual",
+    pred: str = "pred",
+    key: str = "row_key",
+    split_rows: int = O.SPLIT_ROWS,
+) -> DataFrame:
+    """Kendall's tau with tie correction. Ordering ties of the prediction by the actual value makes
+    the falling pairs exactly the discordant ones; tie counts give the rest."""
+    base = materialize(df.select(*group, F.col(actual).alias("__a"), F.col(pred).alias("__p"), F.col(key).alias("__k")))
+    falls = _concordance(base, group, [F.col("__p"), F.col("__a"), F.col("__k")], split_rows).select(*group, "n", "discordant")
+    joint = base.groupBy(*group, "__a", "__p").agg(F.count(F.lit(1)).cast("double").alias("c"))
+
+    def ties(cols: list[str], out: str) -> DataFrame:
+        per = joint.groupBy(*group, *cols).agg(F.sum("c").alias("c"))
+        return per.groupBy(*group).agg(F.sum(F.col("c") * (F.col("c") - 1) / 2).alias(out))
+
+    m = falls.join(ties(["__a"], "ta"), group).join(ties(["__p"], "tp"), group).join(ties(["__a", "__p"], "tap"), group)
+    n = F.col("n").cast("double")
+    pairs = n * (n - 1) / 2
+    rises = pairs - F.col("discordant") - F.col("ta") - F.col("tp") + F.col("tap")
+    tau = F.try_divide(rises - F.col("discordant"), F.sqrt(pairs - F.col("ta")) * F.sqrt(pairs - F.col("tp")))
+    return m.select(*group, "n", tau.alias("tau_b"))
 
 
 def rank_hinge(
