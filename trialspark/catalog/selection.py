@@ -111,5 +111,6 @@ def _(spark, sf):
 @query("v8_rolling_ridge", "V8")
 def _(spark, sf):
     t = FX.meta_trials(spark, sf)
+    t = t.select("year", "env", "yield_mg", "l_quantity", "l_discount", "l_tax")
     fit, predict = V.ridge_callbacks(["l_quantity", "l_discount", "l_tax"])
     return rounded(V.rolling_fit_predict(t, D.fold_table(spark, 1996, 2000), fit=fit, predict=predict))

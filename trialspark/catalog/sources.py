@@ -32,7 +32,7 @@ def written_trials(spark, sf):
     return base
 
 
-@query("s1_read_trials", "S1", WITH_META + f"""select env, count(*) as n, count(case when site <> 4 then 1 end) as n_target, {q6('sum(case when site <> 4 then yield_mg end)', 4)} as total, {q6('sum(l_quantity)', 4)} as quantity,
+@query("s1_read_trials", "S1", WITH_META + f"""select env, count(*) as n, count(case when site <> 4 then 1 end) as n_target, {q6('sum(case when site <> 4 then yield_mg end)')} as total, {q6('sum(l_quantity)')} as quantity,
 7 as n_columns from trials group by env""")
 def _(spark, sf):
     base = written_trials(spark, sf)
@@ -41,8 +41,8 @@ def _(spark, sf):
     return rounded(
         xy.groupBy("env").agg(
             F.count(F.lit(1)).alias("n"), F.count("yield_mg").alias("n_target"), F.sum("yield_mg").alias("total"), F.sum("l_quantity").alias("quantity"),
-            F.lit(len(xy.columns)).alias("n_columns")
-        ), 4
+            F.lit(len(xy.columns)).alias("n_columns"),
+        )
     )
 
 
@@ -68,11 +68,11 @@ def written_predictions(spark, sf):
 
 @query("s3_read_predictions", "S3", WITH_PRED + CELL_SQL + ", l as (" + " union all ".join(
     f"select '{n}' as model, {d} as checkpoint_dir, env, actual, {m} as p from cell" for m, n, d in (("m_a", "m_a", "null"), ("m_b", "Model_B", "'run/m_b'"), ("m_c", "m_c", "'run/m_c'"), ("m_d", "m_d", "null"))
-) + f") select model, checkpoint_dir, env, count(*) as n, {q6('sum(actual)')} as actual, {q6('sum(p)')} as pred from l group by all")
+) + f") select model, checkpoint_dir, env, count(*) as n, {q6('avg(actual)', 9)} as actual, {q6('avg(p)', 9)} as pred from l group by all")
 def _(spark, sf):
     base = written_predictions(spark, sf)
     long = SP.read_predictions(spark, [f"{base}/m_[ab].csv", f"{base}/m_c.csv", f"{base}/m_*.csv"])
-    return rounded(long.groupBy("model", "checkpoint_dir", "env").agg(F.count(F.lit(1)).alias("n"), F.sum("actual").alias("actual"), F.sum("pred").alias("pred")))
+    return rounded(long.groupBy("model", "checkpoint_dir", "env").agg(F.count(F.lit(1)).alias("n"), F.avg("actual").alias("actual"), F.avg("pred").alias("pred")), 9)
 
 
 LOG_BASE = """with u as (select user_id, count(*) as n, round(avg(value), 2) as v, round(max(value), 2) as mx, round(min(value), 2) as mn, user_id % 4 as kind from events group by user_id)
@@ -87,8 +87,8 @@ def written_logs(spark, sf):
     uid = F.col("user_id").cast("string")
     tag = F.when(kind == 0, "baseline").when(kind == 1, F.concat(F.lit("drop0."), (F.col("user_id") % 10).cast("string"))).otherwise("tiny")
 
-    def num(c, digits=2):
-        return F.format_number(c, f"0.{'0' * digits}")
+    def num(c):
+        return F.format_string("%.2f", c.cast("double"))
 
     lines = [
         F.lit("starting"),

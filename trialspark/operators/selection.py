@@ -17,6 +17,7 @@ from trialspark.operators import ranking as R
 from trialspark.operators.features import apply_scaler, fit_scaler
 from trialspark.operators.sequences import best_fold, latest_fold
 from trialspark.schema import TrialError
+from trialspark.shared import materialize
 
 # Fixed values that results depend on.
 NO_EVAL = ["", "none", "off", "false", "0", "no"]
@@ -166,6 +167,7 @@ def rolling_fit_predict(df: DataFrame, folds: DataFrame, target: str = "yield_mg
         val = df.join(small, df["year"] == small["val_year"])
         scored = E.additive_predict(val, effects, keys)
         return _fold_scores(scored, target, keys)
+    df = materialize(df)  # every fold reads the rows several times
     out = []
     for f in folds.orderBy("fold_idx").collect():  # one row per validation year
         train = df.filter(F.col("year") <= f["train_year_max"])

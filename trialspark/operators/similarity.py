@@ -72,7 +72,9 @@ def gram(df: DataFrame, key: str, vectors: str | list[str], batch: str = "batch"
     kt = dict(base.dtypes)["key"]
     schema = f"batch bigint, i {kt}, j {kt}, " + ", ".join(f"dot_{v} double, ii_{v} double, jj_{v} double" for v in vectors)
     keep = ["batch", "lb", "rb", "key", "place", "block", *vectors]
-    grouped = left.select(*keep).groupBy("batch", "lb", "rb").cogroup(right.select(*keep).groupBy("batch", "lb", "rb"))
+    # both sides come from one table, so the right one gets columns of its own
+    right = right.select(*[F.col(c).alias(c) for c in keep])
+    grouped = left.select(*keep).groupBy("batch", "lb", "rb").cogroup(right.groupBy("batch", "lb", "rb"))
     return grouped.applyInPandas(_block_products(vectors), schema)
 
 

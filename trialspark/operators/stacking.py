@@ -64,7 +64,7 @@ def score_candidates(moments: DataFrame, candidates: DataFrame, k: int, n_candid
     the work is environments × candidates, aggregated before it is shuffled.
     """
     usable = moments.filter((F.col("n") >= 2) & (F.col("syy") > VAR_EPS))
-    spread = usable.withColumn("cand", F.explode(F.sequence(F.lit(0), F.lit(n_candidates - 1))).cast("long"))
+    spread = usable.withColumn("cand", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_candidates - 1).cast("long"))))
     joined = spread.join(F.broadcast(candidates), "cand")  # rows fixed by the search parameter
     w = [F.col(f"w_{i}") for i in range(k)]
     cov = _sum([w[i] * F.col(f"sy_{i}") for i in range(k)])
