@@ -16,9 +16,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def balanced(df: DataFrame) -> DataFrame:
+    """Spread a scan that has fewer splits than the cluster has slots.
+
+    A table of one row group is one task and everything fused with the scan would run on one
+    core. Tables with enough splits, as any large one has, are returned unchanged.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(slots) if splits < slots else df
+
+
 def trials(spark: SparkSession, sf_dir: str, lineitem: DataFrame | None = None) -> DataFrame:
     """One row per plot: key, id, environment, hybrid, yield and three covariates."""
-    li = table(spark, sf_dir, "lineitem") if lineitem is None else lineitem
+    li = balanced(table(spark, sf_dir, "lineitem")) if lineitem is None else lineitem
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("o_year"), "o_orderpriority")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")

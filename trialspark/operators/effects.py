@@ -49,21 +49,22 @@ def fit_effects(
     mask: str | None = None,
     target: str = "yield_mg",
     by: list[str] | None = None,
-    check_empty: bool = True,
 ) -> Effects:
-    """Year means, hybrid effects and environment effects over the observed universe."""
+    """Year means, hybrid effects and environment effects over the observed universe.
+
+    An empty universe raises when the overall mean is read.
+    """
     by = by or []
     seen = _universe(df, target, train_max, mask)
     cells = seen.groupBy(*by, "year", "env", "hybrid").agg(F.sum(target).alias("s"), F.count(F.lit(1)).alias("n"))
-    if check_empty and seen.isEmpty():
-        raise TrialError("no rows to fit effects on")
     return effects_from_cells(cells, by)
 
 
 def effects_from_cells(cells: DataFrame, by: list[str] | None = None) -> Effects:
     """Fit from cell sums ``(by…, year, env, hybrid, s, n)``."""
     by = by or []
-    mu = cells.groupBy(*by).agg((F.sum("s") / F.sum("n")).alias("mu"))
+    empty = F.raise_error(F.lit("no rows to fit effects on")).cast("double")
+    mu = cells.groupBy(*by).agg(F.when(F.count(F.lit(1)) == 0, empty).otherwise(F.try_divide(F.sum("s"), F.sum("n"))).alias("mu"))
     year = cells.groupBy(*by, "year").agg((F.sum("s") / F.sum("n")).alias("mu_year"))
     dev = cells.join(year, [*by, "year"])
     hybrid = dev.groupBy(*by, "hybrid").agg(

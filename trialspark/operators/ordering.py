@@ -86,6 +86,7 @@ def dense_codes(
 ) -> DataFrame:
     """Distinct values of ``value`` per group with a 0-based code in ascending order."""
     distinct = df.select(*group, value).distinct()
+    distinct = materialize(distinct) if known is None else distinct
     return positions(distinct, group, [F.col(value)], out, split_rows, known).withColumn(out, F.col(out) - 1)
 
 
@@ -102,6 +103,7 @@ def average_ranks(
     Equal values collapse to one counted row before anything is ordered.
     """
     counted = df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("__ties"))
+    counted = materialize(counted) if known is None else counted
     cum = running_sums(counted, group, [F.col(value)], {"__upto": F.col("__ties")}, split_rows, known)
     ranked = cum.select(*group, value, (F.col("__upto") - (F.col("__ties") - 1) / 2.0).alias(out))
     return df.join(ranked, [*group, value])

@@ -20,6 +20,7 @@ DIGIT_BITS = 4
 
 
 def _both_ranks(base: DataFrame, group: list[str], split_rows: int) -> DataFrame:
+    base = materialize(base)  # read four times below
     sizes = O.group_sizes(base, group)
     ranked = O.average_ranks(base, group, "__a", "__ra", split_rows, sizes)
     return O.average_ranks(ranked, group, "__p", "__rp", split_rows, sizes)
@@ -205,6 +206,7 @@ def rank_consistency(
 ) -> DataFrame:
     """Mean over hybrids with two or more rows of ``1 − r`` between ordinal ranks; 0 if none."""
     base = df.select(F.col(hybrid).alias("__g"), F.col(actual).alias("__a"), F.col(pred).alias("__p"), F.col(key).alias("__k"))
+    base = materialize(base)
     sizes = O.group_sizes(base, ["__g"])
     ranked = O.positions(base, ["__g"], [F.col("__p"), F.col("__k")], "__rp", split_rows, sizes)
     ranked = O.positions(ranked, ["__g"], [F.col("__a"), F.col("__k")], "__ra", split_rows, sizes)

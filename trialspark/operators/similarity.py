@@ -19,6 +19,7 @@ from trialspark.functions import expressions as X
 from trialspark.operators import ordering as O
 from trialspark.operators.features import allele_freq
 from trialspark.schema import TrialError
+from trialspark.shared import materialize
 
 # Fixed values that results depend on.
 GRM_EPS, NORM_EPS = 1e-6, 1e-12
@@ -62,7 +63,7 @@ def gram(df: DataFrame, key: str, vectors: str | list[str], batch: str = "batch"
     and both squared norms.
     """
     vectors = [vectors] if isinstance(vectors, str) else vectors
-    base = df.select(F.col(batch).cast("long").alias("batch"), F.col(key).alias("key"), *vectors)
+    base = materialize(df.select(F.col(batch).cast("long").alias("batch"), F.col(key).alias("key"), *vectors))
     placed = O.positions(base, ["batch"], [F.col("key")], "place").withColumn("block", F.expr(f"(place - 1) div {block}"))
     sizes = placed.groupBy("batch").agg((F.max("block") + 1).alias("n_blocks"))
     # a block is the left partner of itself and later blocks, and the right partner of earlier ones

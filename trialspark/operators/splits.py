@@ -11,6 +11,7 @@ from trialspark.functions import expressions as X
 from trialspark.operators import ordering as O
 from trialspark.operators.population import first_seen
 from trialspark.schema import TrialError
+from trialspark.shared import materialize
 
 # Fixed values that results depend on.
 TRAIN_MAX, VAL_YEAR, TEST_YEAR = 2022, 2023, 2024
@@ -40,7 +41,7 @@ def split_by_year(df: DataFrame, train_max: int = TRAIN_MAX, val_year: int = VAL
 
 def leo_val_envs(df: DataFrame, frac: float = LEO_FRACTION, seed: int = LEO_SEED, test_year: int = TEST_YEAR) -> DataFrame:
     """Environments held out: the first ``max(1, ⌊n·frac⌋)`` of the pool in digest order."""
-    pool = df.filter(F.col("year") < test_year).select("env").distinct()
+    pool = materialize(df.filter(F.col("year") < test_year).select("env").distinct())
     ordered = O.positions(pool.withColumn("__h", X.hash_order(seed, "env")), [], [F.col("__h"), F.col("env")])
     n = pool.agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) * frac)).alias("__n_val"))
     return ordered.join(F.broadcast(n)).filter("position <= __n_val").select("env")  # n is one row
@@ -60,7 +61,7 @@ def proxy_parents(
     if not 0.0 < frac < 1.0:
         raise TrialError(f"fraction must lie in (0, 1), got {frac}")
     rows = df.filter((F.col("year") < test_year) & (F.col("parent2") == tester))
-    first = rows.groupBy("parent1").agg(F.min("year").alias("stratum"))
+    first = materialize(rows.groupBy("parent1").agg(F.min("year").alias("stratum")))
     if first.isEmpty():
         raise TrialError(f"no rows before {test_year} for tester {tester}")
     ordered = O.positions(first.withColumn("__h", X.hash_order(seed, "parent1")), ["stratum"], [F.col("__h"), F.col("parent1")])
