@@ -12,11 +12,23 @@ TEST_TESTERS = ["T1", "T2"]
 MODELS = ["m_a", "m_b", "m_c", "m_d"]
 
 
+# Column types of the shared tables, so that opening one needs no footer job.
+SCHEMAS = {
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, "
+    "l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def balanced(df: DataFrame) -> DataFrame:
+def balanced(df: DataFrame, key: str) -> DataFrame:
     """Spread a scan that has fewer splits than the cluster has slots.
 
     A table of one row group is one task and everything fused with the scan would run on one
@@ -24,12 +36,12 @@ def balanced(df: DataFrame) -> DataFrame:
     """
     slots = df.sparkSession.sparkContext.defaultParallelism
     splits = df._jdf.queryExecution().toRdd().getNumPartitions()
-    return df.repartition(slots) if splits < slots else df
+    return df.repartition(slots, key) if splits < slots else df
 
 
 def trials(spark: SparkSession, sf_dir: str, lineitem: DataFrame | None = None) -> DataFrame:
     """One row per plot: key, id, environment, hybrid, yield and three covariates."""
-    li = balanced(table(spark, sf_dir, "lineitem")) if lineitem is None else lineitem
+    li = balanced(table(spark, sf_dir, "lineitem"), "l_orderkey") if lineitem is None else lineitem
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("o_year"), "o_orderpriority")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")

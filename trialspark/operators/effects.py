@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from trialspark.functions.expressions import finite
 from trialspark.schema import TrialError
+from trialspark.shared import materialize
 
 
 @dataclass(frozen=True)
@@ -57,7 +58,7 @@ def fit_effects(
     by = by or []
     seen = _universe(df, target, train_max, mask)
     cells = seen.groupBy(*by, "year", "env", "hybrid").agg(F.sum(target).alias("s"), F.count(F.lit(1)).alias("n"))
-    return effects_from_cells(cells, by)
+    return effects_from_cells(materialize(cells), by)  # every effect table reads the cell sums
 
 
 def effects_from_cells(cells: DataFrame, by: list[str] | None = None) -> Effects:

@@ -99,15 +99,17 @@ def apply_scaler(df: DataFrame, scaler: DataFrame | None, cols: list[str]) -> Da
 
 # -- markers -----------------------------------------------------------------------------
 
-def _marker_means(df: DataFrame, markers: str, by: list[str]) -> DataFrame:
+def marker_means(df: DataFrame, markers: str, by: list[str], weight: str | None = None) -> DataFrame:
+    """Mean marker vector per group as ``(by…, means)``; one vector buffer per group and task."""
     vec = array_to_vector(F.transform(markers, lambda x: x.cast("double")))
-    return df.groupBy(*by).agg(Summarizer.metrics("mean").summary(vec).alias("s")).select(*by, vector_to_array("s.mean").alias("means"))
+    w = (F.col(weight).cast("double"),) if weight else ()
+    return df.groupBy(*by).agg(Summarizer.metrics("mean").summary(vec, *w).alias("s")).select(*by, vector_to_array("s.mean").alias("means"))
 
 
-def allele_freq(df: DataFrame, by: list[str] | None = None, markers: str = "markers") -> DataFrame:
+def allele_freq(df: DataFrame, by: list[str] | None = None, markers: str = "markers", weight: str | None = None) -> DataFrame:
     """Mean marker value per population and marker: ``(by…, marker, freq)``."""
     by = by or []
-    return _marker_means(df, markers, by).select(*by, F.posexplode("means").alias("marker", "freq"))
+    return marker_means(df, markers, by, weight).select(*by, F.posexplode("means").alias("marker", "freq"))
 
 
 def fit_marker_stats(df: DataFrame, markers: str = "markers") -> DataFrame:
@@ -136,7 +138,7 @@ def hybrid_profiles(
     if max_hybrids is not None:
         picked = df.select(key).distinct().orderBy(X.hash_order(seed, key), key).limit(max_hybrids)
         df = df.join(picked, key, "left_semi")
-    return _marker_means(df, markers, [key]).select(key, F.posexplode("means").alias("marker", "mean"))
+    return marker_means(df, markers, [key]).select(key, F.posexplode("means").alias("marker", "mean"))
 
 
 # -- targets and codes -------------------------------------------------------------------

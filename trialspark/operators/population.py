@@ -10,9 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trialspark.operators.features import allele_freq
+from trialspark.operators.features import allele_freq, marker_means
 from trialspark.operators.relations import all_parents, novel_keys, shared_keys, top_values
 from trialspark.schema import TrialError
+from trialspark.shared import materialize
 
 # Fixed values that results depend on.
 SCORE_NOVELTY, SCORE_TESTER, SCORE_FREQ, SCORE_PARENT, SCORE_SHIFT = 0.3, 0.2, 0.2, 0.15, 0.15
@@ -93,7 +94,7 @@ def location_coverage(train: DataFrame, test: DataFrame) -> DataFrame:
 
 def novelty_by_year(df: DataFrame, key: str = "hybrid") -> DataFrame:
     """Per year: keys, keys never seen in an earlier year, their rows and share."""
-    cells = df.groupBy("year", key).agg(F.count(F.lit(1)).alias("n"))
+    cells = materialize(df.groupBy("year", key).agg(F.count(F.lit(1)).alias("n")))
     flagged = cells.join(cells.groupBy(key).agg(F.min("year").alias("first_year")), key)
     novel = F.col("first_year") == F.col("year")
     per = flagged.groupBy("year").agg(
@@ -104,8 +105,9 @@ def novelty_by_year(df: DataFrame, key: str = "hybrid") -> DataFrame:
 
 def turnover(df: DataFrame, key: str = "hybrid") -> DataFrame:
     """Consecutive observed years: sizes and keys shared, as a share of the later year."""
-    years = df.select("year").distinct().withColumn("next_year", F.lead("year").over(Window.partitionBy(F.lit(0)).orderBy("year")))
-    present = df.select("year", key).distinct()
+    present = materialize(df.select("year", key).distinct())
+    # one row per year
+    years = present.select("year").distinct().withColumn("next_year", F.lead("year").over(Window.partitionBy(F.lit(0)).orderBy("year")))
     sizes = present.groupBy("year").agg(F.count(F.lit(1)).alias("n"))
     moved = present.join(years.filter("next_year is not null"), "year").select(F.col("year").alias("prev_year"), F.col("next_year").alias("year"), key)
     shared = present.join(moved, ["year", key]).groupBy("prev_year", "year").agg(F.count(F.lit(1)).alias("n_shared"))
@@ -196,7 +198,7 @@ def top_parents(train: DataFrame, test: DataFrame, k: int = 10) -> DataFrame:
 
 def novelty_trajectory(df: DataFrame) -> DataFrame:
     """Per year: hybrids, novelty %, and among novel rows the share with known first / both parents."""
-    cells = df.groupBy("year", "env", "hybrid", "parent1", "parent2").agg(F.count(F.lit(1)).alias("n"))
+    cells = materialize(df.groupBy("year", "env", "hybrid", "parent1", "parent2").agg(F.count(F.lit(1)).alias("n")))
     first_h = cells.groupBy("hybrid").agg(F.min("year").alias("fh"))
     pf = parent_first_seen(cells)
     flagged = (
@@ -243,7 +245,7 @@ def half_sib_counts(df: DataFrame, year: int | None = None) -> DataFrame:
     per-pair yearly counts are accumulated over years, so every holdout year is answered by the
     same equi-joins.
     """
-    hybrids = df.groupBy("hybrid", "parent1", "parent2").agg(F.min("year").alias("year"))
+    hybrids = materialize(df.groupBy("hybrid", "parent1", "parent2").agg(F.min("year").alias("year")))
     selfed = F.col("parent1") == F.col("parent2")
     roles = F.when(selfed | (F.col("parent2") == ""), F.array("parent1")).otherwise(F.array("parent1", "parent2"))
     lo, hi = F.least("parent1", "parent2"), F.greatest("parent1", "parent2")
@@ -423,16 +425,20 @@ def fold_similarity(
 ) -> DataFrame:
     """How much each earlier year's novel set resembles the test year's: novelty, tester and parent
     overlap, allele-frequency agreement and their weighted score."""
-    novel = first_seen(df, key, carry=["parent1", "parent2"]).withColumnRenamed("first_year", "year")
+    # one row per year and hybrid with its mean markers; everything below reads this table
+    vec = marker_means(df, markers, ["year", key, "parent1", "parent2"])
+    rows = df.groupBy("year", key, "parent1", "parent2").agg(F.count(F.lit(1)).alias("n"))
+    cells = materialize(vec.join(rows, ["year", key, "parent1", "parent2"]))
+    novel = first_seen(cells, key, carry=["parent1", "parent2"]).withColumnRenamed("first_year", "year")
     enough = novel.groupBy("year").agg(F.count(F.lit(1)).alias("n_novel")).filter(F.col("n_novel") >= min_novel)
-    total = df.select("year", key).distinct().groupBy("year").agg(F.count(F.lit(1)).alias("n_all"))
+    total = cells.groupBy("year").agg(F.count_distinct(key).alias("n_all"))
     target = novel.filter(F.col("year") == test_year)
     t_testers = target.filter(F.col("parent2") != "").select("parent2").distinct()
     t_parents = target.select("parent1").distinct()
     earlier = novel.filter(F.col("year") < test_year)
     testers = earlier.join(t_testers, "parent2", "left_semi").groupBy("year").agg(F.count_distinct("parent2").alias("tester_overlap"))
     parents = earlier.join(t_parents, "parent1", "left_semi").groupBy("year").agg(F.count_distinct("parent1").alias("p1_overlap"))
-    freq = allele_freq(df.join(novel.select(key, "year"), [key, "year"], "left_semi"), ["year"], markers)
+    freq = materialize(allele_freq(cells.join(novel.select(key, "year"), [key, "year"], "left_semi"), ["year"], "means", "n"))
     ref = freq.filter(F.col("year") == test_year).select("marker", F.col("freq").alias("ref"))
     d = F.abs(F.col("freq") - F.col("ref"))
     af = freq.filter(F.col("year") < test_year).join(ref, "marker").groupBy("year").agg(

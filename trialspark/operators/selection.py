@@ -161,6 +161,7 @@ def rolling_fit_predict(df: DataFrame, folds: DataFrame, target: str = "yield_mg
     if fit is None:
         usable = df.filter(finite(target))
         cells = usable.groupBy("year", "env", "hybrid").agg(F.sum(target).alias("s"), F.count(F.lit(1)).alias("n"))
+        cells = materialize(cells)  # every effect table of every fold reads the cell sums
         small = F.broadcast(folds)  # one row per validation year
         train = cells.join(small, cells["year"] <= small["train_year_max"])
         effects = E.effects_from_cells(train, keys)

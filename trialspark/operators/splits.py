@@ -128,11 +128,16 @@ def _novelty_key(novelty: str) -> str:
     return novelty
 
 
-def _lygo_candidates(df: DataFrame, val_year: int, testers: list[str], novelty: str) -> DataFrame:
-    """Rows of the validation year with a target tester and a key never seen earlier."""
+def _lygo_cells(df: DataFrame) -> DataFrame:
+    """Row counts per (year, env, hybrid, parents); all LYGO decisions follow from them."""
+    return materialize(df.groupBy("year", "env", "hybrid", "parent1", "parent2").agg(F.count(F.lit(1)).alias("n")))
+
+
+def _lygo_candidates(cells: DataFrame, val_year: int, testers: list[str], novelty: str) -> DataFrame:
+    """Cells of the validation year with a target tester and a key never seen earlier."""
     key = _novelty_key(novelty)
-    seen = df.filter(F.col("year") < val_year).select(key).distinct()
-    rows = df.filter((F.col("year") == val_year) & F.col("parent2").isin(list(testers)))
+    seen = cells.filter(F.col("year") < val_year).select(key).distinct()
+    rows = cells.filter((F.col("year") == val_year) & F.col("parent2").isin(list(testers)))
     return rows.join(seen, key, "left_anti")
 
 
@@ -142,9 +147,10 @@ def split_lygo(
     """Leave-year-and-genotype-out: earlier years train, novel target crosses of the year validate,
     everything else of that year and later is NULL."""
     key = _novelty_key(novelty)
-    cand = _lygo_candidates(df, val_year, testers, novelty)
-    envs = cand.groupBy("env").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= max(1, min_val_per_env)).select("env")
-    first = first_seen(df, key).withColumnRenamed("first_year", "__first")
+    cells = _lygo_cells(df)
+    cand = _lygo_candidates(cells, val_year, testers, novelty)
+    envs = cand.groupBy("env").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(1, min_val_per_env)).select("env")
+    first = first_seen(cells, key).withColumnRenamed("first_year", "__first")
     out = _left_flag(df.join(first, key), envs, "__env_ok")
     val = (F.col("year") == val_year) & F.col("parent2").isin(list(testers)) & (F.col("__first") == val_year) & F.col("__env_ok")
     return out.withColumn("split", F.when(F.col("year") < val_year, "train").when(val, "val")).drop("__first", "__env_ok")
@@ -160,9 +166,9 @@ def lygo_diagnostics(
 ) -> DataFrame:
     """One row describing the validation set, its training side and the warnings that apply."""
     key = _novelty_key(novelty)
-    cand = _lygo_candidates(df, val_year, testers, novelty)
-    cells = cand.groupBy("env", "parent1", "hybrid").agg(F.count(F.lit(1)).alias("n"))
-    env_n = cells.groupBy("env").agg(F.sum("n").alias("env_n"))
+    rows = _lygo_cells(df)
+    cand = _lygo_candidates(rows, val_year, testers, novelty)
+    env_n = cand.groupBy("env").agg(F.sum("n").alias("env_n"))
     keep = F.col("env_n") >= max(1, min_val_per_env)
     per_env = env_n.agg(
         F.coalesce(F.sum(F.when(keep, F.col("env_n"))), F.lit(0)).alias("n_val_rows"),
@@ -172,11 +178,11 @@ def lygo_diagnostics(
         F.count_if(~keep).alias("n_envs_dropped"),
         F.count_if(F.col("env_n") < 4).alias("n_envs_below_4"),
     )
-    kept = cells.join(env_n.filter(keep).select("env"), "env", "left_semi")
+    kept = cand.join(env_n.filter(keep).select("env"), "env", "left_semi")
     names = kept.agg(F.count_distinct("parent1").alias("n_val_parents"), F.count_distinct("hybrid").alias("n_val_hybrids"))
-    earlier = df.filter(F.col("year") < val_year)
+    earlier = rows.filter(F.col("year") < val_year)
     train = earlier.agg(
-        F.count(F.lit(1)).alias("train_rows"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("train_rows"),
         F.count_distinct("parent1").alias("train_parents"),
         F.concat_ws(",", F.sort_array(F.collect_set("year"))).alias("train_years"),
     )
@@ -185,8 +191,8 @@ def lygo_diagnostics(
     )
     present = F.collect_set("parent2")
     wanted = sorted(set(test_tester_names or []))
-    in_year = df.filter(F.col("year") == val_year).agg(
-        F.count(F.lit(1)).alias("year_rows"),
+    in_year = rows.filter(F.col("year") == val_year).agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("year_rows"),
         F.array_join(F.array_except(F.array(*[F.lit(t) for t in wanted]).cast("array<string>"), present), ",").alias("testers_missing"),
     )
     row = per_env
@@ -205,9 +211,9 @@ def lygo_diagnostics(
 
 def lyngo_sizes(df: DataFrame, years: list[int], min_rows: int = 10) -> DataFrame:
     """Per holdout year: rows of hybrids never seen before, environments, usable ones, novelty %."""
-    first = first_seen(df, "hybrid")
-    cells = df.filter(F.col("year").isin(years)).groupBy("year", "env", "hybrid").agg(F.count(F.lit(1)).alias("n"))
-    flagged = cells.join(first, "hybrid").withColumn("novel", F.col("first_year") == F.col("year"))
+    cells = materialize(df.groupBy("year", "env", "hybrid").agg(F.count(F.lit(1)).alias("n")))
+    first = first_seen(cells, "hybrid")
+    flagged = cells.filter(F.col("year").isin(years)).join(first, "hybrid").withColumn("novel", F.col("first_year") == F.col("year"))
     hyb = flagged.groupBy("year").agg(
         F.count_distinct("hybrid").alias("h"), F.count_distinct(F.when(F.col("novel"), F.col("hybrid"))).alias("nh")
     )
