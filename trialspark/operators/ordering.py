@@ -90,6 +90,16 @@ def dense_codes(
     return positions(distinct, group, [F.col(value)], out, split_rows, known).withColumn(out, F.col(out) - 1)
 
 
+def dense_ranks(
+    df: DataFrame, group: list[str], value: str, out: str, split_rows: int = SPLIT_ROWS, known: tuple[int, int] | None = None
+) -> DataFrame:
+    """Add the 0-based dense rank of ``value`` within ``group``."""
+    sizes = known or group_sizes(df, group)
+    if sizes[0] <= split_rows:
+        return df.withColumn(out, F.dense_rank().over(Window.partitionBy(*group).orderBy(value)).cast("long") - 1)
+    return df.join(dense_codes(df, group, value, out, split_rows, sizes), [*group, value])
+
+
 def average_ranks(
     df: DataFrame,
     group: list[str],
@@ -100,10 +110,15 @@ def average_ranks(
 ) -> DataFrame:
     """Add 1-based ranks where ties share their mean rank.
 
-    Equal values collapse to one counted row before anything is ordered.
+    Moderate groups need one window: the first and the last place of a value average to its rank.
+    For larger ones equal values collapse to one counted row before anything is ordered.
     """
+    sizes = known or group_sizes(df, group)
+    if sizes[0] <= split_rows:
+        w = Window.partitionBy(*group).orderBy(value)
+        upto = F.count(F.lit(1)).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        return df.withColumn(out, (F.rank().over(w) + upto) / 2.0)
     counted = df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("__ties"))
-    counted = materialize(counted) if known is None else counted
-    cum = running_sums(counted, group, [F.col(value)], {"__upto": F.col("__ties")}, split_rows, known)
+    cum = running_sums(counted, group, [F.col(value)], {"__upto": F.col("__ties")}, split_rows, sizes)
     ranked = cum.select(*group, value, (F.col("__upto") - (F.col("__ties") - 1) / 2.0).alias(out))
     return df.join(ranked, [*group, value])

@@ -19,9 +19,14 @@ NORM_EPS = 1e-8
 DIGIT_BITS = 4
 
 
-def _both_ranks(base: DataFrame, group: list[str], split_rows: int) -> DataFrame:
-    base = materialize(base)  # read four times below
+def _sized(base: DataFrame, group: list[str], split_rows: int) -> tuple[DataFrame, tuple[int, int]]:
+    """Group sizes of ``base``; a table with an oversized group is written once, as several jobs read it."""
     sizes = O.group_sizes(base, group)
+    return (materialize(base) if sizes[0] > split_rows else base), sizes
+
+
+def _both_ranks(base: DataFrame, group: list[str], split_rows: int) -> DataFrame:
+    base, sizes = _sized(base, group, split_rows)
     ranked = O.average_ranks(base, group, "__a", "__ra", split_rows, sizes)
     return O.average_ranks(ranked, group, "__p", "__rp", split_rows, sizes)
 
@@ -66,11 +71,6 @@ def spearman(df: DataFrame, actual: str = "actual", pred: str = "pred", by: list
     return m.select(*by, "n", rho.alias("spearman"), (F.lit(1.0) - rho).alias("loss"))
 
 
-def _dense_rank(df: DataFrame, group: list[str], value: str, out: str, split_rows: int, known: tuple[int, int]) -> DataFrame:
-    codes = O.dense_codes(df, group, value, out, split_rows, known)
-    return df.join(codes, [*group, value])
-
-
 def _earlier_by_rank(
     events: DataFrame, group: list[str], pos: str, rank: str, point: Column, sizes: tuple[int, int], split_rows: int, weight: Column | None = None
 ) -> DataFrame:
@@ -108,7 +108,7 @@ def ktau(
     """Concordant minus discordant over their sum: rows in prediction order, ties by key,
     pairs with equal targets ignored."""
     group = [group] if isinstance(group, str) else list(group)
-    base = materialize(df.select(*group, F.col(actual).alias("__a"), F.col(pred).alias("__p"), F.col(key).alias("__k")))
+    base = df.select(*group, F.col(actual).alias("__a"), F.col(pred).alias("__p"), F.col(key).alias("__k"))
     m = _concordance(base, group, [F.col("__p"), F.col("__k")], split_rows)
     tau = F.try_divide(F.col("concordant") - F.col("discordant"), F.col("concordant") + F.col("discordant"))
     return m.select(*group, "n", "concordant", "discordant", tau.alias("tau"), (F.lit(1.0) - tau).alias("loss"))
@@ -116,9 +116,9 @@ def ktau(
 
 def _concordance(base: DataFrame, group: list[str], order: list[Column], split_rows: int) -> DataFrame:
     """Per group: rows, and pairs whose ``__a`` rises or falls along ``order``."""
-    sizes = O.group_sizes(base, group)
+    base, sizes = _sized(base, group, split_rows)
     ordered = O.positions(base, group, order, "__pos", split_rows, sizes)
-    ranked = _dense_rank(ordered, group, "__a", "__rank", split_rows, sizes).select(*group, "__pos", "__rank")
+    ranked = O.dense_ranks(ordered, group, "__a", "__rank", split_rows, sizes).select(*group, "__pos", "__rank")
     counted = _earlier_by_rank(ranked, group, "__pos", "__rank", F.lit(1), sizes, split_rows)
     return counted.groupBy(*group).agg(
         F.sum(F.when(F.col("__lv") == 0, 1)).alias("n"),
@@ -168,12 +168,8 @@ def rank_hinge(
     Each row enters once as a point ``(y, p)`` and once as a query ``(y − gap, p − margin)``; the
     hinge total of a query is the sum of ``p_j − (p_i − margin)`` over earlier points above it.
     """
-    base = materialize(
-        df.select(F.col(env).alias("__g"), F.col(actual).alias("__a"), F.col(pred).alias("__p"), F.col(key).alias("__k"))
-    )
-    big = base.groupBy("__g").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= HINGE_MIN_N).select("__g")
-    base = base.join(big, "__g", "left_semi")
-    largest, total = O.group_sizes(base, ["__g"])
+    base = df.select(F.col(env).alias("__g"), F.col(actual).alias("__a"), F.col(pred).alias("__p"), F.col(key).alias("__k"))
+    base, (largest, total) = _sized(base, ["__g"], split_rows)
     sizes = (2 * largest, 2 * total)
     both = F.explode(
         F.array(
@@ -186,13 +182,16 @@ def rank_hinge(
     ordered = O.running_sums(
         events, ["__g"], order, {"__pos": F.lit(1).cast("long"), "__pts": F.col("pt").cast("long")}, split_rows, sizes
     )
-    ranked = _dense_rank(ordered, ["__g"], "v", "__rank", split_rows, sizes)
+    ranked = O.dense_ranks(ordered, ["__g"], "v", "__rank", split_rows, sizes)
     counted = _earlier_by_rank(ranked, ["__g"], "__pos", "__rank", F.col("pt"), sizes, split_rows, F.col("v"))
     queries = counted.filter(F.col("pt") == 0)
-    m = queries.agg(
-        F.coalesce(F.sum(F.when(F.col("__lv") == 0, F.col("__pts"))), F.lit(0)).alias("n_pairs"),
+    per = queries.groupBy("__g").agg(
+        F.count_if(F.col("__lv") == 0).alias("n"),
+        F.sum(F.when(F.col("__lv") == 0, F.col("__pts"))).alias("n_pairs"),
         F.sum(F.col("w_above") - F.col("v") * F.col("n_above")).alias("total"),
     )
+    usable = per.filter(F.col("n") >= HINGE_MIN_N)
+    m = usable.agg(F.coalesce(F.sum("n_pairs"), F.lit(0)).alias("n_pairs"), F.sum("total").alias("total"))
     return m.select("n_pairs", F.coalesce(F.try_divide("total", "n_pairs"), F.lit(0.0)).alias("hinge"))
 
 
@@ -206,8 +205,7 @@ def rank_consistency(
 ) -> DataFrame:
     """Mean over hybrids with two or more rows of ``1 − r`` between ordinal ranks; 0 if none."""
     base = df.select(F.col(hybrid).alias("__g"), F.col(actual).alias("__a"), F.col(pred).alias("__p"), F.col(key).alias("__k"))
-    base = materialize(base)
-    sizes = O.group_sizes(base, ["__g"])
+    base, sizes = _sized(base, ["__g"], split_rows)
     ranked = O.positions(base, ["__g"], [F.col("__p"), F.col("__k")], "__rp", split_rows, sizes)
     ranked = O.positions(ranked, ["__g"], [F.col("__a"), F.col("__k")], "__ra", split_rows, sizes)
     per = ranked.groupBy("__g").agg(
