@@ -43,14 +43,13 @@ def main() -> None:
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     only = [a for a in sys.argv[1:] if not a.startswith("-")]
+    from trialspark.session import configured
+
     spark = (
-        SparkSession.builder.master(f"local[{cpus}]")
-        .appName("trialspark-bench")
-        .config("spark.sql.shuffle.partitions", cpus)
+        configured(SparkSession.builder.master(f"local[{cpus}]").appName("trialspark-bench"), int(cpus))
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

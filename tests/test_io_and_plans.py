@@ -25,7 +25,7 @@ def test_shared_folder_is_one_per_session(spark):
 def test_materialize_keeps_rows_and_schema(spark):
     df = spark.range(5).withColumn("v", F.array("id"))
     back = materialize(df)
-    assert back.schema == df.schema and sorted(r["id"] for r in back.collect()) == list(range(5))
+    assert back.dtypes == df.dtypes and sorted(r["id"] for r in back.collect()) == list(range(5))
 
 
 def test_trial_reader_rules(spark, tmp_path):
@@ -41,6 +41,14 @@ def test_trial_reader_rules(spark, tmp_path):
         T.read_features(spark, str(tmp_path / "x.csv"), TrialSchema())
 
 
+def test_stored_trials_prune_years_and_columns(spark, sf, tmp_path):
+    path = T.store_trials(FX.trials(spark, sf), str(tmp_path / "store"))
+    df = spark.read.parquet(path).filter("year <= 1996").select("env", "yield_mg")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(year" in plan and "ReadSchema: struct<env:string,yield_mg:double>" in plan
+    assert df.count() == FX.meta_trials(spark, sf).filter("year <= 1996").count()
+
+
 def test_fitted_state_checks_its_columns(spark, tmp_path):
     fitted = spark.createDataFrame([("m0", 0.5), ("m1", 0.1)], "feature string, p double")
     T.save_params({"markers": fitted}, str(tmp_path))

@@ -10,6 +10,7 @@ from trialspark.catalog.common import WITH_MARKERS, WITH_META, WITH_TT, pred, q6
 from trialspark.catalog.splits import FIRST, SIBS
 from trialspark.operators import population as P
 from trialspark.operators import relations as R
+from trialspark.shared import materialize
 
 
 def tt(spark, sf):
@@ -167,14 +168,14 @@ def _(spark, sf):
 
 
 def hybrid_markers(spark, sf):
-    """Trials with the marker array of their hybrid: dense code modulo the number of vectors."""
+    """Plots per year and hybrid with the hybrid's markers: dense code modulo the number of vectors."""
     from trialspark.operators import features as T
 
-    t = FX.meta_trials(spark, sf)
+    t = materialize(FX.meta_trials(spark, sf).groupBy("year", "hybrid", "parent1", "parent2").agg(F.count(F.lit(1)).alias("n")))
     m = FX.markers(spark, sf).select("vec_id", "markers")
     codes = T.category_codes(t, "hybrid", "code").join(F.broadcast(m.agg(F.count(F.lit(1)).alias("nv"))))  # one-row total
     by_hybrid = codes.withColumn("vec_id", F.col("code") % F.col("nv")).join(m, "vec_id").select("hybrid", "markers")
-    return t.select("year", "hybrid", "parent1", "parent2").join(by_hybrid, "hybrid")
+    return t.join(by_hybrid, "hybrid")
 
 
 SQL_HM = WITH_META.rstrip() + ",\n" + FX.SQL_MARKERS + FIRST + """,
@@ -197,13 +198,13 @@ def marker_sets(spark, sf):
 
 @query("a18_centroid_distance", "A18", SQL_HM + f"select set_a, set_b, {q6('1 - sum(fa*fb)/(sqrt(sum(fa*fa))*sqrt(sum(fb*fb)))')} as cosine_distance from pr group by all")
 def _(spark, sf):
-    return rounded(P.centroid_distance(marker_sets(spark, sf), "population"))
+    return rounded(P.centroid_distance(marker_sets(spark, sf), "population", weight="n"))
 
 
 @query("a19_af_shift", "A19", SQL_HM + f"""select set_a, set_b, count(*) as n_markers, {q6('regr_sxy(fb,fa)/(sqrt(regr_sxx(fb,fa))*sqrt(regr_syy(fb,fa)))')} as pcc,
 count(case when abs(fa-fb) > 0.1::double then 1 end) as n_shift_small, count(case when abs(fa-fb) > 0.2::double then 1 end) as n_shift_large from pr group by all""")
 def _(spark, sf):
-    return rounded(P.af_shift(marker_sets(spark, sf), "population"))
+    return rounded(P.af_shift(marker_sets(spark, sf), "population", weight="n"))
 
 
 DRIFT = ", lf as (select year, location, feature, avg(v) as v from (select year, location, unnest(['q','d','t']) as feature, unnest([l_quantity, l_discount, l_tax]) as v from meta) group by all)"
@@ -235,7 +236,7 @@ select year, n_novel, {q6('100.0*n_novel/n_all')} as novelty_pct, tester_overlap
 {q6('0.3::double*least(100.0*n_novel/n_all/90, 1) + 0.2::double*tester_overlap/(select count(distinct parent2) from tgt) + 0.2::double*greatest(0, af_pcc) + 0.15::double*p1_overlap/(select count(distinct parent1) from tgt) + 0.15::double*greatest(0, 1 - n_shift::double/m)')} as score
 from nn join na using (year) join ov using (year) join af using (year)""")
 def _(spark, sf):
-    return rounded(P.fold_similarity(hybrid_markers(spark, sf), 2001))
+    return rounded(P.fold_similarity(hybrid_markers(spark, sf), 2001, weight="n"))
 
 
 @query("a23_yield_by_env", "A23", WITH_META + f"select env, {q6('avg(1.5::double*(0.7::double*yield_mg+0.3::double*l_quantity)+4)')} as mean_pred from meta group by env")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from trialspark.shared import materialize, null_safe_join
 
-SPLIT_ROWS = 250_000
+SPLIT_ROWS = 1_000_000  # one sort of this many narrow rows is an ordinary task
 
 
 def group_sizes(df: DataFrame, group: list[str]) -> tuple[int, int]:

@@ -370,18 +370,21 @@ def _set_pairs(freq: DataFrame, label: str) -> DataFrame:
     return left.join(right, "marker").filter("set_a < set_b")
 
 
-def centroid_distance(df: DataFrame, label: str, markers: str = "markers") -> DataFrame:
-    """Cosine distance between the mean marker vectors of each pair of row sets."""
-    pairs = _set_pairs(allele_freq(df, [label], markers), label)
+def centroid_distance(df: DataFrame, label: str, markers: str = "markers", weight: str | None = None) -> DataFrame:
+    """Cosine distance between the mean marker vectors of each pair of row sets.
+
+    ``weight`` says how many plots a row stands for, so markers need not be repeated per plot.
+    """
+    pairs = _set_pairs(allele_freq(df, [label], markers, weight), label)
     m = pairs.groupBy("set_a", "set_b").agg(
         F.sum(F.col("fa") * F.col("fb")).alias("ab"), F.sum(F.col("fa") * F.col("fa")).alias("aa"), F.sum(F.col("fb") * F.col("fb")).alias("bb")
     )
     return m.select("set_a", "set_b", (F.lit(1.0) - F.try_divide("ab", F.sqrt("aa") * F.sqrt("bb"))).alias("cosine_distance"))
 
 
-def af_shift(df: DataFrame, label: str, markers: str = "markers") -> DataFrame:
+def af_shift(df: DataFrame, label: str, markers: str = "markers", weight: str | None = None) -> DataFrame:
     """Correlation of allele frequencies and markers shifted by more than 0.1 and 0.2 per pair of sets."""
-    pairs = _set_pairs(allele_freq(df, [label], markers), label)
+    pairs = _set_pairs(allele_freq(df, [label], markers, weight), label)
     d = F.abs(F.col("fa") - F.col("fb"))
     m = pairs.groupBy("set_a", "set_b").agg(
         F.count(F.lit(1)).alias("n_markers"),
@@ -421,14 +424,18 @@ def covariate_drift(df: DataFrame, y1: int, y2: int, features: list[str]) -> Dat
 
 
 def fold_similarity(
-    df: DataFrame, test_year: int, key: str = "hybrid", markers: str = "markers", min_novel: int = 5
+    df: DataFrame, test_year: int, key: str = "hybrid", markers: str = "markers", min_novel: int = 5, weight: str | None = None
 ) -> DataFrame:
     """How much each earlier year's novel set resembles the test year's: novelty, tester and parent
     overlap, allele-frequency agreement and their weighted score."""
     # one row per year and hybrid with its mean markers; everything below reads this table
-    vec = marker_means(df, markers, ["year", key, "parent1", "parent2"])
-    rows = df.groupBy("year", key, "parent1", "parent2").agg(F.count(F.lit(1)).alias("n"))
-    cells = materialize(vec.join(rows, ["year", key, "parent1", "parent2"]))
+    cell = ["year", key, "parent1", "parent2"]
+    if weight is None:
+        rows = df.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"))
+        cells = materialize(marker_means(df, markers, cell).join(rows, cell))
+    else:
+        # rows are such cells already
+        cells = materialize(df.select(*cell, F.col(weight).alias("n"), F.col(markers).alias("means")))
     novel = first_seen(cells, key, carry=["parent1", "parent2"]).withColumnRenamed("first_year", "year")
     enough = novel.groupBy("year").agg(F.count(F.lit(1)).alias("n_novel")).filter(F.col("n_novel") >= min_novel)
     total = cells.groupBy("year").agg(F.count_distinct(key).alias("n_all"))

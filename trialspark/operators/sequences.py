@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from trialspark.functions.expressions import finite
 from trialspark.operators import ordering as O
+from trialspark.shared import materialize
 
 # Fixed value that results depend on.
 IMPROVE_EPS = 1e-8
@@ -57,7 +58,10 @@ def improved_epochs(
     left stream through the fold in run order, with constant memory.
     """
     extra = extra or []
-    numbered = _numbered(log, run, epoch, pcc, loss, extra, split_rows)
+    return _improved(_numbered(log, run, epoch, pcc, loss, extra, split_rows), extra)
+
+
+def _improved(numbered: DataFrame, extra: list[str]) -> DataFrame:
     slack = F.lit(IMPROVE_EPS) * (F.col("pos") + 1)
     no_finite_yet = F.col("n_finite") == F.col("pcc").isNotNull().cast("long")
     candidate = F.when(F.col("pcc").isNotNull(), F.col("pcc") >= F.col("top") - slack).otherwise(no_finite_yet)
@@ -76,8 +80,9 @@ def early_stop_trace(
     lowest total error is reported as well.
     """
     extra = [scale_mse] if scale_mse else []
-    best = improved_epochs(log, run, epoch, pcc, loss, extra, split_rows)
-    sizes = log.groupBy(F.col(run).alias("run")).agg(F.count(F.lit(1)).alias("n_epochs"))
+    numbered = materialize(_numbered(log, run, epoch, pcc, loss, extra, split_rows))  # read three times below
+    best = _improved(numbered, extra)
+    sizes = numbered.groupBy("run").agg(F.max("pos").alias("n_epochs"))
     # place 0 stands for the start of training, so a run that never improves stops too
     start = sizes.select("run", F.lit(0).cast("long").alias("pos"))
     marks = best.unionByName(start, allowMissingColumns=True)
@@ -99,9 +104,8 @@ def early_stop_trace(
         picks.append(F.min_by("epoch", usable).alias("best_scale_epoch"))
     chosen = kept.groupBy("run").agg(*picks)
     out = cut.join(chosen, "run", "left")
-    stop_epoch = log.select(F.col(run).alias("run"), F.col(epoch).alias("epoch"))
-    numbered = O.positions(stop_epoch, ["run"], [F.col("epoch")], "stop_pos", split_rows).withColumnRenamed("epoch", "stop_epoch")
-    out = out.join(numbered, ["run", "stop_pos"], "left").withColumn("n_improved", F.coalesce("n_improved", F.lit(0)))
+    places = numbered.select("run", F.col("pos").alias("stop_pos"), F.col("epoch").alias("stop_epoch"))
+    out = out.join(places, ["run", "stop_pos"], "left").withColumn("n_improved", F.coalesce("n_improved", F.lit(0)))
     cols = ["run", "best_epoch", "best_pcc", "best_loss", "n_improved", "stop_epoch", "n_epochs"]
     return out.select(*cols, *(["best_scale_epoch"] if scale_mse else []))
 

@@ -189,8 +189,8 @@ def lygo_diagnostics(
     overlap = kept.select("parent1").distinct().join(earlier.select("parent1").distinct(), "parent1", "left_semi").agg(
         F.count(F.lit(1)).alias("overlap_parents")
     )
-    present = F.collect_set("parent2")
     wanted = sorted(set(test_tester_names or []))
+    present = F.collect_set(F.when(F.col("parent2").isin(wanted), F.col("parent2")))  # no more than were asked for
     in_year = rows.filter(F.col("year") == val_year).agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("year_rows"),
         F.array_join(F.array_except(F.array(*[F.lit(t) for t in wanted]).cast("array<string>"), present), ",").alias("testers_missing"),

@@ -29,7 +29,7 @@ def stack(
     """Search weights on the training files (optionally refined) and apply them everywhere."""
     long = read_predictions(spark, train_files)
     models = _models(long)
-    wide = materialize(filter_years(merge_predictions(long, models), *years))
+    wide = filter_years(merge_predictions(long, models), *years)
     moments = materialize(K.stack_moments(wide, models))
     best = K.search_weights(moments, models, n_random, seed).first()
     weights = [best[f"w_{i}"] for i in range(len(models))]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trialspark.functions import expressions as X
 from trialspark.schema import TrialError, require_columns
+from trialspark.shared import materialize
 
 # Fixed values that results depend on.
 REQUIRED = ["Env", "id", "Actual", "Pred"]
@@ -101,6 +102,7 @@ def merge_predictions(long: DataFrame, models: list[str] | None = None, check: b
     )
     full = wide.filter(F.col("__models") == len(models))
     if check:
+        full = materialize(full)  # the checks and the caller both read it
         bad = full.agg(
             F.count(F.lit(1)).alias("n"),
             F.count_if(F.col("__rows") > len(models)).alias("dup"),

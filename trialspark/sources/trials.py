@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trialspark.functions.expressions import ensure_meta
 from trialspark.schema import TrialError, TrialSchema, require_columns
 
 # Fixed value that results depend on.
@@ -53,6 +54,13 @@ def read_trials(
     return x, None if y_path is None else read_target(spark, y_path, schema, fmt)
 
 
+def store_trials(df: DataFrame, path: str) -> str:
+    """Write trials with their derived columns, one folder per year, so that year splits and folds
+    read only the years they need."""
+    ensure_meta(df).write.mode("overwrite").partitionBy("year").parquet(path)
+    return path
+
+
 def save_params(params: dict[str, DataFrame], path: str) -> None:
     """Write each fitted table below ``path``."""
     for name, df in params.items():
