@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from trialspark import fixtures as FX
 from trialspark.catalog import query
-from trialspark.catalog.common import WITH_PRED, pred, q6, rounded, train_test
+from trialspark.catalog.common import WITH_PRED, pred, q6, r6, rounded, train_test
 from trialspark.functions import expressions as X
 from trialspark.operators import effects as E
 from trialspark.operators import metrics as M
@@ -30,12 +30,12 @@ CLAMP_R = "greatest(-1.0::double, least(1.0::double, sap/(sqrt(saa)*sqrt(spp))))
 OK_R = "n >= 2 and saa > 1e-8 and spp > 1e-8"
 
 
-@query("f1_finite_pairs", "F1", WITH_PRED + f"""select env, count(*) as n, {q6('sum(ratio)')} as sum_ratio
+@query("f1_finite_pairs", "F1", WITH_PRED + f"""select env, count(*) as n, {q6('sum(ratio)', 3)} as sum_ratio
 from (select env, m_a / (case when l_discount = 0 then null else l_discount end) as ratio from pred) where ratio is not null group by env""")
 def _(spark, sf):
     df = pred(spark, sf).withColumn("ratio", F.when(F.col("l_discount") == 0, F.lit(float("nan"))).otherwise(F.col("m_a") / F.when(F.col("l_discount") != 0, F.col("l_discount"))))
     kept = M.finite_pairs(df, "actual", "ratio")
-    return rounded(kept.groupBy("env").agg(F.count(F.lit(1)).alias("n"), F.sum("ratio").alias("sum_ratio")))
+    return rounded(kept.groupBy("env").agg(F.count(F.lit(1)).alias("n"), F.sum("ratio").alias("sum_ratio")), 3)
 
 
 @query("m0_env_moments", "M0", WITH_PRED + f""", m as ({moments_sql()})
@@ -43,7 +43,7 @@ select env, n, {q6('ma')} as mean_a, {q6('mp')} as mean_p, {q6('saa', 4)} as saa
 def _(spark, sf):
     m = M.env_moments(pred(spark, sf), "env", "actual", "m_a")
     d = {"saa": 4, "spp": 4, "sap": 4}
-    return m.select("env", "n", *[(F.round(c, d.get(c, 6)) + F.lit(0.0)).alias(c) for c in ("mean_a", "mean_p", "saa", "spp", "sap")])
+    return m.select("env", "n", *[r6(c, d.get(c, 6)).alias(c) for c in ("mean_a", "mean_p", "saa", "spp", "sap")])
 
 
 @query("m1_safe_pcc", "M1", WITH_PRED + f", m as ({moments_sql('m_b')}) select env, n, {q6(SAFE_R)} as pcc from m")

@@ -45,13 +45,13 @@ def _(spark, sf):
 
 
 @query("j1_attach_target", "J1", WITH_META + """, y as (select row_key, min(yield_mg) as y from trials where l_discount > 0.02::double group by row_key)
-select 'inner' as how, count(*) as n, round(sum(y), 3) as total from meta join y using (row_key)
-union all select 'left', count(*), round(sum(y), 3) from meta left join y using (row_key)""")
+select 'inner' as how, count(*) as n, round(sum(y), 6) as total from meta join y using (row_key)
+union all select 'left', count(*), round(sum(y), 6) from meta left join y using (row_key)""")
 def _(spark, sf):
     t = FX.trials(spark, sf)
     y = t.filter("l_discount > 0.02").groupBy("row_key").agg(F.min("yield_mg").alias("y"))
     x = t.drop("yield_mg")
-    out = [R.attach_target(x, y, how, "row_key").agg(F.lit(how).alias("how"), F.count(F.lit(1)).alias("n"), F.round(F.sum("y"), 3).alias("total")) for how in ("inner", "left")]
+    out = [R.attach_target(x, y, how, "row_key").agg(F.lit(how).alias("how"), F.count(F.lit(1)).alias("n"), F.round(F.sum("y"), 6).alias("total")) for how in ("inner", "left")]
     return R.union_results(out)
 
 

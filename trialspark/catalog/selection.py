@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trialspark import fixtures as FX
 from trialspark.catalog import query
-from trialspark.catalog.common import WITH_META, WITH_PRED, pred, q6, rounded
+from trialspark.catalog.common import WITH_META, WITH_PRED, pred, q6, r6, rounded
 from trialspark.catalog.sequences import SQL_FOLDS, SQL_RUNS, fold_records, location_runs
 from trialspark.operators import selection as V
 from trialspark.operators import splits as D
@@ -47,7 +47,7 @@ def _(spark, sf):
     folds = fold_records(spark, sf)
     evals = V.select_eval(folds.filter("val_year >= 1996"), "all_folds")
     with_best = V.select_eval(folds, "both")
-    cols = ["tag", "val_year", (F.round("best_val_env_avg_pearson", 6) + F.lit(0.0)).alias("pcc")]
+    cols = ["tag", "val_year", r6("best_val_env_avg_pearson").alias("pcc")]
     picks = [("fold_1999", V.primary_metrics(evals, "fold_1999")), ("missing", V.primary_metrics(evals, "nothing")), ("missing_but_best", V.primary_metrics(with_best, "nothing"))]
     return reduce(DataFrame.unionByName, [p.select(F.lit(n).alias("wanted"), *cols) for n, p in picks])
 

@@ -2,7 +2,7 @@
 
 Counting ordered pairs is done digit by digit: rows sharing the leading digits of a rank and
 differing in the next one meet in a window ordered by position, where running digit counts say
-how many earlier rows rank below or above. A group of n rows costs n·log16(n) counted rows.
+how many earlier rows rank below or above. A group of n rows costs n·log4(n) counted rows.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from trialspark.shared import materialize
 # Fixed values that results depend on.
 HINGE_MARGIN, HINGE_GAP, HINGE_MIN_N = 0.5, 0.2, 3
 NORM_EPS = 1e-8
-DIGIT_BITS = 4
+DIGIT_BITS = 2
 
 
 def _sized(base: DataFrame, group: list[str], split_rows: int) -> tuple[DataFrame, tuple[int, int]]:
