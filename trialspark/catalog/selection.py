@@ -68,17 +68,19 @@ def _(spark, sf):
     return rounded(V.fold_seed_summary(seed_records(spark, sf)))
 
 
-RANKS = """, rk as (select *, rank() over (order by test_pcc) as rt, rank() over (order by lygo_pcc) as ra, rank() over (order by leo_pcc) as rb, rank() over (order by cv_val_pcc) as rc from runs)"""
+def _rho(score: str) -> str:
+    return f"(select corr(a, b) from (select rank() over (order by {score}) as a, rank() over (order by test_pcc) as b from runs where {score} is not null and test_pcc is not null))"
 
 
-@query("v5_selector_tracking", "V5", SQL_RUNS + RANKS + f" select {q6('corr(ra, rt)')} as lygo_pcc, {q6('corr(rb, rt)')} as leo_pcc, count(*) as n_runs, corr(ra, rt) > corr(rb, rt) as first_beats_second from rk")
+@query("v5_selector_tracking", "V5", SQL_RUNS + f" select {q6(_rho('lygo_pcc'))} as lygo_pcc, {q6(_rho('leo_pcc'))} as leo_pcc, greatest(count(lygo_pcc + test_pcc), count(leo_pcc + test_pcc)) as n_runs, {_rho('lygo_pcc')} > {_rho('leo_pcc')} as first_beats_second from runs")
 def _(spark, sf):
     return rounded(V.selector_tracking(location_runs(spark, sf)))
 
 
-@query("v6_cv_test_correlation", "V6", SQL_RUNS + RANKS + f""", pc as (select sum(sign(a.cv_val_pcc-b.cv_val_pcc)*sign(a.test_pcc-b.test_pcc)) as s, count(*) as n from runs a join runs b on a.run_id < b.run_id)
-select count(*) as n_pairs, {q6('corr(rc, rt)')} as spearman, {q6('(select s::double/n from pc)')} as kendall, {q6('corr(cv_val_pcc, test_pcc)')} as pearson,
-case when corr(rc, rt) >= 0.8 then 'STRONG' when corr(rc, rt) >= 0.5 then 'MODERATE' else 'WEAK' end as verdict from rk""")
+@query("v6_cv_test_correlation", "V6", SQL_RUNS + f""", ok as (select * from runs where cv_val_pcc is not null and test_pcc is not null),
+pc as (select sum(sign(a.cv_val_pcc-b.cv_val_pcc)*sign(a.test_pcc-b.test_pcc)) as s, count(*) as n from ok a join ok b on a.run_id < b.run_id)
+select count(*) as n_pairs, {q6(_rho('cv_val_pcc'))} as spearman, {q6('(select s::double/n from pc)')} as kendall, {q6('corr(cv_val_pcc, test_pcc)')} as pearson,
+case when {_rho('cv_val_pcc')} >= 0.8 then 'STRONG' when {_rho('cv_val_pcc')} >= 0.5 then 'MODERATE' else 'WEAK' end as verdict from ok""")
 def _(spark, sf):
     return rounded(V.cv_test_correlation(location_runs(spark, sf)))
 

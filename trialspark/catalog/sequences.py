@@ -64,20 +64,20 @@ def location_runs(spark, sf):
     aggs = []
     for name, model, year in (("cv_val_pcc", "m_b", 2000), ("test_pcc", "m_b", 2001), ("lygo_pcc", "m_d", 2000), ("leo_pcc", "m_c", 1999)):
         a = F.when(F.col("year") == year, F.col("actual"))
-        aggs.append((F.regr_sxy(model, a) / (F.sqrt(F.regr_sxx(model, a)) * F.sqrt(F.regr_syy(model, a)))).alias(name))
+        aggs.append(F.try_divide(F.regr_sxy(model, a), F.sqrt(F.regr_sxx(model, a)) * F.sqrt(F.regr_syy(model, a))).alias(name))
     return df.groupBy(F.col("location").alias("run_id")).agg(*aggs)
 
 
 def _loc_r(model: str, year: int) -> str:
     a = f"case when year = {year} then actual end"
-    return f"regr_sxy({model}, {a})/(sqrt(regr_sxx({model}, {a}))*sqrt(regr_syy({model}, {a})))"
+    return f"regr_sxy({model}, {a})/nullif(sqrt(regr_sxx({model}, {a}))*sqrt(regr_syy({model}, {a})), 0)"
 
 
 SQL_RUNS = WITH_PRED.rstrip() + f""", runs as (select location as run_id, {_loc_r('m_b', 2000)} as cv_val_pcc, {_loc_r('m_b', 2001)} as test_pcc, {_loc_r('m_d', 2000)} as lygo_pcc, {_loc_r('m_c', 1999)} as leo_pcc from pred group by location)
 """
 
 
-@query("w4_rank_concordance", "W4", SQL_RUNS + f""", rk as (select run_id as tag, cv_val_pcc, test_pcc, row_number() over (order by cv_val_pcc desc, run_id) - 1 as cv_rank, row_number() over (order by test_pcc desc, run_id) - 1 as test_rank, count(*) over () as n from runs)
+@query("w4_rank_concordance", "W4", SQL_RUNS + f""", rk as (select run_id as tag, cv_val_pcc, test_pcc, row_number() over (order by cv_val_pcc desc, run_id) - 1 as cv_rank, row_number() over (order by test_pcc desc, run_id) - 1 as test_rank, count(*) over () as n from runs where cv_val_pcc is not null and test_pcc is not null)
 select tag, {q6('cv_val_pcc')} as cv_val_pcc, {q6('test_pcc')} as test_pcc, cv_rank, test_rank, case when cv_rank = 0 then test_rank <= 1 end as cv_best_in_top2, case when cv_rank = n - 1 then test_rank >= n - 2 end as cv_worst_in_bottom2 from rk""")
 def _(spark, sf):
     return rounded(W.rank_concordance(location_runs(spark, sf).withColumnRenamed("run_id", "tag")))

@@ -32,12 +32,12 @@ def written_trials(spark, sf):
     return base
 
 
-@query("s1_read_trials", "S1", WITH_META + f"""select env, count(*) as n, count(case when site <> 4 then 1 end) as n_target, {q6('sum(case when site <> 4 then yield_mg end)')} as total, {q6('sum(l_quantity)')} as quantity,
-7 as n_columns from trials group by env""")
+@query("s1_read_trials", "S1", WITH_META + f""", y as (select row_key, min(case when site <> 4 then yield_mg end) as y from trials group by row_key)
+select env, count(*) as n, count(y) as n_target, {q6('sum(y)')} as total, {q6('sum(l_quantity)')} as quantity, 7 as n_columns from trials join y using (row_key) group by env""")
 def _(spark, sf):
     base = written_trials(spark, sf)
     x, y = S.read_trials(spark, f"{base}/x", f"{base}/y", SCHEMA)
-    xy = R.attach_target(x, y.dropDuplicates(["id"]), check_unique=False)
+    xy = R.attach_target(x, y.groupBy("id").agg(F.min("yield_mg").alias("yield_mg")))
     return rounded(
         xy.groupBy("env").agg(
             F.count(F.lit(1)).alias("n"), F.count("yield_mg").alias("n_target"), F.sum("yield_mg").alias("total"), F.sum("l_quantity").alias("quantity"),

@@ -86,9 +86,9 @@ def _long(df: DataFrame, selectors: list[str], test: str) -> DataFrame:
 
 
 def selector_tracking(runs: DataFrame, selectors: tuple[str, str] = ("lygo_pcc", "leo_pcc"), test: str = "test_pcc") -> DataFrame:
-    """Spearman of each selector's scores with the test score; does the first beat the second."""
+    """Spearman of each selector's finite scores with the test score; does the first beat the second."""
     a, b = selectors
-    rho = R.spearman(_long(runs, [a, b], test), "test", "score", by=["selector"])
+    rho = R.spearman(M.finite_pairs(_long(runs, [a, b], test), "test", "score"), "test", "score", by=["selector"])
     pick = lambda s: F.max(F.when(F.col("selector") == s, F.col("spearman")))
     out = rho.agg(pick(a).alias(a), pick(b).alias(b), F.max("n").alias("n_runs"))
     return out.withColumn("first_beats_second", F.col(a) > F.col(b))
