@@ -30,10 +30,15 @@ def clamp(c: Column, lo: float = -1.0, hi: float = 1.0) -> Column:
     return F.when(c.isNotNull(), F.greatest(F.lit(lo), F.least(F.lit(hi), c)))
 
 
-def _pair_aggs(actual: str, pred: str, key: str | None = None, tag: str = "") -> list[Column]:
+def _masked(df: DataFrame, actual: str, pred: str, tag: str = "") -> DataFrame:
+    """Add the pair as ``__a, __p``, both NULL unless both are finite, so that each row is tested
+    once and not in every aggregate."""
     ok = finite(actual) & finite(pred)
-    a = F.when(ok, F.col(actual).cast("double"))
-    p = F.when(ok, F.col(pred).cast("double"))
+    return df.withColumns({f"__a{tag}": F.when(ok, F.col(actual).cast("double")), f"__p{tag}": F.when(ok, F.col(pred).cast("double"))})
+
+
+def _pair_aggs(key: str | None = None, tag: str = "") -> list[Column]:
+    a, p = F.col(f"__a{tag}"), F.col(f"__p{tag}")
     aggs = [
         F.count(a).alias(f"n{tag}"),
         F.avg(a).alias(f"mean_a{tag}"),
@@ -44,7 +49,7 @@ def _pair_aggs(actual: str, pred: str, key: str | None = None, tag: str = "") ->
         F.sum((a - p) * (a - p)).alias(f"sse{tag}"),
     ]
     if key is not None:
-        k = F.when(ok, F.col(key))
+        k = F.when(a.isNotNull(), F.col(key))
         aggs.append(F.min(k).alias(f"key0{tag}"))
         for side, v in (("a", a), ("p", p)):
             aggs += [
@@ -60,7 +65,7 @@ def env_moments(
 ) -> DataFrame:
     """Per group: n, means, centred sums of squares/products and squared error of finite pairs."""
     group = [group] if isinstance(group, str) else list(group)
-    return df.groupBy(*group).agg(*_pair_aggs(actual, pred, key))
+    return _masked(df, actual, pred).groupBy(*group).agg(*_pair_aggs(key))
 
 
 def combine_moments(moments: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -181,13 +186,13 @@ def _envpcc_loss(moments: DataFrame, min_n: int = 4) -> DataFrame:
 
 def global_pcc(df: DataFrame, actual: str = "actual", pred: str = "pred") -> DataFrame:
     """Pearson over all rows and the matching loss; NULL when a side has no spread."""
-    m = df.agg(*_pair_aggs(actual, pred))
+    m = _masked(df, actual, pred).agg(*_pair_aggs())
     r = clamp(F.when((F.col("saa") > 0) & (F.col("spp") > 0), F.try_divide("sap", F.sqrt(F.col("saa")) * F.sqrt(F.col("spp")))))
     return m.select("n", r.alias("pcc"), (F.lit(1.0) - _clamped_global_r()).alias("loss"))
 
 
 def mse(df: DataFrame, actual: str = "actual", pred: str = "pred") -> DataFrame:
-    m = df.agg(*_pair_aggs(actual, pred))
+    m = _masked(df, actual, pred).agg(*_pair_aggs())
     return m.select("n", F.try_divide("sse", "n").alias("mse"))
 
 
@@ -238,7 +243,8 @@ def split_metrics(
     key: str = "row_key",
 ) -> DataFrame:
     """Scoreboard per value of ``group_col`` (a NULL group stays a group)."""
-    m = df.groupBy(group_col).agg(*_pair_aggs(actual, pred, key), *_pair_aggs(actual, rank_pred, key, "_rank"))
+    pairs = _masked(_masked(df, actual, pred), actual, rank_pred, "_rank")
+    m = pairs.groupBy(group_col).agg(*_pair_aggs(key), *_pair_aggs(key, "_rank"))
     slope, intercept = _line()
     rslope, rintercept = _line("_rank")
     return m.select(
@@ -286,7 +292,8 @@ def run_metrics(
     key: str = "row_key",
 ) -> DataFrame:
     """All run-level test metrics in one row from a single scan."""
-    per = df.groupBy(env).agg(*_pair_aggs(actual, pred, key), *_pair_aggs(actual, rank_pred, key, "_rank"))
+    pairs = _masked(_masked(df, actual, pred), actual, rank_pred, "_rank")
+    per = pairs.groupBy(env).agg(*_pair_aggs(key), *_pair_aggs(key, "_rank"))
     per = pcc_from_moments(per)
     n, ma, mp = F.col("n"), F.coalesce(F.col("mean_a"), F.lit(0.0)), F.coalesce(F.col("mean_p"), F.lit(0.0))
     nr = F.col("n_rank")
