@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from trialspark import fixtures as FX
 from trialspark.catalog import query
-from trialspark.catalog.common import WITH_MARKERS, WITH_META, WITH_PRED, pred, q6, r6, rounded
+from trialspark.catalog.common import WITH_MARKERS, WITH_META, WITH_PRED, pred, q6, rounded
 from trialspark.functions import expressions as X
 from trialspark.operators import features as T
 from trialspark.sources import predictions as SP

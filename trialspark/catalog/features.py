@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from trialspark import fixtures as FX
 from trialspark.catalog import query
 from trialspark.catalog.common import WITH_MARKERS, WITH_META, WITH_TT, q6, r6, rounded, train_test
-from trialspark.functions import expressions as X
 from trialspark.operators import effects as E
 from trialspark.operators import features as T
 

@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trialspark import fixtures as FX
 from trialspark.catalog import query
 from trialspark.catalog.common import WITH_PRED, pred, q6, r6, rounded, train_test
-from trialspark.functions import expressions as X
 from trialspark.operators import effects as E
 from trialspark.operators import metrics as M
 from trialspark.operators import ranking as R
@@ -128,9 +126,7 @@ def board_sql(group: str, src: str = "pred") -> str:
       {q6(SLOPE)} as slope, {q6(f'mp - ({SLOPE})*ma')} as intercept, b.rank_slope, b.rank_intercept, {q6('sse/a.n')} as mse
       from ({moments_sql('pred', group, src)}) a
       join (select {group} as g2, {q6(SAFE_R)} as rank_pcc, {q6(SLOPE)} as rank_slope, {q6(f'mp - ({SLOPE})*ma')} as rank_intercept
-            from ({moments_sql('rank_pred', group, src)})) b on a.{group} is not distinct from b.g2""".replace(
-        "case when n >= 2 and not (greatest(hi_a-v0_a, v0_a-lo_a)", "case when n >= 2 and not (greatest(hi_a-v0_a, v0_a-lo_a)"
-    )
+            from ({moments_sql('rank_pred', group, src)})) b on a.{group} is not distinct from b.g2"""
 
 
 @query("m10_split_metrics", "M10", WITH_PRED + board_sql("location"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from trialspark import fixtures as FX
 from trialspark.catalog import query
-from trialspark.catalog.common import WITH_MARKERS, WITH_META, WITH_TT, pred, q6, rounded, train_test
+from trialspark.catalog.common import WITH_META, WITH_TT, pred, q6, rounded, train_test
 from trialspark.catalog.splits import FIRST, SIBS
 from trialspark.operators import population as P
 from trialspark.operators import relations as R

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trialspark import fixtures as FX
 from trialspark.catalog import query
 from trialspark.catalog.common import WITH_PRED, pred, q6, r6, rounded
 from trialspark.catalog.metrics import SAFE_R, moments_sql

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialspark.operators.features import allele_freq, marker_means
-from trialspark.operators.relations import all_parents, novel_keys, shared_keys, top_values
+from trialspark.operators.relations import all_parents, top_values
 from trialspark.schema import TrialError
 from trialspark.shared import materialize
 

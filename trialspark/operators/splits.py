@@ -20,6 +20,7 @@ PROXY_TESTER, PROXY_FRACTION, PROXY_SEED = "PHP02", 0.20, 1
 LYGO_MIN_PER_ENV = 4
 MIN_VAL_ROWS, MIN_VAL_ENVS = 200, 5
 ROLL_START, ROLL_END = 2014, 2023
+MAX_FOLDS = 10_000
 
 
 def _flag(keys: DataFrame, name: str) -> DataFrame:
@@ -259,8 +260,11 @@ def fold_table(
 def rolling_folds(df: DataFrame, folds: DataFrame) -> DataFrame:
     """Rows repeated per fold they belong to, labelled ``train`` or ``val``.
 
-    The fold table is small by construction (one row per year) and is broadcast into a range join.
+    The fold table has one row per validation year; that is checked before it is broadcast into a
+    range join.
     """
+    if folds.limit(MAX_FOLDS + 1).count() > MAX_FOLDS:
+        raise TrialError(f"more than {MAX_FOLDS} folds")
     cond = F.col("year") <= F.col("val_year")
     joined = df.join(F.broadcast(folds), cond)
     return joined.withColumn("role", F.when(F.col("year") == F.col("val_year"), "val").otherwise("train"))
