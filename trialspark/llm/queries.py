@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trialspark.llm import sharding  # noqa: F401
+from trialspark.llm import sharding, tokens  # noqa: F401
 from trialspark.llm.common import REGISTRY
 
 __all__ = ["REGISTRY"]
