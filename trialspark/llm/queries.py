@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trialspark.llm import exact, sharding, simhash, tokens  # noqa: F401
+from trialspark.llm import decontaminate, exact, sharding, simhash, tokens  # noqa: F401
 from trialspark.llm.common import REGISTRY
 
 __all__ = ["REGISTRY"]
