@@ -93,7 +93,9 @@ def remove_repeated_lines(docs: DataFrame, window: int = WINDOW, divisor: int =
     kept = [c for c in docs.columns if c not in added]
     removed = materialize(repeated_chunks(docs, window, divisor, min_lines))
     keyed = docs.select(*kept, F.xxhash64(text_of()).alias("__key"))
-    joined = keyed.join(removed.select(F.col("doc_id").alias("__d"), F.col("body_key").alias("__k"), F.col("removed").alias("__removed")), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__key") == F.col("__k")), "left")
+    gaps = removed.select(F.col("doc_id").alias("__d"), F.col("body_key").alias("__k"), F.col("removed").alias("__removed"))
+    # the list grows with the documents: one plan at every size, not a broadcast while it is small
+    joined = keyed.join(gaps.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__key") == F.col("__k")), "left")
     cut = _with_bounds(joined.withColumn("lines", F.split(text_of(), "\n")), window, divisor)
     gone = F.coalesce(F.col("__removed"), F.array().cast("array<int>"))
     stay = F.array_except(F.sequence(F.lit(0), F.size("bounds") - 1), "__gone")
