@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trialspark.llm import decontaminate, exact, lines, sharding, simhash, tokens, toxicity  # noqa: F401
+from trialspark.llm import decontaminate, exact, lines, quality, sharding, simhash, tokens, toxicity  # noqa: F401
 from trialspark.llm.common import REGISTRY
 
 __all__ = ["REGISTRY"]
