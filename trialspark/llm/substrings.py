@@ -234,17 +234,24 @@ def covered_contexts(ids: list[bytes], hs: np.ndarray, offs: np.ndarray, bodies:
         start, stop = offs[rows] - left, offs[rows] + right
         ends = np.flatnonzero(np.append(np.diff(bucket[np.argsort(bucket, kind="stable")]) != 0, True))
         by_bucket = np.argsort(bucket, kind="stable")
-        begin, held = 0, 0
+        block: list[int] = []
+        held = 0
         for first, last in zip(np.append(0, ends[:-1] + 1).tolist(), ends.tolist(), strict=True):
-            held += int((stop - start)[by_bucket[first : last + 1]].sum())
-            if held >= BLOCK or last == len(rows) - 1:
-                block = by_bucket[begin : last + 1]
+            alike: dict[tuple[int, bytes], list[int]] = {}
+            for b in by_bucket[first : last + 1].tolist():
+                alike.setdefault((int(left[b]), bodies[rows[b]][start[b] : stop[b]]), []).append(b)
+            for same in alike.values():  # equal as a whole, around the same anchor
+                for b in same if len(same) > 1 else ():
+                    found.setdefault(ids[rows[b]], [{"a": int(start[b]), "b": int(stop[b])}])
+            if len(alike) > 1:
+                block += [same[0] for same in alike.values()]
+                held += sum(len(t) for _, t in alike)
+            if block and (held >= BLOCK or last == len(rows) - 1):
                 texts = [bodies[rows[b]][start[b] : stop[b]] for b in block]
                 for b, windows in zip(block, repeated_windows(texts, length), strict=True):
-                    i = ids[rows[b]]
-                    if len(windows) and i not in found:
-                        found[i] = _spans(windows + start[b], length)
-                begin, held = last + 1, 0
+                    if len(windows) and ids[rows[b]] not in found:
+                        found[ids[rows[b]]] = _spans(windows + start[b], length)
+                block, held = [], 0
     return list(found), list(found.values())
 
 
@@ -282,7 +289,10 @@ def _sorted_spans(contexts: DataFrame, length: int) -> DataFrame:
 
 
 def _hot_spans(contexts: DataFrame, length: int) -> DataFrame:
-    """Spans of hot contexts: each window is a row, and equal windows are counted with partial sums."""
+    """Spans of hot contexts: each window of a distinct one is a row, and equal windows are counted.
+
+    Contexts that occur again are covered as a whole and only serve as partners of the others.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -292,10 +302,13 @@ def _hot_spans(contexts: DataFrame, length: int) -> DataFrame:
             cols = [list(c) for c in zip(*out, strict=True)] or [[]] * 4
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.binary(), pa.int32(), pa.int64()), strict=True)], names=["w", "id", "d", "n"])
 
-    windows = contexts.filter("body is not null and hot").select("id", "body", "n").mapInArrow(run, "w binary, id binary, d int, n long")
+    hot = contexts.filter("body is not null and hot").groupBy("id").agg(F.first("body").alias("body"), F.sum("n").alias("n"))
+    windows = hot.mapInArrow(run, "w binary, id binary, d int, n long")
     again = windows.groupBy("w").agg(F.sum("n").alias("total")).filter("total > 1")
     span = F.struct(F.col("d").alias("a"), (F.col("d") + length).alias("b"))
-    return windows.join(again, "w").groupBy("id").agg(F.collect_set(span).alias("spans"))
+    partly = windows.filter("n = 1").join(again, "w").groupBy("id").agg(F.collect_set(span).alias("spans"))
+    whole = hot.filter("n > 1").select("id", F.array(F.struct(F.lit(0).alias("a"), F.length("body").alias("b"))).alias("spans"))
+    return partly.unionByName(whole)
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
