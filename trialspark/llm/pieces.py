@@ -29,7 +29,7 @@ UNIT = re.compile("▁*[^▁\n]+|▁+|\n")
 LATTICE = 60  # letters of the longest unit whose state fits into the bits of a long
 COMMON_UNITS = 1 << 20  # most frequent units, broadcast; all others are joined
 BUCKET_BYTES = 24 << 20  # text per group of documents that gets its rare units together
-FLUSH = 1 << 19
+FLUSH = 1 << 18
 
 
 @lru_cache(maxsize=4)
@@ -123,7 +123,9 @@ def encode_units(units: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """``unit, ids`` for distinct units: the lattice fold, and a heap of merges for the overlong ones."""
     table, zero, _ = piece_table(vocabulary)
     short, long = units.filter(F.length("unit") <= LATTICE), units.filter(F.length("unit") > LATTICE)
-    edges = short.select("unit").join(lattice(short, table), "unit", "left")
+    # dealt by unit once: edges are made, grouped and joined where their unit is
+    placed = short.select("unit").repartition("unit")
+    edges = placed.join(lattice(placed, table).hint("merge"), "unit", "left")
     n = F.length("unit")
     known = edges.withColumn("edges", F.coalesce("edges", F.array().cast("array<struct<rank:int,s:int,e:int,id:int,ends:bigint,inside:bigint>>")))
     def stops_of(places: Column) -> Column:
