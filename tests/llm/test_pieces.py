@@ -5,7 +5,7 @@ import public_tokenizers
 import pytest
 import sentencepiece
 
-from trialspark.llm.pieces import VOCABULARY, common_from, decode, decode_ids, encode, encode_units, merge_ids, op3, units_of
+from trialspark.llm.pieces import VOCABULARY, common_from, decode, decode_ids, encode, encode_units, merge_ids, op3, units_of, words_of
 
 MODEL = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(VOCABULARY))
 ODD = ["", " ", "   ", "\n\n", "a  b", "  Hello   world\n\n\tfoo éàç 你 🙂 \xa0b", "x" * 500, "abc" * 200 + " d", "don't stop", "▁mark", "é", "ﬁ Ａ", " lead", "trail ", "123456 7.5%!!"]
@@ -13,8 +13,9 @@ ODD = ["", " ", "   ", "\n\n", "a  b", "  Hello   world\n\n\tfoo éàç 你 🙂
 
 def test_units_join_to_the_marked_text_and_merge_alone():
     for t in ODD:
-        assert "".join(units_of(t)) == ("▁" + t.replace(" ", "▁") if t else "")
-        assert [i for u in units_of(t) for i in merge_ids(u)] == MODEL.encode(t)
+        units = [u for w in words_of(t) for u in units_of(w)]
+        assert "".join(units) == ("▁" + t.replace(" ", "▁") if t else "")
+        assert [i for u in units for i in merge_ids(u)] == MODEL.encode(t)
 
 
 @pytest.mark.parametrize("limit", [0, 30, 1 << 20])
@@ -29,7 +30,7 @@ def test_whole_texts_give_the_ids_of_the_library(spark, limit):
 
 
 def test_fold_of_units_and_frequent_units(spark):
-    units = sorted({u for t in ODD for u in units_of(t)} | {"▁international", "▁▁▁▁▁", "zzzz", "▁thethethe"})
+    units = sorted({u for t in ODD for w in words_of(t) for u in units_of(w)} | {w for t in ODD for w in words_of(t)} | {"▁international", "▁▁▁▁▁", "zzzz", "▁thethethe"})
     got = {r["unit"]: r["ids"] for r in encode_units(spark.createDataFrame([(u,) for u in units], "unit string")).collect()}
     assert got == {u: merge_ids(u) for u in units}
     counts = spark.createDataFrame([(str(i), 1 + 100 * (i < 5)) for i in range(50)], "unit string, n long")

@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-Texts fall into units (a word with the blanks before it) that no piece crosses. The distinct units
-are a table: their substrings of bounded length are exploded and joined to the piece table, the
+Texts fall into words (with the blanks before them) and these into units, cut where two neighbouring
+characters stand together in no piece, so that no merge can cross. The distinct units are a table: their substrings of bounded length are exploded and joined to the piece table, the
 matching edges are grouped by unit, and a fold over them gives the unit's ids. The model is of the
 BPE kind, whose result is not the best-scoring path, so the fold takes the best-ranked edge that
 joins two neighbouring symbols, again and again, which gives the library's ids.
@@ -15,6 +15,7 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,10 +26,10 @@ from trialspark.llm.common import documents, query, text_of
 from trialspark.llm.substrings import _write
 
 VOCABULARY = "piece_bpe_32k.model"
-UNIT = re.compile("▁*[^▁\n]+|▁+|\n")
+WORD = re.compile("▁*[^▁\n]+|▁+|\n")
 LATTICE = 60  # letters of the longest unit whose state fits into the bits of a long
-COMMON_UNITS = 1 << 20  # most frequent units, broadcast; all others are joined
-BUCKET_BYTES = 24 << 20  # text per group of documents that gets its rare units together
+COMMON_UNITS = 1 << 18  # most frequent units, broadcast; all others are joined
+BUCKET_BYTES = 8 << 20  # text per group of documents that gets its rare units together
 FLUSH = 1 << 18
 
 
@@ -51,26 +52,45 @@ def piece_table(vocabulary: str) -> tuple[list[tuple[str, int, int]], int, int]:
     return [(model.id_to_piece(i), i, ranks[model.get_score(i)]) for i in plain], zero, model.unk_id()
 
 
-def units_of(text: str) -> list[str]:
-    """Units of a text, with the mark for blanks and the one that the model puts in front."""
-    return UNIT.findall("▁" + text.replace(" ", "▁")) if text else []
+def words_of(text: str) -> list[str]:
+    """Words of a text, with the mark for blanks and the one that the model puts in front."""
+    return WORD.findall("▁" + text.replace(" ", "▁")) if text else []
 
 
-def unit_counts(rows: DataFrame) -> DataFrame:
+@lru_cache(maxsize=4)
+def _neighbours(vocabulary: str) -> frozenset[str]:
+    """Pairs of characters that stand together in some piece."""
+    return frozenset(p[i : i + 2] for p, _, _ in piece_table(vocabulary)[0] for i in range(len(p) - 1))
+
+
+def units_of(word: str, vocabulary: str = VOCABULARY) -> list[str]:
+    """A word cut wherever its neighbouring characters stand together in no piece."""
+    pairs, out, start = _neighbours(vocabulary), [], 0
+    for i in range(1, len(word)):
+        if word[i - 1 : i + 1] not in pairs:
+            out.append(word[start:i])
+            start = i
+    return [*out, word[start:]]
+
+
+def unit_counts(rows: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """``unit, n`` over all texts; a task adds up before it hands over."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
+        words: Counter = Counter()
 
         def flush() -> pa.RecordBatch:
-            out = pa.record_batch([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["unit", "n"])
-            found.clear()
-            return out
+            found: Counter = Counter()
+            for word, n in words.items():
+                for unit in units_of(word, vocabulary):
+                    found[unit] += n
+            words.clear()
+            return pa.record_batch([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["unit", "n"])
 
         for batch in batches:
             for text in batch.column(0):
-                found.update(units_of(text.as_py()))
-                if len(found) > FLUSH:
+                words.update(words_of(text.as_py()))
+                if len(words) > FLUSH:
                     yield flush()
         yield flush()
 
@@ -219,60 +239,80 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = COMMON_UN
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", text_of().alias("text"))
-    counts = _write(unit_counts(rows), "units")
+    counts = _write(unit_counts(rows, vocabulary), "units")
     dictionary = _write(encode_units(counts.select("unit"), vocabulary), "codes")
     least = common_from(counts, limit)
     common = counts.filter(F.col("n") >= least).join(dictionary, "unit").select("unit", "ids").toArrow()
-    shared = spark.sparkContext.broadcast((common.column("unit").to_pylist(), common.column("ids").to_pylist()))
+    shared = spark.sparkContext.broadcast((common.column("unit").to_pylist(), _code_bytes(common.column("ids"))))
     total = rows.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
     buckets = max(1, -(-total // bucket_bytes))
     bucket = F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int")
-    rare = _rare_units(rows.select(bucket.alias("bucket"), "text"), shared).distinct()
+    rare = _rare_units(rows.select(bucket.alias("bucket"), "text"), shared, vocabulary).distinct()
     coded = rare.join(dictionary.hint("merge"), "unit").select("bucket", "unit", "ids")
     packed = _packed_texts(rows.select(bucket.alias("bucket"), "doc_id", "text"))
 
     def assemble(texts: pa.Table, units: pa.Table) -> pa.Table:
         unpack = zstandard.ZstdDecompressor()
-        ids_of = _Codes(shared).extended(units.column("unit").to_pylist(), units.column("ids").to_pylist())
+        common = _common(shared)
+        rare = dict(zip(units.column("unit").to_pylist(), _code_bytes(units.column("ids")), strict=True))
+        code = _WordCodes(common, rare, vocabulary).__getitem__
         sizes, out = [], []
         for body in texts.column("body"):
             raw = unpack.decompress(body.as_py())
             sizes.append(len(raw))
-            out.append([i for u in units_of(raw.decode()) for i in ids_of[u]])
-        return pa.table([texts.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "n_bytes", "ids"])
+            out.append(b"".join(map(code, words_of(raw.decode()))))
+        ends = np.cumsum([0, *(len(o) // 4 for o in out)], dtype=np.int32)
+        ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(out), np.int32)))
+        return pa.table([texts.column("doc_id"), pa.array(sizes, pa.int64()), ids], names=["doc_id", "n_bytes", "ids"])
 
     return packed.groupBy("bucket").cogroup(coded.groupBy("bucket")).applyInArrow(assemble, "doc_id long, n_bytes long, ids array<int>")
 
 
-class _Codes:
-    """The broadcast units of a worker process, made into one dictionary once."""
+def _code_bytes(ids: pa.ChunkedArray) -> list[bytes]:
+    """The ids of each row as packed 32-bit numbers, which take a fraction of a list's memory."""
+    out: list[bytes] = []
+    for chunk in ids.chunks:
+        ends, raw = chunk.offsets.to_pylist(), chunk.values.to_numpy().astype(np.int32).tobytes()
+        out += [raw[4 * s : 4 * e] for s, e in zip(ends[:-1], ends[1:], strict=True)]
+    return out
+
+
+_held: dict[int, dict[str, bytes]] = {}
+
+
+def _common(shared) -> dict[str, bytes]:
+    """The broadcast units as a dictionary, made once in a worker process."""
+    key = id(shared.value)
+    if key not in _held:
+        _held.clear()
+        _held[key] = dict(zip(*shared.value, strict=True))
+    return _held[key]
 
-    held: dict = {}
 
-    def __init__(self, shared):
-        key = id(shared.value)  # one object per worker process
-        if key not in _Codes.held:
-            _Codes.held.clear()
-            _Codes.held[key] = dict(zip(*shared.value, strict=True))
-        self.common = _Codes.held[key]
-        self.rare: dict = {}
+class _WordCodes(dict):
+    """Packed ids of words, put together from those of their units as words appear."""
 
-    def extended(self, units: list[str], ids: list[list[int]]) -> "_Codes":
-        self.rare = dict(zip(units, ids, strict=True))
-        return self
+    def __init__(self, common: dict[str, bytes], rare: dict[str, bytes], vocabulary: str):
+        self.common, self.rare, self.vocabulary = common, rare, vocabulary
 
-    def __getitem__(self, unit: str) -> list[int]:
-        got = self.common.get(unit)
-        return self.rare[unit] if got is None else got
+    def __missing__(self, word: str) -> bytes:
+        if len(self) > FLUSH:
+            self.clear()
+        parts = [self.common.get(u) or self.rare[u] for u in units_of(word, self.vocabulary)]
+        found = self[word] = b"".join(parts)
+        return found
 
 
-def _rare_units(rows: DataFrame, shared) -> DataFrame:
+def _rare_units(rows: DataFrame, shared, vocabulary: str) -> DataFrame:
     """``bucket, unit`` for units outside the broadcast ones, once per batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = _Codes(shared).common
+        common = _common(shared)
         for batch in batches:
-            found = {(b, u) for b, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for u in set(units_of(t.as_py())) if u not in common}
+            words: dict[int, set[str]] = {}
+            for b, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                words.setdefault(b, set()).update(words_of(text.as_py()))
+            found = {(b, u) for b, some in words.items() for w in some if w not in common for u in units_of(w, vocabulary) if u not in common}
             cols = [list(c) for c in zip(*found, strict=True)] or [[], []]
             yield pa.record_batch([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.string())], names=["bucket", "unit"])
 
