@@ -24,7 +24,7 @@ from trialspark.shared import scratch_path
 
 LENGTH = 200
 GRAM = 24
-HOT = 4096  # anchors that occur more often are settled window by window, without a group
+HOT = 1 << 16  # anchors that occur more often are settled window by window, without a group
 SEGMENT = 1 << 22
 BLOCK = 1 << 16  # bytes sorted at a time, more only for a larger bucket
 FLUSH = 1 << 24
