@@ -31,6 +31,7 @@ LATTICE = 60  # letters of the longest unit whose state fits into the bits of a
 COMMON_UNITS = 1 << 18  # most frequent units, broadcast; all others are joined
 BUCKET_BYTES = 8 << 20  # text per group of documents that gets its rare units together
 FLUSH = 1 << 18
+SLICE = 512
 
 
 @lru_cache(maxsize=4)
@@ -53,8 +54,21 @@ def piece_table(vocabulary: str) -> tuple[list[tuple[str, int, int]], int, int]:
 
 
 def words_of(text: str) -> list[str]:
-    """Words of a text, with the mark for blanks and the one that the model puts in front."""
-    return WORD.findall("▁" + text.replace(" ", "▁")) if text else []
+    """Words of a text without the mark that stands before each, for a blank or for the text's start.
+
+    A word may hold line feeds, and marks in front where several blanks stood.
+    """
+    words = text.split(" ") if text else []
+    if "" not in words:
+        return words
+    out, blanks = [], 0
+    for word in words[:-1]:
+        if word:
+            out.append("▁" * blanks + word)
+            blanks = 0
+        else:
+            blanks += 1
+    return [*out, "▁" * blanks + words[-1]]
 
 
 @lru_cache(maxsize=4)
@@ -64,13 +78,16 @@ def _neighbours(vocabulary: str) -> frozenset[str]:
 
 
 def units_of(word: str, vocabulary: str = VOCABULARY) -> list[str]:
-    """A word cut wherever its neighbouring characters stand together in no piece."""
-    pairs, out, start = _neighbours(vocabulary), [], 0
-    for i in range(1, len(word)):
-        if word[i - 1 : i + 1] not in pairs:
-            out.append(word[start:i])
-            start = i
-    return [*out, word[start:]]
+    """A word with its mark, cut wherever neighbouring characters stand together in no piece."""
+    pairs, out = _neighbours(vocabulary), []
+    for part in WORD.findall("▁" + word):
+        start = 0
+        for i in range(1, len(part)):
+            if part[i - 1 : i + 1] not in pairs:
+                out.append(part[start:i])
+                start = i
+        out.append(part[start:])
+    return out
 
 
 def unit_counts(rows: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -98,9 +115,9 @@ def unit_counts(rows: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
 
 def lattice(units: DataFrame, table: list[tuple[str, int, int]]) -> DataFrame:
-    """Per unit its edges, best rank first and leftmost first: ``rank, s, e, id`` and two bit masks.
+    """Per unit its edges, best rank first and leftmost first: ``s, e, id`` and two bit masks.
 
-    ``ends`` has the bits of both ends and ``inside`` those of the places between them. The piece
+    Edges are grouped as one number each (rank, start, size, id), which sorts them too. ``ends`` has the bits of both ends and ``inside`` those of the places between them. The piece
     table has a fixed size and is broadcast; edges stay in the partition of their unit.
     """
     spark = units.sparkSession
@@ -115,11 +132,16 @@ def lattice(units: DataFrame, table: list[tuple[str, int, int]]) -> DataFrame:
     )
     cut = units.select("unit", F.explode(spans).alias("at")).select("unit", F.col("at.s").alias("s"), F.col("at.size").alias("size"))
     found = cut.withColumn("piece", F.substring("unit", F.col("s") + 1, F.col("size"))).join(pieces, "piece")
-    one = F.lit(1).cast("long")
-    e = F.col("s") + F.col("size")
-    bit = lambda at: F.call_function("shiftleft", one, at)
-    edge = F.struct("rank", "s", e.alias("e"), "id", (bit(F.col("s")) + bit(e)).alias("ends"), (bit(e) - bit(F.col("s") + 1)).alias("inside"))
-    return found.groupBy("unit").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    packed = F.call_function("shiftleft", F.col("rank").cast("long"), F.lit(32)) + F.col("s") * (1 << 24) + F.col("size") * (1 << 16) + F.col("id")
+    grouped = found.select("unit", packed.alias("edge")).groupBy("unit").agg(F.sort_array(F.collect_list("edge")).alias("packed"))
+    bit = lambda at: F.call_function("shiftleft", F.lit(1).cast("long"), at)
+
+    def spread(x: Column) -> Column:
+        s = F.call_function("shiftright", x, F.lit(24)).bitwiseAND(F.lit(255)).cast("int")
+        e = s + F.call_function("shiftright", x, F.lit(16)).bitwiseAND(F.lit(255)).cast("int")
+        return F.struct(s.alias("s"), e.alias("e"), x.bitwiseAND(F.lit(65535)).cast("int").alias("id"), (bit(s) + bit(e)).alias("ends"), (bit(e) - bit(s + 1)).alias("inside"))
+
+    return grouped.select("unit", F.transform("packed", spread).alias("edges"))
 
 
 def _let(value: Column, body) -> Column:
@@ -147,7 +169,7 @@ def encode_units(units: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     placed = short.select("unit").repartition("unit")
     edges = placed.join(lattice(placed, table).hint("merge"), "unit", "left")
     n = F.length("unit")
-    known = edges.withColumn("edges", F.coalesce("edges", F.array().cast("array<struct<rank:int,s:int,e:int,id:int,ends:bigint,inside:bigint>>")))
+    known = edges.withColumn("edges", F.coalesce("edges", F.array().cast("array<struct<s:int,e:int,id:int,ends:bigint,inside:bigint>>")))
     def stops_of(places: Column) -> Column:
         return F.filter(F.sequence(F.lit(0), n), lambda i: places.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i)) != 0)
 
@@ -304,17 +326,24 @@ class _WordCodes(dict):
 
 
 def _rare_units(rows: DataFrame, shared, vocabulary: str) -> DataFrame:
-    """``bucket, unit`` for units outside the broadcast ones, once per batch."""
+    """``bucket, unit`` for units outside the broadcast ones, once per slice of a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = _common(shared)
+
+        @lru_cache(maxsize=FLUSH // 2)
+        def units(word: str) -> tuple[str, ...]:
+            return tuple(u for u in units_of(word, vocabulary) if u not in common)
+
         for batch in batches:
-            words: dict[int, set[str]] = {}
-            for b, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words.setdefault(b, set()).update(words_of(text.as_py()))
-            found = {(b, u) for b, some in words.items() for w in some if w not in common for u in units_of(w, vocabulary) if u not in common}
-            cols = [list(c) for c in zip(*found, strict=True)] or [[], []]
-            yield pa.record_batch([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.string())], names=["bucket", "unit"])
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                words: dict[int, set[str]] = {}
+                for b, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                    words.setdefault(b, set()).update(words_of(text.as_py()))
+                found = {(b, u) for b, some in words.items() for w in some for u in units(w)}
+                cols = [list(c) for c in zip(*found, strict=True)] or [[], []]
+                yield pa.record_batch([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.string())], names=["bucket", "unit"])
 
     return rows.mapInArrow(run, "bucket int, unit string")
 
