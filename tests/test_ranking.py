@@ -146,3 +146,43 @@ def test_pair_summary(df, data, split):
     for env, rows in by_env(data).items():
         gap = sum(abs(x[1] - y[1]) for x, y in itertools.combinations(rows, 2))
         assert got[env]["n_pairs"] == math.comb(len(rows), 2) and got[env]["gap_sum"] == pytest.approx(gap)
+
+
+def rows_with_gaps(seed=8, n=40):
+    """NULL and NaN groups, actuals and predictions among ties."""
+    g = np.random.default_rng(seed)
+    values = [None, math.nan, 0.0, 0.5, 1.0, 2.0]
+    envs = ["a", "b", None, "c"]
+    return [(envs[g.integers(4)], f"k{i:04d}", values[g.integers(6)], values[g.integers(6)]) for i in range(n)]
+
+
+def same(rows):
+    return sorted(str(tuple(round(v, 9) if isinstance(v, float) else v for v in r)) for r in rows)
+
+
+@pytest.mark.parametrize(
+    "operator",
+    [
+        lambda df, s: O.average_ranks(df, ["env"], "actual", "r", s),
+        lambda df, s: O.dense_ranks(df, ["env"], "actual", "r", s),
+        lambda df, s: O.running_sums(df, ["env"], [F.col("row_key")], {"t": F.when(F.col("actual") < 9, F.col("actual"))}, s),
+        lambda df, s: R.env_spearman(df, split_rows=s),
+        lambda df, s: R.spearman(df, split_rows=s),
+        lambda df, s: R.spearman(df, by=["env"], split_rows=s),
+        lambda df, s: R.ktau(df, split_rows=s),
+        lambda df, s: R.tau_b(df, ["env"], split_rows=s),
+        lambda df, s: R.rank_hinge(df, split_rows=s),
+        lambda df, s: R.rank_consistency(df, "env", split_rows=s),
+    ],
+)
+def test_gaps_give_the_same_rows_on_both_paths(spark, operator):
+    df = spark.createDataFrame(rows_with_gaps(), "env string, row_key string, actual double, pred double").repartition(4)
+    window, split = operator(df, 10**6).collect(), operator(df, 1).collect()
+    assert same(window) == same(split) and len(window) > 0
+
+
+def test_null_group_keeps_its_ranks(spark):
+    df = spark.createDataFrame([(None, "x", 1.0, 2.0), (None, "y", 2.0, 1.0), ("a", "z", None, 1.0), ("a", "w", 3.0, 2.0)], "env string, row_key string, actual double, pred double")
+    for s in (10**6, 1):
+        got = {r["env"]: r["tau_b"] for r in R.tau_b(df, ["env"], split_rows=s).collect()}
+        assert got == {None: -1.0, "a": 1.0}

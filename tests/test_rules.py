@@ -79,11 +79,14 @@ def test_macro_pcc_of_nothing_is_null(spark):
 
 
 def test_positive_scale_and_shift_keep_macro_pcc(spark):
-    rank, target, env = [0, 1, 2, 2, 1, 0], [0.1, 1.1, 2.1, 2.2, 1.2, 0.2], [0, 0, 0, 1, 1, 1]
-    scale, shift = [2, 2, 2, 0.5, 0.5, 0.5], [-3, -3, -3, 4, 4, 4]
-    a = scored(spark, [(str(e), t, float(r)) for r, t, e in zip(rank, target, env)])
-    b = scored(spark, [(str(e), t, float(s * r + c)) for r, t, e, s, c in zip(rank, target, env, scale, shift)])
-    assert one(M.macro_env_pcc(a))[1] == pytest.approx(one(M.macro_env_pcc(b))[1])
+    # three environments of different sizes, each with a line of its own
+    lines = {"wet": (0.25, 11.0), "dry": (7.0, 0.0), "late": (1.0, -40.0)}
+    rows = [(e, float((3 * i + len(e)) % 7), float((5 * i) % 6) / 3) for e, n in (("wet", 5), ("dry", 8), ("late", 11)) for i in range(n)]
+    moved = [(e, t, lines[e][0] * p + lines[e][1]) for e, t, p in rows]
+    a, b = (M.macro_env_pcc(scored(spark, r)).first() for r in (rows, moved))
+    assert a["macro_pcc"] == pytest.approx(b["macro_pcc"]) and abs(a["macro_pcc"]) < 1
+    flipped = [(e, t, -p) for e, t, p in rows]
+    assert M.macro_env_pcc(scored(spark, flipped)).first()["macro_pcc"] == pytest.approx(-a["macro_pcc"])
 
 
 def test_env_affine_keeps_order_inside_environments(spark):
@@ -149,6 +152,16 @@ def test_invalid_markers_become_zero(spark):
     assert all(v[0] == 0 and v[1] == 0 for v in z) and z[0][2] == pytest.approx(-z[1][2])
 
 
+def test_large_vocabularies_join_by_id(spark):
+    train = spark.range(5000).select(F.concat(F.lit("v"), F.col("id").cast("string")).alias("soil"), (F.col("id") % 3).cast("string").alias("water"))
+    vocab = T.fit_onehot(train, ["soil", "water"])
+    rows = spark.createDataFrame([(1, "v7", "2"), (2, "v4999", "none such"), (3, None, "0")], "k int, soil string, water string")
+    got = {r["k"]: r["onehot"] for r in T.onehot_ids(rows, vocab, ["soil", "water"]).collect()}
+    ids = {(r["column"], r["value"]): i for i, r in enumerate(vocab.orderBy("column", "value").collect())}
+    assert len(ids) == 5003
+    assert got == {1: [ids["soil", "v7"], ids["water", "2"]], 2: [ids["soil", "v4999"]], 3: [ids["water", "0"]]}
+
+
 def test_parent_vocab_numbering(spark):
     full = spark.createDataFrame([("B", "A")], "parent1 string, parent2 string")
     gap = spark.createDataFrame([("B", "A"), ("C", "")], "parent1 string, parent2 string")
@@ -191,52 +204,50 @@ def test_effect_rules(spark):
 
 # -- splits ------------------------------------------------------------------------------
 
-def lygo_population(spark):
-    rows = []
-    for y in range(2019, 2023):
-        for loc in ("LOCA", "LOCB"):
-            for h in range(6):
-                for t in ("PHP02", "LH287"):
-                    rows.append((f"{loc}_{y}-OLD{h}/{t}", f"{loc}_{y}"))
-    for loc in ("LOCA", "LOCB"):
-        for h in range(5):
-            rows.append((f"{loc}_2023-NEW{h}/PHP02", f"{loc}_2023"))
-    rows += [("LOCA_2023-OLD0/PHP02", "LOCA_2023"), ("LOCA_2023-NEW1/FOO", "LOCA_2023")]
-    return X.ensure_meta(spark.createDataFrame(rows, "id string, env string"))
-
-
-def test_lygo_population(spark):
-    df = lygo_population(spark)
-    s = D.split_lygo(df, 2023, ["PHP02", "LH287"])
-    assert s.filter("split = 'val'").count() == 10 and s.filter("split = 'train'").count() == 96
-    left = s.filter("split is null").select("id").collect()
-    assert {r[0] for r in left} == {"LOCA_2023-OLD0/PHP02", "LOCA_2023-NEW1/FOO"}
-    info = D.lygo_diagnostics(df, 2023, ["PHP02", "LH287"], test_tester_names=["LH287", "PHP02"]).first()
-    assert (info["n_val_rows"], info["n_val_envs"], info["overlap_parents"], info["testers_missing"]) == (10, 2, 0, "LH287")
+def held_out_year(spark):
+    """Crosses of three seasons; the last one has new and known parents with wanted and other testers."""
+    known = [f"K{i}" for i in range(4)]
+    crosses = [(y, f"site{j}", p, t) for y in (2010, 2011) for j in range(3) for p in known for t in ("TA", "TB", "TC")]
+    fresh = [(2012, "site0", f"F{i}", "TA") for i in range(6)] + [(2012, "site2", f"F{i}", "TB") for i in range(7)]
+    kept_out = [(2012, "site0", "K1", "TA"), (2012, "site2", "F0", "TC"), (2012, "site2", "K3", "TC")]
+    rows = [(f"{s}_{y}-{p}/{t}", f"{s}_{y}") for y, s, p, t in crosses + fresh + kept_out]
+    return X.ensure_meta(spark.createDataFrame(rows, "id string, env string")), len(crosses), len(fresh), {f"{s}_{y}-{p}/{t}" for y, s, p, t in kept_out}
+
+
+def test_held_out_year(spark):
+    df, n_train, n_val, outside = held_out_year(spark)
+    s = D.split_lygo(df, 2012, ["TA", "TB"])
+    sizes = {r["split"]: r["count"] for r in s.groupBy("split").count().collect()}
+    assert sizes == {"train": n_train, "val": n_val, None: len(outside)}
+    assert {r["id"] for r in s.filter("split is null").collect()} == outside
+    info = D.lygo_diagnostics(df, 2012, ["TA", "TB"], test_tester_names=["TB", "TA", "TD"]).first()
+    assert (info["n_val_rows"], info["n_val_envs"], info["overlap_parents"], info["testers_missing"]) == (n_val, 2, 0, "TD")
     assert info["warnings"] == "few_rows,few_envs"
     with pytest.raises(TrialError):
-        D.split_lygo(df, 2023, ["PHP02"], novelty="tester")
+        D.split_lygo(df, 2012, ["TA"], novelty="tester")
+
 
 
 def test_leo_has_no_environment_overlap(spark):
-    s = D.split_leo(lygo_population(spark), frac=0.3, test_year=2023)
+    df = held_out_year(spark)[0]
+    s = D.split_leo(df, frac=0.5, test_year=2012)
     assert {r["key"]: r["n_shared"] for r in D.audit_split(s, ["env"]).collect()} == {"env": 0}
-    assert s.filter("split = 'val'").select("env").distinct().count() == 2  # floor(8 * 0.3)
-    assert D.leo_val_envs(lygo_population(spark), 0.001, test_year=2023).count() == 1
+    assert s.filter("split = 'val'").select("env").distinct().count() == 3  # half of six
+    assert D.leo_val_envs(df, 0.001, test_year=2012).count() == 1
 
 
 def test_proxy_split_is_disjoint(spark):
-    df = lygo_population(spark)
-    leo = D.leo_val_envs(df, 0.3, test_year=2024)
-    s = D.split_proxy_tester(df, "PHP02", 0.4, leo_envs=leo)
+    df = held_out_year(spark)[0]
+    leo = D.leo_val_envs(df, 0.3, test_year=2013)
+    s = D.split_proxy_tester(df, "TB", 0.4, leo_envs=leo, test_year=2013)
     val = s.filter("split = 'val'")
-    assert val.join(leo, "env", "left_semi").count() == 0 and val.filter("parent2 <> 'PHP02'").count() == 0
+    assert val.join(leo, "env", "left_semi").count() == 0 and val.filter("parent2 <> 'TB'").count() == 0
     assert s.filter("split = 'excluded'").count() > 0
     held = val.select("parent1").distinct()
-    assert s.filter("split = 'train' and parent2 = 'PHP02'").join(held, "parent1", "left_semi").count() == 0
+    assert s.filter("split = 'train' and parent2 = 'TB'").join(held, "parent1", "left_semi").count() == 0
     for frac in (0.0, 1.0):
         with pytest.raises(TrialError):
-            D.split_proxy_tester(df, "PHP02", frac)
+            D.split_proxy_tester(df, "TB", frac)
     with pytest.raises(TrialError, match="no rows"):
         D.split_proxy_tester(df, "NOBODY")
 

@@ -53,14 +53,14 @@ def _(spark, sf):
 
 
 @query("a3_location_coverage", "A3", WITH_TT + """select location, count(distinct y) as n_years, coalesce(string_agg(distinct cast(y as varchar), ',' order by cast(y as varchar)), '') as years
-from (select distinct location from te) left join (select location as l, year as y from tr where location not like '%3') on location = l group by location""")
+from (select distinct location from te) left join (select case when location like '%3' then concat(location, '_OLD') else location end as l, year as y from tr) on location = l group by location""")
 def _(spark, sf):
     tr, te = tt(spark, sf)
-    return P.location_coverage(tr.filter(~F.col("location").endswith("3")), te)
+    return P.location_coverage(tr.withColumn("location", F.when(F.col("location").endswith("3"), F.concat("location", F.lit("_OLD"))).otherwise(F.col("location"))), te)
 
 
 NOV = """select m.year, count(distinct {k}) as n_keys, count(distinct case when fy = m.year then {k} end) as n_novel, count(case when fy = m.year then 1 end) as novel_rows,
-{p} as novelty_pct from meta m join (select {k}, min(year) as fy from meta group by {k}) using ({k}) group by m.year"""
+{p} as novelty_pct from meta m join (select {k}, min(year) as fy from meta group by {k}) using ({k}) where m.year > (select min(year) from meta) group by m.year"""
 
 
 @query("a4_novelty_by_year", "A4", WITH_META + NOV.format(k="hybrid", p=q6("100.0*count(distinct case when fy = m.year then hybrid end)/count(distinct hybrid)")))
@@ -68,11 +68,11 @@ def _(spark, sf):
     return rounded(P.novelty_by_year(FX.meta_trials(spark, sf)))
 
 
-@query("a5_turnover", "A5", WITH_META + f""", d as (select distinct year, hybrid from meta where year <> 1998), y as (select year, lag(year) over (order by year) as prev_year from (select distinct year from d))
+@query("a5_turnover", "A5", WITH_META + f""", d as (select distinct year, hybrid from meta), y as (select year, lag(year) over (order by year) as prev_year from (select distinct year from d))
 select prev_year, y.year, (select count(*) from d where d.year = prev_year) as n_prev, count(*) as n, count(p.hybrid) as n_shared, {q6('100.0*count(p.hybrid)/count(*)')} as pct_shared
 from y join d on d.year = y.year left join d p on p.year = prev_year and p.hybrid = d.hybrid where prev_year is not null group by prev_year, y.year""")
 def _(spark, sf):
-    return rounded(P.turnover(FX.meta_trials(spark, sf).filter("year <> 1998")))
+    return rounded(P.turnover(FX.meta_trials(spark, sf)))
 
 
 @query("a6_overlap_by_year", "A6", WITH_TT + f"""select year, count(*) as n_rows, count(distinct hybrid) as n_hybrids, count(distinct location) as n_locations, count(distinct case when hybrid in (select hybrid from te) then hybrid end) as hybrid_overlap,
@@ -116,7 +116,7 @@ PFIRST = ", pf as (select p, min(year) as py from (select parent1 as p, year fro
 
 @query("a12_novelty_trajectory", "A12", WITH_META + FIRST + PFIRST + f""", r as (select m.*, fy = m.year as nov, coalesce(a.py < m.year, false) as k1, coalesce(b.py < m.year, false) as k2 from meta m join fh using (hybrid) left join pf a on a.p = parent1 left join pf b on b.p = parent2)
 select year, count(distinct hybrid) as n_hybrids, {q6('100.0*count(distinct case when nov then hybrid end)/count(distinct hybrid)')} as novelty_pct, {q6('coalesce(100.0*avg(case when nov then k1::int end), 0)')} as pct_known_p1,
-{q6('coalesce(100.0*avg(case when nov then (k1 and k2)::int end), 0)')} as pct_both_known, count(distinct env) as n_envs from r group by year""")
+{q6('coalesce(100.0*avg(case when nov then (k1 and k2)::int end), 0)')} as pct_both_known, count(distinct env) as n_envs from r where year > (select min(year) from meta) group by year""")
 def _(spark, sf):
     return rounded(P.novelty_trajectory(FX.meta_trials(spark, sf)))
 
@@ -145,19 +145,20 @@ def _(spark, sf):
 @query("a15_half_sib_rate", "A15", WITH_META + FIRST + PFIRST + f""", hy as (select distinct hybrid, parent1, parent2, fy as year from meta join fh using (hybrid)),
 r as (select year, count(*) as n_novel, {q6('100.0*avg((coalesce(a.py < year, false) or coalesce(b.py < year, false))::int)')} as half_sib_pct from hy left join pf a on a.p = parent1 left join pf b on b.p = parent2 group by year),
 s as (select m.year, {q6('avg(yield_mg)')} as yield_mean, {q6('stddev_samp(yield_mg)')} as yield_std from meta m join fh using (hybrid) where fy = m.year group by m.year),
-tl as (select distinct location from meta where year = 2001 and location not like '%7')
-select l.year, n_novel, half_sib_pct, yield_mean, yield_std, n_locations, shared_locations from
+tl as (select distinct case when location like '%7' then concat(location, '_NEW') else location end as location from meta where year = 2001)
+select l.year, n_novel, half_sib_pct, yield_mean, yield_std, n_locations, shared_locations, (select count(*) from tl) as test_locations from
 (select year, count(distinct location) as n_locations, count(distinct case when location in (select location from tl) then location end) as shared_locations from meta where year in (1996, 1998, 2000, 2001) group by year) l join r using (year) join s using (year)""")
 def _(spark, sf):
     t = FX.meta_trials(spark, sf)
-    return rounded(P.half_sib_rate(t, [1996, 1998, 2000, 2001], t.filter("year = 2001 and location not like '%7'")))
+    test = t.filter("year = 2001").withColumn("location", F.when(F.col("location").endswith("7"), F.concat("location", F.lit("_NEW"))).otherwise(F.col("location")))
+    return rounded(P.half_sib_rate(t, [1996, 1998, 2000, 2001], test))
 
 
-@query("a16_tester_support", "A16", WITH_TT + """, tx as (select * from tr where parent2 <> 'T3'), nv as (select parent2, count(distinct hybrid) as n_novel from te where hybrid not in (select hybrid from tx) and parent2 <> '' group by parent2)
+@query("a16_tester_support", "A16", WITH_TT + """, tx as (select * replace (case when parent2 = 'T3' then 'T9' else parent2 end as parent2) from tr), nv as (select parent2, count(distinct hybrid) as n_novel from te where hybrid not in (select hybrid from tx) and parent2 <> '' group by parent2)
 select nv.parent2 as tester, n_novel, count(distinct hybrid) as n_train_hybrids, count(hybrid) as n_rows, count(distinct year) as n_years, count(distinct env) as n_envs from nv left join tx using (parent2) group by all""")
 def _(spark, sf):
     tr, te = tt(spark, sf)
-    return P.tester_support(tr.filter("parent2 <> 'T3'"), te)
+    return P.tester_support(tr.withColumn("parent2", F.when(F.col("parent2") == "T3", "T9").otherwise(F.col("parent2"))), te)
 
 
 @query("a17_difficulty_profile", "A17", WITH_META + SIBS + f""", nv as (select m.* from meta m join fh using (hybrid) where fy = 1999 and year = 1999), p as ({PROFILE} where year = 1999 group by year)
@@ -228,7 +229,7 @@ def _(spark, sf):
 
 
 @query("a22_fold_similarity", "A22", SQL_HM.rstrip() + f""", hy as (select distinct hybrid, parent1, parent2, fy as year from meta join fh using (hybrid)), tgt as (select * from hy where year = 2001),
-nn as (select year, count(*) as n_novel from hy where year < 2001 group by year having count(*) >= 5), na as (select year, count(distinct hybrid) as n_all from meta group by year),
+nn as (select year, count(*) as n_novel from hy where year < 2001 and year > (select min(year) from meta) group by year having count(*) >= 5), na as (select year, count(distinct hybrid) as n_all from meta group by year),
 ov as (select year, count(distinct case when parent2 in (select parent2 from tgt) then parent2 end) as tester_overlap, count(distinct case when parent1 in (select parent1 from tgt) then parent1 end) as p1_overlap from hy group by year),
 f2 as (select year, marker, sum(x*n)/sum(n) as f from (select year, vec_id, count(*) as n from hm where fy = year group by all) join lm using (vec_id) group by all),
 af as (select a.year, count(*) as m, count(case when abs(a.f-r.f) > 0.1::double then 1 end) as n_shift, regr_sxy(r.f,a.f)/(sqrt(regr_sxx(r.f,a.f))*sqrt(regr_syy(r.f,a.f))) as af_pcc from f2 a join f2 r on r.year = 2001 and r.marker = a.marker where a.year < 2001 group by a.year)

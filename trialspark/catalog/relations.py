@@ -44,33 +44,40 @@ def _(spark, sf):
     return R.null_profile(li)
 
 
-@query("j1_attach_target", "J1", WITH_META + """, y as (select row_key, min(yield_mg) as y from trials where l_discount > 0.02::double group by row_key)
+@query("j1_attach_target", "J1", WITH_META + """, y as (select case when l_discount > 0.02::double then row_key else concat(row_key, '?') end as row_key, min(yield_mg) as y from trials group by 1)
 select 'inner' as how, count(*) as n, round(sum(y), 6) as total from meta join y using (row_key)
 union all select 'left', count(*), round(sum(y), 6) from meta left join y using (row_key)""")
 def _(spark, sf):
     t = FX.trials(spark, sf)
-    y = t.filter("l_discount > 0.02").groupBy("row_key").agg(F.min("yield_mg").alias("y"))
+    renamed = F.when(F.col("l_discount") > 0.02, F.col("row_key")).otherwise(F.concat("row_key", F.lit("?")))
+    y = t.groupBy(renamed.alias("row_key")).agg(F.min("yield_mg").alias("y"))
     x = t.drop("yield_mg")
     out = [R.attach_target(x, y, how, "row_key").agg(F.lit(how).alias("how"), F.count(F.lit(1)).alias("n"), F.round(F.sum("y"), 6).alias("total")) for how in ("inner", "left")]
     return R.union_results(out)
 
 
-@query("j2_align_pairs", "J2", WITH_META + """, x as (select env, hybrid, count(*) as c from trials where l_discount > 0.01::double group by all),
-y as (select env, hybrid, count(*) as c from trials where l_tax > 0.01::double group by all),
+def two_sides(t):
+    """The trials twice, with some hybrids named so that they are on one side only."""
+    named = lambda c, tag: t.withColumn("hybrid", F.when(F.col(c) > 0.01, F.col("hybrid")).otherwise(F.concat("hybrid", F.lit(tag))))
+    return named("l_discount", "x"), named("l_tax", "y")
+
+
+@query("j2_align_pairs", "J2", WITH_META + """, x as (select env, case when l_discount > 0.01::double then hybrid else concat(hybrid, 'x') end as hybrid, count(*) as c from trials group by all),
+y as (select env, case when l_tax > 0.01::double then hybrid else concat(hybrid, 'y') end as hybrid, count(*) as c from trials group by all),
 f as (select case when y.c is null then 'only_x' when x.c is null then 'only_y' when x.c <> y.c then 'row_count_differs' else 'aligned' end as status,
  coalesce(x.c, 0) as cx, coalesce(y.c, 0) as cy from x full join y on x.env = y.env and x.hybrid = y.hybrid)
 select status, count(*) as n_keys, cast(sum(cx) as bigint) as rows_x, cast(sum(cy) as bigint) as rows_y from f group by status""")
 def _(spark, sf):
     t = FX.trials(spark, sf)
-    return R.align_pairs(t.filter("l_discount > 0.01"), t.filter("l_tax > 0.01"))[2]
+    return R.align_pairs(*two_sides(t))[2]
 
 
-@query("j2_aligned_rows", "J2", WITH_META + """, x as (select * from trials where l_discount > 0.01::double), y as (select * from trials where l_tax > 0.01::double)
+@query("j2_aligned_rows", "J2", WITH_META + """, x as (select * replace (case when l_discount > 0.01::double then hybrid else concat(hybrid, 'x') end as hybrid) from trials), y as (select * replace (case when l_tax > 0.01::double then hybrid else concat(hybrid, 'y') end as hybrid) from trials)
 select 'x' as side, count(*) as n from x where (env, hybrid) in (select (env, hybrid) from y) union all
 select 'y', count(*) from y where (env, hybrid) in (select (env, hybrid) from x)""")
 def _(spark, sf):
     t = FX.trials(spark, sf)
-    x, y, _ = R.align_pairs(t.filter("l_discount > 0.01"), t.filter("l_tax > 0.01"))
+    x, y, _ = R.align_pairs(*two_sides(t))
     return R.union_results([d.agg(F.lit(s).alias("side"), F.count(F.lit(1)).alias("n")) for s, d in (("x", x), ("y", y))])
 
 
@@ -93,7 +100,8 @@ def long_predictions(df, models=None):
 from cell where not (right(id, 1) = '3' and env like '%8')""")
 def _(spark, sf):
     long = long_predictions(cells(spark, sf), ["m_a", "m_b", "m_c"])
-    long = long.filter(~((F.col("model") == "m_b") & F.col("id").endswith("3") & F.col("env").endswith("8")))
+    apart = (F.col("model") == "m_b") & F.col("id").endswith("3") & F.col("env").endswith("8")
+    long = long.withColumn("id", F.when(apart, F.concat("id", F.lit("?"))).otherwise(F.col("id")))
     return rounded(SP.merge_predictions(long), 9)
 
 

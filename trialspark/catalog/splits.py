@@ -118,14 +118,15 @@ def _(spark, sf):
     return count_by(D.split_random(FX.meta_trials(spark, sf)), "env", "split")
 
 
-@query("d12_cross_tester_holdout", "D12", WITH_META + f""", s as (select * from meta where hash_pick), c as (select distinct parent1, parent2, hybrid from s), pp as (select parent1, count(case when parent2 = 'T1' then 1 end) as wt, count(case when parent2 <> 'T1' then 1 end) as wo from c group by parent1),
+@query("d12_cross_tester_holdout", "D12", WITH_META + f""", s as (select * replace (case when parent1 < 'P060' and parent2 <> 'T1' then concat(parent1, 'x') else parent1 end as parent1) from meta), c as (select distinct parent1, parent2, hybrid from s), pp as (select parent1, count(case when parent2 = 'T1' then 1 end) as wt, count(case when parent2 <> 'T1' then 1 end) as wo from c group by parent1),
 hd as (select * from s where parent2 = 'T1' and parent1 in (select parent1 from pp where wt = 1))
 select 'T1' as tester, cast(sum(wt) as bigint) as n_tester_hybrids, count(case when wt = 1 then 1 end) as n_single_parents, count(case when wt > 1 then 1 end) as n_multi_parents,
 count(case when wt = 1 and wo > 0 then 1 end) as n_supported, (select count(distinct hybrid) from hd) as n_holdout_hybrids, (select count(*) from hd) as n_holdout_rows, (select count(distinct env) from hd) as n_holdout_envs,
-{q6('100.0*count(case when wt = 1 and wo > 0 then 1 end)/greatest(count(case when wt = 1 then 1 end), 1)')} as pct_supported from pp""".replace("where hash_pick", "where not (parent1 < 'P060' and parent2 <> 'T1')"))
+{q6('100.0*count(case when wt = 1 and wo > 0 then 1 end)/greatest(count(case when wt = 1 then 1 end), 1)')} as pct_supported from pp""")
 def _(spark, sf):
     # some parents meet only this tester, so support is neither 0 nor 100 %
-    t = FX.meta_trials(spark, sf).filter(~((F.col("parent1") < "P060") & (F.col("parent2") != "T1")))
+    other = (F.col("parent1") < "P060") & (F.col("parent2") != "T1")
+    t = FX.meta_trials(spark, sf).withColumn("parent1", F.when(other, F.concat("parent1", F.lit("x"))).otherwise(F.col("parent1")))
     return rounded(D.cross_tester_holdout(t, "T1"))
 
 
@@ -159,7 +160,7 @@ sib as (select a.hybrid, a.fy as year, a.parent1, a.parent2, count(distinct b.hy
 tx as (select year, string_agg(case when r <= 3 then concat(parent2, '(', cast(c as varchar), ')') end, ', ' order by r) as top_testers, count(case when parent2 in ('T1','T2') then 1 end) as tester_overlap from tc group by year),
 ny as (select m.year, count(distinct hybrid) as nk, count(distinct case when fy = m.year then hybrid end) as nn, count(case when fy = m.year then 1 end) as nr from meta m join fh using (hybrid) group by m.year),
 ms as (select year, count(*) as n_novel, avg(n_half_sibs) as mean_half_sibs from sib group by year)
-select year, n_novel, {q6('100.0*nn/nk')} as novelty_pct, top_testers, tester_overlap, {q6('mean_half_sibs')} as mean_half_sibs, nr as novel_rows from ms join ny using (year) join tx using (year) where n_novel >= 5""")
+select year, n_novel, {q6('100.0*nn/nk')} as novelty_pct, top_testers, tester_overlap, {q6('mean_half_sibs')} as mean_half_sibs, nr as novel_rows from ms join ny using (year) join tx using (year) where n_novel >= 5 and year > (select min(year) from meta)""")
 def _(spark, sf):
     return rounded(D.tester_matched_years(FX.meta_trials(spark, sf), TT))
 

@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 from trialspark.functions import expressions as X
 from trialspark.operators import ordering as O
 from trialspark.schema import TrialError, require_columns
+from trialspark.shared import materialize
 
 # Fixed values that results depend on.
 CATEGORICAL_COLUMNS = ["Irrigated", "Treatment", "Previous_Crop"]
 DROP_WORDS = ["", "false", "0", "off", "none", "no", "drop", "legacy"]
 ONEHOT_WORDS = ["true", "1", "on", "yes", "onehot", "one_hot", "ohe"]
 MARKER_STD_MIN = 1e-8
-MAX_CATEGORIES = 2000
 
 
 # -- environment features ----------------------------------------------------------------
@@ -29,18 +29,31 @@ def fit_onehot(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.select(pairs.alias("p")).select("p.column", "p.value").distinct()
 
 
-def apply_onehot(df: DataFrame, vocab: DataFrame, cols: list[str], max_values: int = MAX_CATEGORIES) -> DataFrame:
+def apply_onehot(df: DataFrame, vocab: DataFrame, cols: list[str]) -> DataFrame:
     """Replace ``cols`` by 0/1 columns named ``column=value`` in vocabulary order.
 
-    The vocabulary names output columns, so it has to be known here; its size is checked.
+    The vocabulary names output columns, so this wide form has to read it here. For large
+    vocabularies use ``onehot_ids``, which joins them.
     """
-    rows = vocab.orderBy("column", "value").limit(max_values + 1).collect()
-    if len(rows) > max_values:
-        raise TrialError(f"more than {max_values} category values")
+    rows = vocab.orderBy("column", "value").collect()
     added = {f"{r['column']}={r['value']}": (X.normalize_cat(r["column"]) == r["value"]).cast("double") for r in rows if r["column"] in cols}
     return df.withColumns(added).drop(*cols)
 
 
+def onehot_ids(df: DataFrame, vocab: DataFrame, cols: list[str], out: str = "onehot") -> DataFrame:
+    """Replace ``cols`` by the sorted ids of each row's categories, a sparse one-hot vector.
+
+    Ids number the vocabulary in (column, value) order from 0; values outside it have none. Each
+    column is one join, however many values there are.
+    """
+    ids = materialize(O.positions(vocab.select("column", "value").distinct(), [], [F.col("column"), F.col("value")], "__id"))
+    for i, c in enumerate(cols):
+        one = ids.filter(F.col("column") == c).select(F.col("value").alias(f"__v{i}"), (F.col("__id") - 1).alias(f"__id{i}"))
+        df = df.join(one, X.normalize_cat(c) == F.col(f"__v{i}"), "left").drop(f"__v{i}")
+    found = F.array_sort(F.array_compact(F.array(*[F.col(f"__id{i}") for i in range(len(cols))])))
+    return df.withColumn(out, found).drop(*cols, *[f"__id{i}" for i in range(len(cols))])
+
+
 def preprocess_env(df: DataFrame, mode: str, cols: list[str] | None = None, vocab: DataFrame | None = None) -> DataFrame:
     """``drop`` removes the categorical columns, ``onehot`` encodes them; other words are an error."""
     cols = [c for c in (cols or CATEGORICAL_COLUMNS) if c in df.columns]
@@ -132,9 +145,9 @@ def apply_marker_stats(df: DataFrame, stats: DataFrame, markers: str = "markers"
 
 
 def hybrid_profiles(
-    df: DataFrame, max_hybrids: int | None = 200, key: str = "hybrid", markers: str = "markers", seed: int = 42
+    df: DataFrame, max_hybrids: int | None = None, key: str = "hybrid", markers: str = "markers", seed: int = 42
 ) -> DataFrame:
-    """Mean marker profile of hybrids, at most ``max_hybrids`` picked by hash order."""
+    """Mean marker profile of all hybrids, or of ``max_hybrids`` picked by hash order."""
     if max_hybrids is not None:
         picked = df.select(key).distinct().orderBy(X.hash_order(seed, key), key).limit(max_hybrids)
         df = df.join(picked, key, "left_semi")

@@ -3,6 +3,8 @@
 Groups whose size is known to be moderate use a plain window. When the largest group passes
 ``split_rows``, rows are range-partitioned by (group, order), written to the shared folder so
 that slice membership is fixed, summed per slice, and shifted by the totals of earlier slices.
+Both ways keep every row and give the same values: NULL is a group and a value of its own, ranked
+lowest, and NaN ranks highest.
 """
 
 from __future__ import annotations
@@ -59,7 +61,8 @@ def running_sums(
     inside = Window.partitionBy("__slice", *group).orderBy(*order).rowsBetween(start, here)
     local = ranged.withColumns({f"__l_{n}": f(f"__w_{n}").over(inside) for n, f in fold.items()})
     joined = null_safe_join(local, offsets, [*group, "__slice"])
-    total_sums = {n: F.col(f"__l_{n}") + F.coalesce(f"__o_{n}", F.lit(0)) for n in sums}
+    # like a window's sum: NULL only as long as every value so far is NULL
+    total_sums = {n: F.coalesce(F.col(f"__l_{n}") + F.col(f"__o_{n}"), f"__l_{n}", f"__o_{n}") for n in sums}
     total_max = {n: F.greatest(f"__l_{n}", f"__o_{n}") for n in maxima}
     return joined.withColumns(total_sums | total_max).select(*df.columns, *fold)
 
@@ -97,7 +100,7 @@ def dense_ranks(
     sizes = known or group_sizes(df, group)
     if sizes[0] <= split_rows:
         return df.withColumn(out, F.dense_rank().over(Window.partitionBy(*group).orderBy(value)).cast("long") - 1)
-    return df.join(dense_codes(df, group, value, out, split_rows, sizes), [*group, value])
+    return null_safe_join(df, dense_codes(df, group, value, out, split_rows, sizes), [*group, value])
 
 
 def average_ranks(
@@ -121,4 +124,4 @@ def average_ranks(
     counted = df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("__ties"))
     cum = running_sums(counted, group, [F.col(value)], {"__upto": F.col("__ties")}, split_rows, sizes)
     ranked = cum.select(*group, value, (F.col("__upto") - (F.col("__ties") - 1) / 2.0).alias(out))
-    return df.join(ranked, [*group, value])
+    return null_safe_join(df, ranked, [*group, value])

@@ -92,15 +92,25 @@ def location_coverage(train: DataFrame, test: DataFrame) -> DataFrame:
     )
 
 
-def novelty_by_year(df: DataFrame, key: str = "hybrid") -> DataFrame:
-    """Per year: keys, keys never seen in an earlier year, their rows and share."""
+def from_year(per: DataFrame, years: DataFrame, first: int | None) -> DataFrame:
+    """Rows of ``per`` from year ``first`` on; by default from the second observed year of ``years``,
+    as everything is new in a year without history."""
+    if first is not None:
+        return per.filter(F.col("year") >= first)
+    base = years.agg(F.min("year").alias("__base"))  # one row
+    return per.join(F.broadcast(base), F.col("year") > F.col("__base")).drop("__base")
+
+
+def novelty_by_year(df: DataFrame, key: str = "hybrid", first: int | None = None) -> DataFrame:
+    """Per year with history (or from ``first``): keys, keys never seen in an earlier year, their rows
+    and share."""
     cells = materialize(df.groupBy("year", key).agg(F.count(F.lit(1)).alias("n")))
     flagged = cells.join(cells.groupBy(key).agg(F.min("year").alias("first_year")), key)
     novel = F.col("first_year") == F.col("year")
     per = flagged.groupBy("year").agg(
         F.count(F.lit(1)).alias("n_keys"), F.count_if(novel).alias("n_novel"), F.coalesce(F.sum(F.when(novel, F.col("n"))), F.lit(0)).alias("novel_rows")
     )
-    return per.withColumn("novelty_pct", pct(F.col("n_novel"), F.col("n_keys")))
+    return from_year(per, cells, first).withColumn("novelty_pct", pct(F.col("n_novel"), F.col("n_keys")))
 
 
 def turnover(df: DataFrame, key: str = "hybrid") -> DataFrame:
@@ -196,8 +206,8 @@ def top_parents(train: DataFrame, test: DataFrame, k: int = 10) -> DataFrame:
     return out.orderBy("role", F.desc("n"), "parent")
 
 
-def novelty_trajectory(df: DataFrame) -> DataFrame:
-    """Per year: hybrids, novelty %, and among novel rows the share with known first / both parents."""
+def novelty_trajectory(df: DataFrame, first: int | None = None) -> DataFrame:
+    """Per year with history (or from ``first``): hybrids, novelty %, and among novel rows the share with known first / both parents."""
     cells = materialize(df.groupBy("year", "env", "hybrid", "parent1", "parent2").agg(F.count(F.lit(1)).alias("n")))
     first_h = cells.groupBy("hybrid").agg(F.min("year").alias("fh"))
     pf = parent_first_seen(cells)
@@ -219,6 +229,7 @@ def novelty_trajectory(df: DataFrame) -> DataFrame:
         F.coalesce(pct(rows(novel & k1 & k2), rows(novel)), F.lit(0.0)).alias("pct_both_known"),
         F.count_distinct("env").alias("n_envs"),
     )
+    per = from_year(per, cells, first)
     return per.select("year", "n_hybrids", pct(F.col("n_novel"), F.col("n_hybrids")).alias("novelty_pct"), "pct_known_p1", "pct_both_known", "n_envs")
 
 
@@ -294,7 +305,8 @@ def half_sib_profile(df: DataFrame, year: int | None = None) -> DataFrame:
 
 
 def half_sib_rate(df: DataFrame, years: list[int], test_locations: DataFrame, target: str = "yield_mg") -> DataFrame:
-    """Per year: share of novel hybrids with a parent seen before, their yield, locations."""
+    """Per year: share of novel hybrids with a parent seen before, their yield, locations, and how many
+    of the test locations are among them."""
     rows = df.filter(F.col("year").isin(years))
     s = half_sib_counts(df).filter(F.col("year").isin(years))
     known = parent_first_seen(df)
@@ -307,8 +319,10 @@ def half_sib_rate(df: DataFrame, years: list[int], test_locations: DataFrame, ta
     locs = rows.select("year", "location").distinct().join(tl, "location", "left").groupBy("year").agg(
         F.count(F.lit(1)).alias("n_locations"), F.count("__t").alias("shared_locations")
     )
-    return locs.join(rate, "year", "left").join(stats, "year", "left").select(
-        "year", F.coalesce("n_novel", F.lit(0)).alias("n_novel"), "half_sib_pct", "yield_mean", "yield_std", "n_locations", "shared_locations"
+    n_test = tl.agg(F.count(F.lit(1)).alias("test_locations"))  # one row
+    out = locs.join(rate, "year", "left").join(stats, "year", "left").join(F.broadcast(n_test))
+    return out.select(
+        "year", F.coalesce("n_novel", F.lit(0)).alias("n_novel"), "half_sib_pct", "yield_mean", "yield_std", "n_locations", "shared_locations", "test_locations"
     )
 
 
@@ -424,10 +438,10 @@ def covariate_drift(df: DataFrame, y1: int, y2: int, features: list[str]) -> Dat
 
 
 def fold_similarity(
-    df: DataFrame, test_year: int, key: str = "hybrid", markers: str = "markers", min_novel: int = 5, weight: str | None = None
+    df: DataFrame, test_year: int, key: str = "hybrid", markers: str = "markers", min_novel: int = 5, weight: str | None = None, first: int | None = None
 ) -> DataFrame:
-    """How much each earlier year's novel set resembles the test year's: novelty, tester and parent
-    overlap, allele-frequency agreement and their weighted score."""
+    """How much the novel set of each earlier year with history (or from ``first``) resembles
+    the test year's: novelty, tester and parent overlap, allele-frequency agreement and their score."""
     # one row per year and hybrid with its mean markers; everything below reads this table
     cell = ["year", key, "parent1", "parent2"]
     if weight is None:
@@ -459,7 +473,7 @@ def fold_similarity(
     one_p = t_parents.agg(F.count(F.lit(1)).alias("n_p"))
     zero = F.lit(0)
     out = (
-        enough.filter(F.col("year") < test_year)
+        from_year(enough.filter(F.col("year") < test_year), cells, first)
         .join(total, "year")
         .join(testers, "year", "left")
         .join(parents, "year", "left")

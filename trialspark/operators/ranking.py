@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trialspark.operators import ordering as O
-from trialspark.shared import materialize
+from trialspark.shared import materialize, null_safe_join
 
 # Fixed values that results depend on.
 HINGE_MARGIN, HINGE_GAP, HINGE_MIN_N = 0.5, 0.2, 3
@@ -145,7 +145,9 @@ def tau_b(
         per = joint.groupBy(*group, *cols).agg(F.sum("c").alias("c"))
         return per.groupBy(*group).agg(F.sum(F.col("c") * (F.col("c") - 1) / 2).alias(out))
 
-    m = falls.join(ties(["__a"], "ta"), group).join(ties(["__p"], "tp"), group).join(ties(["__a", "__p"], "tap"), group)
+    m = falls
+    for cols, out in ((["__a"], "ta"), (["__p"], "tp"), (["__a", "__p"], "tap")):
+        m = null_safe_join(m, ties(cols, out), group)
     n = F.col("n").cast("double")
     pairs = n * (n - 1) / 2
     rises = pairs - F.col("discordant") - F.col("ta") - F.col("tp") + F.col("tap")

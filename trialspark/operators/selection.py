@@ -116,20 +116,23 @@ def promotion(runs: DataFrame, baseline_pcc: Column | float, baseline_scale_mse:
     """Promotion decisions per configuration from per-seed rows ``(config, env_pcc, env_mse)``.
 
     Rank: the mean of at least three seeds gains the required margin, or a single run passes the
-    bar and another run of the configuration supports it. Scale: error improves and correlation
+    bar and another run of the configuration supports it. A baseline may be a column of ``runs`` that is
+    the same in every row. Scale: error improves and correlation
     loses no more than the tolerance.
     """
-    as_col = lambda v: v if isinstance(v, Column) else F.lit(float(v))
+    given = {"pcc": baseline_pcc, "scale_mse": baseline_scale_mse, "scale_pcc": baseline_scale_pcc}
+    of = {k: F.col(f"__{k}") for k in given}
     m = runs.groupBy("config").agg(
+        *[F.max(v if isinstance(v, Column) else F.lit(float(v))).alias(f"__{k}") for k, v in given.items()],
         F.count(F.lit(1)).alias("n_runs"),
         F.avg("env_pcc").alias("mean_pcc"),
         F.count_if(F.col("env_pcc") > RANK_BAR).alias("n_above_bar"),
         F.avg("env_mse").alias("mean_mse"),
     )
-    by_mean = (F.col("n_runs") >= RANK_SEEDS) & (F.col("mean_pcc") >= as_col(baseline_pcc) + F.lit(RANK_DELTA))
+    by_mean = (F.col("n_runs") >= RANK_SEEDS) & (F.col("mean_pcc") >= of["pcc"] + F.lit(RANK_DELTA))
     by_bar = F.col("n_above_bar") >= 2
-    scale = (F.col("mean_mse") < as_col(baseline_scale_mse)) & (as_col(baseline_scale_pcc) - F.col("mean_pcc") <= F.lit(SCALE_TOLERANCE))
-    return m.withColumns({"promote_rank": by_mean | by_bar, "promote_scale": scale})
+    scale = (F.col("mean_mse") < of["scale_mse"]) & (of["scale_pcc"] - F.col("mean_pcc") <= F.lit(SCALE_TOLERANCE))
+    return m.withColumns({"promote_rank": by_mean | by_bar, "promote_scale": scale}).drop("__pcc", "__scale_mse", "__scale_pcc")
 
 
 # -- rolling harness ---------------------------------------------------------------------
@@ -185,7 +188,7 @@ def ridge_callbacks(features: list[str], target: str = "yield_mg", reg: float =
     def fit(train: DataFrame):
         scaler = fit_scaler(train, features)
         ready = assembler.transform(apply_scaler(train.filter(finite(target)), scaler, features))
-        lr = LinearRegression(featuresCol="__x", labelCol=target, predictionCol="pred", regParam=reg, elasticNetParam=0.0, standardization=False, solver="normal" if len(features) <= 4096 else "l-bfgs")
+        lr = LinearRegression(featuresCol="__x", labelCol=target, predictionCol="pred", regParam=reg, elasticNetParam=0.0, standardization=False, solver="l-bfgs", tol=1e-9, maxIter=200)
         return scaler, lr.fit(ready)
 
     def predict(val: DataFrame, state) -> DataFrame:

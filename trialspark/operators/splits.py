@@ -20,7 +20,6 @@ PROXY_TESTER, PROXY_FRACTION, PROXY_SEED = "PHP02", 0.20, 1
 LYGO_MIN_PER_ENV = 4
 MIN_VAL_ROWS, MIN_VAL_ENVS = 200, 5
 ROLL_START, ROLL_END = 2014, 2023
-MAX_FOLDS = 10_000
 
 
 def _flag(keys: DataFrame, name: str) -> DataFrame:
@@ -260,13 +259,12 @@ def fold_table(
 def rolling_folds(df: DataFrame, folds: DataFrame) -> DataFrame:
     """Rows repeated per fold they belong to, labelled ``train`` or ``val``.
 
-    The fold table has one row per validation year; that is checked before it is broadcast into a
-    range join.
+    Every year meets its folds first (both tables have one row per year), so that rows then find
+    their folds by an equi-join on the year, whatever the number of folds.
     """
-    if folds.limit(MAX_FOLDS + 1).count() > MAX_FOLDS:
-        raise TrialError(f"more than {MAX_FOLDS} folds")
-    cond = F.col("year") <= F.col("val_year")
-    joined = df.join(F.broadcast(folds), cond)
+    years = df.select("year").distinct()
+    per_year = years.join(folds, F.col("year") <= F.col("val_year"))
+    joined = df.join(per_year, "year").select(*df.columns, *folds.columns)
     return joined.withColumn("role", F.when(F.col("year") == F.col("val_year"), "val").otherwise("train"))
 
 
@@ -328,8 +326,8 @@ def novel_parent_summary(df: DataFrame, years: list[int], any_role: bool = True)
     return per.withColumn("pct_known", F.try_divide(F.col("n_known_parent1") * 100.0, F.col("n_parent1")))
 
 
-def tester_matched_years(df: DataFrame, testers: list[str], min_novel: int = 5, top: int = 3) -> DataFrame:
-    """Per year: novelty %, most common testers of novel hybrids, overlap with the wanted testers,
+def tester_matched_years(df: DataFrame, testers: list[str], min_novel: int = 5, top: int = 3, first: int | None = None) -> DataFrame:
+    """Per year with history (or from ``first``): novelty %, most common testers of novel hybrids, overlap with the wanted testers,
     mean half-sibs and rows of novel hybrids; years with few novel hybrids are left out."""
     from trialspark.operators.population import half_sib_counts, novelty_by_year
 
@@ -343,7 +341,7 @@ def tester_matched_years(df: DataFrame, testers: list[str], min_novel: int = 5,
         F.count_if(F.col("parent2").isin(list(testers))).alias("tester_overlap"),
     )
     mean = sibs.groupBy("year").agg(F.count(F.lit(1)).alias("n_novel"), F.avg("n_half_sibs").alias("mean_half_sibs"))
-    rows = novelty_by_year(df).select("year", "novelty_pct", "novel_rows")
+    rows = novelty_by_year(df, first=first).select("year", "novelty_pct", "novel_rows")
     out = mean.filter(F.col("n_novel") >= min_novel).join(rows, "year").join(text, "year", "left")
     return out.select(
         "year",
