@@ -78,7 +78,7 @@ def read_predictions(spark: SparkSession, patterns: list[str], fmt: str = "csv")
 
 
 def labels_agree(lo: Column, hi: Column) -> Column:
-    """Largest and smallest label of a key differ within the fixed tolerances."""
+    """True where the largest and the smallest label of a key differ by no more than the tolerances."""
     return (hi - lo) <= F.lit(LABEL_ATOL) + F.lit(LABEL_RTOL) * F.abs(lo)
 
 
@@ -91,10 +91,13 @@ def merge_predictions(long: DataFrame, models: list[str] | None = None, check: b
     if models is None:
         models = sorted(r[0] for r in long.select(model).distinct().collect())  # one row per prediction file
     tagged = {m: F.when(F.col(model) == m, F.col("pred")) for m in models}
+    # fixed-width order and presence marks keep this a hash aggregation
+    place = reduce(lambda c, im: c.when(F.col(model) == im[1], im[0]), enumerate(models), F)
+    present = [F.max(F.when(F.col(model) == m, 1).otherwise(0)) for m in models]
     mine = long.filter(F.col(model).isin(models))
     wide = mine.groupBy("env", "id").agg(
-        F.min_by("actual", model).alias("actual"),
-        F.count_distinct(model).alias("__models"),
+        F.min_by("actual", place).alias("actual"),
+        reduce(lambda a, b: a + b, present).alias("__models"),
         F.count(F.lit(1)).alias("__rows"),
         F.min("actual").alias("__lo"),
         F.max("actual").alias("__hi"),
