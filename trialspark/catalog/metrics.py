@@ -259,6 +259,56 @@ def _(spark, sf):
     return rounded(M.composite_score(pred(spark, sf), "envspearman+triplet", "1,2", pred="m_b"))
 
 
+GAPS = """, g as (select * replace (case when site = 4 then null else env end as env, case when l_quantity = 11 then null else actual end as actual) from pred)"""
+
+
+def gaps(spark, sf):
+    """Predictions with a NULL environment and NULL actual values."""
+    null = F.lit(None)
+    return pred(spark, sf).withColumns(
+        {"env": F.when(F.col("site") == 4, null).otherwise(F.col("env")), "actual": F.when(F.col("l_quantity") == 11, null).otherwise(F.col("actual"))}
+    )
+
+
+@query("m18_env_spearman_gaps", "M18", WITH_PRED + GAPS + f""", rk as (select *, rank() over (partition by env order by actual nulls first) + (count(*) over (partition by env, actual) - 1)/2.0::double as ra,
+ rank() over (partition by env order by m_b) + (count(*) over (partition by env, m_b) - 1)/2.0::double as rp from g)
+select env, count(*) as n, {q6('1 - 6*sum(power(ra-rp,2))/(count(*)::double*(count(*)::double*count(*)::double-1))')} as spearman from rk group by env""")
+def _(spark, sf):
+    return rounded(R.env_spearman(gaps(spark, sf), "env", pred="m_b"))
+
+
+@query("m19_spearman_gaps", "M19", WITH_PRED + GAPS + f""", rk as (select rank() over (order by actual nulls first) + (count(*) over (partition by actual) - 1)/2.0::double as ra,
+ rank() over (order by m_d) + (count(*) over (partition by m_d) - 1)/2.0::double as rp from g)
+select count(*) as n, {q6('regr_sxy(rp,ra)/(sqrt(regr_sxx(rp,ra))*sqrt(regr_syy(rp,ra)))')} as spearman,
+{q6('1-regr_sxy(rp,ra)/(sqrt(regr_sxx(rp,ra))*sqrt(regr_syy(rp,ra)))')} as loss from rk""")
+def _(spark, sf):
+    return rounded(R.spearman(gaps(spark, sf), pred="m_d"))
+
+
+@query("m20_ktau_gaps", "M20", WITH_PRED + GAPS + f""", o as (select coalesce(env, '?') as e, dense_rank() over (partition by env order by actual nulls first) as v, row_number() over (partition by env order by m_b, row_key) as pos from g),
+ c as (select a.e, count(case when b.v > a.v then 1 end) as c, count(case when b.v < a.v then 1 end) as d from o a join o b on a.e = b.e and a.pos < b.pos group by a.e),
+ z as (select e, count(*) as n from o group by e)
+select nullif(e, '?') as env, n, c as concordant, d as discordant, {q6('(c-d)::double/(c+d)')} as tau, {q6('1-(c-d)::double/(c+d)')} as loss from c join z using (e)""")
+def _(spark, sf):
+    return rounded(R.ktau(gaps(spark, sf), "env", pred="m_b"))
+
+
+@query("m21_rank_hinge_gaps", "M21", WITH_PRED + GAPS + f""", n as (select coalesce(env, '?') as e, actual, m_b as p from g), k as (select * from n where e in (select e from n group by e having count(*) >= 3))
+select count(*) as n_pairs, {q6('avg(greatest(0.0::double, 0.5::double - (i.p - j.p)))')} as hinge
+from k i join k j on i.e = j.e and (j.actual < i.actual - 0.2::double or (j.actual is null and i.actual is not null))""")
+def _(spark, sf):
+    return rounded(R.rank_hinge(gaps(spark, sf), pred="m_b"))
+
+
+@query("m24_composite_spearman", "M24", WITH_PRED + f""", rk as (select rank() over (order by actual) + (count(*) over (partition by actual) - 1)/2.0::double as ra,
+ rank() over (order by m_b) + (count(*) over (partition by m_b) - 1)/2.0::double as rp from pred),
+ t as (select 'spearman' as term, 2.0::double as weight, (select 1-regr_sxy(rp,ra)/(sqrt(regr_sxx(rp,ra))*sqrt(regr_syy(rp,ra))) from rk) as value union all select 'mse', 1.0::double, (select avg(power(actual-m_b,2)) from pred))
+select term, {q6('weight')} as weight, {q6('value')} as value, {q6('weight*value')} as weighted from t
+union all select 'total', {q6('sum(weight)')}, {q6('sum(value)')}, {q6('sum(weight*value)')} from t""")
+def _(spark, sf):
+    return rounded(M.composite_score(pred(spark, sf), "spearman+mse", "2,1", pred="m_b"))
+
+
 @query("m25_residual_part_metrics", "M25", WITH_PRED + f""", e as (select env, avg(actual) as ym, avg(m_a) as pm from pred group by env)
 select {q6('avg(power(actual-m_a,2))')} as mse_total, {q6('avg(power(ym-pm,2))')} as mse_env_mean, {q6('avg(power((actual-ym)-(m_a-pm),2))')} as mse_residual
 from pred join e using (env)""")
