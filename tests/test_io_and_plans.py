@@ -1,5 +1,6 @@
 """Readers, writers, stacking rules, streaming and the workflows."""
 
+import os
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -206,3 +207,18 @@ def test_stack_workflow(spark, tmp_path):
     report = {r["split"]: r for r in out["report"].collect()}
     assert report["train"]["n_rows"] == report["test"]["n_rows"] == 240
     assert out["weights"].first()["model"] == "a"
+
+
+def test_scratch_deletes_intermediate_tables(spark):
+    from trialspark.shared import materialize, scratch
+
+    with scratch(spark):
+        outer = materialize(spark.range(3))
+        with scratch(spark):
+            inner = materialize(outer)
+            path = inner.inputFiles()[0]
+            assert inner.count() == 3
+        assert not os.path.exists(path.removeprefix("file:").replace("//", "/"))
+        assert outer.count() == 3
+        path = outer.inputFiles()[0]
+    assert not os.path.exists(path.removeprefix("file:").replace("//", "/"))
