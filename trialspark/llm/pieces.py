@@ -10,10 +10,10 @@ joins two neighbouring symbols, again and again, which gives the library's ids.
 from __future__ import annotations
 
 import heapq
-import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +26,12 @@ from trialspark.llm.common import documents, query, text_of
 from trialspark.llm.substrings import _write
 
 VOCABULARY = "piece_bpe_32k.model"
-WORD = re.compile("▁*[^▁\n]+|▁+|\n")
 LATTICE = 60  # letters of the longest unit whose state fits into the bits of a long
 COMMON_UNITS = 1 << 18  # most frequent units, broadcast; all others are joined
 BUCKET_BYTES = 8 << 20  # text per group of documents that gets its rare units together
 FLUSH = 1 << 18
 SLICE = 512
+UNITS_PER_TASK = 1 << 14
 
 
 @lru_cache(maxsize=4)
@@ -79,15 +79,9 @@ def _neighbours(vocabulary: str) -> frozenset[str]:
 
 def units_of(word: str, vocabulary: str = VOCABULARY) -> list[str]:
     """A word with its mark, cut wherever neighbouring characters stand together in no piece."""
-    pairs, out = _neighbours(vocabulary), []
-    for part in WORD.findall("▁" + word):
-        start = 0
-        for i in range(1, len(part)):
-            if part[i - 1 : i + 1] not in pairs:
-                out.append(part[start:i])
-                start = i
-        out.append(part[start:])
-    return out
+    pairs, marked = _neighbours(vocabulary), "▁" + word
+    cuts = [i for i, pair in enumerate(map(add, marked, marked[1:]), 1) if pair not in pairs]
+    return [marked[a:b] for a, b in zip([0, *cuts], [*cuts, None])] if cuts else [marked]
 
 
 def unit_counts(rows: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -123,14 +117,9 @@ def lattice(units: DataFrame, table: list[tuple[str, int, int]]) -> DataFrame:
     spark = units.sparkSession
     longest = max(len(p) for p, _, _ in table)
     pieces = F.broadcast(spark.createDataFrame(table, "piece string, id int, rank int"))
-    n = F.length("unit")
-    spans = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), F.least(n, F.lit(longest))),
-            lambda size: F.transform(F.sequence(F.lit(0), n - size), lambda s: F.struct(s.alias("s"), size.alias("size"))),
-        )
-    )
-    cut = units.select("unit", F.explode(spans).alias("at")).select("unit", F.col("at.s").alias("s"), F.col("at.size").alias("size"))
+    starts = units.select("unit", F.explode(F.sequence(F.lit(0), F.length("unit") - 1)).alias("s"))
+    sizes = F.sequence(F.lit(1), F.least(F.lit(longest), F.length("unit") - F.col("s")))
+    cut = starts.select("unit", "s", F.explode(sizes).alias("size"))
     found = cut.withColumn("piece", F.substring("unit", F.col("s") + 1, F.col("size"))).join(pieces, "piece")
     packed = F.call_function("shiftleft", F.col("rank").cast("long"), F.lit(32)) + F.col("s") * (1 << 24) + F.col("size") * (1 << 16) + F.col("id")
     grouped = found.select("unit", packed.alias("edge")).groupBy("unit").agg(F.sort_array(F.collect_list("edge")).alias("packed"))
@@ -166,7 +155,8 @@ def encode_units(units: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     table, zero, _ = piece_table(vocabulary)
     short, long = units.filter(F.length("unit") <= LATTICE), units.filter(F.length("unit") > LATTICE)
     # dealt by unit once: edges are made, grouped and joined where their unit is
-    placed = short.select("unit").repartition("unit")
+    tasks = max(1, -(-units.count() // UNITS_PER_TASK))  # a unit makes about fifty substrings
+    placed = short.select("unit").repartition(tasks, "unit")
     edges = placed.join(lattice(placed, table).hint("merge"), "unit", "left")
     n = F.length("unit")
     known = edges.withColumn("edges", F.coalesce("edges", F.array().cast("array<struct<s:int,e:int,id:int,ends:bigint,inside:bigint>>")))
