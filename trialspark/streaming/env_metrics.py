@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from trialspark.operators.metrics import env_moments, finite_pairs, pcc_from_moments
+from trialspark.schema import TrialError
 
 
 def env_state(stream: DataFrame, env: str = "env", actual: str = "actual", pred: str = "pred") -> DataFrame:
@@ -48,7 +49,12 @@ def stream_env_metrics(
 
 
 def latest_metrics(spark, out: str) -> DataFrame:
-    """The newest snapshot."""
-    all_rows = spark.read.parquet(out)
-    newest = all_rows.agg(F.max("epoch").alias("epoch"))
-    return all_rows.join(F.broadcast(newest), "epoch").drop("epoch", "snapshot")  # newest is one row
+    """The newest complete snapshot; older ones are listed by name only and never read."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    paths = [s.getPath() for s in fs.listStatus(folder) if s.getPath().getName().startswith("snapshot=")]
+    done = [p for p in paths if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    if not done:
+        raise TrialError(f"no snapshot in {out}")
+    newest = max(done, key=lambda p: int(p.getName().partition("=")[2]))
+    return spark.read.parquet(newest.toString()).drop("epoch")
