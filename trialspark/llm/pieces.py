@@ -241,15 +241,23 @@ def common_from(counts: DataFrame, limit: int = COMMON_UNITS) -> int:
     return least
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches of whole texts hold ``SLICE`` rows at most, as a batch is held several times."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= SLICE:
+        spark.conf.set(name, str(SLICE))
+
+
 def encode(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = COMMON_UNITS, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """``doc_id, n_bytes, ids`` for each row of ``docs``: the ids that the library gives the whole text.
 
     The ids of at most ``limit`` frequent units are broadcast; every other unit reaches the documents
     that hold it through joins on the unit and on buckets of documents, whose number grows with the
     text. NULL and empty texts have no ids; repeated rows are encoded each; other columns
-    are not read.
+    are not read. The session's Arrow batches are set to ``SLICE`` rows.
     """
     spark = docs.sparkSession
+    _small_batches(spark)
     rows = docs.select("doc_id", text_of().alias("text"))
     counts = _write(unit_counts(rows, vocabulary), "units")
     dictionary = _write(encode_units(counts.select("unit"), vocabulary), "codes")
