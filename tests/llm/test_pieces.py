@@ -5,7 +5,7 @@ import public_tokenizers
 import pytest
 import sentencepiece
 
-from trialspark.llm.pieces import VOCABULARY, common_from, decode, decode_ids, encode, encode_units, merge_ids, op3, units_of, words_of
+from trialspark.llm.pieces import LATTICE, VOCABULARY, common_from, common_units, decode, decode_ids, encode, encode_units, merge_ids, op3, units_of, words_of
 
 MODEL = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(VOCABULARY))
 ODD = ["", " ", "   ", "\n\n", "a  b", "  Hello   world\n\n\tfoo éàç 你 🙂 \xa0b", "x" * 500, "abc" * 200 + " d", "don't stop", "▁mark", "é", "ﬁ Ａ", " lead", "trail ", "123456 7.5%!!"]
@@ -52,3 +52,13 @@ def test_query_against_the_library(spark, sf):
         want[r["doc_id"]] = (len(r["text"].encode()), len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(r["text"].encode()).hexdigest())
     got = {r["doc_id"]: tuple(r)[1:] for r in op3(spark, sf).collect()}
     assert got == want
+
+
+def test_long_units_are_joined_and_not_broadcast(spark):
+    rows = [("z" * (LATTICE + 1), 90), ("é" * LATTICE, 80), ("a", 70), ("x" * 100000, 60), ("b", 1)]
+    counts = spark.createDataFrame(rows, "unit string, n long")
+    assert {r["unit"] for r in common_units(counts).collect()} == {"é" * LATTICE, "a", "b"}
+    assert {r["unit"] for r in common_units(counts, 2).collect()} == {"é" * LATTICE, "a"}
+    texts = ["x" * 3000, "the " + "x" * 3000, "end"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["ids"] for r in encode(df).collect()} == {i: MODEL.encode(t) for i, t in enumerate(texts)}

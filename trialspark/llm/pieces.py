@@ -241,6 +241,12 @@ def common_from(counts: DataFrame, limit: int = COMMON_UNITS) -> int:
     return least
 
 
+def common_units(counts: DataFrame, limit: int = COMMON_UNITS) -> DataFrame:
+    """The rows of units to broadcast: at most ``limit`` frequent ones, none longer than ``LATTICE`` letters."""
+    short = counts.filter(F.length("unit") <= LATTICE)
+    return short.filter(F.col("n") >= common_from(short, limit))
+
+
 def _small_batches(spark: SparkSession) -> None:
     """Let Arrow batches of whole texts hold ``SLICE`` rows at most, as a batch is held several times."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -251,7 +257,7 @@ def _small_batches(spark: SparkSession) -> None:
 def encode(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = COMMON_UNITS, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """``doc_id, n_bytes, ids`` for each row of ``docs``: the ids that the library gives the whole text.
 
-    The ids of at most ``limit`` frequent units are broadcast; every other unit reaches the documents
+    The ids of at most ``limit`` frequent units of up to ``LATTICE`` letters are broadcast; every other unit reaches the documents
     that hold it through joins on the unit and on buckets of documents, whose number grows with the
     text. NULL and empty texts have no ids; repeated rows are encoded each; other columns
     are not read. The session's Arrow batches are set to ``SLICE`` rows.
@@ -261,8 +267,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = COMMON_UN
     rows = docs.select("doc_id", text_of().alias("text"))
     counts = _write(unit_counts(rows, vocabulary), "units")
     dictionary = _write(encode_units(counts.select("unit"), vocabulary), "codes")
-    least = common_from(counts, limit)
-    common = counts.filter(F.col("n") >= least).join(dictionary, "unit").select("unit", "ids").toArrow()
+    common = common_units(counts, limit).join(dictionary, "unit").select("unit", "ids").toArrow()
     shared = spark.sparkContext.broadcast((common.column("unit").to_pylist(), _code_bytes(common.column("ids"))))
     total = rows.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
     buckets = max(1, -(-total // bucket_bytes))
