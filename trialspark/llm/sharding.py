@@ -16,7 +16,6 @@ from trialspark.shared import materialize
 SHARDS = 8
 RANGES_PER_SHARD = 32
 SAMPLES_PER_RANGE = 64
-ROUNDS = 4
 
 
 def _sample(rows: DataFrame, wanted: int, total: int) -> DataFrame:
@@ -52,28 +51,28 @@ def range_of(key: Column, cuts: list[bytes]) -> Column:
     )
 
 
-def splitters(rows: DataFrame, ranges: int, samples: int = SAMPLES_PER_RANGE, rounds: int = ROUNDS) -> list[bytes]:
+def splitters(rows: DataFrame, ranges: int, samples: int = SAMPLES_PER_RANGE) -> list[bytes]:
     """Sorted boundary keys whose ranges hold at most twice their even share of bytes.
 
     The sample is ``ranges × samples`` draws, whatever the input size. A range found overfull after
-    measuring is sampled again on its own; a range of one single key cannot be cut further.
+    measuring is sampled again on its own, until none is left; a range of one single key cannot be cut
+    further. Where only the largest key of a range is drawn, the range is cut below that key.
     """
     total = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("t")).first()["t"]
     share = max(1, total // ranges)
     cuts = _quantile_keys(_sample(rows, ranges * samples, total).orderBy("key").collect(), ranges)
-    for _ in range(rounds):
+    while True:  # each round cuts every overfull range at least once
         measured = rows.groupBy(range_of(F.col("key"), cuts).alias("r")).agg(F.sum("size").alias("b"), F.min("key").alias("lo"), F.max("key").alias("hi"))
         overfull = measured.filter((F.col("b") > 2 * share) & (F.col("lo") < F.col("hi"))).collect()
         if not overfull:
-            break
+            return cuts
         more: list[bytes] = []
         for r in overfull:  # at most ranges / 2 of them, as each holds two shares
             inside = rows.filter(F.col("key").between(F.lit(r["lo"]), F.lit(r["hi"])))
             parts = -(-r["b"] // share)
             got = _quantile_keys(_sample(inside, parts * samples, r["b"]).orderBy("key").collect(), parts)
-            more += [k for k in got if r["lo"] <= k < r["hi"]] or [r["lo"]]
+            more += [k for k in got if r["lo"] <= k < r["hi"]] or [inside.filter(F.col("key") < F.lit(r["hi"])).agg(F.max("key").alias("k")).first()["k"]]
         cuts = sorted({bytes(c) for c in [*cuts, *more]})
-    return cuts
 
 
 def assign_shards(rows: DataFrame, shards: int = SHARDS, ranges_per_shard: int = RANGES_PER_SHARD) -> DataFrame:
