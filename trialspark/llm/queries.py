@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trialspark.llm import decontaminate, exact, lines, pieces, quality, sharding, simhash, substrings, tokens, toxicity  # noqa: F401
+from trialspark.llm import decontaminate, exact, infill, lines, pieces, quality, reputation, search, sharding, simhash, substrings, tokens, toxicity  # noqa: F401
 from trialspark.llm.common import REGISTRY
 
 __all__ = ["REGISTRY"]
