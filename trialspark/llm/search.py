@@ -29,6 +29,7 @@ WIDTH = 1 << 16  # coordinates of a sketch
 BLOCK_ENTRIES = 1 << 20  # (query, coordinate) entries looked up at once: 16 MB broadcast
 FIRST_ROUND = 16  # documents a query whose exact scores give the threshold
 TOP = 10
+SLICE_BYTES = 4 << 20  # of texts that a Python worker holds as words at a time
 
 
 def coordinate(term: bytes) -> int:
@@ -65,7 +66,7 @@ def build_index(docs: DataFrame) -> SketchIndex:
         field.nullable = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in pieces(batches, 2):
+        for part, texts in pieces(batches, 2, SLICE_BYTES):
             ids, keys = part.column(0).to_pylist(), part.column(1).to_pylist()
             rows_out, frequencies, places = [], Counter(), {}
             for i, text in enumerate(texts):
@@ -82,10 +83,10 @@ def build_index(docs: DataFrame) -> SketchIndex:
                 order = np.argsort(coords, kind="stable")
                 coords, peaks = coords[order], peaks[order]
                 first = np.flatnonzero(np.concatenate([[True], coords[1:] != coords[:-1]]))
-                rows_out.append((ids[i], keys[i], len(words), coords[first].tobytes(), np.maximum.reduceat(peaks, first).tobytes(), None))
-            rows_out.append((None, None, None, None, None, list(frequencies.items())))
+                rows_out.append((ids[i], keys[i], len(words), coords[first].tobytes(), np.maximum.reduceat(peaks, first).tobytes()))
+            rows_out.append((None,) * 5)
             columns = list(zip(*rows_out, strict=True))
-            arrays = [pa.array(c, t) for c, t in zip(columns[:5], [part.schema.field(0).type, pa.int64(), pa.int64(), pa.binary(), pa.binary()], strict=True)]
+            arrays = [pa.array(c, t) for c, t in zip(columns, [part.schema.field(0).type, pa.int64(), pa.int64(), pa.binary(), pa.binary()], strict=True)]
             pairs = pa.StructArray.from_arrays([pa.array(frequencies.keys(), pa.binary()), pa.array(frequencies.values(), pa.int64())], names=["term", "df"])
             sizes = np.zeros(len(rows_out) + 1, np.int32)
             sizes[-1] = len(frequencies)
@@ -220,7 +221,7 @@ def exact_scores(candidates: DataFrame, docs: DataFrame, terms: DataFrame) -> Da
     schema = rows.drop("__text").withColumns({"term": F.lit(b""), "tf": F.lit(0).cast("long")}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in pieces(batches, 2):
+        for part, texts in pieces(batches, 2, SLICE_BYTES):
             counts = [Counter(words_of(t)) for t in texts]
             at = pa.array(np.repeat(np.arange(len(counts)), [len(c) for c in counts]))
             new = [pa.array([t for c in counts for t in c], pa.binary()), pa.array([n for c in counts for n in c.values()], pa.int64())]
