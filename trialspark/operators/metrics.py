@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialspark.functions.expressions import finite, tester_label
 from trialspark.schema import TrialError
+from trialspark.shared import materialize, null_safe_join
 
 # Fixed values that results depend on.
 VAR_EPS = 1e-8
@@ -37,7 +38,8 @@ def _masked(df: DataFrame, actual: str, pred: str, tag: str = "") -> DataFrame:
     return df.withColumns({f"__a{tag}": F.when(ok, F.col(actual).cast("double")), f"__p{tag}": F.when(ok, F.col(pred).cast("double"))})
 
 
-def _pair_aggs(key: str | None = None, tag: str = "") -> list[Column]:
+def _pair_aggs(spread: bool = False, tag: str = "") -> list[Column]:
+    """Aggregates over numbers alone, so that groups are hashed and nothing is sorted."""
     a, p = F.col(f"__a{tag}"), F.col(f"__p{tag}")
     aggs = [
         F.count(a).alias(f"n{tag}"),
@@ -48,24 +50,21 @@ def _pair_aggs(key: str | None = None, tag: str = "") -> list[Column]:
         F.regr_sxy(p, a).alias(f"sap{tag}"),
         F.sum((a - p) * (a - p)).alias(f"sse{tag}"),
     ]
-    if key is not None:
-        k = F.when(a.isNotNull(), F.col(key))
-        aggs.append(F.min(k).alias(f"key0{tag}"))
+    if spread:
         for side, v in (("a", a), ("p", p)):
-            aggs += [
-                F.min(v).alias(f"lo_{side}{tag}"),
-                F.max(v).alias(f"hi_{side}{tag}"),
-                F.min_by(v, k).alias(f"v0_{side}{tag}"),
-            ]
+            aggs += [F.min(v).alias(f"lo_{side}{tag}"), F.max(v).alias(f"hi_{side}{tag}")]
     return aggs
 
 
 def env_moments(
-    df: DataFrame, group: list[str] | str = "env", actual: str = "actual", pred: str = "pred", key: str | None = None
+    df: DataFrame, group: list[str] | str = "env", actual: str = "actual", pred: str = "pred", spread: bool = False
 ) -> DataFrame:
-    """Per group: n, means, centred sums of squares/products and squared error of finite pairs."""
+    """Per group: n, means, centred sums of squares/products and squared error of finite pairs.
+
+    With ``spread`` also the smallest and largest value of each side.
+    """
     group = [group] if isinstance(group, str) else list(group)
-    return _masked(df, actual, pred).groupBy(*group).agg(*_pair_aggs(key))
+    return _masked(df, actual, pred).groupBy(*group).agg(*_pair_aggs(spread))
 
 
 def combine_moments(moments: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -107,22 +106,76 @@ def _finish_combined(total: DataFrame) -> DataFrame:
     ).drop("__na", "__np", "__saa", "__spp", "__sap", "__naa", "__npp", "__nap")
 
 
-def _constant(lo: Column, hi: Column, v0: Column) -> Column:
-    """All values close to the one at the smallest key."""
-    return F.greatest(hi - v0, v0 - lo) <= F.lit(CLOSE_ABS) + F.lit(CLOSE_REL) * F.abs(v0)
+def _near(v0: Column) -> Column:
+    """How far from the reference value ``v0`` the others may be for a side to count as constant."""
+    return F.lit(CLOSE_ABS) + F.lit(CLOSE_REL) * F.abs(v0)
+
+
+def _flat_by_spread(lo: Column, hi: Column) -> Column:
+    """Whether a side is constant as far as its spread can tell; NULL where the reference value decides.
+
+    The reference lies between ``lo`` and ``hi``, so the farthest value is between half the spread and
+    the whole spread away from it, and the tolerance is between those at the smallest and largest magnitude.
+    """
+    spread = hi - lo
+    least = F.when((lo <= 0) & (hi >= 0), F.lit(0.0)).otherwise(F.least(F.abs(lo), F.abs(hi)))
+    most = F.greatest(F.abs(lo), F.abs(hi))
+    far = spread > F.lit(2.0 + 1e-9) * _near(most)  # the margin covers rounding
+    return F.when(spread <= _near(least), F.lit(True)).when(far, F.lit(False))
+
+
+def _sides(tags: tuple[str, ...]) -> list[str]:
+    return [f"{side}{tag}" for tag in tags for side in ("a", "p")]
+
+
+def _with_flat(moments: DataFrame, pairs: DataFrame, group: list[str], key: str, tags: tuple[str, ...] = ("",)) -> DataFrame:
+    """Add ``flat_a, flat_p`` (per tag): all values are close to the one at the smallest key.
+
+    Spreads settle it for nearly all groups. Only groups in the narrow band between, if there are any,
+    are looked up in a second scan of ``pairs`` for their reference values. ``moments`` has one
+    row per group and is written once.
+    """
+    sides = _sides(tags)
+    known = materialize(moments.withColumns({f"flat_{s}": _flat_by_spread(F.col(f"lo_{s}"), F.col(f"hi_{s}")) for s in sides}))
+    open_sides = {s: (F.col(f"n{s[1:]}") >= 2) & F.col(f"flat_{s}").isNull() for s in sides}
+    band = known.filter(reduce(lambda x, y: x | y, open_sides.values()))
+    if band.isEmpty():
+        return known
+    if group:
+        wanted = band.select(*group).distinct()
+        pairs = null_safe_join(pairs, wanted, group, "left_semi")
+    for tag in tags:
+        own = [f"__a{tag}", f"__p{tag}"]
+        rows = pairs.filter(F.col(own[0]).isNotNull() & F.col(key).isNotNull())
+        if group:
+            first = Window.partitionBy(*group).orderBy(key)  # groups of the band only, cut to one row before the shuffle
+            ref = rows.withColumn("__no", F.row_number().over(first)).filter("__no = 1").select(*group, *own)
+        else:
+            ref = rows.orderBy(key).limit(1).select(*own)
+        known = null_safe_join(known, ref, group, "left")
+        for side, v in zip(("a", "p"), own, strict=True):
+            far = F.greatest(F.col(f"hi_{side}{tag}") - F.col(v), F.col(v) - F.col(f"lo_{side}{tag}"))
+            flat = F.coalesce(f"flat_{side}{tag}", far <= _near(F.col(v)))
+            known = known.withColumn(f"flat_{side}{tag}", flat)
+        known = known.drop(*own)
+    return known
+
+
+def _scored(df: DataFrame, group: list[str], actual: str, pred: str, key: str) -> DataFrame:
+    """Moments per group with the constancy of both sides."""
+    pairs = _masked(df, actual, pred)
+    return _with_flat(pairs.groupBy(*group).agg(*_pair_aggs(True)), pairs, group, key)
 
 
 def _safe_r(tag: str = "") -> Column:
     c = lambda name: F.col(f"{name}{tag}")
-    flat = _constant(c("lo_a"), c("hi_a"), c("v0_a")) | _constant(c("lo_p"), c("hi_p"), c("v0_p"))
     r = F.try_divide(c("sap"), F.sqrt(c("saa")) * F.sqrt(c("spp")))
-    return F.when((c("n") >= 2) & ~flat, r)
+    return F.when((c("n") >= 2) & ~(c("flat_a") | c("flat_p")), r)
 
 
 def _line(tag: str = "") -> tuple[Column, Column]:
     c = lambda name: F.col(f"{name}{tag}")
-    usable = (c("n") >= 2) & ~_constant(c("lo_a"), c("hi_a"), c("v0_a"))
-    slope = F.when(usable, F.try_divide(c("sap"), c("saa")))
+    slope = F.when((c("n") >= 2) & ~c("flat_a"), F.try_divide(c("sap"), c("saa")))
     return slope, c("mean_p") - slope * c("mean_a")
 
 
@@ -130,9 +183,8 @@ def safe_pcc(
     df: DataFrame, group: list[str] | str = "env", actual: str = "actual", pred: str = "pred", key: str = "row_key"
 ) -> DataFrame:
     """Pearson per group; NULL below two pairs or when a side is (nearly) constant."""
-    m = env_moments(df, group, actual, pred, key)
     group = [group] if isinstance(group, str) else list(group)
-    return m.select(*group, "n", _safe_r().alias("pcc"))
+    return _scored(df, group, actual, pred, key).select(*group, "n", _safe_r().alias("pcc"))
 
 
 def env_pcc(df: DataFrame, min_n: int = 2, group: str = "env", actual: str = "actual", pred: str = "pred") -> DataFrame:
@@ -228,10 +280,9 @@ def scale_fit(
     df: DataFrame, group: list[str] | str = "env", actual: str = "actual", pred: str = "pred", key: str = "row_key"
 ) -> DataFrame:
     """Least-squares line of prediction on actual per group."""
-    m = env_moments(df, group, actual, pred, key)
     group = [group] if isinstance(group, str) else list(group)
     slope, intercept = _line()
-    return m.select(*group, "n", slope.alias("slope"), intercept.alias("intercept"))
+    return _scored(df, group, actual, pred, key).select(*group, "n", slope.alias("slope"), intercept.alias("intercept"))
 
 
 def split_metrics(
@@ -244,7 +295,7 @@ def split_metrics(
 ) -> DataFrame:
     """Scoreboard per value of ``group_col`` (a NULL group stays a group)."""
     pairs = _masked(_masked(df, actual, pred), actual, rank_pred, "_rank")
-    m = pairs.groupBy(group_col).agg(*_pair_aggs(key), *_pair_aggs(key, "_rank"))
+    m = _with_flat(pairs.groupBy(group_col).agg(*_pair_aggs(True), *_pair_aggs(True, "_rank")), pairs, [group_col], key, ("", "_rank"))
     slope, intercept = _line()
     rslope, rintercept = _line("_rank")
     return m.select(
@@ -293,21 +344,11 @@ def run_metrics(
 ) -> DataFrame:
     """All run-level test metrics in one row from a single scan."""
     pairs = _masked(_masked(df, actual, pred), actual, rank_pred, "_rank")
-    per = pairs.groupBy(env).agg(*_pair_aggs(key), *_pair_aggs(key, "_rank"))
-    per = pcc_from_moments(per)
+    per = pcc_from_moments(pairs.groupBy(env).agg(*_pair_aggs(True), *_pair_aggs(True, "_rank")))
     n, ma, mp = F.col("n"), F.coalesce(F.col("mean_a"), F.lit(0.0)), F.coalesce(F.col("mean_p"), F.lit(0.0))
     nr = F.col("n_rank")
     mar, mpr = F.coalesce(F.col("mean_a_rank"), F.lit(0.0)), F.coalesce(F.col("mean_p_rank"), F.lit(0.0))
-    bounds = [
-        c
-        for t in ("", "_rank")
-        for s in ("a", "p")
-        for c in (
-            F.min(f"lo_{s}{t}").alias(f"lo_{s}{t}"),
-            F.max(f"hi_{s}{t}").alias(f"hi_{s}{t}"),
-            F.min_by(f"v0_{s}{t}", f"key0{t}").alias(f"v0_{s}{t}"),
-        )
-    ]
+    bounds = [c for s in _sides(("", "_rank")) for c in (F.min(f"lo_{s}").alias(f"lo_{s}"), F.max(f"hi_{s}").alias(f"hi_{s}"))]
     total = _finish_combined(
         per.agg(
             *_combined_aggs(n, ma, mp),
@@ -330,6 +371,7 @@ def run_metrics(
             "sap_rank": F.col("__rap") - F.try_divide(F.col("__ra") * F.col("__rp"), F.col("n_rank")),
         }
     )
+    total = _with_flat(total, pairs, [], key, ("", "_rank"))
     slope, intercept = _line()
     rslope, rintercept = _line("_rank")
     return total.select(
