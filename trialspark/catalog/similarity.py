@@ -47,6 +47,24 @@ def _(spark, sf):
     return rounded(S.env_similarity(vectors(spark, sf), "correlation", "vec_id", "embedding"))
 
 
+NEAREST = " select batch, i, j, {q} as sim, place from (select *, row_number() over (partition by batch, i order by round(sim, 9) desc, j) as place from ({pairs})) where place <= 5"
+
+
+@query("x1_ibs_nearest", "X1", VEC + NEAREST.format(q=q6("sim"), pairs=f"select x.batch, x.vec_id as i, y.vec_id as j, {IBS} as sim from b x join b y on x.batch = y.batch and x.vec_id <> y.vec_id"))
+def _(spark, sf):
+    return rounded(S.nearest(vectors(spark, sf), "ibs", 5, block=16))
+
+
+@query("x2_grm_nearest", "X2", VEC + LONG + NEAREST.format(q=q6("sim"), pairs="select x.batch, x.vec_id as i, y.vec_id as j, list_inner_product(x.z, y.z)/x.m as sim from z x join z y on x.batch = y.batch and x.vec_id <> y.vec_id"))
+def _(spark, sf):
+    return rounded(S.nearest(vectors(spark, sf), "grm", 5))
+
+
+@query("x3_env_cosine_above", "X3", VEC + f" select x.batch, x.vec_id as i, y.vec_id as j, {q6(COS)} as sim from b x join b y on x.batch = y.batch and x.vec_id < y.vec_id where round({COS}, 9) >= 0.2")
+def _(spark, sf):
+    return rounded(S.similar_above(vectors(spark, sf), "cosine", 0.2, "vec_id", "embedding", block=16))
+
+
 PAIR = VEC + LONG + f""", bz as (select b.*, z, m from b join z using (batch, vec_id)),
 s as (select x.batch, x.vec_id as i, y.vec_id as j, {COS} as e, {{t}} as t from bz x join bz y on x.batch = y.batch), n as (select batch, count(*) as n from b group by batch)"""
 GRM = "list_inner_product(x.z, y.z)/x.m"

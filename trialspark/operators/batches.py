@@ -40,9 +40,9 @@ def env_stratified_plan(
     if batch_size < m:
         raise TrialError("batch_size must be at least the chunk size")
     per_batch = batch_size // m
-    rows = df.select(F.col(key).alias("row_key"), F.col(env).alias("env")).withColumn("__h", hash_order(_seed(seed, epoch, "row"), "row_key"))
+    rows, total_rows = O.counted(df.select(F.col(key).alias("row_key"), F.col(env).alias("env")))
+    rows = rows.withColumn("__h", hash_order(_seed(seed, epoch, "row"), "row_key"))
     sizes = materialize(rows.groupBy("env").agg(F.count(F.lit(1)).alias("n")))
-    top = sizes.agg(F.coalesce(F.max("n"), F.lit(0)).alias("m"), F.coalesce(F.sum("n"), F.lit(0)).alias("t")).first()
     # chunk order and packing work on the chunk table, which follows from the environment sizes
     chunks = sizes.filter(F.col("n") >= m).select("env", F.explode(F.sequence(F.lit(0), F.expr(f"cast(n div {m} as int) - 1"))).alias("chunk"))
     chunks = chunks.withColumn("__h", hash_order(_seed(seed, epoch, "chunk"), "env", "chunk"))
@@ -59,7 +59,7 @@ def env_stratified_plan(
     turns = F.when(F.col("turn") < pad, F.array(F.col("turn"), F.col("turn") + F.col("n_batches"))).otherwise(F.array("turn"))
     schedule = turn.join(F.broadcast(total)).select("batch", F.explode(turns).alias("turn"))  # total is one row
     schedule = schedule.select("batch", (F.col("turn") % world).alias("rank"), F.expr(f"turn div {world}").alias("step"))
-    placed = O.positions(rows, ["env"], [F.col("__h"), F.col("row_key")], "pos", split_rows, (top["m"], top["t"]))
+    placed = O.positions(rows, ["env"], [F.col("__h"), F.col("row_key")], "pos", split_rows, total_rows)
     placed = placed.select("row_key", "env", F.expr(f"cast((pos - 1) div {m} as int)").alias("chunk"), ((F.col("pos") - 1) % m).alias("offset"))
     plan = placed.join(packed, ["env", "chunk"]).join(schedule, "batch")
     return plan.select("row_key", "env", "rank", "step", (F.col("seat") * m + F.col("offset")).alias("slot"))
@@ -80,20 +80,18 @@ def mixed_env_plan(
     to ranks in turn. The random part may repeat rows of the first part."""
     if not 0.0 <= ratio <= 1.0:
         raise TrialError("ratio must lie in [0, 1]")
-    rows = df.select(F.col(key).alias("row_key"), F.col(env).alias("env"))
+    rows, total = O.counted(df.select(F.col(key).alias("row_key"), F.col(env).alias("env")))
     sizes = rows.groupBy("env").agg(F.count(F.lit(1)).alias("n")).withColumn("__h", hash_order(_seed(seed, epoch, "env"), "env"))
     sizes = materialize(sizes)
-    top = sizes.agg(F.coalesce(F.max("n"), F.lit(0)).alias("m"), F.coalesce(F.sum("n"), F.lit(0)).alias("t")).first()
-    total = top["t"]
     n_env = int(total * ratio)
     cum = O.running_sums(sizes, [], [F.col("__h"), F.col("env")], {"upto": F.col("n")}, split_rows)
     take = cum.select("env", F.greatest(F.lit(0), F.least(F.col("n"), F.lit(n_env) - (F.col("upto") - F.col("n")))).alias("take")).filter("take > 0")
     inside = rows.withColumn("__h", hash_order(_seed(seed, epoch, "row"), "row_key"))
-    inside = O.positions(inside, ["env"], [F.col("__h"), F.col("row_key")], "pos", split_rows, (top["m"], total))
+    inside = O.positions(inside, ["env"], [F.col("__h"), F.col("row_key")], "pos", split_rows, total)
     first = inside.join(take, "env").filter(F.col("pos") <= F.col("take")).select("row_key", F.lit("env").alias("source"))
     loose = rows.withColumn("__h", hash_order(_seed(seed, epoch, "random"), "row_key"))
-    loose = O.positions(loose, [], [F.col("__h"), F.col("row_key")], "pos", split_rows, (total, total))
+    loose = O.positions(loose, [], [F.col("__h"), F.col("row_key")], "pos", split_rows, total)
     second = loose.filter(F.col("pos") <= total - n_env).select("row_key", F.lit("random").alias("source"))
     mixed = first.unionByName(second).withColumn("__h", hash_order(_seed(seed, epoch, "mix"), "source", "row_key"))
-    dealt = O.positions(mixed, [], [F.col("__h"), F.col("source"), F.col("row_key")], "pos", split_rows, (total, total))
+    dealt = O.positions(mixed, [], [F.col("__h"), F.col("source"), F.col("row_key")], "pos", split_rows)
     return dealt.select("row_key", "source", ((F.col("pos") - 1) % world).alias("rank"), F.expr(f"(pos - 1) div {world}").alias("step"))

@@ -1,10 +1,9 @@
 """Exact positions, running sums and average ranks that never put a whole large group in one task.
 
-Groups whose size is known to be moderate use a plain window. When the largest group passes
-``split_rows``, rows are range-partitioned by (group, order), written to the shared folder so
-that slice membership is fixed, summed per slice, and shifted by the totals of earlier slices.
-Both ways keep every row and give the same values: NULL is a group and a value of its own, ranked
-lowest, and NaN ranks highest.
+Narrow rows are written once and range-partitioned by (group, order) into slices of bounded size, whose
+places are fixed by writing them. A row's running value is the total of its group's earlier slices plus
+the one inside its slice, whatever the size of the group; a table of no more rows than one slice is that
+slice. Every row is kept: NULL is a group and a value of its own, ranked lowest, and NaN ranks highest.
 """
 
 from __future__ import annotations
@@ -16,14 +15,13 @@ from pyspark.sql import functions as F
 
 from trialspark.shared import materialize, null_safe_join
 
-SPLIT_ROWS = 1_000_000  # one sort of this many narrow rows is an ordinary task
+SPLIT_ROWS = 1 << 16  # rows of a slice: one sort of as many narrow rows is a small task
 
 
-def group_sizes(df: DataFrame, group: list[str]) -> tuple[int, int]:
-    """Rows of the largest group and of the whole table."""
-    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
-    top = sizes.agg(F.max("n").alias("largest"), F.sum("n").alias("total")).first()
-    return top["largest"] or 0, top["total"] or 0
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """``df`` written once, and its number of rows from the files' footers."""
+    table = materialize(df)
+    return table, table.count()
 
 
 def running_sums(
@@ -32,22 +30,23 @@ def running_sums(
     order: list[Column],
     sums: dict[str, Column],
     split_rows: int = SPLIT_ROWS,
-    known: tuple[int, int] | None = None,
+    known: int | None = None,
     maxima: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Add inclusive running sums (and maxima) in ``order`` within ``group``; ``order`` must be total.
 
-    ``known`` passes an upper bound on the largest group and on all rows when the caller has
-    counted them already.
+    ``known`` is an upper bound on the rows of a table that is cheap to read again; without it ``df`` is
+    written and counted first.
     """
-    largest, total = known or group_sizes(df, group)
+    if known is None:
+        df, known = counted(df)
     maxima = maxima or {}
     start, here = Window.unboundedPreceding, Window.currentRow
-    if largest <= split_rows:
+    slices = max(1, math.ceil(known / split_rows))
+    if slices == 1:
         w = Window.partitionBy(*group).orderBy(*order).rowsBetween(start, here)
         return df.withColumns({n: F.sum(c).over(w) for n, c in sums.items()} | {n: F.max(c).over(w) for n, c in maxima.items()})
 
-    slices = max(2, math.ceil(total / split_rows))
     weighted = df.withColumns({f"__w_{n}": c for n, c in (sums | maxima).items()})
     ranged = materialize(
         weighted.repartitionByRange(slices, *[F.col(g) for g in group], *order).withColumn(
@@ -73,7 +72,7 @@ def positions(
     order: list[Column],
     out: str = "position",
     split_rows: int = SPLIT_ROWS,
-    known: tuple[int, int] | None = None,
+    known: int | None = None,
 ) -> DataFrame:
     """1-based ordinal position within ``group``."""
     return running_sums(df, group, order, {out: F.lit(1).cast("long")}, split_rows, known)
@@ -85,22 +84,17 @@ def dense_codes(
     value: str,
     out: str,
     split_rows: int = SPLIT_ROWS,
-    known: tuple[int, int] | None = None,
+    known: int | None = None,
 ) -> DataFrame:
     """Distinct values of ``value`` per group with a 0-based code in ascending order."""
-    distinct = df.select(*group, value).distinct()
-    distinct = materialize(distinct) if known is None else distinct
-    return positions(distinct, group, [F.col(value)], out, split_rows, known).withColumn(out, F.col(out) - 1)
+    return positions(df.select(*group, value).distinct(), group, [F.col(value)], out, split_rows, known).withColumn(out, F.col(out) - 1)
 
 
-def dense_ranks(
-    df: DataFrame, group: list[str], value: str, out: str, split_rows: int = SPLIT_ROWS, known: tuple[int, int] | None = None
-) -> DataFrame:
+def dense_ranks(df: DataFrame, group: list[str], value: str, out: str, split_rows: int = SPLIT_ROWS, known: int | None = None) -> DataFrame:
     """Add the 0-based dense rank of ``value`` within ``group``."""
-    sizes = known or group_sizes(df, group)
-    if sizes[0] <= split_rows:
-        return df.withColumn(out, F.dense_rank().over(Window.partitionBy(*group).orderBy(value)).cast("long") - 1)
-    return null_safe_join(df, dense_codes(df, group, value, out, split_rows, sizes), [*group, value])
+    if known is None:
+        df, known = counted(df)
+    return null_safe_join(df, dense_codes(df, group, value, out, split_rows, known), [*group, value])
 
 
 def average_ranks(
@@ -109,19 +103,16 @@ def average_ranks(
     value: str,
     out: str,
     split_rows: int = SPLIT_ROWS,
-    known: tuple[int, int] | None = None,
+    known: int | None = None,
 ) -> DataFrame:
     """Add 1-based ranks where ties share their mean rank.
 
-    Moderate groups need one window: the first and the last place of a value average to its rank.
-    For larger ones equal values collapse to one counted row before anything is ordered.
+    Equal values collapse to one counted row before anything is ordered, so a frequent value is not
+    a heavy slice; its rank goes back to its rows by a join, which splits at run time where a value is hot.
     """
-    sizes = known or group_sizes(df, group)
-    if sizes[0] <= split_rows:
-        w = Window.partitionBy(*group).orderBy(value)
-        upto = F.count(F.lit(1)).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-        return df.withColumn(out, (F.rank().over(w) + upto) / 2.0)
-    counted = df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("__ties"))
-    cum = running_sums(counted, group, [F.col(value)], {"__upto": F.col("__ties")}, split_rows, sizes)
+    if known is None:
+        df, known = counted(df)
+    ties = df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("__ties"))
+    cum = running_sums(ties, group, [F.col(value)], {"__upto": F.col("__ties")}, split_rows, known)
     ranked = cum.select(*group, value, (F.col("__upto") - (F.col("__ties") - 1) / 2.0).alias(out))
     return null_safe_join(df, ranked, [*group, value])

@@ -1,8 +1,7 @@
 """Rank metrics. Pair statistics are exact without ever emitting pairs.
 
-Counting ordered pairs is done digit by digit: rows sharing the leading digits of a rank and
-differing in the next one meet in a window ordered by position, where running digit counts say
-how many earlier rows rank below or above. A group of n rows costs n·log4(n) counted rows.
+The rows an operator needs are written once; ranks come from running counts over slices
+(``ordering``) and pair statistics from slices and buckets of bounded size (``pair_counts``).
 """
 
 from __future__ import annotations
@@ -11,24 +10,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trialspark.operators import ordering as O
+from trialspark.operators.pair_counts import ordered_pair_totals
 from trialspark.shared import materialize, null_safe_join
 
 # Fixed values that results depend on.
 HINGE_MARGIN, HINGE_GAP, HINGE_MIN_N = 0.5, 0.2, 3
 NORM_EPS = 1e-8
-DIGIT_BITS = 2
-
-
-def _sized(base: DataFrame, group: list[str], split_rows: int) -> tuple[DataFrame, tuple[int, int]]:
-    """Group sizes of ``base``; a table with an oversized group is written once, as several jobs read it."""
-    sizes = O.group_sizes(base, group)
-    return (materialize(base) if sizes[0] > split_rows else base), sizes
 
 
 def _both_ranks(base: DataFrame, group: list[str], split_rows: int) -> DataFrame:
-    base, sizes = _sized(base, group, split_rows)
-    ranked = O.average_ranks(base, group, "__a", "__ra", split_rows, sizes)
-    return O.average_ranks(ranked, group, "__p", "__rp", split_rows, sizes)
+    base, rows = O.counted(base)
+    ranked = O.average_ranks(base, group, "__a", "__ra", split_rows, rows)
+    return O.average_ranks(ranked, group, "__p", "__rp", split_rows, rows)
 
 
 def env_spearman(df: DataFrame, group: str | list[str] = "env", actual: str = "actual", pred: str = "pred", split_rows: int = O.SPLIT_ROWS) -> DataFrame:
@@ -71,32 +64,6 @@ def spearman(df: DataFrame, actual: str = "actual", pred: str = "pred", by: list
     return m.select(*by, "n", rho.alias("spearman"), (F.lit(1.0) - rho).alias("loss"))
 
 
-def _earlier_by_rank(
-    events: DataFrame, group: list[str], pos: str, rank: str, point: Column, sizes: tuple[int, int], split_rows: int, weight: Column | None = None
-) -> DataFrame:
-    """For each event and rank digit: earlier points below and above it (and the weight above).
-
-    Summing the added columns over an event's rows gives the totals for that event.
-    """
-    radix = 1 << DIGIT_BITS
-    levels = max(1, -(-max(sizes[0], 1).bit_length() // DIGIT_BITS))
-    lv = events.withColumn("__lv", F.explode(F.array(*[F.lit(i) for i in range(levels)])))
-    lv = lv.withColumn("__high", F.expr(f"shiftright(`{rank}`, {DIGIT_BITS} * __lv)"))
-    lv = lv.withColumns({"__prefix": F.expr(f"__high div {radix}"), "__digit": F.col("__high") % radix})
-    sums = {f"__c{k}": F.when(F.col("__digit") == k, point).otherwise(F.lit(0)).cast("long") for k in range(radix)}
-    if weight is not None:
-        sums |= {f"__s{k}": F.when((F.col("__digit") == k) & (point == 1), weight).otherwise(F.lit(0.0)) for k in range(radix)}
-    run = O.running_sums(lv, [*group, "__lv", "__prefix"], [F.col(pos)], sums, split_rows, known=(sizes[0], sizes[1] * levels))
-    digit = F.col("__digit")
-    zero = F.lit(0).cast("long")
-    below = sum((F.when(digit > k, F.col(f"__c{k}")).otherwise(zero) for k in range(radix)), zero)
-    above = sum((F.when(digit < k, F.col(f"__c{k}")).otherwise(zero) for k in range(radix)), zero)
-    out = {"n_below": below, "n_above": above}
-    if weight is not None:
-        out["w_above"] = sum((F.when(digit < k, F.col(f"__s{k}")).otherwise(F.lit(0.0)) for k in range(radix)), F.lit(0.0))
-    return run.select(*events.columns, "__lv", *[c.alias(n) for n, c in out.items()])
-
-
 def ktau(
     df: DataFrame,
     group: str | list[str] = "env",
@@ -116,15 +83,10 @@ def ktau(
 
 def _concordance(base: DataFrame, group: list[str], order: list[Column], split_rows: int) -> DataFrame:
     """Per group: rows, and pairs whose ``__a`` rises or falls along ``order``."""
-    base, sizes = _sized(base, group, split_rows)
-    ordered = O.positions(base, group, order, "__pos", split_rows, sizes)
-    ranked = O.dense_ranks(ordered, group, "__a", "__rank", split_rows, sizes).select(*group, "__pos", "__rank")
-    counted = _earlier_by_rank(ranked, group, "__pos", "__rank", F.lit(1), sizes, split_rows)
-    return counted.groupBy(*group).agg(
-        F.sum(F.when(F.col("__lv") == 0, 1)).alias("n"),
-        F.sum("n_below").alias("concordant"),
-        F.sum("n_above").alias("discordant"),
-    )
+    base, rows = O.counted(base)
+    events = base.withColumns({"v": F.col("__a"), "pt": F.lit(1), "q": F.lit(1)})
+    out = ordered_pair_totals(events, rows, group, order, slice_rows=split_rows)
+    return out.select(*group, F.col("n_rows").alias("n"), F.col("below").alias("concordant"), F.col("above").alias("discordant"))
 
 
 def tau_b(
@@ -168,32 +130,22 @@ def rank_hinge(
     """Mean of ``max(0, margin − (p_i − p_j))`` over all pairs of an environment with ``y_j < y_i − gap``.
 
     Each row enters once as a point ``(y, p)`` and once as a query ``(y − gap, p − margin)``; the
-    hinge total of a query is the sum of ``p_j − (p_i − margin)`` over earlier points above it.
+    hinge total of a query is the sum of ``p_j − (p_i − margin)`` over earlier points above it. Pairs
+    with a NULL prediction count and add nothing; one with a NaN or infinite prediction makes the mean NaN.
     """
-    base = df.select(F.col(env).alias("__g"), F.col(actual).alias("__a"), F.col(pred).alias("__p"), F.col(key).alias("__k"))
-    base, (largest, total) = _sized(base, ["__g"], split_rows)
-    sizes = (2 * largest, 2 * total)
+    base, rows = O.counted(df.select(F.col(env).alias("__g"), F.col(actual).cast("double").alias("__a"), F.col(pred).cast("double").alias("__p"), F.col(key).alias("__k")))
     both = F.explode(
         F.array(
             F.struct(F.col("__a").alias("t"), F.col("__p").alias("v"), F.lit(1).alias("pt")),
             F.struct((F.col("__a") - gap).alias("t"), (F.col("__p") - margin).alias("v"), F.lit(0).alias("pt")),
         )
     )
-    events = base.select("__g", "__k", both.alias("e")).select("__g", "__k", "e.t", "e.v", "e.pt")
+    events = base.select("__g", "__k", both.alias("e")).select("__g", "__k", "e.t", "e.v", "e.pt", (1 - F.col("e.pt")).alias("q"))
     order = [F.col("t"), F.col("pt"), F.col("__k")]
-    ordered = O.running_sums(
-        events, ["__g"], order, {"__pos": F.lit(1).cast("long"), "__pts": F.col("pt").cast("long")}, split_rows, sizes
-    )
-    ranked = O.dense_ranks(ordered, ["__g"], "v", "__rank", split_rows, sizes)
-    counted = _earlier_by_rank(ranked, ["__g"], "__pos", "__rank", F.col("pt"), sizes, split_rows, F.col("v"))
-    queries = counted.filter(F.col("pt") == 0)
-    per = queries.groupBy("__g").agg(
-        F.count_if(F.col("__lv") == 0).alias("n"),
-        F.sum(F.when(F.col("__lv") == 0, F.col("__pts"))).alias("n_pairs"),
-        F.sum(F.col("w_above") - F.col("v") * F.col("n_above")).alias("total"),
-    )
-    usable = per.filter(F.col("n") >= HINGE_MIN_N)
-    m = usable.agg(F.coalesce(F.sum("n_pairs"), F.lit(0)).alias("n_pairs"), F.sum("total").alias("total"))
+    per = ordered_pair_totals(events, 2 * rows, ["__g"], order, weighted=True, slice_rows=split_rows)
+    total = F.when(F.col("set_pairs") > F.col("ok_pairs"), F.lit(float("nan"))).otherwise(F.col("gap"))
+    usable = per.filter(F.col("n_queries") >= HINGE_MIN_N)
+    m = usable.agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("n_pairs"), F.sum(total).alias("total"))
     return m.select("n_pairs", F.coalesce(F.try_divide("total", "n_pairs"), F.lit(0.0)).alias("hinge"))
 
 
@@ -207,9 +159,9 @@ def rank_consistency(
 ) -> DataFrame:
     """Mean over hybrids with two or more rows of ``1 − r`` between ordinal ranks; 0 if none."""
     base = df.select(F.col(hybrid).alias("__g"), F.col(actual).alias("__a"), F.col(pred).alias("__p"), F.col(key).alias("__k"))
-    base, sizes = _sized(base, ["__g"], split_rows)
-    ranked = O.positions(base, ["__g"], [F.col("__p"), F.col("__k")], "__rp", split_rows, sizes)
-    ranked = O.positions(ranked, ["__g"], [F.col("__a"), F.col("__k")], "__ra", split_rows, sizes)
+    base, rows = O.counted(base)
+    ranked = O.positions(base, ["__g"], [F.col("__p"), F.col("__k")], "__rp", split_rows, rows)
+    ranked = O.positions(ranked, ["__g"], [F.col("__a"), F.col("__k")], "__ra", split_rows, rows)
     per = ranked.groupBy("__g").agg(
         F.count(F.lit(1)).alias("n"),
         F.regr_sxx("__rp", "__ra").alias("saa"),

@@ -118,12 +118,11 @@ def best_scale_epoch(log: DataFrame, patience: int, scale_mse: str = "total_env_
 def rank_concordance(runs: DataFrame, tag: str = "tag", cv: str = "cv_val_pcc", test: str = "test_pcc") -> DataFrame:
     """Ranks by CV and by test (0 = best) of runs with both scores, and whether the CV-best run is
     in the test top two and the CV-worst in the bottom two."""
-    ok = runs.filter(finite(cv) & finite(test)).select(tag, cv, test)
-    sizes = O.group_sizes(ok, [])
-    ranked = O.positions(ok, [], [F.desc(cv), F.col(tag)], "cv_rank", known=sizes)
-    ranked = O.positions(ranked, [], [F.desc(test), F.col(tag)], "test_rank", known=sizes)
+    ok, rows = O.counted(runs.filter(finite(cv) & finite(test)).select(tag, cv, test))
+    ranked = O.positions(ok, [], [F.desc(cv), F.col(tag)], "cv_rank", known=rows)
+    ranked = O.positions(ranked, [], [F.desc(test), F.col(tag)], "test_rank", known=rows)
     ranked = ranked.withColumns({"cv_rank": F.col("cv_rank") - 1, "test_rank": F.col("test_rank") - 1})
-    last = F.lit(sizes[1] - 1)
+    last = F.lit(rows - 1)
     return ranked.withColumns(
         {
             "cv_best_in_top2": F.when(F.col("cv_rank") == 0, F.col("test_rank") <= 1),
