@@ -10,9 +10,11 @@ joins two neighbouring symbols, again and again, which gives the library's ids.
 from __future__ import annotations
 
 import heapq
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import sha256
 from operator import add
 
 import numpy as np
@@ -22,15 +24,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trialspark.llm.common import documents, query, text_of
+from trialspark.llm.common import documents, lean, pieces, query, release_unused, text_of, utf8
 from trialspark.llm.substrings import _write
 
 VOCABULARY = "piece_bpe_32k.model"
 LATTICE = 60  # letters of the longest unit whose state fits into the bits of a long
 COMMON_UNITS = 1 << 18  # most frequent units, broadcast; all others are joined
-BUCKET_BYTES = 8 << 20  # text per group of documents that gets its rare units together
-FLUSH = 1 << 18
-SLICE = 512
+BUCKET_BYTES = 16 << 20  # text per group of documents that gets its rare units together
+FLUSH = 1 << 17  # words that a task remembers
 UNITS_PER_TASK = 1 << 14
 
 
@@ -80,8 +81,10 @@ def _neighbours(vocabulary: str) -> frozenset[str]:
 def units_of(word: str, vocabulary: str = VOCABULARY) -> list[str]:
     """A word with its mark, cut wherever neighbouring characters stand together in no piece."""
     pairs, marked = _neighbours(vocabulary), "▁" + word
+    if pairs.issuperset(map(add, marked, marked[1:])):  # nearly all words
+        return [marked]
     cuts = [i for i, pair in enumerate(map(add, marked, marked[1:]), 1) if pair not in pairs]
-    return [marked[a:b] for a, b in zip([0, *cuts], [*cuts, None])] if cuts else [marked]
+    return [marked[a:b] for a, b in zip([0, *cuts], [*cuts, None])]
 
 
 def unit_counts(rows: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -105,11 +108,11 @@ def unit_counts(rows: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
                     yield flush()
         yield flush()
 
-    return rows.select("text").mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+    return rows.select("text").mapInArrow(lean(run), "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
 
 
 def lattice(units: DataFrame, table: list[tuple[str, int, int]]) -> DataFrame:
-    """Per unit its edges, best rank first and leftmost first: ``s, e, id`` and two bit masks.
+    """Per number ``no`` of a unit its edges, best rank first and leftmost first: ``s, e, id`` and two bit masks.
 
     Edges are grouped as one number each (rank, start, size, id), which sorts them too. ``ends`` has the bits of both ends and ``inside`` those of the places between them. The piece
     table has a fixed size and is broadcast; edges stay in the partition of their unit.
@@ -117,12 +120,13 @@ def lattice(units: DataFrame, table: list[tuple[str, int, int]]) -> DataFrame:
     spark = units.sparkSession
     longest = max(len(p) for p, _, _ in table)
     pieces = F.broadcast(spark.createDataFrame(table, "piece string, id int, rank int"))
-    starts = units.select("unit", F.explode(F.sequence(F.lit(0), F.length("unit") - 1)).alias("s"))
-    sizes = F.sequence(F.lit(1), F.least(F.lit(longest), F.length("unit") - F.col("s")))
-    cut = starts.select("unit", "s", F.explode(sizes).alias("size"))
-    found = cut.withColumn("piece", F.substring("unit", F.col("s") + 1, F.col("size"))).join(pieces, "piece")
-    packed = F.call_function("shiftleft", F.col("rank").cast("long"), F.lit(32)) + F.col("s") * (1 << 24) + F.col("size") * (1 << 16) + F.col("id")
-    grouped = found.select("unit", packed.alias("edge")).groupBy("unit").agg(F.sort_array(F.collect_list("edge")).alias("packed"))
+    starts = units.select("no", "unit", F.explode(F.sequence(F.lit(0), F.length("unit") - 1)).alias("s"))
+    tails = starts.select("no", "s", F.substring("unit", F.col("s") + 1, F.lit(longest)).alias("tail"))
+    cut = tails.select("no", "s", "tail", F.explode(F.sequence(F.lit(1), F.length("tail"))).alias("size"))
+    place = F.col("s") * (1 << 24) + F.col("size") * (1 << 16)
+    found = cut.select("no", place.alias("place"), F.substring("tail", F.lit(1), F.col("size")).alias("piece")).join(pieces, "piece")
+    packed = F.call_function("shiftleft", F.col("rank").cast("long"), F.lit(32)) + F.col("place") + F.col("id")
+    grouped = found.select("no", packed.alias("edge")).groupBy("no").agg(F.sort_array(F.collect_list("edge")).alias("packed"))
     bit = lambda at: F.call_function("shiftleft", F.lit(1).cast("long"), at)
 
     def spread(x: Column) -> Column:
@@ -130,7 +134,7 @@ def lattice(units: DataFrame, table: list[tuple[str, int, int]]) -> DataFrame:
         e = s + F.call_function("shiftright", x, F.lit(16)).bitwiseAND(F.lit(255)).cast("int")
         return F.struct(s.alias("s"), e.alias("e"), x.bitwiseAND(F.lit(65535)).cast("int").alias("id"), (bit(s) + bit(e)).alias("ends"), (bit(e) - bit(s + 1)).alias("inside"))
 
-    return grouped.select("unit", F.transform("packed", spread).alias("edges"))
+    return grouped.select("no", F.transform("packed", spread).alias("edges"))
 
 
 def _let(value: Column, body) -> Column:
@@ -151,13 +155,19 @@ def _merge_fold(edges: Column, n: Column) -> Column:
 
 
 def encode_units(units: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """``unit, ids`` for distinct units: the lattice fold, and a heap of merges for the overlong ones."""
+    """``unit, ids`` for distinct units: the lattice fold, and a heap of merges for the overlong ones.
+
+    Units that don't come with a stored number ``no`` are numbered and written first; substrings
+    then carry their unit's number in place of its letters.
+    """
     table, zero, _ = piece_table(vocabulary)
+    if "no" not in units.columns:
+        units = _write(units.select("unit", F.monotonically_increasing_id().alias("no")), "numbered")
     short, long = units.filter(F.length("unit") <= LATTICE), units.filter(F.length("unit") > LATTICE)
     # dealt by unit once: edges are made, grouped and joined where their unit is
     tasks = max(1, -(-units.count() // UNITS_PER_TASK))  # a unit makes about fifty substrings
-    placed = short.select("unit").repartition(tasks, "unit")
-    edges = placed.join(lattice(placed, table).hint("merge"), "unit", "left")
+    placed = short.select("unit", "no").repartition(tasks, "no")
+    edges = placed.join(lattice(placed, table).hint("merge"), "no", "left")
     n = F.length("unit")
     known = edges.withColumn("edges", F.coalesce("edges", F.array().cast("array<struct<s:int,e:int,id:int,ends:bigint,inside:bigint>>")))
     def stops_of(places: Column) -> Column:
@@ -225,7 +235,7 @@ def _encode_long_units(units: DataFrame, vocabulary: str) -> DataFrame:
             ids = [merge_ids(u.as_py(), vocabulary) for u in batch.column(0)]
             yield pa.record_batch([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["unit", "ids"])
 
-    return units.select("unit").mapInArrow(run, "unit string, ids array<int>")
+    return units.select("unit").mapInArrow(lean(run), "unit string, ids array<int>")
 
 
 def common_from(counts: DataFrame, limit: int = COMMON_UNITS) -> int:
@@ -247,50 +257,52 @@ def common_units(counts: DataFrame, limit: int = COMMON_UNITS) -> DataFrame:
     return short.filter(F.col("n") >= common_from(short, limit))
 
 
-def _small_batches(spark: SparkSession) -> None:
-    """Let Arrow batches of whole texts hold ``SLICE`` rows at most, as a batch is held several times."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= SLICE:
-        spark.conf.set(name, str(SLICE))
-
-
 def encode(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = COMMON_UNITS, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """``doc_id, n_bytes, ids`` for each row of ``docs``: the ids that the library gives the whole text.
 
     The ids of at most ``limit`` frequent units of up to ``LATTICE`` letters are broadcast; every other unit reaches the documents
     that hold it through joins on the unit and on buckets of documents, whose number grows with the
     text. NULL and empty texts have no ids; repeated rows are encoded each; other columns
-    are not read. The session's Arrow batches are set to ``SLICE`` rows.
+    are not read.
     """
+    return _encoded(docs, vocabulary, limit, bucket_bytes, False)
+
+
+def _encoded(docs: DataFrame, vocabulary: str, limit: int, bucket_bytes: int, decoded: bool) -> DataFrame:
+    """``encode``, with the digest of what the ids decode to if ``decoded``."""
     spark = docs.sparkSession
-    _small_batches(spark)
     rows = docs.select("doc_id", text_of().alias("text"))
-    counts = _write(unit_counts(rows, vocabulary), "units")
-    dictionary = _write(encode_units(counts.select("unit"), vocabulary), "codes")
+    counts = _write(unit_counts(rows, vocabulary).withColumn("no", F.monotonically_increasing_id()), "units")
+    dictionary = _write(encode_units(counts.select("unit", "no"), vocabulary), "codes")
     common = common_units(counts, limit).join(dictionary, "unit").select("unit", "ids").toArrow()
-    shared = spark.sparkContext.broadcast((common.column("unit").to_pylist(), _code_bytes(common.column("ids"))))
+    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, common.column("unit").to_pylist(), _code_bytes(common.column("ids"))))
     total = rows.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
     buckets = max(1, -(-total // bucket_bytes))
     bucket = F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int")
-    rare = _rare_units(rows.select(bucket.alias("bucket"), "text"), shared, vocabulary).distinct()
+    rare = _rare_units(rows.select(bucket.alias("bucket"), utf8().alias("text")), shared, vocabulary).distinct()
     coded = rare.join(dictionary.hint("merge"), "unit").select("bucket", "unit", "ids")
-    packed = _packed_texts(rows.select(bucket.alias("bucket"), "doc_id", "text"))
+    packed = _packed_texts(rows.select(bucket.alias("bucket"), "doc_id", utf8().alias("text")))
+    key = packed.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {key}, n_bytes long, ids array<int>" + (", decoded_sha256 string" if decoded else "")
 
     def assemble(texts: pa.Table, units: pa.Table) -> pa.Table:
         unpack = zstandard.ZstdDecompressor()
-        common = _common(shared)
         rare = dict(zip(units.column("unit").to_pylist(), _code_bytes(units.column("ids")), strict=True))
-        code = _WordCodes(common, rare, vocabulary).__getitem__
-        sizes, out = [], []
+        code = _WordCodes(_common(shared), rare, vocabulary).__getitem__
+        sizes, out, digests = [], [], []
         for body in texts.column("body"):
             raw = unpack.decompress(body.as_py())
             sizes.append(len(raw))
             out.append(b"".join(map(code, words_of(raw.decode()))))
+            if decoded:
+                digests.append(sha256(decode_ids(np.frombuffer(out[-1], np.int32).tolist(), vocabulary).encode()).hexdigest())
         ends = np.cumsum([0, *(len(o) // 4 for o in out)], dtype=np.int32)
         ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(out), np.int32)))
-        return pa.table([texts.column("doc_id"), pa.array(sizes, pa.int64()), ids], names=["doc_id", "n_bytes", "ids"])
+        columns = [texts.column("doc_id"), pa.array(sizes, pa.int64()), ids, *([pa.array(digests, pa.string())] if decoded else [])]
+        release_unused()
+        return pa.table(columns, names=["doc_id", "n_bytes", "ids", *(["decoded_sha256"] if decoded else [])])
 
-    return packed.groupBy("bucket").cogroup(coded.groupBy("bucket")).applyInArrow(assemble, "doc_id long, n_bytes long, ids array<int>")
+    return packed.groupBy("bucket").cogroup(coded.groupBy("bucket")).applyInArrow(assemble, schema)
 
 
 def _code_bytes(ids: pa.ChunkedArray) -> list[bytes]:
@@ -302,16 +314,16 @@ def _code_bytes(ids: pa.ChunkedArray) -> list[bytes]:
     return out
 
 
-_held: dict[int, dict[str, bytes]] = {}
+_held: dict[str, dict[str, bytes]] = {}
 
 
 def _common(shared) -> dict[str, bytes]:
-    """The broadcast units as a dictionary, made once in a worker process."""
-    key = id(shared.value)
-    if key not in _held:
+    """The broadcast units as a dictionary, made once in a worker process and known by the broadcast's own name."""
+    name, units, codes = shared.value
+    if name not in _held:
         _held.clear()
-        _held[key] = dict(zip(*shared.value, strict=True))
-    return _held[key]
+        _held[name] = dict(zip(units, codes, strict=True))
+    return _held[name]
 
 
 class _WordCodes(dict):
@@ -329,49 +341,55 @@ class _WordCodes(dict):
 
 
 def _rare_units(rows: DataFrame, shared, vocabulary: str) -> DataFrame:
-    """``bucket, unit`` for units outside the broadcast ones, once per slice of a batch."""
+    """``bucket, unit`` for units outside the broadcast ones, once per slice of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = _common(shared)
-
-        @lru_cache(maxsize=FLUSH // 2)
-        def units(word: str) -> tuple[str, ...]:
-            return tuple(u for u in units_of(word, vocabulary) if u not in common)
-
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                words: dict[int, set[str]] = {}
-                for b, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                    words.setdefault(b, set()).update(words_of(text.as_py()))
-                found = {(b, u) for b, some in words.items() for w in some for u in units(w)}
-                cols = [list(c) for c in zip(*found, strict=True)] or [[], []]
-                yield pa.record_batch([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.string())], names=["bucket", "unit"])
-
-    return rows.mapInArrow(run, "bucket int, unit string")
+        for part, texts in pieces(batches, 1):
+            words: dict[int, set[str]] = {}
+            for b, text in zip(part.column(0).to_pylist(), texts, strict=True):
+                words.setdefault(b, set()).update(words_of(text.decode()))
+            rare: dict[str, list[str]] = {}
+            for word in set().union(*words.values()):
+                if units := [u for u in units_of(word, vocabulary) if u not in common]:
+                    rare[word] = units
+            cols: tuple[list, list] = ([], [])
+            for b, some in words.items():
+                found = {u for w in some & rare.keys() for u in rare[w]}
+                cols[0].extend([b] * len(found))
+                cols[1].extend(found)
+            yield pa.record_batch([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.string())], names=["bucket", "unit"])
+
+    return rows.mapInArrow(lean(run), "bucket int, unit string")
 
 
 def _packed_texts(rows: DataFrame) -> DataFrame:
+    """``bucket, doc_id, body``: texts as they travel to their bucket."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            body = pa.array([press.compress(t.as_py().encode()) for t in batch.column(2)], pa.binary())
-            yield pa.record_batch([batch.column(0), batch.column(1), body], names=["bucket", "doc_id", "body"])
+        for part, texts in pieces(batches, 2):
+            body = pa.array([press.compress(t) for t in texts], pa.binary())
+            yield pa.record_batch([part.column(0), part.column(1), body], names=["bucket", "doc_id", "body"])
 
-    return rows.mapInArrow(run, "bucket int, doc_id long, body binary")
+    return rows.mapInArrow(lean(run), rows.withColumnRenamed("text", "body").schema)
 
 
 def decode_ids(ids: list[int], vocabulary: str = VOCABULARY) -> str:
     """The text of a run of ids: pieces joined, byte pieces as UTF-8, blanks for marks, front blank off."""
-    names, zero = _names(vocabulary)
-    raw = b"".join(names[i] if i in names else bytes([i - zero]) for i in ids)
+    raw = b"".join(map(_names(vocabulary).__getitem__, ids))
     return raw.decode("utf-8", "replace").replace("▁", " ").removeprefix(" ")
 
 
 @lru_cache(maxsize=4)
-def _names(vocabulary: str) -> tuple[dict[int, bytes], int]:
+def _names(vocabulary: str) -> list[bytes]:
+    """The bytes of each id, in order; ids that stand for no text have none."""
     table, zero, _ = piece_table(vocabulary)
-    return {i: p.encode() for p, i, _ in table}, zero
+    names = [b""] * (max(zero + 255, *(i for _, i, _ in table)) + 1)
+    names[zero : zero + 256] = [bytes([b]) for b in range(256)]
+    for p, i, _ in table:
+        names[i] = p.encode()
+    return names
 
 
 def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -385,7 +403,7 @@ def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
             texts = [None if v is None else decode_ids(v, vocabulary) for v in batch.column(len(kept)).to_pylist()]
             yield pa.record_batch([*batch.columns[: len(kept)], pa.array(texts, pa.string())], names=[*kept, "text"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def encode_decode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -394,9 +412,8 @@ def encode_decode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     The digest is that of the text where decoding gives it back, as it does for every text without
     the mark U+2581 of its own; NULL counts as empty.
     """
-    encoded = encode(docs, vocabulary)
-    both = decode(encoded.withColumn("kept_ids", F.col("ids")), vocabulary)
-    return both.select("doc_id", "n_bytes", F.size("kept_ids").cast("long").alias("n_tokens"), F.col("kept_ids").alias("ids"), F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"))
+    encoded = _encoded(docs, vocabulary, COMMON_UNITS, BUCKET_BYTES, True)
+    return encoded.select("doc_id", "n_bytes", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded_sha256")
 
 
 @query("op3_piece_lattice")
