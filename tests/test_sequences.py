@@ -66,3 +66,43 @@ def test_best_fold_prefers_pcc_then_loss_then_first(spark):
     assert W.best_fold(folds).first()["best_checkpoint"] == "c"
     assert W.latest_fold(folds).first()["best_checkpoint"] == "d"
     assert W.best_fold(folds.limit(0)).count() == 0
+
+
+def no_rows(parts):
+    for pdf in parts:
+        assert not len(pdf), "a row reached the loop"
+        yield pdf
+
+
+@pytest.mark.parametrize("falling", [False, True])
+def test_equal_scores_send_no_row_to_the_loop(spark, monkeypatch, falling):
+    """One run of equal scores in many slices, beside runs of rising and undefined scores."""
+    monkeypatch.setattr(W, "_fold_candidates", no_rows)
+    n = 30000
+    g = np.random.default_rng(1)
+    loss = -np.arange(n, dtype=float) if falling else g.random(n)
+    rows = [("equal", i, 0.5, float(loss[i])) for i in range(n)]
+    rows += [("rising", i, i / 10, 1.0) for i in range(50)] + [("none", i, float("nan"), float(loss[i])) for i in range(50)]
+    rows += [("nan first", 0, 0.5, float("nan")), ("nan first", 1, 0.5, 0.1), ("inf", 0, float("nan"), float("inf")), ("inf", 1, float("inf"), 2.0)]
+    log = spark.createDataFrame(rows, "run_id string, epoch int, val_pcc double, val_loss double").repartition(4)
+    got = {}
+    for r in W.improved_epochs(log, split_rows=1000).collect():
+        got.setdefault(r["run"], []).append(r["epoch"])
+    for run in {r[0] for r in rows}:
+        best, low, want = -math.inf, math.inf, []
+        for _, epoch, p, v in sorted(r for r in rows if r[0] == run):
+            if p > best + 1e-8 and math.isfinite(p) or (math.isfinite(p) and abs(p - best) <= 1e-8 and v < low) or (not math.isfinite(p) and best == -math.inf and v < low):
+                best, low = (p if math.isfinite(p) else best), v
+                want.append(epoch)
+        assert sorted(got.get(run, [])) == want, run
+
+
+def test_only_drifting_segments_are_walked(spark, monkeypatch):
+    seen = []
+    real = W.materialize
+    monkeypatch.setattr(W, "materialize", lambda df: seen.append(real(df)) or seen[-1])
+    steps = [0.1] * 20 + [0.5, 0.5 + 0.6e-8, 0.5 - 0.3e-8, 0.5] + [0.9] * 30
+    log = spark.createDataFrame([("r", i, p, float(-i)) for i, p in enumerate(steps)], "run_id string, epoch int, val_pcc double, val_loss double")
+    assert [r["epoch"] for r in W.improved_epochs(log, split_rows=8).orderBy("pos").collect()] == [*range(20), 20, 21, 22, 23, *range(24, 54)]
+    segments = {r["segment"]: r["n"] for r in seen[0].groupBy("segment").agg(W.F.count("*").alias("n")).collect()}
+    assert segments == {1: 20, 2: 4, 3: 30}

@@ -32,37 +32,41 @@ def running_sums(
     split_rows: int = SPLIT_ROWS,
     known: int | None = None,
     maxima: dict[str, Column] | None = None,
+    maxima_before: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Add inclusive running sums (and maxima) in ``order`` within ``group``; ``order`` must be total.
 
-    ``known`` is an upper bound on the rows of a table that is cheap to read again; without it ``df`` is
+    ``maxima_before`` are maxima over earlier rows only. ``known`` is an upper bound on the rows of a table that is cheap to read again; without it ``df`` is
     written and counted first.
     """
     if known is None:
         df, known = counted(df)
-    maxima = maxima or {}
+    maxima, earlier = maxima or {}, maxima_before or {}
     start, here = Window.unboundedPreceding, Window.currentRow
     slices = max(1, math.ceil(known / split_rows))
     if slices == 1:
         w = Window.partitionBy(*group).orderBy(*order).rowsBetween(start, here)
-        return df.withColumns({n: F.sum(c).over(w) for n, c in sums.items()} | {n: F.max(c).over(w) for n, c in maxima.items()})
+        past = Window.partitionBy(*group).orderBy(*order).rowsBetween(start, -1)
+        added = {n: F.sum(c).over(w) for n, c in sums.items()} | {n: F.max(c).over(w) for n, c in maxima.items()}
+        return df.withColumns(added | {n: F.max(c).over(past) for n, c in earlier.items()})
 
-    weighted = df.withColumns({f"__w_{n}": c for n, c in (sums | maxima).items()})
+    weighted = df.withColumns({f"__w_{n}": c for n, c in (sums | maxima | earlier).items()})
     ranged = materialize(
         weighted.repartitionByRange(slices, *[F.col(g) for g in group], *order).withColumn(
             "__slice", F.spark_partition_id()
         )
     )
-    fold = {n: F.sum for n in sums} | {n: F.max for n in maxima}
+    fold = {n: F.sum for n in sums} | {n: F.max for n in maxima | earlier}
     by_slice = ranged.groupBy(*group, "__slice").agg(*[f(f"__w_{n}").alias(f"__t_{n}") for n, f in fold.items()])
     before = Window.partitionBy(*group).orderBy("__slice").rowsBetween(start, -1)
     offsets = by_slice.select(*group, "__slice", *[f(f"__t_{n}").over(before).alias(f"__o_{n}") for n, f in fold.items()])
     inside = Window.partitionBy("__slice", *group).orderBy(*order).rowsBetween(start, here)
-    local = ranged.withColumns({f"__l_{n}": f(f"__w_{n}").over(inside) for n, f in fold.items()})
+    past = Window.partitionBy("__slice", *group).orderBy(*order).rowsBetween(start, -1)
+    local = ranged.withColumns({f"__l_{n}": f(f"__w_{n}").over(past if n in earlier else inside) for n, f in fold.items()})
     joined = null_safe_join(local, offsets, [*group, "__slice"])
     # like a window's sum: NULL only as long as every value so far is NULL
     total_sums = {n: F.coalesce(F.col(f"__l_{n}") + F.col(f"__o_{n}"), f"__l_{n}", f"__o_{n}") for n in sums}
-    total_max = {n: F.greatest(f"__l_{n}", f"__o_{n}") for n in maxima}
+    total_max = {n: F.greatest(f"__l_{n}", f"__o_{n}") for n in maxima | earlier}
     return joined.withColumns(total_sums | total_max).select(*df.columns, *fold)
 
 

@@ -11,38 +11,34 @@ from pyspark.sql import functions as F
 
 from trialspark.functions.expressions import finite
 from trialspark.operators import ordering as O
-from trialspark.shared import materialize
+from trialspark.shared import materialize, null_safe_join
 
 # Fixed value that results depend on.
 IMPROVE_EPS = 1e-8
 
 
 def _numbered(log: DataFrame, run: str, epoch: str, pcc: str, loss: str, extra: list[str], split_rows: int) -> DataFrame:
-    """Rows with their 1-based place in the run and the best finite PCC up to and including them."""
+    """Rows with their 1-based place in the run and the best finite PCC up to and including, and before them."""
     ok = finite(pcc)
     base = log.select(
         F.col(run).alias("run"), F.col(epoch).alias("epoch"), F.when(ok, F.col(pcc).cast("double")).alias("pcc"), F.col(loss).cast("double").alias("loss"), *extra
     )
     return O.running_sums(
-        base, ["run"], [F.col("epoch")], {"pos": F.lit(1).cast("long"), "n_finite": F.col("pcc").isNotNull().cast("long")}, split_rows, maxima={"top": F.col("pcc")}
+        base, ["run"], [F.col("epoch")], {"pos": F.lit(1).cast("long"), "n_finite": F.col("pcc").isNotNull().cast("long")}, split_rows, maxima={"top": F.col("pcc")}, maxima_before={"top_before": F.col("pcc")}
     )
 
 
 def _fold_candidates(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Walk candidate rows sorted by (run, pos) and keep those that improve on the best so far."""
-    run, best, best_loss = None, -math.inf, math.inf
+    """Walk rows sorted by (run, segment, pos) and keep those that improve on the best so far."""
+    at, best, best_loss = None, -math.inf, math.inf
     for pdf in parts:
         keep = []
-        for r, p, v in zip(pdf["run_key"].to_numpy(), pdf["pcc"].to_numpy(), pdf["loss"].to_numpy()):
-            if r != run:
-                run, best, best_loss = r, -math.inf, math.inf
-            if math.isfinite(p):
-                better = p > best + IMPROVE_EPS or (abs(p - best) <= IMPROVE_EPS and v < best_loss)
-            else:
-                better = not math.isfinite(best) and v < best_loss
+        for r, g, p, v in zip(pdf["run_key"].to_numpy(), pdf["segment"].to_numpy(), pdf["pcc"].to_numpy(), pdf["loss"].to_numpy()):
+            if (r, g) != at:
+                at, best, best_loss = (r, g), -math.inf, math.inf
+            better = p > best + IMPROVE_EPS or (abs(p - best) <= IMPROVE_EPS and v < best_loss)
             if better:
-                best_loss = v
-                best = p if math.isfinite(p) else best
+                best, best_loss = p, v
             keep.append(better)
         yield pdf[keep]
 
@@ -52,22 +48,39 @@ def improved_epochs(
 ) -> DataFrame:
     """Epochs that become the best so far: ``(run, pos, epoch, pcc, loss, extra…)``.
 
-    The scan is sequential because ties within the tolerance may move the best value down. Each
-    such move is at most the tolerance, so a row below the running maximum by more than tolerance
-    times rows can never improve; those rows are dropped in parallel, and only the few that are
-    left stream through the fold in run order, with constant memory.
+    A row that passes the running maximum before it by more than the tolerance improves whatever came
+    before, so it resets the state and cuts the run into segments that don't depend on each other.
+    Inside a segment whose values near the reset are all equal to it, and before the first
+    finite value, a row improves exactly by a new lowest loss: a running minimum over slices. Only
+    segments where values drift within the tolerance are walked row by row, each on its own and in
+    constant memory, as there the best value may move down and a later row may beat it again.
     """
     extra = extra or []
-    return _improved(_numbered(log, run, epoch, pcc, loss, extra, split_rows), extra)
-
-
-def _improved(numbered: DataFrame, extra: list[str]) -> DataFrame:
-    slack = F.lit(IMPROVE_EPS) * (F.col("pos") + 1)
-    no_finite_yet = F.col("n_finite") == F.col("pcc").isNotNull().cast("long")
-    candidate = F.when(F.col("pcc").isNotNull(), F.col("pcc") >= F.col("top") - slack).otherwise(no_finite_yet)
-    rows = numbered.filter(candidate).select("run", F.col("run").cast("string").alias("run_key"), "pos", "epoch", "pcc", "loss", *extra)
-    ordered = rows.repartition("run").sortWithinPartitions("run_key", "pos")
-    return ordered.mapInPandas(_fold_candidates, ordered.schema).drop("run_key")
+    return _improved(_numbered(log, run, epoch, pcc, loss, extra, split_rows), extra, split_rows)
+
+
+def _improved(numbered: DataFrame, extra: list[str], split_rows: int = O.SPLIT_ROWS) -> DataFrame:
+    slack = F.lit(IMPROVE_EPS) * (F.col("pos") + 1)  # each tie moves the best down by the tolerance at most
+    candidate = F.when(F.col("pcc").isNotNull(), F.col("pcc") >= F.col("top") - slack).otherwise(F.col("n_finite") == 0)
+    columns = ["run", "pos", "epoch", "pcc", "loss", *extra]
+    near, rows = O.counted(numbered.filter(candidate).select(*columns, "top_before"))
+    finite_row = F.col("pcc").isNotNull()
+    reset = finite_row & (F.col("top_before").isNull() | (F.col("pcc") > F.col("top_before") + IMPROVE_EPS))
+    marked = near.withColumn("reset", F.coalesce(reset, F.lit(False))).drop("top_before")
+    cut = O.running_sums(marked, ["run"], [F.col("pos")], {"segment": F.col("reset").cast("long")}, split_rows, rows)
+    heads = cut.filter("reset").select("run", "segment", F.col("pcc").alias("head_pcc"), F.col("loss").alias("head_loss"))
+    known = materialize(null_safe_join(cut, heads, ["run", "segment"], "left"))
+    odd = finite_row & (F.col("pcc") != F.col("head_pcc")) & (F.abs(F.col("pcc") - F.col("head_pcc")) <= IMPROVE_EPS)
+    drifting = known.filter(odd).select("run", "segment").distinct()
+    held = F.col("loss").isNotNull() & ~F.isnan("loss")
+    ties = null_safe_join(known, drifting, ["run", "segment"], "left_anti").filter(~finite_row | (F.col("pcc") == F.col("head_pcc")))
+    lowest = O.running_sums(ties, ["run", "segment"], [F.col("pos")], {}, split_rows, rows, maxima_before={"low": F.when(held, -F.col("loss"))})
+    first_held = F.col("head_loss").isNotNull() & ~F.isnan("head_loss")
+    lower = held & (F.col("loss") < F.coalesce(-F.col("low"), F.lit(float("inf"))))
+    better = lowest.filter(F.col("reset") | (F.when(finite_row, first_held & lower).otherwise(lower))).select(*columns)
+    walked = null_safe_join(known, drifting, ["run", "segment"], "left_semi").select(*columns, F.col("run").cast("string").alias("run_key"), "segment")
+    walked = walked.repartition("run", "segment").sortWithinPartitions("run_key", "segment", "pos")
+    return better.unionByName(walked.mapInPandas(_fold_candidates, walked.schema).select(*columns))
 
 
 def early_stop_trace(
@@ -81,7 +94,7 @@ def early_stop_trace(
     """
     extra = [scale_mse] if scale_mse else []
     numbered = materialize(_numbered(log, run, epoch, pcc, loss, extra, split_rows))  # read three times below
-    best = _improved(numbered, extra)
+    best = materialize(_improved(numbered, extra, split_rows))
     sizes = numbered.groupBy("run").agg(F.max("pos").alias("n_epochs"))
     # place 0 stands for the start of training, so a run that never improves stops too
     start = sizes.select("run", F.lit(0).cast("long").alias("pos"))
