@@ -110,9 +110,35 @@ def _(spark, sf):
     return rounded(V.rolling_fit_predict(t, D.fold_table(spark, 1996, 2000)))
 
 
-@query("v8_rolling_ridge", "V8")
+RIDGE_X = ["l_quantity", "l_discount", "l_tax"]
+_IX = range(3)
+_M = [[f"(r{min(i, j)}{max(i, j)} + {1.0 if i == j else 0.0}::double)" for j in _IX] for i in _IX]
+
+
+def _det(m) -> str:
+    """Determinant of three rows of expressions."""
+    (a, b, c), (d, e, f), (g, h, i) = m
+    return f"({a}*({e}*{i}-{f}*{h}) - {b}*({d}*{i}-{f}*{g}) + {c}*({d}*{h}-{e}*{g}))"
+
+
+def _cramer(k: int) -> str:
+    return f"{_det([[f'c{i}' if j == k else _M[i][j] for j in _IX] for i in _IX])}/{_det(_M)}"
+
+
+RIDGE = """, f as (select * from (values (0, 1996, 1997), (1, 1997, 1998), (2, 1998, 1999), (3, 1999, 2000)) t(fold_idx, train_year_max, val_year)),
+mo as (select f.*, avg(yield_mg) as my, """ + ", ".join(
+    [f"avg({x}) as m{i}, stddev_pop({x}) as s{i}, covar_pop({x}, yield_mg) as v{i}" for i, x in enumerate(RIDGE_X)]
+    + [f"covar_pop({RIDGE_X[i]}, {RIDGE_X[j]}) as k{i}{j}" for i in _IX for j in _IX if i <= j]
+) + " from meta join f on year <= train_year_max group by all), st as (select *, " + ", ".join(
+    [f"v{i}/s{i} as c{i}" for i in _IX] + [f"k{i}{j}/(s{i}*s{j}) as r{i}{j}" for i in _IX for j in _IX if i <= j]
+) + " from mo), w as (select *, " + ", ".join(f"{_cramer(i)} as w{i}" for i in _IX) + """ from st),
+p as (select fold_idx, train_year_max, val_year, env, yield_mg, my + """ + " + ".join(f"w{i}*({x} - m{i})/s{i}" for i, x in enumerate(RIDGE_X)) + """ as pred from meta join w on year = val_year),
+pm as (select fold_idx, train_year_max, val_year, env, count(*) as n, regr_sxx(pred, yield_mg) as saa, regr_syy(pred, yield_mg) as spp, regr_sxy(pred, yield_mg) as sap, sum(power(yield_mg-pred,2)) as sse from p group by all)"""
+ROLL_SCORES = f""" select fold_idx, train_year_max, val_year, cast(sum(n) as bigint) as n_val, {q6('avg(case when n >= 2 and saa > 1e-8 and spp > 1e-8 then greatest(-1.0::double, least(1.0::double, sap/(sqrt(saa)*sqrt(spp)))) end)')} as env_pcc,
+{q6('avg(case when n >= 2 then sse/n end)')} as env_mse, {q6('sum(sse)/sum(n)')} as mse from pm group by all"""
+
+
+@query("v8_rolling_ridge", "V8", WITH_META + RIDGE + ROLL_SCORES)
 def _(spark, sf):
     t = FX.meta_trials(spark, sf)
-    t = t.select("year", "env", "yield_mg", "l_quantity", "l_discount", "l_tax")
-    fit, predict = V.ridge_callbacks(["l_quantity", "l_discount", "l_tax"])
-    return rounded(V.rolling_fit_predict(t, D.fold_table(spark, 1996, 2000), fit=fit, predict=predict))
+    return rounded(V.rolling_ridge(t, D.fold_table(spark, 1996, 2000), RIDGE_X))

@@ -10,6 +10,7 @@ from trialspark.catalog.common import WITH_PRED, q6, rounded
 from trialspark.catalog.relations import CELL_SQL, cells
 from trialspark.functions import expressions as X
 from trialspark.operators import stacking as K
+from trialspark.shared import materialize
 
 MODELS = ["m_b", "m_c", "m_d"]
 N_RANDOM = 2000
@@ -44,13 +45,29 @@ def _(spark, sf):
     return rounded(K.search_weights(K.stack_moments(wide(spark, sf, False), MODELS), MODELS, N_RANDOM))
 
 
-@query("k3_refine_weights", "K3")
-def _(spark, sf):
-    from trialspark.shared import materialize
+ROUNDS, N_AROUND = 4, 128
+
+
+def _round(r: int) -> str:
+    """One refinement round: points around the incumbent of the round before, the best of them next."""
+    u = "(cast('0x' || substr(md5(concat('42/{r}:', c, ':{i}')), 1, 12) as bigint) + 0.5::double)/281474976710656"
+    e = ", ".join(f"-ln({u.format(r=r, i=i)}) as e{i}" for i in range(3))
+    point = [f"case when c = 0 then 1.0::double/3 when c <= 3 then (c = {i + 1})::int::double else e{i}/(e0+e1+e2) end" for i in range(3)]
+    step = f"(case when c = 0 then 0.0::double else {0.5 / 2**r}::double end)"
+    around = ", ".join(f"b.w{i}*(1 - {step}) + ({point[i]})*{step} as w{i}" for i in range(3))
+    return f""", ce{r} as (select c, {e} from range({1 + 3 + N_AROUND}) t(c)), ca{r} as (select c, {around} from ce{r}, b{r} b),
+ sc{r} as (select c, any_value(w0) as w0, any_value(w1) as w1, any_value(w2) as w2, avg(case when ({VAR}) > 1e-8 then greatest(-1.0::double, least(1.0::double, ({COV})/(sqrt({VAR})*sqrt(syy)))) end) as score
+ from mom, ca{r} where n >= 2 and syy > 1e-8 group by c), b{r + 1} as (select w0, w1, w2, score from sc{r} order by score desc, c limit 1)"""
+
 
+REFINE = MOMENTS + ", b0 as (select 1.0::double/3 as w0, 1.0::double/3 as w1, 1.0::double/3 as w2, 0.0::double as score)" + "".join(_round(r) for r in range(ROUNDS))
+
+
+@query("k3_refine_weights", "K3", WITH_PRED + CELL_SQL + REFINE + f" select (select count(*) from mom) as n_envs, {q6('score')} as score, {q6('w0')} as w_0, {q6('w1')} as w_1, {q6('w2')} as w_2 from b{ROUNDS}")
+def _(spark, sf):
     moments = materialize(K.stack_moments(wide(spark, sf, False), MODELS))
-    w, score = K.refine_weights(moments, MODELS, [1 / 3] * 3, rounds=4, n_random=128)
-    return moments.agg(F.count(F.lit(1)).alias("n_envs")).select("n_envs", F.lit(score).alias("score"), *[F.lit(x).alias(f"w_{i}") for i, x in enumerate(w)])
+    best = K.refined(moments, MODELS, [1 / 3] * 3, rounds=ROUNDS, n_random=N_AROUND)
+    return rounded(best.join(F.broadcast(moments.agg(F.count(F.lit(1)).alias("n_envs")))))  # one row each
 
 
 @query("k4_apply_stack", "K4", WITH_PRED + CELL_SQL + SEARCH + f", x as (select env, id, actual, m_b*w0 + m_c*w1 + m_d*w2 as p from cell, best where env like '%_2001') select env, id, {q6('actual', 9)} as actual, {q6('p', 9)} as pred, 'stack' as model_name, 'stack:m_b,m_c,m_d' as checkpoint_dir from x")

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialspark.functions.expressions import finite
+from trialspark.operators import ordering as O
 from trialspark.schema import TrialError
 from trialspark.shared import materialize
 
@@ -124,17 +125,18 @@ def variance_decomposition(df: DataFrame, target: str = "yield_mg") -> DataFrame
 
 def hybrid_obs_profile(df: DataFrame, min_obs: int = 3, hybrid: str = "hybrid") -> DataFrame:
     """Observations per hybrid: spread and counts of thin hybrids."""
-    per = df.groupBy(hybrid).agg(F.count(F.lit(1)).alias("n"))
-    return per.agg(
+    per = materialize(df.groupBy(hybrid).agg(F.count(F.lit(1)).alias("n")))
+    middle = O.medians(per, [], "n", "median_obs")
+    rest = per.agg(
         F.count(F.lit(1)).alias("n_hybrids"),
         F.min("n").alias("min_obs"),
-        F.percentile("n", 0.5).alias("median_obs"),
         F.avg("n").alias("mean_obs"),
         F.max("n").alias("max_obs"),
         F.count_if(F.col("n") == 1).alias("n_single"),
         F.count_if(F.col("n") >= 3).alias("n_three_plus"),
         F.count_if(F.col("n") < min_obs).alias("n_below_min"),
     )
+    return rest.join(F.broadcast(middle))  # one row each
 
 
 def tester_distribution(df: DataFrame, k: int = 10, tester: str = "parent2", hybrid: str = "hybrid") -> DataFrame:

@@ -120,3 +120,21 @@ def average_ranks(
     cum = running_sums(ties, group, [F.col(value)], {"__upto": F.col("__ties")}, split_rows, known)
     ranked = cum.select(*group, value, (F.col("__upto") - (F.col("__ties") - 1) / 2.0).alias(out))
     return null_safe_join(df, ranked, [*group, value])
+
+
+def medians(df: DataFrame, group: list[str], value: str, out: str = "median", split_rows: int = SPLIT_ROWS) -> DataFrame:
+    """Exact median of the non-NULL values per group: ``(group…, out)``, NULL for a group without any.
+
+    Distinct values are counted and their running counts say where the middle lies, so no task
+    holds the values of a group.
+    """
+    counts, rows = counted(df.groupBy(*group, F.col(value).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__c")))
+    held = counts.filter("__v is not null")
+    upto = running_sums(held, group, [F.col("__v")], {"__upto": F.col("__c")}, split_rows, rows)
+    sizes = counts.groupBy(*group).agg(F.sum(F.when(F.col("__v").isNotNull(), F.col("__c"))).alias("__n"))
+    placed = null_safe_join(upto, sizes, group)
+    low, high = F.expr("(__n - 1) div 2"), F.expr("__n div 2")
+    middle = placed.groupBy(*group).agg(
+        (F.min(F.when(F.col("__upto") > low, F.col("__v"))) * 0.5 + F.min(F.when(F.col("__upto") > high, F.col("__v"))) * 0.5).alias(out)
+    )
+    return null_safe_join(sizes.select(*group), middle, group, "left") if group else middle

@@ -7,13 +7,16 @@ counts; hybrid pairs are never formed.
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trialspark.operators import ordering as O
 from trialspark.operators.features import allele_freq, marker_means
 from trialspark.operators.relations import all_parents, top_values
 from trialspark.schema import TrialError
-from trialspark.shared import materialize
+from trialspark.shared import materialize, null_safe_join
 
 # Fixed values that results depend on.
 SCORE_NOVELTY, SCORE_TESTER, SCORE_FREQ, SCORE_PARENT, SCORE_SHIFT = 0.3, 0.2, 0.2, 0.15, 0.15
@@ -153,8 +156,9 @@ def yield_by_year(df: DataFrame, target: str = "yield_mg") -> DataFrame:
 
 def within_env_std(df: DataFrame, target: str = "yield_mg") -> DataFrame:
     """Per year: median, mean and number of the sample std inside each environment."""
-    per = df.groupBy("year", "env").agg(F.stddev_samp(target).alias("std"))
-    return per.groupBy("year").agg(F.percentile("std", 0.5).alias("median_std"), F.avg("std").alias("mean_std"), F.count("std").alias("n_envs"))
+    per = materialize(df.groupBy("year", "env").agg(F.stddev_samp(target).alias("std")))
+    rest = per.groupBy("year").agg(F.avg("std").alias("mean_std"), F.count("std").alias("n_envs"))
+    return null_safe_join(O.medians(per, ["year"], "std", "median_std"), rest, ["year"])
 
 
 def lifespan_hist(df: DataFrame, key: str = "hybrid") -> DataFrame:
@@ -288,12 +292,11 @@ def half_sib_counts(df: DataFrame, year: int | None = None) -> DataFrame:
 
 def half_sib_profile(df: DataFrame, year: int | None = None) -> DataFrame:
     """Per holdout year: distribution of half-sib counts and the connected share."""
-    s = half_sib_counts(df, year)
+    s = materialize(half_sib_counts(df, year).select("year", "n_half_sibs"))
     n, c = F.count(F.lit(1)), F.col("n_half_sibs")
-    return s.groupBy("year").agg(
+    rest = s.groupBy("year").agg(
         n.alias("n_novel"),
         F.avg(c).alias("mean_sibs"),
-        F.percentile(c, 0.5).alias("median_sibs"),
         F.min(c).alias("min_sibs"),
         F.max(c).alias("max_sibs"),
         pct(F.count_if(c == 0), n).alias("pct_zero"),
@@ -302,6 +305,7 @@ def half_sib_profile(df: DataFrame, year: int | None = None) -> DataFrame:
         pct(F.count_if(c > 0), n).alias("pct_connected"),
         F.try_divide(F.sum(c), F.count_if(c > 0)).alias("mean_connected"),
     )
+    return null_safe_join(rest, O.medians(s, ["year"], "n_half_sibs", "median_sibs"), ["year"])
 
 
 def half_sib_rate(df: DataFrame, years: list[int], test_locations: DataFrame, target: str = "yield_mg") -> DataFrame:
@@ -349,8 +353,10 @@ def difficulty_profile(df: DataFrame, year: int, target: str = "yield_mg") -> Da
     rows = df.filter(F.col("year") == year).join(novel, "hybrid", "left_semi")
     spread = rows.agg(F.avg(target).alias("yield_mean"), F.stddev_samp(target).alias("yield_std"))
     spread = spread.withColumn("yield_cv", pct(F.col("yield_std"), F.col("yield_mean")))
-    envs = rows.groupBy("env").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("n_envs"), F.percentile("n", 0.5).alias("median_rows_per_env"))
-    return half_sib_profile(df, year).join(F.broadcast(spread)).join(F.broadcast(envs))  # one row each
+    sizes = materialize(rows.groupBy("env").agg(F.count(F.lit(1)).alias("n")))
+    envs = sizes.agg(F.count(F.lit(1)).alias("n_envs"))
+    middle = O.medians(sizes, [], "n", "median_rows_per_env")
+    return half_sib_profile(df, year).join(F.broadcast(spread)).join(F.broadcast(envs)).join(F.broadcast(middle))  # one row each
 
 
 def env_yield_stats(df: DataFrame, min_n: int = 10, target: str = "yield_mg") -> DataFrame:
@@ -413,17 +419,27 @@ def af_shift(df: DataFrame, label: str, markers: str = "markers", weight: str |
 
 
 def _location_feature_means(df: DataFrame, features: list[str]) -> DataFrame:
-    means = df.groupBy("year", "location").agg(*[F.avg(c).alias(c) for c in features])
-    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in features]))
-    return means.select("year", "location", pairs.alias("p")).select("year", "location", "p.feature", "p.value")
+    """``year, location, means``: one array of feature means, NULL where a feature has no value.
+
+    Sums and counts of all features travel as one vector through one aggregation buffer.
+    """
+    values = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features]
+    there = [F.col(c).isNotNull().cast("double") for c in features]
+    sums = df.groupBy("year", "location").agg(Summarizer.metrics("sum").summary(array_to_vector(F.array(*values, *there))).alias("s"))
+    both = sums.select("year", "location", vector_to_array("s.sum").alias("v"))
+    n = len(features)
+    means = F.zip_with(F.slice("v", 1, n), F.slice("v", n + 1, n), lambda total, count: F.try_divide(total, count))
+    return both.select("year", "location", means.alias("means"))
 
 
 def covariate_drift_chain(df: DataFrame, features: list[str], gap: int = 1) -> DataFrame:
     """For each pair of years ``gap`` apart: mean absolute feature difference per shared location,
     then its mean, population std and max over locations."""
-    a = _location_feature_means(df, features)
-    b = a.select((F.col("year") - gap).alias("year"), "location", "feature", F.col("value").alias("other"))
-    per = a.join(b, ["year", "location", "feature"]).groupBy("year", "location").agg(F.avg(F.abs(F.col("value") - F.col("other"))).alias("d"))
+    a = materialize(_location_feature_means(df, features))
+    b = a.select((F.col("year") - gap).alias("year"), "location", F.col("means").alias("other"))
+    apart = F.filter(F.zip_with("means", "other", lambda x, y: F.abs(x - y)), lambda x: x.isNotNull())
+    per = a.join(b, ["year", "location"]).select("year", apart.alias("apart"))
+    per = per.select("year", F.try_divide(F.aggregate("apart", F.lit(0.0), lambda s, x: s + x), F.size("apart")).alias("d"))
     out = per.groupBy("year").agg(
         F.count(F.lit(1)).alias("n_locations"), F.avg("d").alias("mean_diff"), F.stddev_pop("d").alias("std_diff"), F.max("d").alias("max_diff")
     )

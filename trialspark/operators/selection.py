@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trialspark.functions import expressions as X
 from trialspark.functions.expressions import finite
 from trialspark.operators import effects as E
 from trialspark.operators import metrics as M
 from trialspark.operators import ranking as R
-from trialspark.operators.features import apply_scaler, fit_scaler
+from trialspark.operators.features import MARKER_STD_MIN
 from trialspark.operators.sequences import best_fold, latest_fold
 from trialspark.schema import TrialError
 from trialspark.shared import materialize
@@ -23,6 +26,7 @@ from trialspark.shared import materialize
 NO_EVAL = ["", "none", "off", "false", "0", "no"]
 BOTH_MODES = ["best_and_latest", "best+latest", "both"]
 STRONG, MODERATE = 0.8, 0.5
+SPREAD_MIN = 1e-12  # below this share of its mean a standard deviation is rounding
 RANK_DELTA, RANK_BAR, SCALE_TOLERANCE, RANK_SEEDS = 0.003, 0.43, 0.002, 3
 
 
@@ -165,10 +169,9 @@ def rolling_fit_predict(df: DataFrame, folds: DataFrame, target: str = "yield_mg
         usable = df.filter(finite(target))
         cells = usable.groupBy("year", "env", "hybrid").agg(F.sum(target).alias("s"), F.count(F.lit(1)).alias("n"))
         cells = materialize(cells)  # every effect table of every fold reads the cell sums
-        small = F.broadcast(folds)  # one row per validation year
-        train = cells.join(small, cells["year"] <= small["train_year_max"])
+        train = cells.join(_training_years(cells, folds, keys), "year")
         effects = E.effects_from_cells(train, keys)
-        val = df.join(small, df["year"] == small["val_year"])
+        val = df.join(folds.select(*keys, F.col("val_year").alias("year")), "year")
         scored = E.additive_predict(val, effects, keys)
         return _fold_scores(scored, target, keys)
     df = materialize(df)  # every fold reads the rows several times
@@ -181,18 +184,94 @@ def rolling_fit_predict(df: DataFrame, folds: DataFrame, target: str = "yield_mg
     return reduce(DataFrame.unionByName, out)
 
 
-def ridge_callbacks(features: list[str], target: str = "yield_mg", reg: float = 1.0) -> tuple[Fit, Predict]:
-    """Ridge regression on standardised columns as a ``fit``/``predict`` pair."""
-    assembler = VectorAssembler(inputCols=features, outputCol="__x")
+def _training_years(table: DataFrame, folds: DataFrame, keys: list[str]) -> DataFrame:
+    """``(fold keys, year)`` for every year of ``table`` that a fold trains on; both sides are a few rows."""
+    years = table.select("year").distinct()
+    return folds.select(*keys).join(years, F.col("year") <= F.col("train_year_max"))
 
-    def fit(train: DataFrame):
-        scaler = fit_scaler(train, features)
-        ready = assembler.transform(apply_scaler(train.filter(finite(target)), scaler, features))
-        lr = LinearRegression(featuresCol="__x", labelCol=target, predictionCol="pred", regParam=reg, elasticNetParam=0.0, standardization=False, solver="l-bfgs", tol=1e-9, maxIter=200)
-        return scaler, lr.fit(ready)
 
-    def predict(val: DataFrame, state) -> DataFrame:
-        scaler, model = state
-        return model.transform(assembler.transform(apply_scaler(val, scaler, features))).drop("__x")
+def _year_products(rows: DataFrame, width: int) -> DataFrame:
+    """``year, i, products``: row i of the sum over a year of v·vᵀ, v being 1, the inputs and the target.
 
-    return fit, predict
+    Tasks add up whole matrices per year before anything is shuffled.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            if not b.num_rows:
+                continue
+            v = b.column(1).flatten().to_numpy().reshape(b.num_rows, width)
+            years = b.column(0).to_numpy()
+            for y in np.unique(years).tolist():
+                part = v[years == y]
+                sums[y] = sums.get(y, 0.0) + part.T @ part
+        for y, m in sums.items():
+            ends = pa.array(np.arange(0, width * width + 1, width, dtype=np.int32))
+            yield pa.record_batch([pa.array([y] * width, pa.int64()), pa.array(range(width), pa.int32()), pa.ListArray.from_arrays(ends, pa.array(m.ravel()))], names=["year", "i", "products"])
+
+    parts = rows.mapInArrow(run, "year long, i int, products array<double>")
+    total = Summarizer.metrics("sum").summary(array_to_vector("products"))
+    return parts.groupBy("year", "i").agg(total.alias("s")).select("year", "i", vector_to_array("s.sum").alias("products"))
+
+
+def _solve_ridge(a: np.ndarray, reg: float, n_markers: int) -> tuple[float, np.ndarray]:
+    """Intercept and slopes on the inputs' own scale from the products of one fold."""
+    n, d = a[0, 0], len(a) - 2
+    mean, target = a[0, 1:-1] / n, a[0, -1] / n
+    cov = a[1:-1, 1:-1] / n - np.outer(mean, mean)
+    with_target = a[1:-1, -1] / n - mean * target
+    scale = np.sqrt(np.maximum(np.diag(cov), 0.0))
+    scale[scale <= SPREAD_MIN * np.maximum(1.0, np.abs(mean))] = 1.0
+    used = np.ones(d, bool)
+    if n_markers:
+        p = np.clip(mean[d - n_markers :] / 2.0, 0.0, 1.0)
+        std = np.sqrt(2.0 * p * (1.0 - p))
+        used[d - n_markers :] = std > MARKER_STD_MIN
+        scale[d - n_markers :] = np.where(std > MARKER_STD_MIN, std, 1.0)
+    z = cov[np.ix_(used, used)] / np.outer(scale[used], scale[used])
+    root = np.linalg.cholesky(z + reg * np.eye(used.sum()))
+    w = np.linalg.solve(root.T, np.linalg.solve(root, with_target[used] / scale[used]))
+    slope = np.zeros(d)
+    slope[used] = w / scale[used]
+    return float(target - slope @ mean), slope
+
+
+def rolling_ridge(df: DataFrame, folds: DataFrame, features: list[str], markers: str | None = None, target: str = "yield_mg", reg: float = 1.0) -> DataFrame:
+    """Per fold: ridge regression on standardised inputs fitted on its training years, scored on its validation year.
+
+    Inputs are the columns of ``features`` (each over its standard deviation, as ``fit_scaler`` does) and
+    the dosages of the array ``markers`` (over √(2p(1−p)), those without spread left out, as
+    ``fit_marker_stats`` does). Minimises mean squared error plus ``reg`` times the squared weights of the
+    standardised inputs, without a penalty on the intercept. All folds share one scan: products of
+    inputs are summed per year, added up per fold and solved by Cholesky, a fold a task.
+    """
+    if not reg > 0:
+        raise TrialError("reg must be positive")
+    keys = ["fold_idx", "train_year_max", "val_year"]
+    inputs = F.array(*[X.coerce_number(c) for c in features]) if features else F.array().cast("array<double>")
+    n_markers = 0
+    if markers is not None:
+        first = df.select(F.size(markers).alias("n")).filter("n > 0").first()
+        n_markers = first["n"] if first else 0
+        inputs = F.concat(inputs, F.transform(X.dosage(markers), lambda d: d.cast("double")))
+    width = len(features) + n_markers + 2
+    ready = df.select("year", "env", F.col(target).cast("double").alias(target), inputs.alias("x"))
+    whole = F.concat(F.array(F.lit(1.0)), "x", F.array(target))
+    usable = ready.filter(finite(target)).select(F.col("year").cast("long").alias("year"), whole.alias("v"))
+    by_year = materialize(_year_products(usable, width))
+    per_fold = by_year.join(_training_years(by_year, folds, keys), "year").groupBy(*keys, "i")
+    total = per_fold.agg(Summarizer.metrics("sum").summary(array_to_vector("products")).alias("s")).select(*keys, "i", vector_to_array("s.sum").alias("products"))
+
+    def solve(table: pa.Table) -> pa.Table:
+        order = np.argsort(table.column("i").to_numpy())
+        a = np.vstack(table.column("products").to_pylist())[order]
+        intercept, slope = _solve_ridge(a, reg, n_markers)
+        one = table.select(keys).slice(0, 1)
+        return one.append_column("intercept", pa.array([intercept])).append_column("slope", pa.array([slope.tolist()], pa.list_(pa.float64())))
+
+    types = dict(total.dtypes)
+    fitted = total.groupBy(*keys).applyInArrow(solve, ", ".join(f"{k} {types[k]}" for k in keys) + ", intercept double, slope array<double>")
+    val = ready.join(fitted.withColumn("year", F.col("val_year")), "year")
+    pred = F.col("intercept") + F.aggregate(F.zip_with("x", "slope", lambda x, b: x * b), F.lit(0.0), lambda s, v: s + v)
+    return _fold_scores(val.withColumn("pred", pred).drop("x", "slope"), target, keys)

@@ -168,13 +168,13 @@ def lygo_diagnostics(
     key = _novelty_key(novelty)
     rows = _lygo_cells(df)
     cand = _lygo_candidates(rows, val_year, testers, novelty)
-    env_n = cand.groupBy("env").agg(F.sum("n").alias("env_n"))
+    env_n = materialize(cand.groupBy("env").agg(F.sum("n").alias("env_n")))
     keep = F.col("env_n") >= max(1, min_val_per_env)
+    middle = O.medians(env_n.filter(keep), [], "env_n", "m").select(F.coalesce("m", F.lit(0.0)).alias("rows_per_env_median"))
     per_env = env_n.agg(
         F.coalesce(F.sum(F.when(keep, F.col("env_n"))), F.lit(0)).alias("n_val_rows"),
         F.count_if(keep).alias("n_val_envs"),
         F.coalesce(F.min(F.when(keep, F.col("env_n"))), F.lit(0)).alias("rows_per_env_min"),
-        F.coalesce(F.percentile(F.when(keep, F.col("env_n")), 0.5), F.lit(0.0)).alias("rows_per_env_median"),
         F.count_if(~keep).alias("n_envs_dropped"),
         F.count_if(F.col("env_n") < 4).alias("n_envs_below_4"),
     )
@@ -196,7 +196,7 @@ def lygo_diagnostics(
         F.array_join(F.array_except(F.array(*[F.lit(t) for t in wanted]).cast("array<string>"), present), ",").alias("testers_missing"),
     )
     row = per_env
-    for one in (names, train, overlap, in_year):
+    for one in (middle, names, train, overlap, in_year):
         row = row.join(F.broadcast(one))  # every side is a one-row total
     warn: list[Column] = [
         F.when(F.col("n_val_rows") < MIN_VAL_ROWS, F.lit("few_rows")),

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from trialspark.functions.expressions import finite, hash_order, hash_unit
 from trialspark.operators.metrics import VAR_EPS, clamp, run_metrics
 from trialspark.schema import TrialError
+from trialspark.shared import materialize
 
 # Fixed values that results depend on.
 N_RANDOM, SEARCH_SEED = 2000, 42
@@ -87,27 +88,39 @@ def search_weights(
     return best.join(F.broadcast(candidates), "cand").select("cand", "score", *[f"w_{i}" for i in range(k)])
 
 
-def refine_weights(
+def refined(
     moments: DataFrame, models: Sequence[str], weights: Sequence[float], rounds: int = 6, n_random: int = 256, radius: float = 0.5, seed: int | str = SEARCH_SEED
-) -> tuple[list[float], float]:
-    """Re-sample the simplex around the incumbent with a shrinking radius and keep what scores at
-    least as well. Only the weight vector lives on the driver."""
+) -> DataFrame:
+    """Re-sample the simplex around the incumbent with a shrinking radius and keep what scores best: ``score, w_i``.
+
+    The rounds are one plan over the moment table. Candidate 0 is the incumbent itself, so a round
+    never loses ground; without a usable environment the score is NULL and the weights stay.
+    """
     k = len(models)
     w = [float(x) for x in weights]
     if len(w) != k or min(w) < 0 or not math.isclose(sum(w), 1.0, abs_tol=1e-9):
         raise TrialError("weights must lie on the simplex")
-    best = -math.inf
+    spark = moments.sparkSession
+    names = [f"w_{i}" for i in range(k)]
+    held = spark.range(1).select(F.lit(None).cast("double").alias("score"), *[F.lit(x).alias(n) for x, n in zip(w, names)])
     for r in range(rounds):
-        points = candidate_weights(moments.sparkSession, models, n_random, f"{seed}/{r}")
-        # candidate 0 is the incumbent itself, so a round never loses ground
+        points = candidate_weights(spark, models, n_random, f"{seed}/{r}").toDF("cand", *[f"p_{i}" for i in range(k)])
         step = F.when(F.col("cand") == 0, F.lit(0.0)).otherwise(F.lit(radius / 2**r))
-        around = points.select("cand", *[(F.lit(w[i]) * (F.lit(1.0) - step) + F.col(f"w_{i}") * step).alias(f"w_{i}") for i in range(k)])
-        top = search_weights(moments, models, n_random, seed, around).first()
-        if top is None or top["score"] is None:
-            break
-        if top["score"] >= best:
-            w, best = [top[f"w_{i}"] for i in range(k)], top["score"]
-    return w, best
+        moved = [(F.col(n) * (F.lit(1.0) - step) + F.col(f"p_{i}") * step).alias(n) for i, n in enumerate(names)]
+        around = materialize(points.join(F.broadcast(held.select(*names))).select("cand", *moved))  # held is one row
+        best = search_weights(moments, models, n_random, seed, around).select("score", *names)
+        both = held.select(F.lit(1).alias("__o"), "score", *names).unionByName(best.select(F.lit(0).alias("__o"), "score", *names))
+        top = F.max_by(F.struct("score", *names), F.struct(F.coalesce("score", F.lit(float("-inf"))), -F.col("__o")))
+        held = materialize(both.filter("score is not null or __o = 1").agg(top.alias("b")).select("b.*"))
+    return held
+
+
+def refine_weights(
+    moments: DataFrame, models: Sequence[str], weights: Sequence[float], rounds: int = 6, n_random: int = 256, radius: float = 0.5, seed: int | str = SEARCH_SEED
+) -> tuple[list[float], float]:
+    """``refined`` as numbers: the weights and their score (minus infinity if nothing could be scored)."""
+    top = refined(moments, models, weights, rounds, n_random, radius, seed).first()
+    return [top[f"w_{i}"] for i in range(len(models))], -math.inf if top["score"] is None else top["score"]
 
 
 def apply_stack(wide: DataFrame, models: Sequence[str], weights: Sequence[float] | DataFrame, name: str = "stack") -> DataFrame:

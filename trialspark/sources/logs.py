@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialspark.functions.expressions import file_stem, finite
+from trialspark.shared import materialize
 
 # Fixed values that results depend on: patterns and keys of the log formats.
 TAG_IN_PATH = r"-(baseline|tiny|huge_drop|no_moe|zero_drop|drop[\d.]+)-"
 DROPOUT_ENV = r"DROPOUT=([\d.]+)"
 DROPOUT_TEXT = r"dropout.*?=\s*([\d.]+)"
-CV_PCC = r"cv/mean_val_env_avg_pearson[^\d]*([\d.]+)"
-CV_LOSS = r"cv/mean_val_loss[^\d]*([\d.]+)"
+CV_PCC = "cv/mean_val_env_avg_pearson"
+CV_LOSS = "cv/mean_val_loss"
 TEST_LINE = r"\[TEST\]\s+(\S+):\s+env_avg_pearson=([\d.]+).*?mse=([\d.]+)"
 SWEEP_NAME = r"sweep\+(\S+)"
 FOLD_YEARS = list(range(2015, 2024))
@@ -28,44 +31,72 @@ SUMMARY_KEYS = {
 FOLD_KEY = "rolling/test/fold_{}/env_avg_pearson"
 
 
-def _number(text, pattern: str):
-    return F.regexp_extract(text, pattern, 1).try_cast("double")
+NUMBER = r"(\d[\d.]*)"
+
+
+def read_log_lines(spark: SparkSession, globs: list[str]) -> DataFrame:
+    """``log_file, at, value`` per line; ``at`` orders the lines of a file.
+
+    Files of any size are read in splits: a line's place is the offset of its split and its number there.
+    """
+    at = F.struct(F.col("_metadata.file_block_start").alias("offset"), F.monotonically_increasing_id().alias("line"))
+    return spark.read.text(globs).select(F.col("_metadata.file_path").alias("log_file"), at.alias("at"), "value")
 
 
-def _test_lines(logs: DataFrame) -> DataFrame:
-    """One row per test line: file, order in the file, tag, PCC and MSE."""
+def _test_lines(lines: DataFrame) -> DataFrame:
+    """One row per test result: file, order in the file, tag, PCC and MSE."""
     groups = [F.regexp_extract_all("value", F.lit(TEST_LINE), F.lit(g)) for g in (1, 2, 3)]
     zipped = F.arrays_zip(*[g.alias(n) for g, n in zip(groups, ("t", "p", "m"))])
-    lines = logs.select("log_file", F.posexplode(zipped).alias("pos", "z"))
-    return lines.select("log_file", "pos", F.col("z.t").alias("eval_tag"), F.col("z.p").try_cast("double").alias("pcc"), F.col("z.m").try_cast("double").alias("mse"))
+    found = lines.filter(F.col("value").contains("[TEST]")).select("log_file", "at", F.posexplode(zipped).alias("no", "z"))
+    place = F.struct("at.offset", "at.line", "no").alias("pos")
+    return found.select("log_file", place, F.col("z.t").alias("eval_tag"), F.col("z.p").try_cast("double").alias("pcc"), F.col("z.m").try_cast("double").alias("mse"))
+
 
+def _first_match(pattern: str) -> Column:
+    """What the pattern captures on the first line of a file that it matches."""
+    got = F.regexp_extract("value", pattern, 1)
+    return F.min_by(F.when(got != "", got), F.when(got != "", F.col("at"))).try_cast("double")
 
-def read_log_files(spark: SparkSession, globs: list[str]) -> DataFrame:
-    """Whole files as ``(log_file, value)``."""
-    return spark.read.text(globs, wholetext=True).select(F.col("_metadata.file_path").alias("log_file"), "value")
+
+def _first_after(lines: DataFrame, key: str) -> DataFrame:
+    """``log_file, number``: the first number behind the first ``key`` of a file, on the same line or a later one.
+
+    Lines with the key are few; only files whose number isn't beside its key are looked through again.
+    """
+    beside = F.regexp_extract("value", re.escape(key) + r"[^\d]*" + NUMBER, 1)
+    keyed = lines.filter(F.col("value").contains(key)).groupBy("log_file").agg(F.min(F.struct("at", F.nullif(beside, F.lit("")).alias("number"))).alias("k"))
+    keyed = materialize(keyed.select("log_file", "k.at", "k.number"))
+    late = keyed.filter("number is null").select("log_file", F.col("at").alias("key_at"))
+    if late.isEmpty():
+        return keyed.select("log_file", "number")
+    number = F.regexp_extract("value", NUMBER, 1)
+    later = lines.join(late, "log_file").filter((F.col("at") > F.col("key_at")) & (number != "")).groupBy("log_file").agg(F.min_by(number, "at").alias("later"))
+    return keyed.join(later, "log_file", "left").select("log_file", F.coalesce("number", "later").alias("number"))
 
 
 def parse_run_logs(spark: SparkSession, globs: list[str]) -> DataFrame:
     """One row per log with test metrics: tag, dropout, CV summary, and the test result of
-    ``best_fold`` (its last line) or else of the first test line."""
-    logs = read_log_files(spark, globs)
-    tag = F.coalesce(F.nullif(F.regexp_extract("log_file", TAG_IN_PATH, 1), F.lit("")), file_stem("log_file"))
-    head = logs.select(
-        "log_file",
-        tag.alias("tag"),
-        F.coalesce(_number("value", DROPOUT_ENV), _number("value", DROPOUT_TEXT)).alias("dropout"),
-        _number("value", CV_PCC).alias("cv_val_pcc"),
-        _number("value", CV_LOSS).alias("cv_val_loss"),
-    )
+    ``best_fold`` (its last line) or else of the first test line.
+
+    Test results and dropout settings stand on one line each; the number of a CV summary may follow later.
+    """
+    lines = read_log_lines(spark, globs)
+    tests = _test_lines(lines)
     best = F.col("eval_tag") == "best_fold"
-    rank = F.when(best, F.col("pos") + 1).otherwise(-F.col("pos"))
-    pick = _test_lines(logs).groupBy("log_file").agg(F.max_by(F.struct("pcc", "mse"), rank).alias("t"))
-    return head.join(pick, "log_file").select("*", F.col("t.pcc").alias("test_pcc"), F.col("t.mse").alias("test_mse")).drop("t")
+    result = F.struct("pcc", "mse")
+    pick = tests.groupBy("log_file").agg(F.max_by(result, F.when(best, F.col("pos"))).alias("b"), F.min_by(result, "pos").alias("f"))
+    pick = pick.select("log_file", F.coalesce("b", "f").alias("t"))
+    settings = lines.filter(F.lower("value").contains("dropout")).groupBy("log_file").agg(F.coalesce(_first_match(DROPOUT_ENV), _first_match(DROPOUT_TEXT)).alias("dropout"))
+    tag = F.coalesce(F.nullif(F.regexp_extract("log_file", TAG_IN_PATH, 1), F.lit("")), file_stem("log_file"))
+    out = pick.join(settings, "log_file", "left")
+    for name, key in (("cv_val_pcc", CV_PCC), ("cv_val_loss", CV_LOSS)):
+        out = out.join(_first_after(lines, key).select("log_file", F.col("number").try_cast("double").alias(name)), "log_file", "left")
+    return out.select("log_file", tag.alias("tag"), "dropout", "cv_val_pcc", "cv_val_loss", F.col("t.pcc").alias("test_pcc"), F.col("t.mse").alias("test_mse"))
 
 
 def parse_fold_scores(spark: SparkSession, globs: list[str]) -> DataFrame:
     """Test PCC per log and fold tag ``fold_<year>`` (the last line of a tag counts)."""
-    lines = _test_lines(read_log_files(spark, globs)).filter(F.col("eval_tag").contains("fold_"))
+    lines = _test_lines(read_log_lines(spark, globs)).filter(F.col("eval_tag").contains("fold_"))
     fold = F.replace("eval_tag", F.lit("fold_"), F.lit(""))
     return lines.groupBy("log_file", fold.alias("fold")).agg(F.max_by("pcc", "pos").alias("test_pcc"))
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import csv
+import re
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trialspark.functions import expressions as X
 from trialspark.schema import TrialError, require_columns
@@ -52,31 +56,67 @@ def expand_paths(spark: SparkSession, patterns: list[str]) -> list[str]:
     return out
 
 
+def _plain(path: str) -> str:
+    """A path without scheme and escapes, as listings and file metadata write them differently."""
+    return re.sub(r"^([a-z][a-z0-9+.-]*:)?/+", "/", unquote(path))
+
+
+def _headers(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
+    """Data files behind the paths by their first line, from one pass over the first splits."""
+    at = F.monotonically_increasing_id().alias("at")
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), at, "value")
+    first = lines.filter("start = 0").groupBy("file").agg(F.min_by("value", "at").alias("header"))
+    files: dict[str, list[str]] = {}
+    for r in first.orderBy("file").collect():  # one row per file, like a listing
+        files.setdefault(r["header"], []).append(unquote(r["file"]))
+    return files
+
+
 def read_predictions(spark: SparkSession, patterns: list[str], fmt: str = "csv") -> DataFrame:
     """Long table ``(env, id, actual, pred, model, checkpoint_dir, file)`` over all files.
 
-    Each file's header is read by itself, so files may order or extend their columns freely.
+    Files may order or extend their columns freely: CSV files are grouped by their header line and
+    each group is one scan, whatever the number of files. Other formats are opened path by path.
     """
+    paths = expand_paths(spark, patterns)
+    if fmt != "csv":
+        return assign_model_names(reduce(DataFrame.unionByName, [_long(spark.read.format(fmt).load(p), F.lit(p), p) for p in paths]))
+    given = {_plain(p): p for p in paths}
     parts = []
-    for path in expand_paths(spark, patterns):
-        reader = spark.read.option("header", True) if fmt == "csv" else spark.read
-        raw = reader.format(fmt).load(path)
-        require_columns(raw, REQUIRED, path)
-        opt = {c: (F.col(c).cast("string") if c in raw.columns else F.lit(None).cast("string")) for c in ("model_name", "checkpoint_dir")}
-        parts.append(
-            raw.select(
-                F.col("Env").cast("string").alias("env"),
-                F.col("id").cast("string").alias("id"),
-                F.col("Actual").try_cast("double").alias("actual"),
-                F.col("Pred").try_cast("double").alias("pred"),
-                opt["model_name"].alias("model_name"),
-                opt["checkpoint_dir"].alias("checkpoint_dir"),
-                F.lit(path).alias("file"),
-            )
-        )
+    for header, files in _headers(spark, paths).items():
+        owner = {}
+        for f in files:
+            at = _plain(f)
+            while at not in given:  # a part file belongs to the folder that was given
+                at = at.rpartition("/")[0]
+            owner[_plain(f)] = given[at]
+        names = next(csv.reader([header.removeprefix("\ufeff")]))
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+        raw = spark.read.csv(files, header=True, schema=schema)
+        owners = spark.createDataFrame(list(owner.items()), "__file string, file string")  # one row per file
+        plain = F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), r"^([a-z][a-z0-9+.-]*:)?/+", "/")
+        one = len(set(owner.values())) == 1
+        tagged = raw if one else raw.withColumn("__file", plain).join(F.broadcast(owners), "__file")
+        parts.append(_long(tagged, F.lit(next(iter(owner.values()))) if one else F.col("file"), files[0]))
+    if not parts:
+        raise TrialError("the prediction files are empty")
     return assign_model_names(reduce(DataFrame.unionByName, parts))
 
 
+def _long(raw: DataFrame, file: Column, where: str) -> DataFrame:
+    require_columns(raw, REQUIRED, where)
+    opt = {c: (F.col(c).cast("string") if c in raw.columns else F.lit(None).cast("string")) for c in ("model_name", "checkpoint_dir")}
+    return raw.select(
+        F.col("Env").cast("string").alias("env"),
+        F.col("id").cast("string").alias("id"),
+        F.col("Actual").try_cast("double").alias("actual"),
+        F.col("Pred").try_cast("double").alias("pred"),
+        opt["model_name"].alias("model_name"),
+        opt["checkpoint_dir"].alias("checkpoint_dir"),
+        file.alias("file"),
+    )
+
+
 def labels_agree(lo: Column, hi: Column) -> Column:
     """True where the largest and the smallest label of a key differ by no more than the tolerances."""
     return (hi - lo) <= F.lit(LABEL_ATOL) + F.lit(LABEL_RTOL) * F.abs(lo)
