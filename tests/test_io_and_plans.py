@@ -222,3 +222,112 @@ def test_scratch_deletes_intermediate_tables(spark):
         assert outer.count() == 3
         path = outer.inputFiles()[0]
     assert not os.path.exists(path.removeprefix("file:").replace("//", "/"))
+
+
+def folder(spark):
+    from trialspark.shared import shared_dir
+
+    return shared_dir(spark).removeprefix("file:").replace("//", "/")
+
+
+def test_plans_leave_their_results_alone(spark, sf, tmp_path):
+    trials = FX.trials(spark, sf)
+    scored = FX.predictions(trials)
+    before = set(os.listdir(folder(spark)))
+    tables = plans.evaluate(scored, FX.meta_trials(spark, sf).filter("year < 2001"))
+    effects, reports = plans.decompose(trials, train_max=1999)
+    cv = plans.rolling_cv(trials, 1997, 2000)
+    left = {n.rpartition("-")[0] for n in set(os.listdir(folder(spark))) - before}
+    assert left == {*tables, *reports, "mu", "year_effect", "hybrid_effect", "env_effect", "scores"}
+    values = [r["pcc"] for r in tables["env_pcc"].collect()]
+    assert values == sorted(values, reverse=True) and cv["scores"].count() == 3 and effects.mu.count() == 1
+
+
+def test_inner_blocks_end_while_both_are_empty(spark):
+    from trialspark.shared import materialize, scratch
+
+    with scratch(spark):
+        with scratch(spark):
+            pass
+        path = materialize(spark.range(2)).inputFiles()[0]
+    assert not os.path.exists(path.removeprefix("file:").replace("//", "/"))
+
+
+def test_results_belong_to_the_block_outside(spark):
+    from trialspark.shared import finished, materialize, scratch
+
+    with scratch(spark):
+        out = finished(spark, lambda: {"r": materialize(spark.range(5)).filter("id > 1")}, {"r": ["id"]})["r"]
+        path = out.inputFiles()[0].removeprefix("file:").replace("//", "/")
+        assert [r["id"] for r in out.collect()] == [2, 3, 4] and os.path.exists(path)
+    assert not os.path.exists(path)
+
+
+def test_a_thousand_snapshots_leave_a_few_folders(spark, tmp_path):
+    out = str(tmp_path / "out")
+    row = spark.createDataFrame([(None, 1, 0.5, 1.0, 0)], "env string, n long, pcc double, mse double, epoch long")
+    for epoch in range(40):
+        ST.publish_snapshot(row, out, epoch, keep=3)
+        assert len(os.listdir(out)) <= 6 + len([n for n in os.listdir(out) if n.startswith(".")])
+    assert sorted(n for n in os.listdir(out) if n.startswith("snapshot=")) == ["snapshot=37", "snapshot=38", "snapshot=39"]
+    os.makedirs(f"{out}/snapshot=99")  # begun, not committed
+    assert ST.latest_metrics(spark, out).first()["pcc"] == 0.5
+    with pytest.raises(TrialError):
+        ST.stream_env_metrics(row, out, out, keep=1)
+
+
+def test_a_reader_survives_expiry(spark, tmp_path):
+    out = str(tmp_path / "out")
+
+    def publish(epoch):
+        ST.publish_snapshot(spark.createDataFrame([(None, epoch, 0.5, 1.0, 0)], "env string, n long, pcc double, mse double, epoch long"), out, epoch, keep=2)
+
+    publish(0)
+    seen = []
+
+    def use(df):
+        if not seen:
+            for e in range(1, 6):  # the snapshot goes away before it is read
+                publish(e)
+        seen.append(1)
+        return df.first()["n"]
+
+    assert ST.read_latest(spark, out, use) == 5 and len(seen) == 2
+    with pytest.raises(ValueError):
+        ST.read_latest(spark, out, lambda df: int("x"))
+
+
+def test_many_prediction_files_start_a_fixed_number_of_jobs(spark, tmp_path):
+    def jobs(n):
+        where = tmp_path / f"n{n}"
+        where.mkdir()
+        for i in range(n):
+            head, row = ("Env,id,Actual,Pred", f"e,k{i},1.0,2.0") if i % 2 else ("id,extra,Pred,Actual,Env,model_name", f"k{i},x,2.0,1.0,e,M {i}")
+            (where / f"f {i:03d}.csv").write_text(f"{head}\n{row}\n")
+        sc = spark.sparkContext
+        sc.setJobGroup(f"files{n}", "")
+        long = SP.read_predictions(spark, [str(where / "*.csv")])
+        rows = {(r["id"], r["model"], r["actual"], r["pred"]) for r in long.collect()}
+        sc.setJobGroup("", "")
+        assert rows == {(f"k{i}", f"f_{i:03d}" if i % 2 else f"M_{i}", 1.0, 2.0) for i in range(n)}
+        return len(sc.statusTracker().getJobIdsForGroup(f"files{n}"))
+
+    assert jobs(4) == jobs(60)
+
+
+def test_a_large_log_is_read_in_splits(spark, tmp_path):
+    noise = "".join(f"step {i} loss=0.{i}\n" for i in range(60000))
+    text = "start DROPOUT=0.3\n" + noise + "cv/mean_val_env_avg_pearson\n  value -> 0.41 end\n[TEST] fold_2020: env_avg_pearson=0.1, mse=9\n" + noise
+    text += "[TEST] best_fold: env_avg_pearson=0.2, mse=8\n" + noise + "[TEST] best_fold: env_avg_pearson=0.3, mse=7\n[TEST] fold_2020: env_avg_pearson=0.5, mse=6\ncv/mean_val_loss: 2.5\n"
+    (tmp_path / "run-tiny-1.out").write_text(text)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(256 << 10))
+    try:
+        glob = [str(tmp_path / "*.out")]
+        assert L.read_log_lines(spark, glob).rdd.getNumPartitions() > 4
+        r = L.parse_run_logs(spark, glob).first()
+        folds = [tuple(x)[1:] for x in L.parse_fold_scores(spark, glob).collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert (r["tag"], r["dropout"], r["cv_val_pcc"], r["cv_val_loss"], r["test_pcc"], r["test_mse"]) == ("tiny", 0.3, 0.41, 2.5, 0.3, 7.0)
+    assert folds == [("2020", 0.5)]

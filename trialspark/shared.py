@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from functools import reduce
 
@@ -31,35 +32,58 @@ def shared_dir(spark: SparkSession) -> str:
     return current.rstrip("/")
 
 
-_scopes: list[list[str]] = []
+class _Scopes(threading.local):
+    """Open ``scratch`` blocks of a thread, the innermost last."""
+
+    def __init__(self) -> None:
+        self.open: list[list[str]] = []
+
+
+_scopes = _Scopes()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unused path below the shared folder; the innermost open ``scratch`` will delete it."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    if _scopes:
-        _scopes[-1].append(path)
+    if _scopes.open:
+        _scopes.open[-1].append(path)
     return path
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Delete the intermediate tables made inside the block when it ends.
+    """Delete the intermediate tables made inside the block (by this thread) when it ends.
 
     Results that read such tables have to be written or collected inside the block.
     """
-    made: list[str] = []
-    _scopes.append(made)
+    _scopes.open.append([])
     try:
         yield
     finally:
-        _scopes.remove(made)
         conf = spark.sparkContext._jsc.hadoopConfiguration()
-        for path in made:
+        for path in _scopes.open.pop():  # blocks end in reverse order, so the last one is this one
             where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(conf).delete(where, True)
 
 
+def finished(spark: SparkSession, build: Callable[[], dict[str, DataFrame]], order: dict[str, list] | None = None) -> dict[str, DataFrame]:
+    """The tables that ``build()`` gives, each written once; every intermediate made on the way is deleted.
+
+    ``order`` names the sort columns of tables that have an order. The written results belong to the block
+    outside, if there is one, else to the caller.
+    """
+    with scratch(spark):
+        tables = build()
+        schemas = {name: t.schema for name, t in tables.items()}
+        paths = {name: f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}" for name in tables}
+        for name, t in tables.items():
+            t.write.parquet(paths[name])
+    if _scopes.open:
+        _scopes.open[-1].extend(paths.values())
+    read = {name: spark.read.schema(schemas[name]).parquet(paths[name]) for name in paths}
+    return read | {name: read[name].orderBy(*columns) for name, columns in (order or {}).items() if name in read}
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
