@@ -31,7 +31,8 @@ VOCABULARY = "piece_bpe_32k.model"
 LATTICE = 60  # letters of the longest unit whose state fits into the bits of a long
 COMMON_UNITS = 1 << 18  # most frequent units, broadcast; all others are joined
 BUCKET_BYTES = 16 << 20  # text per group of documents that gets its rare units together
-FLUSH = 1 << 17  # words that a task remembers
+FLUSH = 1 << 16  # words that a task remembers
+SLICE_BYTES = 4 << 20  # of texts whose words a task holds at a time
 UNITS_PER_TASK = 1 << 14
 
 
@@ -104,7 +105,7 @@ def unit_counts(rows: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
         for batch in batches:
             for text in batch.column(0):
                 words.update(words_of(text.as_py()))
-                if len(words) > FLUSH:
+                if len(words) > 2 * FLUSH:
                     yield flush()
         yield flush()
 
@@ -289,7 +290,9 @@ def _encoded(docs: DataFrame, vocabulary: str, limit: int, bucket_bytes: int, de
         unpack = zstandard.ZstdDecompressor()
         rare = dict(zip(units.column("unit").to_pylist(), _code_bytes(units.column("ids")), strict=True))
         code = _WordCodes(_common(shared), rare, vocabulary).__getitem__
-        sizes, out, digests = [], [], []
+        sizes: list[int] = []
+        out: list[bytes] = []
+        digests: list[str] = []
         for body in texts.column("body"):
             raw = unpack.decompress(body.as_py())
             sizes.append(len(raw))
@@ -297,7 +300,9 @@ def _encoded(docs: DataFrame, vocabulary: str, limit: int, bucket_bytes: int, de
             if decoded:
                 digests.append(sha256(decode_ids(np.frombuffer(out[-1], np.int32).tolist(), vocabulary).encode()).hexdigest())
         ends = np.cumsum([0, *(len(o) // 4 for o in out)], dtype=np.int32)
-        ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(out), np.int32)))
+        flat = np.frombuffer(b"".join(out), np.int32)
+        out.clear()
+        ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
         columns = [texts.column("doc_id"), pa.array(sizes, pa.int64()), ids, *([pa.array(digests, pa.string())] if decoded else [])]
         release_unused()
         return pa.table(columns, names=["doc_id", "n_bytes", "ids", *(["decoded_sha256"] if decoded else [])])
@@ -345,7 +350,7 @@ def _rare_units(rows: DataFrame, shared, vocabulary: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = _common(shared)
-        for part, texts in pieces(batches, 1):
+        for part, texts in pieces(batches, 1, SLICE_BYTES):
             words: dict[int, set[str]] = {}
             for b, text in zip(part.column(0).to_pylist(), texts, strict=True):
                 words.setdefault(b, set()).update(words_of(text.decode()))
