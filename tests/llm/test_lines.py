@@ -1,34 +1,50 @@
 import hashlib
+import re
 
 import numpy as np
+import pytest
 from compare import duck
 
-from trialspark.llm.lines import ORACLE, line_chunks, op9, remove_repeated_lines
+from trialspark.llm import lines as L
+from trialspark.llm.lines import ORACLE, coarse_chunks, op9, remove_repeated_lines
+
+UNIT = re.compile(L.UNIT)
+
+
+def units(text):
+    return UNIT.findall(text or "")
+
+
+def bare(unit):
+    return unit.strip(" \t\r\n")
 
 
 def chunks(text):
-    lines, out, run = (text or "").split("\n"), [], []
-    hashes = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in lines]
-    for i, line in enumerate(lines):
-        run.append(line)
-        if (hashes[i] + 31 * (hashes[i - 1] if i else 0)) % 3 == 0 or i == len(lines) - 1:
-            out.append(run)
-            run = []
+    """Coarse chunks as (first unit, units)."""
+    found = units(text)
+    h = [int(hashlib.md5(bare(u).encode()).hexdigest()[:8], 16) for u in found]
+    candidate = [(h[i] + 31 * (h[i - 1] if i else 0)) % 3 == 0 for i in range(len(found))]
+    out, at = [], 0
+    for i in range(len(found)):
+        if i == len(found) - 1 or (candidate[i] and not (i and candidate[i - 1])):
+            out.append((at, found[at : i + 1]))
+            at = i + 1
     return out
 
 
 def slow(docs):
-    seen, out = set(), []
+    """Texts without units of repeated coarse chunks and of repeated pairs, but for the first of each."""
+    seen_chunks, seen_pairs, gone = {}, {}, {}
     for d, t in sorted(docs):
-        kept = []
-        for c in chunks(t):
-            if len(c) > 1 and tuple(c) in seen:
-                continue
-            if len(c) > 1:
-                seen.add(tuple(c))
-            kept += c
-        out.append((d, "\n".join(kept)))
-    return out
+        for at, c in chunks(t):
+            key = tuple(map(bare, c))
+            if len(c) > 1 and seen_chunks.setdefault(key, (d, at)) != (d, at):
+                gone.setdefault(d, set()).update(range(at, at + len(c)))
+        flat = [bare(u) for u in units(t)]
+        for i, pair in enumerate(zip(flat, flat[1:])):
+            if all(pair) and sum(map(len, pair)) >= 24 and seen_pairs.setdefault(pair, (d, i)) != (d, i):
+                gone.setdefault(d, set()).update((i, i + 1))
+    return [(d, "".join(u for i, u in enumerate(units(t)) if i not in gone.get(d, ()))) for d, t in sorted(docs)]
 
 
 def test_query_equals_sql_and_brute_force(spark, sf):
@@ -39,32 +55,82 @@ def test_query_equals_sql_and_brute_force(spark, sf):
     assert got == sorted(cur.fetchall())
     docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     assert [(r[0], r[5]) for r in got] == [(d, hashlib.sha256(t.encode()).hexdigest()) for d, t in slow(docs)]
-    assert any(r[3] for r in got)
+    assert [(r[1], r[2]) for r in got] == [(len(units(t)), len(chunks(t))) for _, t in sorted(docs)]
+    assert any(r[3] for r in got) and any(r[4] for r in got)
 
 
-def test_random_lines_against_brute_force(spark):
-    rng = np.random.default_rng(1)
-    docs = [(i, "\n".join(rng.choice(["a", "b", "cc", "", "é"], int(rng.integers(1, 30))))) for i in range(60)]
-    df = spark.createDataFrame(docs, "doc_id long, text string")
+@pytest.mark.parametrize("seed", range(4))
+def test_random_lines_against_brute_force(spark, seed):
+    rng = np.random.default_rng(seed)
+    words = ["a", "b.", "cc", "", "é", "a long line of letters", "another long line here. With a tail", "Is it? Yes! "]
+    docs = [(i, "\n".join(rng.choice(words, int(rng.integers(1, 30))))) for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
     assert sorted((r["doc_id"], r["text"]) for r in remove_repeated_lines(df).collect()) == slow(docs)
 
 
-def test_chunks_join_to_the_text_and_follow_a_shift(spark):
+@pytest.mark.parametrize("text", ["", "\n", "a", "a\n\nb", " x. y.  z", "one. Two! Three?\nfour", "...\n\n", "é. ñ.\r\nz", "1.5 is. no end"])
+def test_units_join_to_the_text(spark, text):
+    got = spark.createDataFrame([(text,)], "t string").select(L.units_of(L.F.col("t")).alias("u")).first()["u"]
+    assert got == units(text) and "".join(got) == text
+
+
+def test_chunks_follow_a_shift_and_hold_two_units_inside(spark):
     body = "\n".join(f"line {i}" for i in range(60))
     df = spark.createDataFrame([(1, body), (2, "extra\nmore\n" + body)], "doc_id long, text string")
-    rows = line_chunks(df).orderBy("doc_id", "no").collect()
-    one, two = ([r["body"] for r in rows if r["doc_id"] == d] for d in (1, 2))
-    assert "\n".join(one) == body and "\n".join(two) == "extra\nmore\n" + body
-    assert set(one[1:]) <= set(two)
+    rows = coarse_chunks(df).orderBy("doc_id", "a").collect()
+    one, two = ([tuple(r["chunk"]) for r in rows if r["doc_id"] == d] for d in (1, 2))
+    assert sum(map(len, one)) == 60 and sum(map(len, two)) == 62
+    assert set(one[1:]) <= set(two) and min(map(len, one[1:-1])) >= 2
+
+
+@pytest.mark.parametrize("k", [2, 4, 8])
+def test_planted_passages_go_and_clean_texts_stay(spark, k):
+    """Passages of k lines, or of k sentences in the middle of a line, in otherwise different documents."""
+    rng = np.random.default_rng(k)
+
+    def own(n):
+        return [" ".join(f"w{x}" for x in rng.integers(0, 10**9, 6)) for _ in range(n)]
+
+    docs, planted = [], []
+    for i in range(120):
+        passage = own(k)
+        for side in range(2):
+            if i % 2:
+                text = "\n".join([*own(int(rng.integers(1, 6))), *passage, *own(int(rng.integers(1, 6)))])
+            else:
+                text = ". ".join([*own(3), *passage, *own(3)]) + "."
+            docs.append((2 * i + side, text))
+            planted.append(passage)
+    clean = [(1000 + i, "\n".join(own(9))) for i in range(50)]
+    df = spark.createDataFrame(docs + clean, "doc_id long, text string").repartition(4)
+    out = {r["doc_id"]: r["text"] for r in remove_repeated_lines(df).collect()}
+    assert all(out[d] == t for d, t in clean) and all(out[d] == t for d, t in docs[::2])
+    gone = [line not in out[d] for d, _ in docs[1::2] for line in planted[d]]
+    assert np.mean(gone) >= 0.9
+    assert all(len(units(out[d])) == len(units(t)) - k for d, t in docs[1::2])
+
+
+def test_copies_of_a_text_leave_the_first_alone(spark):
+    body = "\n".join(f"a line of its own {i}" for i in range(40))
+    df = spark.createDataFrame([(i, body) for i in range(300)] + [(500, "before\n" + body)], "doc_id long, text string").repartition(5)
+    out = {r["doc_id"]: (r["text"], r["n_removed_lines"]) for r in remove_repeated_lines(df).collect()}
+    assert out.pop(0) == (body, 0) and out.pop(500) == ("before\n", 40)
+    assert set(out.values()) == {("", 40)}
+
+
+def test_units_with_one_digest_and_different_bytes_stay(spark, monkeypatch):
+    """All digests are made equal, so nothing may be removed."""
+    real = L._part
+    monkeypatch.setattr(L, "_part", lambda d, start, digits: real(d, start, digits) % 2)
+    df = spark.createDataFrame([(i, "\n".join(f"text number {i} and {j}" for j in range(12))) for i in range(20)], "doc_id long, text string")
+    assert all(r["n_removed_lines"] == 0 for r in remove_repeated_lines(df).collect())
 
 
 def test_nulls_repeats_long_texts_and_clashing_columns(spark):
-    long = "\n".join(f"l{i}" for i in range(20000))
+    long = "\n".join(f"long line {i} of it" for i in range(20000))
     rows = [(1, None, 9), (2, "", 9), (None, long, 9), (4, long, 9), (4, long, 9), (5, "one", 9), (6, "one", 9)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_lines int")
-    got = {(r["doc_id"], r["text"] if r["text"] is None or len(r["text"]) < 9 else "long") for r in remove_repeated_lines(df).collect()}
-    singles = "\n".join(c[0] for c in chunks(long) if len(c) == 1)
-    assert got == {(1, None), (2, ""), (None, "long"), (4, "long"), (5, "one"), (6, "one")}
-    assert {r["text"] for r in remove_repeated_lines(df).filter("doc_id = 4").collect()} == {singles}
+    got = sorted((str(r["doc_id"]), r["text"] if r["text"] is None or len(r["text"]) < 9 else "long", r["n_lines"]) for r in remove_repeated_lines(df).collect())
+    assert got == sorted([("1", None, 0), ("2", "", 0), ("None", "long", 20000), ("4", "", 20000), ("4", "", 20000), ("5", "one", 1), ("6", "one", 1)], key=lambda r: r[0])
     assert remove_repeated_lines(df.limit(0)).count() == 0
-    assert remove_repeated_lines(df).count() == 7
+    assert remove_repeated_lines(df).columns == ["doc_id", "text", "n_lines", "n_chunks", "n_removed_lines", "n_removed_chunks"]

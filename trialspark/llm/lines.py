@@ -1,8 +1,12 @@
 """Line deduplication by content-defined chunks of lines (DataFrame functions only).
 
-A rolling hash over neighbouring line hashes decides where a chunk ends, so that equal runs of lines
-are cut alike wherever they stand in a document. Multi-line chunks that occur again anywhere are
-compared by their bytes and removed, but for the first occurrence.
+Lines, and inside them sentences, are the units of a text. A rolling hash over neighbouring unit hashes
+decides where a chunk ends, so that equal runs of units are cut alike wherever they stand in a document.
+Chunks are taken at two scales. Coarse ones end where the rolling hash says so and nothing ended
+one unit before, which gives two units or more between boundaries; what they find are long
+repeats. Passages rarely begin and end at such a boundary, so what coarse chunks leave is
+looked at in the finest chunks that hold more than one unit, the pairs of neighbours: they grow a
+repeat to its edges and find short passages. All but the first occurrence go.
 """
 
 from __future__ import annotations
@@ -13,119 +17,164 @@ from pyspark.sql import functions as F
 from trialspark.llm.common import documents, query, text_of
 from trialspark.shared import materialize
 
-WINDOW = 2
+UNIT = r"[^\n]*?[.!?] +|[^\n]*\n+|[^\n]+"  # a sentence before a blank, or a line (or its rest) with the line feeds after it
+BLANK = " \t\r\n"
 DIVISOR = 3
-MIN_LINES = 2
+MIN_UNITS = 2
+MIN_LETTERS = 24  # of a pair; pairs of shorter units are too common to be passages
+PLACE = ["doc_id", "body_key", "a"]
 BASE = 31  # of the rolling hash; hashes have 32 bits, so sums stay far inside a long
 
 
-def line_hash(line: Column) -> Column:
-    """The first 32 bits of the line's MD5 (the same value is to be had in other SQL engines)."""
-    return F.conv(F.substring(F.md5(F.encode(line, "UTF-8")), 1, 8), 16, 10).cast("long")
+def units_of(text: Column) -> Column:
+    """The text cut into units; joined they are the text."""
+    return F.regexp_extract_all(text, F.lit(UNIT), F.lit(0))
 
 
-def _ends(hashes: Column, window: int, divisor: int) -> Column:
-    """For each line whether a chunk ends after it: its rolling hash is a multiple of ``divisor``."""
+def _part(digest: Column, start: int, digits: int) -> Column:
+    return F.conv(F.substring(digest, start, digits), 16, 10).cast("long")
 
-    def rolled(i: Column) -> Column:
-        terms = [F.coalesce(F.get(hashes, i - back), F.lit(0)) * (BASE**back) for back in range(window)]
-        total = terms[0]
-        for t in terms[1:]:
-            total = total + t
-        return total
 
-    last = F.size(hashes) - 1
-    return F.transform(F.sequence(F.lit(0), last), lambda i: (rolled(i) % divisor == 0) | (i == last))
+def _boundaries(hashes: Column) -> Column:
+    """For each unit whether a coarse chunk ends after it."""
 
+    def candidate(i: Column) -> Column:
+        rolled = F.get(hashes, i) + F.coalesce(F.get(hashes, i - 1), F.lit(0).cast("long")) * BASE
+        return (i >= 0) & F.coalesce(rolled % DIVISOR == 0, F.lit(False))
 
-def _with_bounds(rows: DataFrame, window: int, divisor: int) -> DataFrame:
-    """Add ``bounds``: first and last line (from 0) of each chunk of ``lines``."""
-    ended = rows.withColumn("hashes", F.transform("lines", line_hash)).withColumn("ends", _ends(F.col("hashes"), window, divisor))
-    cut = ended.withColumn("stops", F.filter(F.transform("ends", lambda e, i: F.when(e, i)), lambda i: i.isNotNull()))
-    starts = F.concat(F.array(F.lit(0)), F.transform(F.slice("stops", 1, F.size("stops") - 1), lambda s: s + 1))
-    return cut.withColumn("bounds", F.arrays_zip(starts.alias("a"), F.col("stops").alias("b"))).drop("hashes", "ends", "stops")
+    last = F.size(hashes) - 1
+    return F.transform(hashes, lambda _, i: (i == last) | (candidate(i) & ~candidate(i - 1)))
 
 
-def line_chunks(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR) -> DataFrame:
-    """One row per chunk: ``doc_id``, ``body_key`` (hash of the whole text), ``no``, ``n_lines``, ``body``.
+def coarse_chunks(docs: DataFrame) -> DataFrame:
+    """One row per coarse chunk, without its text: ``doc_id, body_key, a, chunk, sizes, after, after_size``.
 
-    The chunks of a document, joined by line feeds, are its text.
+    ``a`` is the chunk's first unit (from 0), ``chunk`` has 60 bits of the digest of each unit without the
+    blanks around it, ``sizes`` their letters; ``after`` and ``after_size`` are those of the unit that follows, if any.
     """
-    lines = docs.select("doc_id", F.xxhash64(text_of()).alias("body_key"), F.split(text_of(), "\n").alias("lines"))
-    cut = _with_bounds(lines, window, divisor)
+    bare = F.transform(units_of(text_of()), lambda u: F.trim(u, F.lit(BLANK)))
+    units = docs.select("doc_id", F.xxhash64(text_of()).alias("body_key"), bare.alias("bare"))
+    units = units.select("doc_id", "body_key", F.transform("bare", lambda u: F.md5(F.encode(u, "UTF-8"))).alias("md5"), F.transform("bare", F.length).alias("sizes"))
+    units = units.select("doc_id", "body_key", "sizes", F.transform("md5", lambda d: _part(d, 9, 15)).alias("keys"), F.transform("md5", lambda d: _part(d, 1, 8)).alias("hashes"))
+    ended = units.withColumn("ends", _boundaries(F.col("hashes"))).drop("hashes")
+    cut = ended.withColumn("stops", F.filter(F.transform("ends", lambda e, i: F.when(e, i)), lambda i: i.isNotNull())).drop("ends")
+    starts = F.slice(F.concat(F.array(F.lit(0)), F.transform("stops", lambda s: s + 1)), F.lit(1), F.size("stops"))
+    bounds = cut.withColumn("bounds", F.arrays_zip(starts.alias("a"), F.col("stops").alias("b")))
 
     def chunk(at: Column) -> Column:
         n = at["b"] - at["a"] + 1
-        return F.struct(n.alias("n_lines"), F.array_join(F.slice("lines", at["a"] + 1, n), "\n").alias("body"))
+        following = [F.get("keys", at["b"] + 1).alias("after"), F.get("sizes", at["b"] + 1).alias("after_size")]
+        return F.struct(at["a"].alias("a"), F.slice("keys", at["a"] + 1, n).alias("chunk"), F.slice("sizes", at["a"] + 1, n).alias("sizes"), *following)
 
-    # bodies are cut out before rows are made of them, so that no row carries the whole document
-    rows = cut.select("doc_id", "body_key", F.posexplode(F.transform("bounds", chunk)).alias("no", "chunk"))
-    return rows.select("doc_id", "body_key", "no", "chunk.n_lines", "chunk.body")
+    return bounds.select("doc_id", "body_key", F.explode(F.transform("bounds", chunk)).alias("c")).select("doc_id", "body_key", "c.*")
 
 
-def repeated_chunks(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR, min_lines: int = MIN_LINES) -> DataFrame:
-    """Occurrences to remove: ``doc_id, body_key, removed`` (sorted chunk numbers), one row per document.
+def _repeats(windows: DataFrame, chunk: list[str]) -> DataFrame:
+    """Chunks that occur again, with their first place in order of (doc_id with NULL first, text, unit).
 
-    Chunks are grouped by hash and bytes together, which is the byte comparison; the groups combine
-    before the shuffle, so a chunk that a third of all documents share is one row per task. The first
-    occurrence in order of (doc_id with NULL first, text hash, number) stays. Occurrences then meet
-    their group through two digests without moving text again; bodies whose digests clash are kept.
+    Occurrences are counted before they are shuffled, so a chunk that a third of all documents hold is one row a task.
     """
-    chunks = line_chunks(docs, window, divisor).filter(F.col("n_lines") >= min_lines)
-    marks = [F.xxhash64("body").alias("h"), F.sha2(F.encode("body", "UTF-8"), 256).alias("sha")]
-    first = F.min(F.struct("doc_id", "body_key", "no")).alias("first")
-    groups = chunks.groupBy(F.xxhash64("body").alias("h"), "body").agg(F.count("*").alias("n"), first).filter("n > 1")
-    keyed = groups.select("h", marks[1], "first").groupBy("h", "sha").agg(F.count("*").alias("bodies"), F.min("first").alias("first")).filter("bodies = 1")
-    spots = chunks.select("doc_id", "body_key", "no", *marks)
-    again = spots.join(keyed, ["h", "sha"]).filter(~F.struct("doc_id", "body_key", "no").eqNullSafe(F.col("first")))
-    return again.groupBy("doc_id", "body_key").agg(F.sort_array(F.collect_set("no")).alias("removed"))
+    return windows.groupBy(*chunk).agg(F.count("*").alias("n"), F.min(F.struct(*PLACE)).alias("first")).filter("n > 1").drop("n")
+
+
+def _pairs(chunks: DataFrame) -> DataFrame:
+    """Neighbouring units: those inside a chunk that stays, and those across the end of any chunk.
+
+    A pair inside a chunk that goes is never the first of its kind, as the first such chunk stands before it.
+    """
+    x, y = F.concat("chunk", F.array("after")), F.concat("sizes", F.array("after_size"))
+    whole = chunks.select("doc_id", "body_key", "a", "gone", F.size("chunk").alias("n"), x.alias("keys"), y.alias("sizes"))
+    numbers = F.sequence(F.when(F.col("gone"), F.col("n") - 1).otherwise(F.lit(0)), F.col("n") - 1)
+
+    def pair(i: Column) -> Column:
+        one, two = F.get("sizes", i), F.get("sizes", i + 1)
+        good = (one > 0) & (two > 0) & (one + two >= MIN_LETTERS)  # NULL after the last unit
+        return F.when(good, F.struct((F.col("a") + i).alias("a"), F.get("keys", i).alias("x"), F.get("keys", i + 1).alias("y")))
 
+    found = F.filter(F.transform(numbers, pair), lambda p: p.isNotNull())
+    return whole.select("doc_id", "body_key", F.explode(found).alias("p")).select("doc_id", "body_key", "p.a", "p.x", "p.y")
 
-def remove_repeated_lines(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR, min_lines: int = MIN_LINES) -> DataFrame:
+
+def _unlike(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """``key`` of units that are not all the same bytes, among the keys of repeated chunks (none are expected)."""
+    units = docs.select(F.explode(F.transform(units_of(text_of()), lambda u: F.trim(u, F.lit(BLANK)))).alias("unit"))
+    keyed = units.select(_part(F.md5(F.encode("unit", "UTF-8")), 9, 15).alias("key"), "unit")
+    bodies = keyed.join(keys, "key", "left_semi").groupBy("key", "unit").agg(F.count("*").alias("n"))
+    return bodies.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+
+
+def repeated_units(docs: DataFrame) -> DataFrame:
+    """What goes: ``doc_id, body_key, gone`` (sorted unit numbers) and ``chunks`` (coarse chunks among them), one row a document.
+
+    Chunks are compared by the digests of their units, and the digests of all units in repeated chunks by the units' bytes;
+    chunks with a unit whose digest stands for different bytes stay. Rows that repeat an id and its text are one document.
+    """
+    every = materialize(coarse_chunks(docs))
+    long_repeats = materialize(_repeats(every.filter(F.size("chunk") >= MIN_UNITS), ["chunk"]))
+    again = F.col("first").isNotNull() & ~F.struct(*PLACE).eqNullSafe(F.col("first"))
+    judged = materialize(every.join(long_repeats, "chunk", "left").withColumn("gone", again).drop("first"))
+    pairs = _pairs(judged)
+    short_repeats = materialize(_repeats(pairs, ["x", "y"]))
+    fine = pairs.join(short_repeats, ["x", "y"]).filter(~F.struct(*PLACE).eqNullSafe(F.col("first")))
+
+    keys = long_repeats.select(F.explode("chunk").alias("key")).union(short_repeats.select("x")).union(short_repeats.select("y")).distinct()
+    unlike = materialize(_unlike(docs, keys))
+    bad = long_repeats.select("chunk", F.explode("chunk").alias("key")).join(unlike, "key", "left_semi").select("chunk").distinct()
+    coarse = judged.filter("gone").select("doc_id", "body_key", "a", "chunk").join(bad, "chunk", "left_anti")
+    coarse = coarse.select("doc_id", "body_key", F.sequence(F.col("a"), F.col("a") + F.size("chunk") - 1).alias("units"), F.col("a").alias("chunk"))
+    fine = fine.join(unlike.withColumnRenamed("key", "x"), "x", "left_anti").join(unlike.withColumnRenamed("key", "y"), "y", "left_anti")
+    fine = fine.select("doc_id", "body_key", F.array(F.col("a"), F.col("a") + 1).alias("units"), F.lit(None).cast("int").alias("chunk"))
+    found = coarse.unionByName(fine).groupBy("doc_id", "body_key").agg(F.flatten(F.collect_list("units")).alias("units"), F.size(F.collect_set("chunk")).alias("chunks"))
+    return found.select("doc_id", "body_key", F.array_sort(F.array_distinct("units")).alias("gone"), "chunks")
+
+
+def remove_repeated_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated chunks cut from ``text``, and counts of what was cut.
 
-    Added columns: ``n_lines``, ``n_chunks``, ``n_removed_lines``, ``n_removed_chunks``. A NULL text
-    is one empty line and stays NULL. Rows that repeat both id and text are one document: they lose
-    the same chunks. Texts of one line never lose any. Columns of the added
-    names, ``lines`` and ``bounds`` are replaced.
+    Added columns: ``n_lines`` (units), ``n_chunks`` (coarse chunks), ``n_removed_lines``,
+    ``n_removed_chunks``. A NULL text has no units and stays NULL. Rows that repeat both id and text are
+    one document: they lose the same units. A text of one unit never loses it, and neither does one
+    whose units repeat only one by one. Columns of the added names are replaced.
     """
-    added = ["n_lines", "n_chunks", "n_removed_lines", "n_removed_chunks", "lines", "bounds"]
+    added = ["n_lines", "n_chunks", "n_removed_lines", "n_removed_chunks"]
     kept = [c for c in docs.columns if c not in added]
-    removed = materialize(repeated_chunks(docs, window, divisor, min_lines))
-    keyed = docs.select(*kept, F.xxhash64(text_of()).alias("__key"))
-    gaps = removed.select(F.col("doc_id").alias("__d"), F.col("body_key").alias("__k"), F.col("removed").alias("__removed"))
+    removed = materialize(repeated_units(docs.select("doc_id", "text")))
+    gaps = removed.select(F.col("doc_id").alias("__d"), F.col("body_key").alias("__k"), F.col("gone").alias("__gone"), F.col("chunks").alias("__chunks"))
     # the list grows with the documents: one plan at every size, not a broadcast while it is small
+    keyed = docs.select(*kept, F.xxhash64(text_of()).alias("__key"))
     joined = keyed.join(gaps.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__key") == F.col("__k")), "left")
-    cut = _with_bounds(joined.withColumn("lines", F.split(text_of(), "\n")), window, divisor)
-    gone = F.coalesce(F.col("__removed"), F.array().cast("array<int>"))
-    stay = F.array_except(F.sequence(F.lit(0), F.size("bounds") - 1), "__gone")
-    left = F.transform(stay, lambda i: F.get("bounds", i))
-    marked = cut.withColumn("__gone", gone).withColumn("__left", left)
-    body = F.array_join(F.transform("__left", lambda at: F.array_join(F.slice("lines", at["a"] + 1, at["b"] - at["a"] + 1), "\n")), "\n")
-    text = F.when(F.size("__gone") > 0, body).otherwise(F.col("text"))
-    remain = F.aggregate("__left", F.lit(0), lambda n, at: n + at["b"] - at["a"] + 1)
-    return marked.select(
-        *[text.alias("text") if c == "text" else F.col(c) for c in kept],
-        F.size("lines").alias("n_lines"),
-        F.size("bounds").alias("n_chunks"),
-        (F.size("lines") - remain).alias("n_removed_lines"),
-        F.size("__gone").alias("n_removed_chunks"),
+    cut = joined.withColumn("__units", units_of(text_of())).withColumn("__gone", F.coalesce("__gone", F.array().cast("array<int>")))
+    cut = cut.withColumn("__hashes", F.transform("__units", lambda u: _part(F.md5(F.encode(F.trim(u, F.lit(BLANK)), "UTF-8")), 1, 8)))
+    numbers = F.when(F.size("__units") > 0, F.sequence(F.lit(0), F.size("__units") - 1)).otherwise(F.array().cast("array<int>"))
+    cut = cut.withColumn("__stay", F.array_except(numbers, "__gone"))
+    gone = F.col("__gone")
+    body = F.array_join(F.transform("__stay", lambda i: F.get("__units", i)), "")
+    return cut.select(
+        *[F.when(F.size(gone) > 0, body).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in kept],
+        F.size("__units").alias("n_lines"),
+        F.size(F.filter(_boundaries(F.col("__hashes")), lambda e: e)).alias("n_chunks"),
+        F.size(gone).alias("n_removed_lines"),
+        F.coalesce("__chunks", F.lit(0)).alias("n_removed_chunks"),
     )
 
 
-ORACLE = """
+ORACLE = rf"""
 with d as (select doc_id, coalesce(text, '') as body from documents),
-l as (select doc_id, body, unnest(string_split(body, chr(10))) as line, generate_subscripts(string_split(body, chr(10)), 1) as i from d),
-h as (select doc_id, body, line, i, ('0x' || substr(md5(line), 1, 8))::bigint as h from l),
-e as (select *, (h + coalesce(lag(h) over w, 0) * 31) % 3 = 0 as ends from h window w as (partition by doc_id, body order by i)),
-c as (select *, coalesce(sum(ends::int) over (partition by doc_id, body order by i rows between unbounded preceding and 1 preceding), 0) as no from e),
-k as (select doc_id, body, no, count(*) as n_lines, string_agg(line, chr(10) order by i) as chunk from c group by all),
-r as (select *, n_lines >= 2 and count(*) over (partition by chunk, n_lines >= 2) > 1
-             and row_number() over (partition by chunk, n_lines >= 2 order by doc_id) > 1 as gone from k)
-select doc_id, sum(n_lines)::int as n_lines, count(*)::int as n_chunks, coalesce(sum(n_lines) filter (gone), 0)::int as n_removed_lines,
-       coalesce(sum(gone::int), 0)::int as n_removed_chunks,
-       sha256(coalesce(string_agg(chunk, chr(10) order by no) filter (not gone), '')) as kept_sha256
-from r group by doc_id, body
+u as (select doc_id, body, unnest(regexp_extract_all(body, '{UNIT}')) as unit, generate_subscripts(regexp_extract_all(body, '{UNIT}'), 1) as i from d),
+h as (select *, trim(unit, ' ' || chr(9) || chr(13) || chr(10)) as bare, ('0x' || substr(md5(trim(unit, ' ' || chr(9) || chr(13) || chr(10))), 1, 8))::bigint as h from u),
+r as (select *, (h + coalesce(lag(h) over w, 0) * {BASE}) % {DIVISOR} = 0 as candidate, lead(bare) over w as after from h window w as (partition by doc_id, body order by i)),
+e as (select *, candidate and not coalesce(lag(candidate) over (partition by doc_id, body order by i), false) as ends from r),
+n as (select *, coalesce(sum(ends::int) over (partition by doc_id, body order by i rows between unbounded preceding and 1 preceding), 0) as no from e),
+c as (select doc_id, body, no, count(*) >= {MIN_UNITS} as several, string_agg(bare, chr(10) order by i) as chunk, count(*) as size from n group by all),
+cg as (select doc_id, body, no, several and row_number() over (partition by several, chunk, size order by doc_id, no) > 1 as gone from c),
+p as (select *, coalesce(bare <> '' and after <> '' and length(bare) + length(after) >= {MIN_LETTERS}, false) as wide from n),
+pg as (select *, wide and row_number() over (partition by wide, bare, after order by doc_id, i) > 1 as again from p),
+g as (select pg.*, cg.gone as chunk_gone, cg.gone or again or coalesce(lag(again) over (partition by doc_id, body order by i), false) as gone from pg join cg using (doc_id, body, no)),
+t as (select doc_id, body, count(*)::int as n_lines, count(distinct no)::int as n_chunks, sum(gone::int)::int as n_removed_lines, count(distinct case when chunk_gone then no end)::int as n_removed_chunks,
+             coalesce(string_agg(unit, '' order by i) filter (not gone), '') as kept from g group by all)
+select doc_id, coalesce(n_lines, 0) as n_lines, coalesce(n_chunks, 0) as n_chunks, coalesce(n_removed_lines, 0) as n_removed_lines, coalesce(n_removed_chunks, 0) as n_removed_chunks,
+       sha256(coalesce(kept, '')) as kept_sha256
+from d left join t using (doc_id, body)
 """
 
 
