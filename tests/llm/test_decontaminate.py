@@ -2,7 +2,9 @@ import hashlib
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
+from trialspark.llm import decontaminate as decontaminate_module
 from trialspark.llm.decontaminate import decontaminate, op8, scan_documents
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -64,3 +66,30 @@ def test_spans_are_cut_and_clean_documents_stay(spark):
     clean = [(2, "clean text - é", 5), (2, "clean text - é", 5), (4, None, 7), (5, "", 8)]
     assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, "Before, ! After.", 4), *clean], key=str)
     assert sorted(map(tuple, decontaminate(d, b, "documents").collect()), key=str) == sorted(clean, key=str)
+
+
+def test_many_windows_are_screened_in_one_scan(spark):
+    """A block of 20 and 400 windows and more: at most two Python steps, same spans and items as with all windows broadcast."""
+    rng = np.random.default_rng(5)
+    w = [f"w{i}" for i in range(400)]
+    items = [(i, " ".join(rng.choice(w, 30))) for i in range(20)] + [(50, "short item"), (51, "short item"), (52, None)]
+    docs = [(i, " ".join([*rng.choice(w, 15), *items[i % 20][1].split()[4:18], *rng.choice(w, 15)])) for i in range(40)]
+    docs += [(100, "a short item!"), (101, None), (102, ""), (None, items[3][1]), (103, items[3][1]), (103, items[3][1])]
+    d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("spans", F.lit(1))
+    b = spark.createDataFrame(items, "item_id long, text string")
+
+    def rows(df):
+        return sorted((str(r["doc_id"]), r["n_words"], str(r["spans"]), str(r["items"])) for r in df.collect())
+
+    screened = scan_documents(d, b, block=20)
+    assert rows(screened) == rows(scan_documents(d, b)) and sum(bool(r["spans"]) for r in screened.collect()) == 44
+    plan = screened._jdf.queryExecution().executedPlan().toString()
+    assert 1 <= plan.count("MapInArrow") <= 2
+
+
+def test_bits_are_found_where_spark_sets_them(spark):
+    prints = np.array([0, 1, 2, 32767, 32768, 32769, 65536, 2**40 + 5, 2**63 - 1, 2**64 - 1, 2**64 - 32768], np.uint64)
+    df = spark.createDataFrame([(int(p),) for p in prints.view(np.int64)], "print long")
+    whole = decontaminate_module._bitmap(df)
+    assert decontaminate_module._passes(whole, prints).all()
+    assert not decontaminate_module._passes(whole, np.array([3, 32770, 99999, 2**63 - 9], np.uint64)).any()
