@@ -65,6 +65,16 @@ def _(spark, sf):
     return long.groupBy("feature").agg(F.sum("v").alias("total"), F.min(F.when(F.col("v") == 1, F.col("env"))).alias("first_env"))
 
 
+@query("t2_onehot_ids", "T2", SQL_COV + """, l as (select env, 'segment' as c, segment as v from cov union all select env, 'priority', priority from cov),
+v as (select c, v, row_number() over (order by c, v) - 1 as id from (select distinct c, v from l where env not like '%_2001'))
+select env, coalesce(string_agg(id::varchar, ',' order by id), '') as ids from l left join v using (c, v) group by env""")
+def _(spark, sf):
+    """Sparse one-hot ids: the vocabulary is joined and never collected."""
+    c = covariates(spark, sf)
+    vocab = T.fit_onehot(c.filter(~F.col("env").endswith("_2001")), ["segment", "priority"])
+    return T.onehot_ids(c, vocab, ["segment", "priority"]).select("env", F.array_join("onehot", ",").alias("ids"))
+
+
 @query("t3_align_schema", "T3", SQL_COV + f"""select env, {q6('q_mean')} as q_mean, 0.0::double as "priority=9-NEVER", case when segment = 'BUILDING' then 1.0::double else 0.0::double end as "segment=BUILDING", {q6('q_std')} as q_std from cov where env like '%_2001'""")
 def _(spark, sf):
     c = covariates(spark, sf)

@@ -5,12 +5,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trialspark import fixtures as FX
-from trialspark.catalog import query
-from trialspark.catalog.common import WITH_META, WITH_PRED, pred, q6, rounded
+from trialspark.catalog import REGISTRY, query
+from trialspark.catalog import effects as CE
+from trialspark.catalog import features as CF
+from trialspark.catalog import metrics as CM  # noqa: F401 - registers the scoreboards whose SQL is used below
+from trialspark.catalog import stacking as CK
+from trialspark.catalog.common import WITH_META, WITH_PRED, pred, q6, rounded, train_test
 from trialspark.catalog.features import COV_NUM, SQL_SCALER, covariates
 from trialspark.catalog.relations import CELL_SQL, cells
+from trialspark.operators import effects as E
 from trialspark.operators import features as T
 from trialspark.operators import metrics as M
+from trialspark.operators import stacking as K
 from trialspark.operators import relations as R
 from trialspark.schema import TrialSchema
 from trialspark.shared import scratch_path
@@ -197,3 +203,77 @@ def _(spark, sf):
     S.save_params({"scaler": fitted}, path)
     back = S.load_params(spark, path, ["scaler"], {"scaler": ("feature", COV_NUM)})["scaler"]
     return rounded(back.select("feature", "mean", "scale"))
+
+
+def reported(spark, name, table, fmt="parquet"):
+    """``table`` written as a report and read back."""
+    (path,) = S.write_report({name: table}, scratch_path(spark, "report"), fmt)
+    reader = spark.read.schema(table.schema)
+    return reader.option("header", True).csv(path) if fmt == "csv" else reader.format(fmt).load(path)
+
+
+@query("s7_env_pcc_report", "S7", REGISTRY["m13_env_pcc_report"].oracle)
+def _(spark, sf):
+    return rounded(reported(spark, "env_pcc", M.env_pcc_report(pred(spark, sf), pred="m_a"), "csv"))
+
+
+@query("s7_novelty_report", "S7", REGISTRY["m11_novelty_metrics"].oracle)
+def _(spark, sf):
+    train, test = train_test(pred(spark, sf))
+    return rounded(reported(spark, "novelty_metrics", M.novelty_metrics(test, train), "orc"))
+
+
+@query("s7_tester_report", "S7", REGISTRY["m12_tester_metrics"].oracle)
+def _(spark, sf):
+    return rounded(reported(spark, "tester_metrics", M.tester_metrics(pred(spark, sf)), "json"))
+
+
+@query("s7_stack_weights", "S7", REGISTRY["k5_weights_report"].oracle)
+def _(spark, sf):
+    best = K.search_weights(K.stack_moments(CK.wide(spark, sf, False), CK.MODELS), CK.MODELS, CK.N_RANDOM)
+    return rounded(reported(spark, "stack_weights", K.stack_weights_report(best, CK.MODELS), "csv"))
+
+
+@query("s7_stacked_predictions", "S7", REGISTRY["k4_apply_stack"].oracle)
+def _(spark, sf):
+    best = K.search_weights(K.stack_moments(CK.wide(spark, sf, False), CK.MODELS), CK.MODELS, CK.N_RANDOM)
+    return rounded(reported(spark, "stacked_predictions", K.apply_stack(CK.wide(spark, sf, True), CK.MODELS, best), "csv"), 9)
+
+
+def reloaded(spark, tables, expect=None):
+    """Fitted tables saved and loaded again, with their key lists checked."""
+    path = scratch_path(spark, "state")
+    S.save_params(tables, path)
+    return S.load_params(spark, path, list(tables), expect)
+
+
+@query("s8_label_scalers", "S8", REGISTRY["t6_label_scalers"].oracle)
+def _(spark, sf):
+    train, _ = train_test(FX.meta_trials(spark, sf))
+    return rounded(reloaded(spark, {"labels": T.fit_label_scalers(E.env_residuals(train))}, {"labels": ("label", ["total", "ymean", "resid"])})["labels"])
+
+
+@query("s8_marker_stats", "S8", REGISTRY["t5_marker_standardise"].oracle)
+def _(spark, sf):
+    """Markers standardised with stats that were fitted, saved, checked against the columns in use and loaded."""
+    m = FX.markers(spark, sf)
+    columns = list(range(m.select(F.size("markers")).first()[0]))
+    stats = reloaded(spark, {"markers": T.fit_marker_stats(m.filter("vec_id % 5 <> 0"))}, {"markers": ("marker", columns)})["markers"]
+    return rounded(T.apply_marker_stats(m, stats).select("vec_id", F.posexplode("z").alias("marker", "z")))
+
+
+@query("s8_parent_vocab", "S8", REGISTRY["t9_parent_ids"].oracle)
+def _(spark, sf):
+    t = CF._gappy_parents(spark, sf)
+    vocab = reloaded(spark, {"parents": T.fit_parent_vocab(t.filter("year <= 1999"))})["parents"]
+    return T.apply_parent_vocab(t, vocab).select("row_key", "parent1_id", "parent2_id")
+
+
+@query("s8_effects", "S8", REGISTRY["e2_interaction_residual"].oracle)
+def _(spark, sf):
+    """Residuals by effects that were fitted, saved and loaded."""
+    t, f = CE.fit(spark, sf)
+    names = ["mu", "year_effect", "hybrid_effect", "env_effect"]
+    back = reloaded(spark, {n: getattr(f, n) for n in names})
+    loaded = E.Effects(*[back[n] for n in names])
+    return rounded(E.interaction_residual(t.filter("year <= 1999"), loaded).select("row_key", "ge"))
