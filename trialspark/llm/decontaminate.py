@@ -141,7 +141,7 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, block
     windows = rows.groupBy("gram").agg(F.sort_array(F.collect_set("item")).alias("items")).collect()
     shared = spark.sparkContext.broadcast([(bytes(r["gram"]), list(r["items"])) for r in windows])
     out = docs.select(*kept, *no_hits(), utf8().alias("__text"))
-    return out.mapInArrow(_scanner(shared, len(kept)), out.schema).drop("__text")
+    return out.mapInArrow(lean(_scanner(shared, len(kept))), out.schema).drop("__text")
 
 
 SPANS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
@@ -287,7 +287,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "spans", n:
             part = pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(texts, pa.string())], names=[*names, "text"])
             yield part.filter(pa.array(keep))
 
-    return rows.mapInArrow(cut, schema).select(*docs.columns)
+    return rows.mapInArrow(lean(cut), schema).select(*docs.columns)
 
 
 @query("op8_benchmark_windows")

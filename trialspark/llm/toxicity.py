@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialspark.llm.common import crc_bucket, documents, query, text_of
+from trialspark.llm.common import crc_bucket, documents, lean, query, text_of
 
 BUCKETS = 1 << 18  # hashed word forms; bounds the model, its broadcast and what reaches the driver
 PREFIXES = (4, 6)
@@ -30,7 +30,7 @@ DRIFT = 0.05  # cost of a token without significant log-odds
 LEVEL = 0.01  # expected number of chance segments below which a passage counts as toxic
 THRESHOLD = 0.3
 WORD = re.compile(r"\w+")
-CACHE = 1 << 19
+CACHE = 1 << 17  # words that a task remembers
 BIN, LOW, HIGH = 0.5, -20.0, 200.0  # calibration bins
 
 
@@ -81,7 +81,7 @@ def form_counts(docs: DataFrame, sample: DataFrame) -> DataFrame:
         used = np.flatnonzero(totals[:, 0])
         yield pa.RecordBatch.from_arrays([pa.array(used), *(pa.array(totals[used, i]) for i in range(3))], names=["bucket", "n_all", "n_clean", "n_toxic"])
 
-    found = rows.mapInArrow(run, "bucket long, n_all long, n_clean long, n_toxic long")
+    found = rows.mapInArrow(lean(run), "bucket long, n_all long, n_clean long, n_toxic long")
     return found.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in ("n_all", "n_clean", "n_toxic")])
 
 
@@ -197,7 +197,7 @@ def train(docs: DataFrame, labels: DataFrame, allowed, label: str = "toxic", per
                     found.update(round(s, 2) for s in map(scores.__getitem__, words_of(text.as_py())))
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.float64()), pa.array(list(found.values()), pa.int64())], names=["s", "n"])
 
-    seen = chosen.mapInArrow(spread, "s double, n long").groupBy("s").agg(F.sum("n").alias("n")).toPandas()  # scores have two decimals
+    seen = chosen.mapInArrow(lean(spread), "s double, n long").groupBy("s").agg(F.sum("n").alias("n")).toPandas()  # scores have two decimals
     values, weights = seen["s"].to_numpy(float), seen["n"].to_numpy(float)
     positive = delta[delta > 0]
     values = np.where(values > 0, values, -DRIFT)
@@ -214,7 +214,7 @@ def train(docs: DataFrame, labels: DataFrame, allowed, label: str = "toxic", per
                 xs.append(int((min(max(x, LOW), HIGH) - LOW) / BIN))
             yield pa.RecordBatch.from_arrays([pa.array(xs, pa.int32()), batch.column(1).cast(pa.int64())], names=["bin", "y"])
 
-    table = chosen.mapInArrow(bins, "bin int, y long").groupBy("bin").agg(F.count("*").alias("n"), F.sum("y").alias("y")).toPandas()
+    table = chosen.mapInArrow(lean(bins), "bin int, y long").groupBy("bin").agg(F.count("*").alias("n"), F.sum("y").alias("y")).toPandas()
     n, y = np.zeros(int((HIGH - LOW) / BIN) + 1), np.zeros(int((HIGH - LOW) / BIN) + 1)
     n[table["bin"]], y[table["bin"]] = table["n"], table["y"]
     return Model(delta.astype(np.float32), rate, isotonic(y, n))
@@ -266,7 +266,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
                 passages.append([{"a": a, "b": b, "score": s, "expected": e} for a, b, s, e in chance if e < LEVEL])
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(out, pa.float64()), pa.array(passages, kind)], names=[*kept, "score", "passages"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
