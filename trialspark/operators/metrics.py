@@ -20,6 +20,7 @@ from trialspark.shared import materialize, null_safe_join
 VAR_EPS = 1e-8
 CLOSE_ABS, CLOSE_REL = 1e-8, 1e-5
 SELECTION_WEIGHT = 5.0
+RANK_TERMS = {"spearman", "envspearman", "ktau", "triplet"}
 
 
 def finite_pairs(df: DataFrame, actual: str = "actual", pred: str = "pred") -> DataFrame:
@@ -461,6 +462,8 @@ def composite_score(
     if len(ws) != len(terms):
         raise TrialError(f"{len(ws)} weights given for {len(terms)} terms")
     df = finite_pairs(df, actual, pred)
+    if RANK_TERMS & set(terms):  # several scans follow
+        df = materialize(df.select(*dict.fromkeys([env, actual, pred, key])))
     moments = env_moments(df, env, actual, pred)
     total = combine_moments(moments)
     registry = {
