@@ -1,4 +1,7 @@
+import math
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -46,3 +49,51 @@ def test_edge_rows(spark):
     labels = spark.createDataFrame([(None, 1), (3, None), (3, 1)], "doc_id long, quality int")
     assert len(train(df, labels, F.lit(True))) == (1 << BITS) + 1
     assert not train(df.limit(0), labels, F.lit(True)).any()
+
+
+def slow_features(text):
+    """Bucket to value with plain integers."""
+    tokens = re.findall(r"\w+|[^\w\s]+", text)
+    one, full = [zlib.crc32(t.encode()) for t in tokens], 2**32
+    seen = list(one)
+    seen += [0x5BD1E995 if a == b else (a * 0x9E3779B1 % full) ^ ((b + 0x85EBCA6B) % full) for a, b in zip(one, one[1:])]
+    seen += [0x5BD1E995 + 1 for a, b in zip(one, one[2:]) if a == b]
+    counts = Counter((x ^ (x >> 15)) * 0x9E3779B1 % full >> (32 - BITS) for x in seen)
+    norm = math.sqrt(sum(n * n for n in counts.values()))
+    return {b: n / norm for b, n in counts.items()}
+
+
+def slow_scores(examples, texts):
+    """FTRL-proximal with a dictionary entry per coordinate, then a logistic score of every text."""
+    z, n = {}, {}
+
+    def weight(b):
+        zb = z.get(b, 0.0)
+        return 0.0 if abs(zb) <= 1e-4 else (math.copysign(1e-4, zb) - zb) / ((1.0 + math.sqrt(n[b])) / 1.0 + 1e-4)
+
+    def margin(x):
+        return sum(weight(b) * v for b, v in x.items())
+
+    ready = [({**slow_features(t), "bias": 1.0}, y) for t, y in examples]
+    for _ in range(4):
+        for x, y in ready:
+            g = 1 / (1 + math.exp(-margin(x))) - y
+            step = {b: (weight(b), g * v) for b, v in x.items()}
+            for b, (w, gb) in step.items():
+                old = n.get(b, 0.0)
+                z[b] = z.get(b, 0.0) + gb - (math.sqrt(old + gb * gb) - math.sqrt(old)) * w
+                n[b] = old + gb * gb
+    return [1 / (1 + math.exp(-margin({**slow_features(t), "bias": 1.0}))) for t in texts]
+
+
+def test_query_against_a_slow_trainer(spark, sf):
+    """Every score of the query by a trainer and scorer in plain Python, on the whole table."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    order = docs.withColumn("at", F.xxhash64("doc_id", "text")).orderBy("at").collect()
+    learnt = [(r["text"] or "", labels[r["doc_id"]]) for r in order if labels.get(r["doc_id"]) in (0, 1) and zlib.crc32(str(r["doc_id"]).encode()) % 5]
+    want = dict(zip([r["doc_id"] for r in order], slow_scores(learnt, [r["text"] or "" for r in order])))
+    got = {r["doc_id"]: (r["score"], r["predicted"]) for r in op7(spark, sf).collect()}
+    assert got.keys() == want.keys() and len(learnt) > 20
+    assert max(abs(got[d][0] - want[d]) for d in want) < 1e-4
+    assert all(got[d][1] == (want[d] >= 0.3) for d in want if abs(want[d] - 0.3) > 1e-3)

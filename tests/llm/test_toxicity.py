@@ -1,4 +1,6 @@
 import itertools
+import math
+import re
 import zlib
 
 import numpy as np
@@ -81,3 +83,26 @@ def test_training_without_labels_or_rows(spark):
         model = train(d, labels, F.lit(True))
         assert score_documents(d, model).filter("score > 0.3").count() == 0
     assert DRIFT > 0
+
+
+def test_scores_against_a_slow_scorer(spark):
+    """Scores of all documents by plain loops over every segment, with the trained model's own numbers."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    model = train(docs, spark.read.parquet(f"{sf}/labels.parquet"), F.lit(True))
+    got = {r["doc_id"]: (r["score"], len(r["passages"])) for r in score_documents(docs, model).collect()}
+    flagged = 0
+    for r in docs.collect():
+        words = re.findall(r"\w+", (r["text"] or "").lower())
+        scores = [max(float(model.delta[b]) for b in buckets_of(w)) for w in words]
+        best, low, total = 0.0, 0.0, 0.0
+        for s in scores:  # the best segment's score is the largest rise of the running total
+            total += s if s > 0 else -DRIFT
+            best = max(best, total - low)
+            low = min(low, total)
+        x = model.rate * best - math.log(len(words)) if best > 0 else -20.0
+        i = min(len(model.steps) - 1, max(0, int((x + 20.0) / 0.5)))
+        near = abs((x + 20.0) / 0.5 - round((x + 20.0) / 0.5)) < 1e-6  # rounding may put it in either bin
+        assert near or abs(got[r["doc_id"]][0] - model.steps[i]) < 1e-12, r["doc_id"]
+        flagged += got[r["doc_id"]][1] > 0
+    assert flagged > 0
