@@ -1,5 +1,7 @@
 import numpy as np
 
+from trialspark.llm import similar
+from trialspark.llm.simhash import fingerprint
 from trialspark.llm.similar import between, drop_similar, neighbours
 
 
@@ -96,3 +98,30 @@ def test_chains_of_pairs_leave_one(spark):
     assert jaccard(rows[0][1], rows[1][1]) > 0.8 > jaccard(rows[0][1], rows[3][1])
     got = {r["doc_id"] for r in drop_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {0, 24}
+
+
+def test_fingerprints_and_pivots_alone_find_close_copies(spark, monkeypatch):
+    """Without the MinHash candidates, copies within two bits still go; sets that are unlike stay."""
+    monkeypatch.setattr(similar, "_by_bucket", lambda members, pairs: spark.createDataFrame([], "a binary, b binary"))
+    rng = np.random.default_rng(21)
+    rows, want = [], set()
+    for _ in range(40):
+        base = text(rng, 2000)
+        copies = [base, base + " tail", base + " an end"]
+        first, *others = (fingerprint(t.encode(), 5) for t in copies)
+        want.add(len(rows))
+        rows += [(len(rows) + i, t) for i, t in enumerate(copies) if not i or (others[i - 1] ^ first).bit_count() <= 2]
+    rows += [(9000, "a b c d e f"), (9001, "a b c d e f " * 3), (9002, None)]
+    assert len(rows) > 80
+    got = {r["doc_id"] for r in drop_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want | {9000, 9001, 9002}
+
+
+def test_fingerprint_pairs_connect_what_bits_connect(spark):
+    rng = np.random.default_rng(22)
+    fps = [int(x) for x in rng.integers(-(1 << 62), 1 << 62, 30)]
+    fps += [f ^ (1 << int(rng.integers(60))) for f in fps[:20]] + [f ^ 0b111 for f in fps[20:]] + fps[:5]
+    rows = [(b"%03d" % i, f) for i, f in enumerate(fps)]
+    got = {(bytes(r["a"]), bytes(r["b"])) for r in similar.fingerprint_pairs(spark.createDataFrame(rows, "print binary, fp long")).collect()}
+    # print 0 to 4 stand for their fingerprints, so the last five are paired with them and the others with one changed bit
+    assert got == {(b"%03d" % i, b"%03d" % (30 + i)) for i in range(20)} | {(b"%03d" % i, b"%03d" % (60 + i)) for i in range(5)}

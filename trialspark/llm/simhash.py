@@ -43,9 +43,8 @@ def shingle_hashes(text: bytes, words: int) -> np.ndarray:
     return np.array([digest(joined[s:e], SEED) for s, e in zip(starts[: len(found) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)], np.uint64)
 
 
-def fingerprint(text: bytes, words: int = 3) -> int:
-    """Each bit is 1 if more than half of the shingle hashes have it; 0 for a text without words."""
-    h = shingle_hashes(text, words)
+def vote(h: np.ndarray) -> int:
+    """Each bit is 1 if more than half of the hashes have it; 0 without hashes."""
     votes = np.zeros(64, np.int64)
     for at in range(0, len(h), BITS // 64):
         part = h[at : at + BITS // 64].astype(">u8").view(np.uint8).reshape(-1, 8)
@@ -54,6 +53,11 @@ def fingerprint(text: bytes, words: int = 3) -> int:
     return int.from_bytes(bits.tobytes(), "big")
 
 
+def fingerprint(text: bytes, words: int = 3) -> int:
+    """The vote of all shingle hashes, repeats included; 0 for a text without words."""
+    return vote(shingle_hashes(text, words))
+
+
 def fingerprints(docs: DataFrame, words: int = 3, keep: list[str] | None = None) -> DataFrame:
     """Columns ``keep`` (``doc_id``) and ``fp``, the fingerprint as a signed long."""
     keep = keep or ["doc_id"]

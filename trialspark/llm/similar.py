@@ -1,8 +1,9 @@
-"""Near-duplicate documents by the Jaccard similarity of their sets of word shingles.
+"""Near-duplicate documents: SimHash with pivot distance tables, checked by the Jaccard similarity of shingle sets.
 
-MinHash signatures put documents in buckets: those that agree in a whole band of values meet. In a
-bucket pairs whose signatures agree too rarely are discarded, the others are candidates, and a
-candidate is a link only if the shingle sets themselves are similar enough.
+Candidates come from the fingerprints and pivot tables of ``simhash``. Texts around the threshold differ
+in more bits than those find, so MinHash signatures add to them: documents that agree in a whole band of
+values meet, and pairs of a bucket whose signatures agree often enough are candidates too. A candidate
+is a link only if the shingle sets themselves are similar enough.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from trialspark.llm.common import lean, text_of, utf8
 from trialspark.llm.components import connected_components
-from trialspark.llm.simhash import shingle_hashes
+from trialspark.llm.simhash import REACH, fingerprint_links, shingle_hashes, vote
 from trialspark.shared import materialize
 
 WORDS = 5
@@ -53,22 +54,40 @@ def least_agreeing(similarity: float) -> int:
 
 
 def _prints(docs: DataFrame, words: int) -> DataFrame:
-    """``doc_id, k, print`` (digest of the set of shingles), ``bands`` and ``sketch`` (a byte of each signature value)."""
+    """``doc_id, k, print`` (digest of the set of shingles), ``fp`` (SimHash), ``bands`` and ``sketch`` (a byte of each signature value)."""
     rows = docs.select("doc_id", F.xxhash64("doc_id", text_of()).alias("k"), utf8().alias("body"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, bands, sketches = [], [], []
+            prints, votes, bands, sketches = [], [], [], []
             for t in batch.column(2):
-                found = np.unique(shingle_hashes(t.as_py(), words))
+                hashes = shingle_hashes(t.as_py(), words)
+                votes.append(vote(hashes))
+                found = np.unique(hashes)
                 values = signature(found)
                 prints.append(xxhash.xxh3_128_digest(found.tobytes()))
                 bands.append(band_keys(values) if len(found) else [])
                 sketches.append((values * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8).tobytes())
-            cols = [pa.array(prints, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
-            yield pa.record_batch([batch.column(0), batch.column(1), *cols], names=["doc_id", "k", "print", "bands", "sketch"])
+            fps = pa.array(np.array(votes, np.uint64).view(np.int64))
+            cols = [pa.array(prints, pa.binary()), fps, pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
+            yield pa.record_batch([batch.column(0), batch.column(1), *cols], names=["doc_id", "k", "print", "fp", "bands", "sketch"])
 
-    return rows.mapInArrow(lean(run), "doc_id long, k long, print binary, bands array<long>, sketch binary")
+    return rows.mapInArrow(lean(run), "doc_id long, k long, print binary, fp long, bands array<long>, sketch binary")
+
+
+def fingerprint_pairs(prints: DataFrame, reach: int = REACH) -> DataFrame:
+    """Pairs ``a < b`` of prints whose fingerprints are equal or linked by the pivot tables.
+
+    Each fingerprint stands for its smallest print, to which its other prints are paired; links between
+    fingerprints are those of ``fingerprint_links``.
+    """
+    faces = prints.select("print", "fp").distinct()
+    named = materialize(faces.groupBy("fp").agg(F.min("print").alias("head")))
+    same = faces.join(named, "fp").select(F.col("head").alias("x"), F.col("print").alias("y"))
+    links = fingerprint_links(named.select("fp"), reach)
+    one, two = (named.select(F.col("fp").alias(c), F.col("head").alias(h)) for c, h in (("a", "x"), ("b", "y")))
+    pairs = same.unionByName(links.join(one, "a").join(two, "b").select("x", "y")).filter("x <> y")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -174,7 +193,8 @@ def drop_similar(docs: DataFrame, words: int = WORDS, similarity: float = SIMILA
 
     Documents are similar when their sets of ``words``-word shingles have at least this Jaccard
     ``similarity``; groups are the connected components of such pairs. Links are decided on the sets
-    themselves, so nothing else joins a group; a pair at the threshold 0.8 is looked at with a chance of
+    themselves, so nothing else joins a group. Candidates are the links of SimHash fingerprints within ``REACH`` bits,
+    and by MinHash a pair at the threshold 0.8 is looked at with a chance of
     0.995 or more by the choice of bands and slack, a closer one more surely. Documents without words
     (NULL, empty) are equal to each other. A NULL id stays only where a group has no other; of rows that
     repeat both id and text one stays. Columns are unchanged.
@@ -187,7 +207,8 @@ def drop_similar(docs: DataFrame, words: int = WORDS, similarity: float = SIMILA
     shared = spots.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     members = materialize(spots.join(shared, "key").join(distinct.select("print", "sketch"), "print"))
     own = members.withColumn("root", F.col("print"))
-    tried = materialize(_by_bucket(own, lambda table, bucket, root: [neighbours(table, bucket, least)]))
+    close = _by_bucket(own, lambda table, bucket, root: [neighbours(table, bucket, least)])
+    tried = materialize(fingerprint_pairs(prints).unionByName(close).distinct())
     links = materialize(_true_links(tried, distinct, docs, words, similarity))
     # pairs that no link found so far ties together, where the likeliest ones were not enough
     found = materialize(connected_components(links)).withColumnRenamed("node", "print")
