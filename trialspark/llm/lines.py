@@ -47,10 +47,11 @@ def _boundaries(hashes: Column) -> Column:
 
 
 def coarse_chunks(docs: DataFrame) -> DataFrame:
-    """One row per coarse chunk, without its text: ``doc_id, body_key, a, chunk, sizes, after, after_size``.
+    """One row per coarse chunk, without its text: ``doc_id, body_key, n_lines, n_chunks, a, chunk, sizes, after, after_size``.
 
     ``a`` is the chunk's first unit (from 0), ``chunk`` has 60 bits of the digest of each unit without the
     blanks around it, ``sizes`` their letters; ``after`` and ``after_size`` are those of the unit that follows, if any.
+    ``n_lines`` and ``n_chunks`` count the units and chunks of the whole text.
     """
     bare = F.transform(units_of(text_of()), lambda u: F.trim(u, F.lit(BLANK)))
     units = docs.select("doc_id", F.xxhash64(text_of()).alias("body_key"), bare.alias("bare"))
@@ -66,7 +67,8 @@ def coarse_chunks(docs: DataFrame) -> DataFrame:
         following = [F.get("keys", at["b"] + 1).alias("after"), F.get("sizes", at["b"] + 1).alias("after_size")]
         return F.struct(at["a"].alias("a"), F.slice("keys", at["a"] + 1, n).alias("chunk"), F.slice("sizes", at["a"] + 1, n).alias("sizes"), *following)
 
-    return bounds.select("doc_id", "body_key", F.explode(F.transform("bounds", chunk)).alias("c")).select("doc_id", "body_key", "c.*")
+    every = bounds.select("doc_id", "body_key", F.size("keys").alias("n_lines"), F.size("bounds").alias("n_chunks"), F.explode(F.transform("bounds", chunk)).alias("c"))
+    return every.select("doc_id", "body_key", "n_lines", "n_chunks", "c.*")
 
 
 def _repeats(windows: DataFrame, chunk: list[str]) -> DataFrame:
@@ -95,16 +97,33 @@ def _pairs(chunks: DataFrame) -> DataFrame:
     return whole.select("doc_id", "body_key", F.explode(found).alias("p")).select("doc_id", "body_key", "p.a", "p.x", "p.y")
 
 
-def _unlike(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """``key`` of units that are not all the same bytes, among the keys of repeated chunks (none are expected)."""
-    units = docs.select(F.explode(F.transform(units_of(text_of()), lambda u: F.trim(u, F.lit(BLANK)))).alias("unit"))
-    keyed = units.select(_part(F.md5(F.encode("unit", "UTF-8")), 9, 15).alias("key"), "unit")
-    bodies = keyed.join(keys, "key", "left_semi").groupBy("key", "unit").agg(F.count("*").alias("n"))
+def _met(pairs: DataFrame) -> DataFrame:
+    """Places of pairs that occur again, and whether another one comes ``first``; counted before they are looked at."""
+    several = pairs.groupBy("x", "y").agg(F.count("*").alias("n")).filter("n > 1").select("x", "y")
+    met = materialize(pairs.join(several, ["x", "y"], "left_semi"))
+    first = met.groupBy("x", "y").agg(F.min(F.struct(*PLACE)).alias("first"))
+    return met.join(first, ["x", "y"]).withColumn("gone", ~F.struct(*PLACE).eqNullSafe(F.col("first"))).drop("first")
+
+
+def _unlike(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """``key`` of units that are not all the same bytes, among ``places`` (``doc_id, body_key, a, keys``) of what repeats (none are expected)."""
+    wanted = places.groupBy("doc_id", "body_key").agg(F.collect_list(F.struct("a", "keys")).alias("places"))
+    wanted = wanted.select(F.col("doc_id").alias("__d"), F.col("body_key").alias("__k"), "places")
+    keyed = docs.select("doc_id", text_of().alias("text"), F.xxhash64(text_of()).alias("body_key"))
+    joined = keyed.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("body_key") == F.col("__k")))
+
+    def units_at(units: Column) -> Column:
+        at = lambda p: F.transform(p["keys"], lambda k, i: F.struct(k.alias("key"), F.trim(F.get(units, p["a"] + i), F.lit(BLANK)).alias("unit")))
+        return F.flatten(F.transform("places", at))
+
+    # the text is cut once, outside the functions that pick from it
+    picked = joined.select(F.explode(F.get(F.transform(F.array(units_of(F.col("text"))), units_at), F.lit(0))).alias("u"))
+    bodies = picked.select("u.key", "u.unit").distinct()
     return bodies.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
 
 
 def repeated_units(docs: DataFrame) -> DataFrame:
-    """What goes: ``doc_id, body_key, gone`` (sorted unit numbers) and ``chunks`` (coarse chunks among them), one row a document.
+    """What goes: ``doc_id, body_key, n_lines, n_chunks, gone`` (sorted unit numbers) and ``chunks`` (coarse chunks among them), one row a document with units.
 
     Chunks are compared by the digests of their units, and the digests of all units in repeated chunks by the units' bytes;
     chunks with a unit whose digest stands for different bytes stay. Rows that repeat an id and its text are one document.
@@ -112,20 +131,22 @@ def repeated_units(docs: DataFrame) -> DataFrame:
     every = materialize(coarse_chunks(docs))
     long_repeats = materialize(_repeats(every.filter(F.size("chunk") >= MIN_UNITS), ["chunk"]))
     again = F.col("first").isNotNull() & ~F.struct(*PLACE).eqNullSafe(F.col("first"))
-    judged = materialize(every.join(long_repeats, "chunk", "left").withColumn("gone", again).drop("first"))
-    pairs = _pairs(judged)
-    short_repeats = materialize(_repeats(pairs, ["x", "y"]))
-    fine = pairs.join(short_repeats, ["x", "y"]).filter(~F.struct(*PLACE).eqNullSafe(F.col("first")))
+    judged = every.join(long_repeats, "chunk", "left").withColumn("gone", again).withColumn("met", F.col("first").isNotNull())
+    judged = materialize(judged.drop("first", "n_lines", "n_chunks"))
+    met = materialize(_met(_pairs(judged)))
 
-    keys = long_repeats.select(F.explode("chunk").alias("key")).union(short_repeats.select("x")).union(short_repeats.select("y")).distinct()
-    unlike = materialize(_unlike(docs, keys))
+    places = judged.filter("met").select("doc_id", "body_key", "a", F.col("chunk").alias("keys"))
+    unlike = materialize(_unlike(docs, places.unionByName(met.select("doc_id", "body_key", "a", F.array("x", "y").alias("keys")))))
     bad = long_repeats.select("chunk", F.explode("chunk").alias("key")).join(unlike, "key", "left_semi").select("chunk").distinct()
     coarse = judged.filter("gone").select("doc_id", "body_key", "a", "chunk").join(bad, "chunk", "left_anti")
     coarse = coarse.select("doc_id", "body_key", F.sequence(F.col("a"), F.col("a") + F.size("chunk") - 1).alias("units"), F.col("a").alias("chunk"))
-    fine = fine.join(unlike.withColumnRenamed("key", "x"), "x", "left_anti").join(unlike.withColumnRenamed("key", "y"), "y", "left_anti")
+    fine = met.filter("gone").join(unlike.withColumnRenamed("key", "x"), "x", "left_anti").join(unlike.withColumnRenamed("key", "y"), "y", "left_anti")
     fine = fine.select("doc_id", "body_key", F.array(F.col("a"), F.col("a") + 1).alias("units"), F.lit(None).cast("int").alias("chunk"))
-    found = coarse.unionByName(fine).groupBy("doc_id", "body_key").agg(F.flatten(F.collect_list("units")).alias("units"), F.size(F.collect_set("chunk")).alias("chunks"))
-    return found.select("doc_id", "body_key", F.array_sort(F.array_distinct("units")).alias("gone"), "chunks")
+    whole = every.filter("a = 0").select("doc_id", "body_key", "n_lines", "n_chunks")
+    found = coarse.unionByName(fine).unionByName(whole, allowMissingColumns=True).groupBy("doc_id", "body_key")
+    counts = [F.max(c).alias(c) for c in ("n_lines", "n_chunks")]
+    found = found.agg(*counts, F.flatten(F.collect_list("units")).alias("units"), F.size(F.collect_set("chunk")).alias("chunks"))
+    return found.select("doc_id", "body_key", "n_lines", "n_chunks", F.array_sort(F.array_distinct("units")).alias("gone"), "chunks")
 
 
 def remove_repeated_lines(docs: DataFrame) -> DataFrame:
@@ -139,21 +160,23 @@ def remove_repeated_lines(docs: DataFrame) -> DataFrame:
     added = ["n_lines", "n_chunks", "n_removed_lines", "n_removed_chunks"]
     kept = [c for c in docs.columns if c not in added]
     removed = materialize(repeated_units(docs.select("doc_id", "text")))
-    gaps = removed.select(F.col("doc_id").alias("__d"), F.col("body_key").alias("__k"), F.col("gone").alias("__gone"), F.col("chunks").alias("__chunks"))
+    own = {"doc_id": "__d", "body_key": "__k", "gone": "__gone", "chunks": "__chunks", "n_lines": "__n_lines", "n_chunks": "__n_chunks"}
+    gaps = removed.select(*[F.col(c).alias(name) for c, name in own.items()])
     # the list grows with the documents: one plan at every size, not a broadcast while it is small
     keyed = docs.select(*kept, F.xxhash64(text_of()).alias("__key"))
     joined = keyed.join(gaps.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__key") == F.col("__k")), "left")
-    cut = joined.withColumn("__units", units_of(text_of())).withColumn("__gone", F.coalesce("__gone", F.array().cast("array<int>")))
-    cut = cut.withColumn("__hashes", F.transform("__units", lambda u: _part(F.md5(F.encode(F.trim(u, F.lit(BLANK)), "UTF-8")), 1, 8)))
-    numbers = F.when(F.size("__units") > 0, F.sequence(F.lit(0), F.size("__units") - 1)).otherwise(F.array().cast("array<int>"))
-    cut = cut.withColumn("__stay", F.array_except(numbers, "__gone"))
-    gone = F.col("__gone")
-    body = F.array_join(F.transform("__stay", lambda i: F.get("__units", i)), "")
-    return cut.select(
-        *[F.when(F.size(gone) > 0, body).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in kept],
-        F.size("__units").alias("n_lines"),
-        F.size(F.filter(_boundaries(F.col("__hashes")), lambda e: e)).alias("n_chunks"),
-        F.size(gone).alias("n_removed_lines"),
+
+    def stay(units: Column) -> Column:
+        left = F.array_except(F.sequence(F.lit(0), F.greatest(F.size(units) - 1, F.lit(0))), F.col("__gone"))
+        return F.array_join(F.transform(left, lambda i: F.get(units, i)), "")
+
+    # the text is cut once, outside the function that picks from it, and only where something goes
+    body = F.get(F.transform(F.array(units_of(text_of())), stay), F.lit(0))
+    return joined.select(
+        *[F.when(F.size("__gone") > 0, body).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in kept],
+        F.coalesce("__n_lines", F.lit(0)).alias("n_lines"),
+        F.coalesce("__n_chunks", F.lit(0)).alias("n_chunks"),
+        F.coalesce(F.size("__gone"), F.lit(0)).alias("n_removed_lines"),
         F.coalesce("__chunks", F.lit(0)).alias("n_removed_chunks"),
     )
 
