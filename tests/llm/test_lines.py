@@ -126,6 +126,24 @@ def test_units_with_one_digest_and_different_bytes_stay(spark, monkeypatch):
     assert all(r["n_removed_lines"] == 0 for r in remove_repeated_lines(df).collect())
 
 
+def test_units_with_one_key_and_different_bytes_stay_and_others_go(spark, monkeypatch):
+    """Keys say only whether a unit holds "x": units that share a key and differ in bytes stay wherever they repeat."""
+    monkeypatch.setattr(L, "_key", lambda u: L.F.when(u.contains("x"), L.F.lit(1).cast("long")).otherwise(L.F.xxhash64(u)))
+    rows = [(1, "first of x lines\nsecond of x lines"), (2, "third of x lines\nfourth of x lines"), (3, "a line that repeats\nanother that repeats"), (4, "a line that repeats\nanother that repeats")]
+    out = {r["doc_id"]: r["text"] for r in remove_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {**dict(rows), 4: ""}
+
+
+def test_only_places_that_repeat_are_compared_by_bytes(spark, monkeypatch):
+    """Texts without a repeat don't reach the byte check."""
+    seen = []
+    real = L._unlike
+    monkeypatch.setattr(L, "_unlike", lambda docs, places: seen.append(sorted(r["doc_id"] for r in places.select("doc_id").distinct().collect())) or real(docs, places))
+    rows = [(i, f"own line number {i}\nown second line {i}\nown third line {i}") for i in range(9)] + [(20 + i, "a line that repeats\nanother that repeats") for i in range(2)]
+    out = {r["doc_id"]: r["n_removed_lines"] for r in remove_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert seen == [[20, 21]] and out == {**{i: 0 for i in range(9)}, 20: 0, 21: 2}
+
+
 def test_nulls_repeats_long_texts_and_clashing_columns(spark):
     long = "\n".join(f"long line {i} of it" for i in range(20000))
     rows = [(1, None, 9), (2, "", 9), (None, long, 9), (4, long, 9), (4, long, 9), (5, "one", 9), (6, "one", 9)]

@@ -35,30 +35,39 @@ def _part(digest: Column, start: int, digits: int) -> Column:
     return F.conv(F.substring(digest, start, digits), 16, 10).cast("long")
 
 
-def _boundaries(hashes: Column) -> Column:
-    """For each unit whether a coarse chunk ends after it."""
+def _key(unit: Column) -> Column:
+    """Digest by which units are compared before their bytes are."""
+    return F.xxhash64(unit)
 
-    def candidate(i: Column) -> Column:
-        rolled = F.get(hashes, i) + F.coalesce(F.get(hashes, i - 1), F.lit(0).cast("long")) * BASE
-        return (i >= 0) & F.coalesce(rolled % DIVISOR == 0, F.lit(False))
 
-    last = F.size(hashes) - 1
-    return F.transform(hashes, lambda _, i: (i == last) | (candidate(i) & ~candidate(i - 1)))
+def _candidates(hashes: Column) -> Column:
+    """For each unit whether the rolling hash ends something after it."""
+
+    def candidate(h: Column, i: Column) -> Column:
+        return (h + F.coalesce(F.get(hashes, i - 1), F.lit(0).cast("long")) * BASE) % DIVISOR == 0
+
+    return F.transform(hashes, candidate)
+
+
+def _boundaries(candidates: Column) -> Column:
+    """Numbers of the units after which a coarse chunk ends."""
+    last = F.size(candidates) - 1
+    ends = lambda c, i: (i == last) | (c & ~F.coalesce(F.get(candidates, i - 1), F.lit(False)))
+    return F.filter(F.transform(candidates, lambda c, i: F.when(ends(c, i), i)), lambda i: i.isNotNull())
 
 
 def coarse_chunks(docs: DataFrame) -> DataFrame:
     """One row per coarse chunk, without its text: ``doc_id, body_key, n_lines, n_chunks, a, chunk, sizes, after, after_size``.
 
-    ``a`` is the chunk's first unit (from 0), ``chunk`` has 60 bits of the digest of each unit without the
+    ``a`` is the chunk's first unit (from 0), ``chunk`` has the 64-bit digest of each unit without the
     blanks around it, ``sizes`` their letters; ``after`` and ``after_size`` are those of the unit that follows, if any.
     ``n_lines`` and ``n_chunks`` count the units and chunks of the whole text.
     """
     bare = F.transform(units_of(text_of()), lambda u: F.trim(u, F.lit(BLANK)))
     units = docs.select("doc_id", F.xxhash64(text_of()).alias("body_key"), bare.alias("bare"))
-    units = units.select("doc_id", "body_key", F.transform("bare", lambda u: F.md5(F.encode(u, "UTF-8"))).alias("md5"), F.transform("bare", F.length).alias("sizes"))
-    units = units.select("doc_id", "body_key", "sizes", F.transform("md5", lambda d: _part(d, 9, 15)).alias("keys"), F.transform("md5", lambda d: _part(d, 1, 8)).alias("hashes"))
-    ended = units.withColumn("ends", _boundaries(F.col("hashes"))).drop("hashes")
-    cut = ended.withColumn("stops", F.filter(F.transform("ends", lambda e, i: F.when(e, i)), lambda i: i.isNotNull())).drop("ends")
+    hashes = F.transform("bare", lambda u: _part(F.md5(F.encode(u, "UTF-8")), 1, 8))
+    units = units.select("doc_id", "body_key", hashes.alias("hashes"), F.transform("bare", _key).alias("keys"), F.transform("bare", F.length).alias("sizes"))
+    cut = units.withColumn("candidates", _candidates(F.col("hashes"))).drop("hashes").withColumn("stops", _boundaries(F.col("candidates"))).drop("candidates")
     starts = F.slice(F.concat(F.array(F.lit(0)), F.transform("stops", lambda s: s + 1)), F.lit(1), F.size("stops"))
     bounds = cut.withColumn("bounds", F.arrays_zip(starts.alias("a"), F.col("stops").alias("b")))
 
@@ -129,10 +138,11 @@ def repeated_units(docs: DataFrame) -> DataFrame:
     chunks with a unit whose digest stands for different bytes stay. Rows that repeat an id and its text are one document.
     """
     every = materialize(coarse_chunks(docs))
-    long_repeats = materialize(_repeats(every.filter(F.size("chunk") >= MIN_UNITS), ["chunk"]))
+    every = every.withColumn("mark", F.xxhash64("chunk"))  # rows are sorted by a number first, by arrays only where it is equal
+    long_repeats = materialize(_repeats(every.filter(F.size("chunk") >= MIN_UNITS), ["mark", "chunk"]))
     again = F.col("first").isNotNull() & ~F.struct(*PLACE).eqNullSafe(F.col("first"))
-    judged = every.join(long_repeats, "chunk", "left").withColumn("gone", again).withColumn("met", F.col("first").isNotNull())
-    judged = materialize(judged.drop("first", "n_lines", "n_chunks"))
+    judged = every.join(long_repeats, ["mark", "chunk"], "left").withColumn("gone", again).withColumn("met", F.col("first").isNotNull())
+    judged = materialize(judged.drop("first", "mark", "n_lines", "n_chunks"))
     met = materialize(_met(_pairs(judged)))
 
     places = judged.filter("met").select("doc_id", "body_key", "a", F.col("chunk").alias("keys"))

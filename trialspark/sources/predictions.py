@@ -18,6 +18,7 @@ from trialspark.shared import materialize
 # Fixed values that results depend on.
 REQUIRED = ["Env", "id", "Actual", "Pred"]
 LABEL_ATOL, LABEL_RTOL = 1e-6, 1e-5
+LISTED = 32  # paths of one reader that Spark lists without a job of its own
 
 
 def assign_model_names(df: DataFrame, file: str = "file", name_col: str = "model_name") -> DataFrame:
@@ -64,7 +65,9 @@ def _plain(path: str) -> str:
 def _headers(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
     """Data files behind the paths by their first line, from one pass over the first splits."""
     at = F.monotonically_increasing_id().alias("at")
-    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), at, "value")
+    parts = [spark.read.text(paths[i : i + LISTED]) for i in range(0, len(paths), LISTED)]
+    tagged = [p.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), at, "value") for p in parts]
+    lines = reduce(DataFrame.unionByName, tagged)
     first = lines.filter("start = 0").groupBy("file").agg(F.min_by("value", "at").alias("header"))
     files: dict[str, list[str]] = {}
     for r in first.orderBy("file").collect():  # one row per file, like a listing
