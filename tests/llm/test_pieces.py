@@ -5,6 +5,7 @@ import public_tokenizers
 import pytest
 import sentencepiece
 
+from trialspark.llm import pieces
 from trialspark.llm.pieces import LATTICE, VOCABULARY, common_from, common_units, decode, decode_ids, encode, encode_units, merge_ids, op3, units_of, words_of
 
 MODEL = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(VOCABULARY))
@@ -62,3 +63,20 @@ def test_long_units_are_joined_and_not_broadcast(spark):
     texts = ["x" * 3000, "the " + "x" * 3000, "end"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r["doc_id"]: r["ids"] for r in encode(df).collect()} == {i: MODEL.encode(t) for i, t in enumerate(texts)}
+
+
+def test_marks_beside_blanks_and_blocks_of_any_size(spark, monkeypatch):
+    texts = ["n▁ ▁\n", "a▁ ▁ b", " ▁ ▁▁ the", "▁", "▁ ", *ODD]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["ids"] for r in encode(df).collect()} == {i: MODEL.encode(t) for i, t in enumerate(texts)}
+    whole, n = pieces.cut_texts([t.encode() for t in texts])
+    monkeypatch.setattr(pieces, "CUT_BYTES", 3)
+    parts, m = pieces.cut_texts([t.encode() for t in texts])
+    assert whole.equals(parts) and n.tolist() == m.tolist()
+    assert "".join(whole.to_pylist()) == "".join("▁" + t.replace(" ", "▁") if t else "" for t in texts)
+
+
+def test_fold_takes_whole_blocks():
+    units = sorted({u for t in ODD for w in words_of(t) for u in units_of(w) if len(u) <= LATTICE} | {"zzzz", "▁thethethe", "é" * LATTICE, "▁" * 7})
+    assert pieces.fold(units).to_pylist() == [merge_ids(u) for u in units]
+    assert pieces.fold([]).to_pylist() == []

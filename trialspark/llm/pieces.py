@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-Texts fall into words (with the blanks before them) and these into units, cut where two neighbouring
-characters stand together in no piece, so that no merge can cross. The distinct units are a table: their substrings of bounded length are exploded and joined to the piece table, the
-matching edges are grouped by unit, and a fold over them gives the unit's ids. The model is of the
+Texts are cut into units wherever two neighbouring characters stand together in no piece, so that no
+merge can cross. The distinct units are a table; the substrings of a block of units are matched with
+the pieces at once, the matching edges are sorted by unit and rank, and a fold over them gives the units' ids. The model is of the
 BPE kind, whose result is not the best-scoring path, so the fold takes the best-ranked edge that
 joins two neighbouring symbols, again and again, which gives the library's ids.
 """
@@ -10,8 +10,6 @@ joins two neighbouring symbols, again and again, which gives the library's ids.
 from __future__ import annotations
 
 import heapq
-import uuid
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
@@ -19,21 +17,26 @@ from operator import add
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from trialspark.llm.common import documents, lean, pieces, query, release_unused, text_of, utf8
 from trialspark.llm.substrings import _write
 
 VOCABULARY = "piece_bpe_32k.model"
+MARK = "▁".encode()  # stands for a blank, and before a text
 LATTICE = 60  # letters of the longest unit whose state fits into the bits of a long
 COMMON_UNITS = 1 << 18  # most frequent units, broadcast; all others are joined
 BUCKET_BYTES = 8 << 20  # text per group of documents that gets its rare units together
-FLUSH = 1 << 16  # words that a task remembers
-SLICE_BYTES = 4 << 20  # of texts whose words a task holds at a time
-UNITS_PER_TASK = 1 << 14
+FLUSH = 1 << 20  # counted units that a task holds before it adds them up and hands them over
+SLICE_BYTES = 4 << 20  # of texts whose units a task holds at a time
+CUT_BYTES = 1 << 18  # of them whose letters are looked at at a time
+PACK_LEVEL = 5  # of the texts that travel
+BLOCK_UNITS = 1 << 12  # units whose lattice is held at a time
 
 
 @lru_cache(maxsize=4)
@@ -88,105 +91,182 @@ def units_of(word: str, vocabulary: str = VOCABULARY) -> list[str]:
     return [marked[a:b] for a, b in zip([0, *cuts], [*cuts, None])]
 
 
+@lru_cache(maxsize=4)
+def _pair_table(vocabulary: str) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each code point (0 for those in no pair), and for two of them whether no piece holds the pair."""
+    pairs = _neighbours(vocabulary)
+    letters = sorted({c for pair in pairs for c in pair})
+    number = np.zeros(0x110000, np.int32)
+    number[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+    apart = np.ones((len(letters) + 1, len(letters) + 1), bool)
+    for x, y in pairs:
+        apart[number[ord(x)], number[ord(y)]] = False
+    return number, apart
+
+
+def cut_texts(texts: list[bytes], vocabulary: str = VOCABULARY) -> tuple[pa.LargeStringArray, np.ndarray]:
+    """The units of all texts (in UTF-8) in order, and how many each text has; joined they are the marked texts."""
+    number, apart = _pair_table(vocabulary)
+    marked = [MARK + t.replace(b" ", MARK) if t else t for t in texts]
+    stops = np.cumsum([0, *map(len, marked)], dtype=np.int64)  # of texts
+    body = b"".join(marked)
+    del marked
+    at, last, found = 0, 0, []
+    while at < len(body):
+        end = min(at + CUT_BYTES, len(body))
+        while end < len(body) and body[end] & 0xC0 == 0x80:  # not inside a letter
+            end += 1
+        points = np.frombuffer(body[at:end].decode().encode("utf-32-le"), np.uint32)
+        numbers = np.concatenate([[last], number[points]])
+        cuts = np.flatnonzero(apart.ravel()[numbers[:-1] * len(apart) + numbers[1:]])
+        wide = 1 + (points > 0x7F).view(np.int8) + (points > 0x7FF).view(np.int8) + (points > 0xFFFF).view(np.int8)
+        found.append(at + (np.cumsum(wide, dtype=np.int64) - wide)[cuts])
+        at, last = end, numbers[-1]
+    places = _distinct(np.concatenate([*found, stops]))
+    units = pa.LargeStringArray.from_buffers(len(places) - 1, pa.py_buffer(places), pa.py_buffer(body))
+    return units, np.diff(np.searchsorted(places, stops))
+
+
+def _distinct(numbers: np.ndarray) -> np.ndarray:
+    """The different numbers in order; sorting takes a fraction of the time of numpy's hashed ``unique``."""
+    numbers = np.sort(numbers)
+    return numbers[np.diff(numbers, prepend=-1) > 0]
+
+
 def unit_counts(rows: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """``unit, n`` over all texts; a task adds up before it hands over."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Counter = Counter()
+        held: list[pa.Table] = []
 
-        def flush() -> pa.RecordBatch:
-            found: Counter = Counter()
-            for word, n in words.items():
-                for unit in units_of(word, vocabulary):
-                    found[unit] += n
-            words.clear()
-            return pa.record_batch([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["unit", "n"])
-
-        for batch in batches:
-            for text in batch.column(0):
-                words.update(words_of(text.as_py()))
-                if len(words) > 2 * FLUSH:
-                    yield flush()
-        yield flush()
+        def flush() -> Iterator[pa.RecordBatch]:
+            if held:
+                whole = pa.concat_tables(held).group_by("unit").aggregate([("n", "sum")]).sort_by("unit")  # neighbours are alike, which packs better
+                held.clear()
+                yield from whole.select(["unit", "n_sum"]).rename_columns(["unit", "n"]).to_batches()
 
-    return rows.select("text").mapInArrow(lean(run), "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+        for _, texts in pieces(batches, 0, SLICE_BYTES):
+            units = cut_texts(texts, vocabulary)[0].dictionary_encode()
+            n = np.bincount(units.indices.to_numpy(), minlength=len(units.dictionary))
+            held.append(pa.table([units.dictionary.cast(pa.string()), pa.array(n, pa.int64())], names=["unit", "n"]))
+            if sum(t.num_rows for t in held) > FLUSH:
+                yield from flush()
+        yield from flush()
 
+    return rows.select(utf8().alias("text")).mapInArrow(lean(run), "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
 
-def lattice(units: DataFrame, table: list[tuple[str, int, int]]) -> DataFrame:
-    """Per number ``no`` of a unit its edges, best rank first and leftmost first: ``s, e, id`` and two bit masks.
 
-    Edges are grouped as one number each (rank, start, size, id), which sorts them too. ``ends`` has the bits of both ends and ``inside`` those of the places between them. The piece
-    table has a fixed size and is broadcast; edges stay in the partition of their unit.
+@lru_cache(maxsize=4)
+def _trie(vocabulary: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The pieces as a trie: a number for each code point, the steps (node, number) in order and where they lead, id and rank of each node (-1 where no piece ends)."""
+    table, _, _ = piece_table(vocabulary)
+    letters = sorted({c for p, _, _ in table for c in p})
+    number = np.zeros(0x110000, np.int64)
+    number[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+    steps: dict[int, int] = {}
+    ends = {}
+    for p, i, rank in table:
+        node = 0
+        for c in p:
+            node = steps.setdefault(node << 21 | int(number[ord(c)]), len(steps) + 1)
+        ends[node] = i, rank
+    keys = np.array(sorted(steps), np.int64)
+    ids, ranks = np.full(len(steps) + 1, -1, np.int64), np.full(len(steps) + 1, -1, np.int64)
+    for node, (i, rank) in ends.items():
+        ids[node], ranks[node] = i, rank
+    return number, keys, np.array([steps[k] for k in keys.tolist()], np.int64), ids, ranks
+
+
+def lattice(units: list[str], vocabulary: str = VOCABULARY) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of units of up to ``LATTICE`` letters, and the id of each letter alone (-1 where it is no piece).
+
+    An edge is a substring of two letters or more that is a piece, as one number: unit, rank, start, size and id.
+    They are sorted by it: each unit's edges stand together, the best rank first and then the leftmost.
     """
-    spark = units.sparkSession
-    longest = max(len(p) for p, _, _ in table)
-    pieces = F.broadcast(spark.createDataFrame(table, "piece string, id int, rank int"))
-    starts = units.select("no", "unit", F.explode(F.sequence(F.lit(0), F.length("unit") - 1)).alias("s"))
-    tails = starts.select("no", "s", F.substring("unit", F.col("s") + 1, F.lit(longest)).alias("tail"))
-    cut = tails.select("no", "s", "tail", F.explode(F.sequence(F.lit(1), F.length("tail"))).alias("size"))
-    place = F.col("s") * (1 << 24) + F.col("size") * (1 << 16)
-    found = cut.select("no", place.alias("place"), F.substring("tail", F.lit(1), F.col("size")).alias("piece")).join(pieces, "piece")
-    packed = F.call_function("shiftleft", F.col("rank").cast("long"), F.lit(32)) + F.col("place") + F.col("id")
-    grouped = found.select("no", packed.alias("edge")).groupBy("no").agg(F.sort_array(F.collect_list("edge")).alias("packed"))
-    bit = lambda at: F.call_function("shiftleft", F.lit(1).cast("long"), at)
-
-    def spread(x: Column) -> Column:
-        s = F.call_function("shiftright", x, F.lit(24)).bitwiseAND(F.lit(255)).cast("int")
-        e = s + F.call_function("shiftright", x, F.lit(16)).bitwiseAND(F.lit(255)).cast("int")
-        return F.struct(s.alias("s"), e.alias("e"), x.bitwiseAND(F.lit(65535)).cast("int").alias("id"), (bit(s) + bit(e)).alias("ends"), (bit(e) - bit(s + 1)).alias("inside"))
-
-    return grouped.select("no", F.transform("packed", spread).alias("edges"))
-
-
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once, also where ``body`` uses it inside a lambda."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def _merge_fold(edges: Column, n: Column) -> Column:
-    """Bits of the places between symbols after all merges: each step joins the first edge that can."""
-    start = F.call_function("shiftleft", F.lit(1).cast("long"), n + 1) - 1
-
-    def step(places: Column, _: Column) -> Column:
-        fits = lambda e: (places.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(places.bitwiseAND(e["inside"])) == 1)
-        first = F.aggregate(edges, F.lit(None).cast("long"), lambda got, e: F.coalesce(got, F.when(fits(e), e["inside"])))
-        return F.coalesce(places - places.bitwiseAND(first), places)
-
-    return F.aggregate(F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>")), start, step)
+    number, keys, leads, ids, ranks = _trie(vocabulary)
+    sizes = np.array([len(u) for u in units], np.int64)
+    letters = number[np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)]
+    unit = np.repeat(np.arange(len(units)), sizes)
+    start = np.arange(len(letters)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    left = np.repeat(sizes, sizes) - start  # letters from here to the unit's end
+
+    def walk(at: np.ndarray, node: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """The starts whose substring of ``size`` letters begins a piece, and the nodes they are at."""
+        fits = left[at] >= size
+        at, node = at[fits], node[fits]
+        want = node << 21 | letters[at + size - 1]
+        hit = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+        known = keys[hit] == want
+        return at[known], leads[hit[known]]
+
+    at, node = walk(np.arange(len(letters)), np.zeros(len(letters), np.int64), 1)
+    alone = np.full(len(letters), -1, np.int64)
+    alone[at] = ids[node]
+    edges, size = [np.zeros(0, np.int64)], 1
+    while len(at):
+        size += 1
+        at, node = walk(at, node, size)
+        whole = ids[node] >= 0
+        a, end = at[whole], node[whole]
+        edges.append((((unit[a] << 16 | ranks[end]) << 6 | start[a]) << 6 | size) << 16 | ids[end])
+    return np.sort(np.concatenate(edges)), alone
+
+
+def fold(units: list[str], vocabulary: str = VOCABULARY) -> pa.ListArray:
+    """Ids of units of up to ``LATTICE`` letters: in each step every unit joins the first of its edges that can."""
+    _, zero, _ = piece_table(vocabulary)
+    edges, tokens = lattice(units, vocabulary)
+    sizes = np.array([len(u) for u in units], np.int64)
+    firsts = np.cumsum(sizes) - sizes  # of the units' letters
+    unit, start, size, ids = edges >> 44, edges >> 22 & 63, edges >> 16 & 63, edges & 0xFFFF
+    bit = lambda at: np.uint64(1) << at.astype(np.uint64)
+    inside = bit(start + size) - bit(start + 1)
+    ends = bit(start) | bit(start + size)
+    places = bit(sizes + 1) - np.uint64(1)  # between symbols; both ends of a unit are among them
+    while len(unit):
+        now = places[unit]
+        between = now & inside
+        alive = ((now & ends) == ends) & (between != 0)  # places only go, so an edge without its ends can never join again
+        unit, start, ids, inside, ends, between = (x[alive] for x in (unit, start, ids, inside, ends, between))
+        can = np.flatnonzero((between & (between - np.uint64(1))) == 0)
+        take = can[np.diff(unit[can], prepend=-1) > 0]  # the first of each unit
+        if not len(take):
+            break
+        places[unit[take]] &= ~inside[take]
+        tokens[firsts[unit[take]] + start[take]] = ids[take]
+    at = np.repeat(np.arange(len(units)), sizes)
+    letter = (np.arange(len(at)) - firsts[at]).astype(np.uint64)
+    kept = np.flatnonzero(places[at] >> letter & np.uint64(1))
+    found, text = tokens[kept], "".join(units)
+    spelled = [text[i].encode() for i in kept[found < 0].tolist()]  # letters in no piece, byte by byte
+    wide = np.ones(len(kept), np.int64)
+    wide[found < 0] = [len(b) for b in spelled]
+    out = np.repeat(found, wide)
+    out[out < 0] = np.frombuffer(b"".join(spelled), np.uint8) + np.int64(zero)
+    stops = np.cumsum(np.bincount(at[kept], weights=wide, minlength=len(units))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([np.zeros(1, np.int32), stops])), pa.array(out.astype(np.int32)))
 
 
 def encode_units(units: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """``unit, ids`` for distinct units: the lattice fold, and a heap of merges for the overlong ones.
+    """``units`` (distinct, in column ``unit``) with their ``ids``: the lattice fold, and a heap of merges for the overlong ones."""
+    at = units.columns.index("unit")
+    schema = T.StructType([*units.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
-    Units that don't come with a stored number ``no`` are numbered and written first; substrings
-    then carry their unit's number in place of its letters.
-    """
-    table, zero, _ = piece_table(vocabulary)
-    if "no" not in units.columns:
-        units = _write(units.select("unit", F.monotonically_increasing_id().alias("no")), "numbered")
-    short, long = units.filter(F.length("unit") <= LATTICE), units.filter(F.length("unit") > LATTICE)
-    # dealt by unit once: edges are made, grouped and joined where their unit is
-    tasks = max(1, -(-units.count() // UNITS_PER_TASK))  # a unit makes about fifty substrings
-    placed = short.select("unit", "no").repartition(tasks, "no")
-    edges = placed.join(lattice(placed, table).hint("merge"), "no", "left")
-    n = F.length("unit")
-    known = edges.withColumn("edges", F.coalesce("edges", F.array().cast("array<struct<s:int,e:int,id:int,ends:bigint,inside:bigint>>")))
-    def stops_of(places: Column) -> Column:
-        return F.filter(F.sequence(F.lit(0), n), lambda i: places.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i)) != 0)
-
-    wide = F.filter("edges", lambda e: e["inside"] > 0)
-    cut = known.withColumn("stops", _let(_let(wide, lambda w: _merge_fold(w, n)), stops_of))
-
-    def ids_from(i: Column) -> Column:
-        s, e = F.get("stops", i), F.get("stops", i + 1)
-        hit = F.get(F.filter("edges", lambda x: (x["s"] == s) & (x["e"] == e)), F.lit(0))["id"]
-        letter = F.encode(F.substring("unit", s + 1, F.lit(1)), "UTF-8")
-        byte = lambda b: F.conv(F.hex(F.substring(letter, b, F.lit(1))), 16, 10).cast("int")
-        spelled = F.transform(F.sequence(F.lit(1), F.octet_length(letter)), lambda b: byte(b) + zero)
-        return F.when(hit.isNotNull(), F.array(hit)).otherwise(spelled)
-
-    ids = F.flatten(F.transform(F.sequence(F.lit(0), F.size("stops") - 2), ids_from))
-    return cut.select("unit", ids.alias("ids")).unionByName(_encode_long_units(long, vocabulary))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, BLOCK_UNITS):
+                part = batch.slice(i, BLOCK_UNITS)
+                texts = part.column(at).to_pylist()
+                short = [u for u in texts if len(u) <= LATTICE]
+                ids = fold(short, vocabulary)
+                if len(short) < len(texts):
+                    long = pa.array([merge_ids(u, vocabulary) for u in texts if len(u) > LATTICE], ids.type)
+                    is_long = np.array([len(u) > LATTICE for u in texts])
+                    place = np.where(is_long, len(short) + np.cumsum(is_long), np.cumsum(~is_long)) - 1
+                    ids = pa.concat_arrays([ids, long]).take(pa.array(place))
+                yield pa.record_batch([*part.columns, ids], names=schema.names)
+
+    return units.mapInArrow(lean(run), schema)
 
 
 def merge_ids(unit: str, vocabulary: str = VOCABULARY) -> list[int]:
@@ -230,15 +310,6 @@ def _lookup(vocabulary: str) -> tuple[dict[str, tuple[int, int]], int]:
     return {p: (i, r) for p, i, r in table}, zero
 
 
-def _encode_long_units(units: DataFrame, vocabulary: str) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = [merge_ids(u.as_py(), vocabulary) for u in batch.column(0)]
-            yield pa.record_batch([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["unit", "ids"])
-
-    return units.select("unit").mapInArrow(lean(run), "unit string, ids array<int>")
-
-
 def common_from(counts: DataFrame, limit: int = COMMON_UNITS) -> int:
     """Smallest count such that at most ``limit`` units have it or more (read off a coarse histogram)."""
     step = F.floor(F.log2("n") * 8)
@@ -273,97 +344,82 @@ def _encoded(docs: DataFrame, vocabulary: str, limit: int, bucket_bytes: int, de
     """``encode``, with the digest of what the ids decode to if ``decoded``."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", text_of().alias("text"))
-    counts = _write(unit_counts(rows, vocabulary).withColumn("no", F.monotonically_increasing_id()), "units")
-    dictionary = _write(encode_units(counts.select("unit", "no"), vocabulary), "codes")
-    common = common_units(counts, limit).join(dictionary, "unit").select("unit", "ids").toArrow()
-    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, common.column("unit").to_pylist(), _code_bytes(common.column("ids"))))
+    dictionary = _write(encode_units(unit_counts(rows, vocabulary), vocabulary), "codes")
+    common = _codes(common_units(dictionary, limit).select("unit", "ids").toArrow())
+    shared = spark.sparkContext.broadcast(_stored(common))
     total = rows.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
     buckets = max(1, -(-total // bucket_bytes))
     bucket = F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int")
-    rare = _rare_units(rows.select(bucket.alias("bucket"), utf8().alias("text")), shared, vocabulary).distinct()
-    coded = rare.join(dictionary.hint("merge"), "unit").select("bucket", "unit", "ids")
+    rare = _rare_units(rows.select(bucket.alias("bucket"), utf8().alias("text")), shared, vocabulary)
+    coded = rare.join(dictionary.hint("merge"), "unit").select("bucket", "unit", "ids")  # a unit of several slices comes several times
     packed = _packed_texts(rows.select(bucket.alias("bucket"), "doc_id", utf8().alias("text")))
     key = packed.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {key}, n_bytes long, ids array<int>" + (", decoded_sha256 string" if decoded else "")
 
     def assemble(texts: pa.Table, units: pa.Table) -> pa.Table:
         unpack = zstandard.ZstdDecompressor()
-        rare = dict(zip(units.column("unit").to_pylist(), _code_bytes(units.column("ids")), strict=True))
-        code = _WordCodes(_common(shared), rare, vocabulary).__getitem__
-        sizes: list[int] = []
-        out: list[bytes] = []
-        digests: list[str] = []
-        for body in texts.column("body"):
-            raw = unpack.decompress(body.as_py())
-            sizes.append(len(raw))
-            out.append(b"".join(map(code, words_of(raw.decode()))))
-            if decoded:
-                digests.append(sha256(decode_ids(np.frombuffer(out[-1], np.int32).tolist(), vocabulary).encode()).hexdigest())
-        ends = np.cumsum([0, *(len(o) // 4 for o in out)], dtype=np.int32)
-        flat = np.frombuffer(b"".join(out), np.int32)
-        out.clear()
-        ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-        columns = [texts.column("doc_id"), pa.array(sizes, pa.int64()), ids, *([pa.array(digests, pa.string())] if decoded else [])]
+        known = pa.concat_tables([_loaded(shared), _codes(units.select(["unit", "ids"]))]).combine_chunks()
+        unit, code = (known.column(c).combine_chunks() for c in ("unit", "ids"))
+        results = []
+        for part, bodies in pieces(iter(texts.select(["doc_id", "body"]).to_batches()), 1, SLICE_BYTES // 2):
+            raw = [unpack.decompress(b) for b in bodies]
+            found, n = cut_texts(raw, vocabulary)
+            local = found.dictionary_encode()
+            at = pc.index_in(local.dictionary, value_set=unit)
+            assert not at.null_count, "a unit has no ids"
+            taken = code.take(at).take(local.indices)
+            ends = pa.array(taken.offsets.to_numpy()[np.cumsum([0, *n])], pa.int32())
+            ids = taken.values if taken.offset == 0 else taken.flatten()
+            columns = [part.column(0), pa.array([len(r) for r in raw], pa.int64()), pa.ListArray.from_arrays(ends, ids)]
+            results.append(pa.table([*columns, *([_digests(ids, ends, vocabulary)] if decoded else [])], names=names))
         release_unused()
-        return pa.table(columns, names=["doc_id", "n_bytes", "ids", *(["decoded_sha256"] if decoded else [])])
+        return pa.concat_tables(results) if results else pa.table([pa.array([], t) for t in types], names=names)
 
+    names = ["doc_id", "n_bytes", "ids", *(["decoded_sha256"] if decoded else [])]
+    types = [to_arrow_type(packed.schema["doc_id"].dataType), pa.int64(), pa.list_(pa.int32()), *([pa.string()] if decoded else [])]
     return packed.groupBy("bucket").cogroup(coded.groupBy("bucket")).applyInArrow(assemble, schema)
 
 
-def _code_bytes(ids: pa.ChunkedArray) -> list[bytes]:
-    """The ids of each row as packed 32-bit numbers, which take a fraction of a list's memory."""
-    out: list[bytes] = []
-    for chunk in ids.chunks:
-        ends, raw = chunk.offsets.to_pylist(), chunk.values.to_numpy().astype(np.int32).tobytes()
-        out += [raw[4 * s : 4 * e] for s, e in zip(ends[:-1], ends[1:], strict=True)]
-    return out
-
+def _codes(table: pa.Table) -> pa.Table:
+    """``unit, ids`` in the types that ``cut_texts`` looks up."""
+    return table.cast(pa.schema([("unit", pa.large_string()), ("ids", pa.list_(pa.int32()))]))
 
-_held: dict[str, dict[str, bytes]] = {}
 
+def _stored(table: pa.Table) -> bytes:
+    """The table as Arrow bytes, which a worker reads without making an object for each unit."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
 
-def _common(shared) -> dict[str, bytes]:
-    """The broadcast units as a dictionary, made once in a worker process and known by the broadcast's own name."""
-    name, units, codes = shared.value
-    if name not in _held:
-        _held.clear()
-        _held[name] = dict(zip(units, codes, strict=True))
-    return _held[name]
 
+def _loaded(shared) -> pa.Table:
+    return pa.ipc.open_stream(shared.value).read_all()
 
-class _WordCodes(dict):
-    """Packed ids of words, put together from those of their units as words appear."""
 
-    def __init__(self, common: dict[str, bytes], rare: dict[str, bytes], vocabulary: str):
-        self.common, self.rare, self.vocabulary = common, rare, vocabulary
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) > FLUSH:
-            self.clear()
-        parts = [self.common.get(u) or self.rare[u] for u in units_of(word, self.vocabulary)]
-        found = self[word] = b"".join(parts)
-        return found
+def _digests(ids: pa.Array, ends: pa.Array, vocabulary: str) -> pa.Array:
+    """Per document the digest of what its ids decode to; the ids' bytes are put together for all at once."""
+    whole = _name_array(vocabulary).take(ids)
+    stops = np.frombuffer(whole.buffers()[1], np.int64)[np.asarray(ends)]
+    raw = whole.buffers()[2]
+    body = memoryview(raw or b"")
+    return pa.array([sha256(_plain(bytes(body[s:e])).encode()).hexdigest() for s, e in zip(stops[:-1].tolist(), stops[1:].tolist(), strict=True)], pa.string())
 
 
 def _rare_units(rows: DataFrame, shared, vocabulary: str) -> DataFrame:
     """``bucket, unit`` for units outside the broadcast ones, once per slice of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = _common(shared)
+        common = _loaded(shared).column("unit").combine_chunks()
         for part, texts in pieces(batches, 1, SLICE_BYTES):
-            words: dict[int, set[str]] = {}
-            for b, text in zip(part.column(0).to_pylist(), texts, strict=True):
-                words.setdefault(b, set()).update(words_of(text.decode()))
-            rare: dict[str, list[str]] = {}
-            for word in set().union(*words.values()):
-                if units := [u for u in units_of(word, vocabulary) if u not in common]:
-                    rare[word] = units
-            cols: tuple[list, list] = ([], [])
-            for b, some in words.items():
-                found = {u for w in some & rare.keys() for u in rare[w]}
-                cols[0].extend([b] * len(found))
-                cols[1].extend(found)
-            yield pa.record_batch([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.string())], names=["bucket", "unit"])
+            found, n = cut_texts(texts, vocabulary)
+            units = found.dictionary_encode()
+            rare = pc.index_in(units.dictionary, value_set=common).is_null().to_numpy(zero_copy_only=False)
+            at = units.indices.to_numpy().astype(np.int64)
+            buckets = np.repeat(part.column(0).to_numpy().astype(np.int64), n)
+            places = _distinct((buckets << 32 | at)[rare[at]])
+            unit = units.dictionary.take(pa.array(places & 0xFFFFFFFF)).cast(pa.string())
+            yield pa.record_batch([pa.array((places >> 32).astype(np.int32)), unit], names=["bucket", "unit"])
 
     return rows.mapInArrow(lean(run), "bucket int, unit string")
 
@@ -372,7 +428,7 @@ def _packed_texts(rows: DataFrame) -> DataFrame:
     """``bucket, doc_id, body``: texts as they travel to their bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=3)
+        press = zstandard.ZstdCompressor(level=PACK_LEVEL)
         for part, texts in pieces(batches, 2):
             body = pa.array([press.compress(t) for t in texts], pa.binary())
             yield pa.record_batch([part.column(0), part.column(1), body], names=["bucket", "doc_id", "body"])
@@ -382,10 +438,18 @@ def _packed_texts(rows: DataFrame) -> DataFrame:
 
 def decode_ids(ids: list[int], vocabulary: str = VOCABULARY) -> str:
     """The text of a run of ids: pieces joined, byte pieces as UTF-8, blanks for marks, front blank off."""
-    raw = b"".join(map(_names(vocabulary).__getitem__, ids))
+    return _plain(b"".join(map(_names(vocabulary).__getitem__, ids)))
+
+
+def _plain(raw: bytes) -> str:
     return raw.decode("utf-8", "replace").replace("▁", " ").removeprefix(" ")
 
 
+@lru_cache(maxsize=4)
+def _name_array(vocabulary: str) -> pa.LargeBinaryArray:
+    return pa.array(_names(vocabulary), pa.large_binary())
+
+
 @lru_cache(maxsize=4)
 def _names(vocabulary: str) -> list[bytes]:
     """The bytes of each id, in order; ids that stand for no text have none."""
