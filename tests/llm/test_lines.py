@@ -74,6 +74,21 @@ def test_units_join_to_the_text(spark, text):
     assert got == units(text) and "".join(got) == text
 
 
+def test_the_cut_gives_the_units_of_the_sql(spark):
+    rng = np.random.default_rng(9)
+    texts = ["".join(rng.choice(list("ab.!? \n\r\té\u2028𝄞"), int(rng.integers(0, 40)))) for _ in range(2000)] + ["." * 300000, ". " * 50000 + "?", "x" * 300000 + "\n\n", " " * 9000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", L.units_of(L.F.col("t")).alias("u")).collect()
+    assert all(r["u"] == units(texts[r["i"]]) for r in rows) and len(rows) == len(texts)
+
+
+def test_chunks_and_pairs_are_taken_in_generated_code(spark):
+    """The text is cut once, and rows leave the arrays inside a generated stage instead of function by function."""
+    found = coarse_chunks(spark.createDataFrame([(1, "a line\nanother")], "doc_id long, text string"))
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (found, L._pairs(found.withColumn("gone", L.F.lit(False))))]
+    assert [len(re.findall(r"\*\(\d+\) Generate", p)) for p in plans] == [1, 2]
+    assert [p.count("regexp_extract_all") for p in plans] == [1, 1]
+
+
 def test_chunks_follow_a_shift_and_hold_two_units_inside(spark):
     body = "\n".join(f"line {i}" for i in range(60))
     df = spark.createDataFrame([(1, body), (2, "extra\nmore\n" + body)], "doc_id long, text string")

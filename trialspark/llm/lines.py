@@ -18,6 +18,7 @@ from trialspark.llm.common import documents, query, text_of
 from trialspark.shared import materialize
 
 UNIT = r"[^\n]*?[.!?] +|[^\n]*\n+|[^\n]+"  # a sentence before a blank, or a line (or its rest) with the line feeds after it
+CUT = r"(?=[\s\S])(?:[^\n.!?]+|[.!?](?! ))*+(?:[.!?] +|\n+)?+"  # the same units, each letter matched once
 BLANK = " \t\r\n"
 DIVISOR = 3
 MIN_UNITS = 2
@@ -28,7 +29,7 @@ BASE = 31  # of the rolling hash; hashes have 32 bits, so sums stay far inside a
 
 def units_of(text: Column) -> Column:
     """The text cut into units; joined they are the text."""
-    return F.regexp_extract_all(text, F.lit(UNIT), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(CUT), F.lit(0))
 
 
 def _part(digest: Column, start: int, digits: int) -> Column:
@@ -65,19 +66,19 @@ def coarse_chunks(docs: DataFrame) -> DataFrame:
     """
     bare = F.transform(units_of(text_of()), lambda u: F.trim(u, F.lit(BLANK)))
     units = docs.select("doc_id", F.xxhash64(text_of()).alias("body_key"), bare.alias("bare"))
-    hashes = F.transform("bare", lambda u: _part(F.md5(F.encode(u, "UTF-8")), 1, 8))
+    hashes = F.transform("bare", lambda u: _part(F.md5(u), 1, 8))
     units = units.select("doc_id", "body_key", hashes.alias("hashes"), F.transform("bare", _key).alias("keys"), F.transform("bare", F.length).alias("sizes"))
     cut = units.withColumn("candidates", _candidates(F.col("hashes"))).drop("hashes").withColumn("stops", _boundaries(F.col("candidates"))).drop("candidates")
     starts = F.slice(F.concat(F.array(F.lit(0)), F.transform("stops", lambda s: s + 1)), F.lit(1), F.size("stops"))
     bounds = cut.withColumn("bounds", F.arrays_zip(starts.alias("a"), F.col("stops").alias("b")))
 
-    def chunk(at: Column) -> Column:
-        n = at["b"] - at["a"] + 1
-        following = [F.get("keys", at["b"] + 1).alias("after"), F.get("sizes", at["b"] + 1).alias("after_size")]
-        return F.struct(at["a"].alias("a"), F.slice("keys", at["a"] + 1, n).alias("chunk"), F.slice("sizes", at["a"] + 1, n).alias("sizes"), *following)
-
-    every = bounds.select("doc_id", "body_key", F.size("keys").alias("n_lines"), F.size("bounds").alias("n_chunks"), F.explode(F.transform("bounds", chunk)).alias("c"))
-    return every.select("doc_id", "body_key", "n_lines", "n_chunks", "c.*")
+    counts = [F.size("keys").alias("n_lines"), F.size("bounds").alias("n_chunks")]
+    # what a chunk holds is taken after, in generated code; a plain explode would be preceded by a filter that cuts the text again
+    at = bounds.select("doc_id", "body_key", "keys", "sizes", *counts, F.explode_outer("bounds").alias("at")).filter("at is not null")
+    a, b = F.col("at.a"), F.col("at.b")
+    inside = [F.slice(c, a + 1, b - a + 1).alias(name) for c, name in (("keys", "chunk"), ("sizes", "sizes"))]
+    following = [F.get("keys", b + 1).alias("after"), F.get("sizes", b + 1).alias("after_size")]
+    return at.select("doc_id", "body_key", "n_lines", "n_chunks", a.alias("a"), *inside, *following)
 
 
 def _repeats(windows: DataFrame, chunk: list[str]) -> DataFrame:
@@ -93,17 +94,12 @@ def _pairs(chunks: DataFrame) -> DataFrame:
 
     A pair inside a chunk that goes is never the first of its kind, as the first such chunk stands before it.
     """
-    x, y = F.concat("chunk", F.array("after")), F.concat("sizes", F.array("after_size"))
-    whole = chunks.select("doc_id", "body_key", "a", "gone", F.size("chunk").alias("n"), x.alias("keys"), y.alias("sizes"))
-    numbers = F.sequence(F.when(F.col("gone"), F.col("n") - 1).otherwise(F.lit(0)), F.col("n") - 1)
-
-    def pair(i: Column) -> Column:
-        one, two = F.get("sizes", i), F.get("sizes", i + 1)
-        good = (one > 0) & (two > 0) & (one + two >= MIN_LETTERS)  # NULL after the last unit
-        return F.when(good, F.struct((F.col("a") + i).alias("a"), F.get("keys", i).alias("x"), F.get("keys", i + 1).alias("y")))
-
-    found = F.filter(F.transform(numbers, pair), lambda p: p.isNotNull())
-    return whole.select("doc_id", "body_key", F.explode(found).alias("p")).select("doc_id", "body_key", "p.a", "p.x", "p.y")
+    last = F.size("chunk") - 1
+    at = chunks.select("*", F.explode(F.sequence(F.when(F.col("gone"), last).otherwise(F.lit(0)), last)).alias("i"))  # filtered after, in generated code
+    one, two = F.get("sizes", F.col("i")), F.coalesce(F.get("sizes", F.col("i") + 1), F.col("after_size"))
+    wide = at.filter((one > 0) & (two > 0) & (one + two >= MIN_LETTERS))  # NULL after the last unit
+    x, y = F.get("chunk", F.col("i")), F.coalesce(F.get("chunk", F.col("i") + 1), F.col("after"))
+    return wide.select("doc_id", "body_key", (F.col("a") + F.col("i")).alias("a"), x.alias("x"), y.alias("y"))
 
 
 def _met(pairs: DataFrame) -> DataFrame:
