@@ -14,7 +14,7 @@ from trialspark.llm.lines import remove_repeated_lines
 from trialspark.llm.pieces import encode_decode
 from trialspark.llm.similar import drop_similar
 from trialspark.llm.toxicity import drop_toxic, train
-from trialspark.shared import finished, materialize
+from trialspark.shared import finished, in_few_files, materialize
 
 
 def _recounted(after: DataFrame, columns: list[str]) -> DataFrame:
@@ -32,12 +32,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages of lines or sentences that stood before; no document is dropped."""
     aside = {c: f"__own_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}  # the operator adds and replaces columns
     cut = remove_repeated_lines(docs.withColumnsRenamed(aside)).select("doc_id", "text", *aside.values())
-    return _recounted(cut.withColumnsRenamed({v: k for k, v in aside.items()}), docs.columns)
+    return in_few_files(_recounted(cut.withColumnsRenamed({v: k for k, v in aside.items()}), docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of similar ones: op5's fingerprints and pivot tables, MinHash for what they miss, an exact check."""
-    return drop_similar(docs)
+    return in_few_files(drop_similar(docs))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -56,6 +56,33 @@ def test_near_duplicates_keep_texts(steps):
     assert len(set(texts)) == len(texts)
 
 
+def test_many_partitions_leave_few_files(spark, monkeypatch):
+    """Each file that an executor opens may make it launch processes, so files must not follow the partitions."""
+    from trialspark import shared
+
+    text = lambda i: " ".join(f"w{i * 7 + k}" for k in range(40)) + ". A line that all of the rows have in common.\n" + f"Copy of number {i // 2} " * 9
+    docs = spark.createDataFrame([(i, text(i // 3), "en", "s", 1) for i in range(400)], "doc_id long, text string, lang string, source string, n_chars long").repartition(90)
+    most, files = shared.FILES_PER_CORE * spark.sparkContext.defaultParallelism, []
+
+    def seen(df):
+        files.append(len(df.inputFiles()))
+        return df
+
+    real = shared.materialize
+    monkeypatch.setattr(shared, "materialize", lambda df: seen(real(df)))
+    monkeypatch.setattr(corpus_pipeline, "materialize", shared.materialize)
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for k, v in zip(held, ("90", "false"), strict=True):
+            spark.conf.set(k, v)
+        for stage in (corpus_pipeline.line_dedup, corpus_pipeline.near_dedup):
+            docs = corpus_pipeline.materialize(stage(spark, docs, ""))
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert docs.count() < 400 and len(files) > 20 and max(files) <= most
+
+
 def test_no_benchmark_window_is_left(spark, sf, steps):
     grams = set()
     for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect():

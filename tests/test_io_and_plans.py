@@ -29,6 +29,16 @@ def test_materialize_keeps_rows_and_schema(spark):
     assert back.dtypes == df.dtypes and sorted(r["id"] for r in back.collect()) == list(range(5))
 
 
+def test_tables_of_many_small_partitions_are_written_in_few_files(spark):
+    from trialspark.shared import FILES_PER_CORE, gather, in_few_files
+
+    most = FILES_PER_CORE * spark.sparkContext.defaultParallelism
+    many = spark.range(1000).repartition(3 * most)
+    back = gather(many)
+    assert 0 < len(back.inputFiles()) <= most and sorted(r["id"] for r in back.collect()) == list(range(1000))
+    assert in_few_files(spark.range(10).repartition(2)).rdd.getNumPartitions() == 2
+
+
 def test_trial_reader_rules(spark, tmp_path):
     (tmp_path / "x.csv").write_text("Unnamed: 0,id,Env,m0\n0,a,E_2019,0.5\n1,b,E_2019,oops\n")
     (tmp_path / "y.csv").write_text("id,Yield\na,1.5\nb,\n")

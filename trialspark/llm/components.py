@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialspark.shared import materialize
+from trialspark.shared import gather
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -18,10 +18,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     edges = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).filter("u is not null and v is not null")
     loops = edges.filter("u = v").select("u").distinct()
-    edges = materialize(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    edges = gather(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = _state(edges)
     while state[0]:
-        edges = materialize(_small_star(_large_star(edges)))
+        edges = gather(_small_star(_large_star(edges)))
         after = _state(edges)
         if after == state:
             break

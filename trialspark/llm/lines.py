@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialspark.llm.common import documents, query, text_of
-from trialspark.shared import materialize
+from trialspark.shared import gather
 
 UNIT = r"[^\n]*?[.!?] +|[^\n]*\n+|[^\n]+"  # a sentence before a blank, or a line (or its rest) with the line feeds after it
 CUT = r"(?=[\s\S])(?:[^\n.!?]+|[.!?](?! ))*+(?:[.!?] +|\n+)?+"  # the same units, each letter matched once
@@ -105,7 +105,7 @@ def _pairs(chunks: DataFrame) -> DataFrame:
 def _met(pairs: DataFrame) -> DataFrame:
     """Places of pairs that occur again, and whether another one comes ``first``; counted before they are looked at."""
     several = pairs.groupBy("x", "y").agg(F.count("*").alias("n")).filter("n > 1").select("x", "y")
-    met = materialize(pairs.join(several, ["x", "y"], "left_semi"))
+    met = gather(pairs.join(several, ["x", "y"], "left_semi"))
     first = met.groupBy("x", "y").agg(F.min(F.struct(*PLACE)).alias("first"))
     return met.join(first, ["x", "y"]).withColumn("gone", ~F.struct(*PLACE).eqNullSafe(F.col("first"))).drop("first")
 
@@ -133,16 +133,16 @@ def repeated_units(docs: DataFrame) -> DataFrame:
     Chunks are compared by the digests of their units, and the digests of all units in repeated chunks by the units' bytes;
     chunks with a unit whose digest stands for different bytes stay. Rows that repeat an id and its text are one document.
     """
-    every = materialize(coarse_chunks(docs))
+    every = gather(coarse_chunks(docs))
     every = every.withColumn("mark", F.xxhash64("chunk"))  # rows are sorted by a number first, by arrays only where it is equal
-    long_repeats = materialize(_repeats(every.filter(F.size("chunk") >= MIN_UNITS), ["mark", "chunk"]))
+    long_repeats = gather(_repeats(every.filter(F.size("chunk") >= MIN_UNITS), ["mark", "chunk"]))
     again = F.col("first").isNotNull() & ~F.struct(*PLACE).eqNullSafe(F.col("first"))
     judged = every.join(long_repeats, ["mark", "chunk"], "left").withColumn("gone", again).withColumn("met", F.col("first").isNotNull())
-    judged = materialize(judged.drop("first", "mark", "n_lines", "n_chunks"))
-    met = materialize(_met(_pairs(judged)))
+    judged = gather(judged.drop("first", "mark", "n_lines", "n_chunks"))
+    met = gather(_met(_pairs(judged)))
 
     places = judged.filter("met").select("doc_id", "body_key", "a", F.col("chunk").alias("keys"))
-    unlike = materialize(_unlike(docs, places.unionByName(met.select("doc_id", "body_key", "a", F.array("x", "y").alias("keys")))))
+    unlike = gather(_unlike(docs, places.unionByName(met.select("doc_id", "body_key", "a", F.array("x", "y").alias("keys")))))
     bad = long_repeats.select("chunk", F.explode("chunk").alias("key")).join(unlike, "key", "left_semi").select("chunk").distinct()
     coarse = judged.filter("gone").select("doc_id", "body_key", "a", "chunk").join(bad, "chunk", "left_anti")
     coarse = coarse.select("doc_id", "body_key", F.sequence(F.col("a"), F.col("a") + F.size("chunk") - 1).alias("units"), F.col("a").alias("chunk"))
@@ -165,7 +165,7 @@ def remove_repeated_lines(docs: DataFrame) -> DataFrame:
     """
     added = ["n_lines", "n_chunks", "n_removed_lines", "n_removed_chunks"]
     kept = [c for c in docs.columns if c not in added]
-    removed = materialize(repeated_units(docs.select("doc_id", "text")))
+    removed = gather(repeated_units(docs.select("doc_id", "text")))
     own = {"doc_id": "__d", "body_key": "__k", "gone": "__gone", "chunks": "__chunks", "n_lines": "__n_lines", "n_chunks": "__n_chunks"}
     gaps = removed.select(*[F.col(c).alias(name) for c, name in own.items()])
     # the list grows with the documents: one plan at every size, not a broadcast while it is small

@@ -26,6 +26,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from trialspark.llm.common import documents, lean, pieces, query, release_unused, text_of, utf8
 from trialspark.llm.substrings import _write
+from trialspark.shared import in_few_files
 
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁".encode()  # stands for a blank, and before a text
@@ -344,7 +345,7 @@ def _encoded(docs: DataFrame, vocabulary: str, limit: int, bucket_bytes: int, de
     """``encode``, with the digest of what the ids decode to if ``decoded``."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", text_of().alias("text"))
-    dictionary = _write(encode_units(unit_counts(rows, vocabulary), vocabulary), "codes")
+    dictionary = _write(in_few_files(encode_units(unit_counts(rows, vocabulary), vocabulary)), "codes")
     common = _codes(common_units(dictionary, limit).select("unit", "ids").toArrow())
     shared = spark.sparkContext.broadcast(_stored(common))
     total = rows.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from trialspark.llm.common import lean, text_of, utf8
 from trialspark.llm.components import connected_components
 from trialspark.llm.simhash import REACH, fingerprint_links, shingle_hashes, vote
-from trialspark.shared import materialize
+from trialspark.shared import gather
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -82,7 +82,7 @@ def fingerprint_pairs(prints: DataFrame, reach: int = REACH) -> DataFrame:
     fingerprints are those of ``fingerprint_links``.
     """
     faces = prints.select("print", "fp").distinct()
-    named = materialize(faces.groupBy("fp").agg(F.min("print").alias("head")))
+    named = gather(faces.groupBy("fp").agg(F.min("print").alias("head")))
     same = faces.join(named, "fp").select(F.col("head").alias("x"), F.col("print").alias("y"))
     links = fingerprint_links(named.select("fp"), reach)
     one, two = (named.select(F.col("fp").alias(c), F.col("head").alias(h)) for c, h in (("a", "x"), ("b", "y")))
@@ -181,7 +181,7 @@ def _by_bucket(members: DataFrame, pairs) -> DataFrame:
 def _true_links(candidates: DataFrame, distinct: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
     """Those of the pairs ``a, b`` whose sets of shingles have at least this Jaccard similarity."""
     ends = candidates.select(F.explode(F.array("a", "b")).alias("print")).distinct()
-    sets = materialize(_sets(docs, distinct.select("print", "first").join(ends, "print"), words))
+    sets = gather(_sets(docs, distinct.select("print", "first").join(ends, "print"), words))
     one, two = (sets.select(F.col("print").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
     both = F.size(F.array_intersect("sa", "sb"))
     share = both / (F.size("sa") + F.size("sb") - both)
@@ -200,22 +200,22 @@ def drop_similar(docs: DataFrame, words: int = WORDS, similarity: float = SIMILA
     repeat both id and text one stays. Columns are unchanged.
     """
     least = least_agreeing(similarity)
-    prints = materialize(_prints(docs, words))
+    prints = gather(_prints(docs, words))
     order = F.struct(F.col("doc_id").isNull().alias("gap"), "doc_id", "k")
-    distinct = materialize(prints.groupBy("print").agg(F.min(order).alias("first"), F.min("bands").alias("bands"), F.min("sketch").alias("sketch")))
+    distinct = gather(prints.groupBy("print").agg(F.min(order).alias("first"), F.min("bands").alias("bands"), F.min("sketch").alias("sketch")))
     spots = distinct.select("print", F.explode("bands").alias("key"))
     shared = spots.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    members = materialize(spots.join(shared, "key").join(distinct.select("print", "sketch"), "print"))
+    members = gather(spots.join(shared, "key").join(distinct.select("print", "sketch"), "print"))
     own = members.withColumn("root", F.col("print"))
     close = _by_bucket(own, lambda table, bucket, root: [neighbours(table, bucket, least)])
-    tried = materialize(fingerprint_pairs(prints).unionByName(close).distinct())
-    links = materialize(_true_links(tried, distinct, docs, words, similarity))
+    tried = gather(fingerprint_pairs(prints).unionByName(close).distinct())
+    links = gather(_true_links(tried, distinct, docs, words, similarity))
     # pairs that no link found so far ties together, where the likeliest ones were not enough
-    found = materialize(connected_components(links)).withColumnRenamed("node", "print")
+    found = gather(connected_components(links)).withColumnRenamed("node", "print")
     joined = members.join(found, "print", "left").withColumn("root", F.coalesce("root", "print"))
-    rest = materialize(_by_bucket(joined, lambda table, bucket, root: between(table, bucket, root, least)).join(tried, ["a", "b"], "left_anti"))
+    rest = gather(_by_bucket(joined, lambda table, bucket, root: between(table, bucket, root, least)).join(tried, ["a", "b"], "left_anti"))
     links = links.unionByName(_true_links(rest, distinct, docs, words, similarity))
-    roots = materialize(connected_components(links))
+    roots = gather(connected_components(links))
     placed = distinct.join(roots, distinct["print"] == roots["node"], "left").select("first", F.coalesce("root", "print").alias("root"))
     keep = placed.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__d"), F.col("first.k").alias("__k"))
     copies = prints.groupBy("doc_id", "k").agg(F.count("*").alias("__n")).select(F.col("doc_id").alias("__d2"), F.col("k").alias("__k2"), "__n")

@@ -95,6 +95,23 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+FILES_PER_CORE = 3  # of a table in few files
+
+
+def in_few_files(df: DataFrame) -> DataFrame:
+    """``df`` in at most ``FILES_PER_CORE`` partitions for each core; a task takes its share of the former ones one after the other.
+
+    Where partitions are many and small, writing is mostly the opening of files, and on a store without Hadoop's
+    native library each file makes its executor launch processes (``chmod``).
+    """
+    return df.coalesce(FILES_PER_CORE * df.sparkSession.sparkContext.defaultParallelism)
+
+
+def gather(df: DataFrame) -> DataFrame:
+    """``materialize`` in few files."""
+    return materialize(in_few_files(df))
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Equi-join on ``keys`` where NULL matches NULL; the right keys are dropped."""
     if not keys:
