@@ -30,13 +30,19 @@ def test_materialize_keeps_rows_and_schema(spark):
 
 
 def test_tables_of_many_small_partitions_are_written_in_few_files(spark):
-    from trialspark.shared import FILES_PER_CORE, gather, in_few_files
+    from trialspark.shared import FILES_PER_CORE, SHARE, gather, in_few_files
 
     most = FILES_PER_CORE * spark.sparkContext.defaultParallelism
     many = spark.range(1000).repartition(3 * most)
     back = gather(many)
     assert 0 < len(back.inputFiles()) <= most and sorted(r["id"] for r in back.collect()) == list(range(1000))
     assert in_few_files(spark.range(10).repartition(2)).rdd.getNumPartitions() == 2
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", SHARE * 2 * most)
+        assert in_few_files(many).rdd.getNumPartitions() == 2 * most
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
 
 
 def test_trial_reader_rules(spark, tmp_path):

@@ -96,15 +96,21 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 FILES_PER_CORE = 3  # of a table in few files
+SHARE = 16  # of the session's shuffle partitions go through one task at most, so that its share doesn't grow with the input
 
 
 def in_few_files(df: DataFrame) -> DataFrame:
-    """``df`` in at most ``FILES_PER_CORE`` partitions for each core; a task takes its share of the former ones one after the other.
+    """``df`` in few partitions: ``FILES_PER_CORE`` for each core, more where that would be over ``SHARE`` shuffle partitions each.
 
+    A task takes its share of the former partitions one after the other.
     Where partitions are many and small, writing is mostly the opening of files, and on a store without Hadoop's
     native library each file makes its executor launch processes (``chmod``).
     """
-    return df.coalesce(FILES_PER_CORE * df.sparkSession.sparkContext.defaultParallelism)
+    return df.coalesce(_few(df.sparkSession))
+
+
+def _few(spark: SparkSession) -> int:
+    return max(FILES_PER_CORE * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // SHARE)
 
 
 def gather(df: DataFrame) -> DataFrame:
