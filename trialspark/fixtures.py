@@ -45,11 +45,9 @@ def trials(spark: SparkSession, sf_dir: str, lineitem: DataFrame | None = None)
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("o_year"), "o_orderpriority")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    joined = (
-        li.join(o, li.l_orderkey == o.o_orderkey)
-        .join(c, F.col("o_custkey") == F.col("c_custkey"))
-        .join(n, F.col("c_nationkey") == F.col("n_nationkey"))
-    )
+    # orders meet their customers first, as they are fewer than plots: these are shuffled once, by their order
+    places = o.join(c, F.col("o_custkey") == F.col("c_custkey")).drop("o_custkey")
+    joined = li.join(places, F.col("l_orderkey") == F.col("o_orderkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
     env = F.concat("n_name", F.lit("_"), F.col("o_year"))
     parent = F.concat(F.lit("P"), F.lpad((F.col("l_partkey") % 120 + 20 * (F.col("o_year") - 1995)).cast("string"), 3, "0"))
     hybrid = F.concat(parent, F.lit("/T"), (F.col("l_suppkey") % 4).cast("string"))

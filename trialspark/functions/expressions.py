@@ -33,16 +33,20 @@ def finite(c: str | Column) -> Column:
 def env_year(c: str | Column, on_error: str = "raise") -> Column:
     """Trailing four digits of the trimmed environment name; bad names raise (or give NULL)."""
     c = _col(c)
-    text = F.nullif(F.regexp_extract(F.trim(c), YEAR_AT_END, 1), F.lit(""))
-    year = text.cast("int")
+    year = _matched_int(F.trim(c), YEAR_AT_END)
     if on_error == "null":
         return year
-    return F.when(text.isNull(), F.raise_error(F.concat(F.lit("no trailing year in environment: "), F.coalesce(c, F.lit("NULL")))).cast("int")).otherwise(year)
+    return F.coalesce(year, F.raise_error(F.concat(F.lit("no trailing year in environment: "), F.coalesce(c, F.lit("NULL")))).cast("int"))
+
+
+def _matched_int(c: Column, pattern: str) -> Column:
+    """The number that the pattern's group captures, or NULL. Each name is searched once, also where the result is used in further expressions."""
+    return F.regexp_extract(c, pattern, 1).try_cast("int")  # no match gives ''
 
 
 def env_year_lenient(c: str | Column) -> Column:
     """First ``20xx`` anywhere in the name, or NULL."""
-    return F.nullif(F.regexp_extract(_col(c), YEAR_ANYWHERE, 1), F.lit("")).cast("int")
+    return _matched_int(_col(c), YEAR_ANYWHERE)
 
 
 def env_location(c: str | Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialspark.functions.expressions import env_year_lenient
@@ -18,12 +18,11 @@ def filter_years(df: DataFrame, lo: int | None = None, hi: int | None = None, en
     if lo is None and hi is None:
         return df
     year = env_year_lenient(env)
-    keep: Column = year.isNotNull()
-    if lo is not None:
-        keep = keep & (year >= lo)
-    if hi is not None:
-        keep = keep & (year <= hi)
-    return df.filter(F.coalesce(keep, F.lit(False)))
+    if lo is None or hi is None:
+        inside = year >= lo if hi is None else year <= hi
+    else:  # both bounds in one comparison, as a filter works out a name's year anew wherever it occurs
+        inside = F.abs(year.cast("long") * 2 - (lo + hi)) <= hi - lo
+    return df.filter(F.coalesce(inside, F.lit(False)))
 
 
 def feature_view(df: DataFrame, schema: TrialSchema, with_keys: bool = True) -> DataFrame:
