@@ -1,6 +1,8 @@
 """Edge rules on literal rows: parsing, undefined metrics, splits and their invariants."""
 
+import hashlib
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from trialspark.operators import batches as B
 from trialspark.operators import effects as E
 from trialspark.operators import features as T
 from trialspark.operators import metrics as M
+from trialspark.operators import ordering as O
 from trialspark.operators import population as P
 from trialspark.operators import relations as R
 from trialspark.operators import selection as V
@@ -344,3 +347,32 @@ def test_mixed_plan_covers_the_epoch(spark):
     got = {r["source"]: (r["n"], r["d"]) for r in plan.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("row_key").alias("d")).collect()}
     assert got == {"env": (66, 66), "random": (134, 134)}
     assert sorted(r["count"] for r in plan.groupBy("rank").count().collect()) == [50, 50, 50, 50]
+
+
+@pytest.mark.parametrize("ratio", [0.0, 0.1, 0.45, 1.0])
+def test_mixed_plan_writes_its_rows_once(spark, monkeypatch, ratio):
+    """Against brute force, with repeated and NULL keys and a NULL environment; intermediate tables don't hold the rows again and again."""
+    rng = random.Random(5)
+    rows = [(rng.choice([None, "twice", f"r{i}"]) if i % 9 == 0 else f"r{i}", rng.choice([None, "E1", "E2", "E3"]) if i % 4 else "E4") for i in range(900)]
+    written = []
+    for module in (B, O):
+        monkeypatch.setattr(module, "materialize", lambda df, f=module.materialize: written.append((t := f(df)).count()) or t)
+    got = B.mixed_env_plan(spark.createDataFrame(rows, "row_key string, env string"), ratio, world=3, split_rows=30).collect()
+
+    def digest(*parts):
+        return "" if None in parts else hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()  # NULL comes first
+
+    def order(part, key):
+        return digest(f"42/{part}", key), key or ""
+
+    n_env = int(len(rows) * ratio)
+    first, left = [], n_env
+    for env in sorted({e for _, e in rows}, key=lambda e: order("env", e)):
+        inside = sorted((k for k, e in rows if e == env), key=lambda k: order("row", k))[:max(0, left)]
+        left -= sum(e == env for _, e in rows)
+        first += [k for k in inside if env is not None]
+    second = sorted((k for k, _ in rows), key=lambda k: order("random", k))[: len(rows) - n_env]
+    mixed = sorted([(k, "env") for k in first] + [(k, "random") for k in second], key=lambda x: (digest("42/mix", x[1], x[0]), x[1], x[0] or ""))
+    want = [(k, s, i % 3, i // 3) for i, (k, s) in enumerate(mixed)]
+    assert sorted((r["step"], r["rank"], str(r["row_key"]), r["source"]) for r in got) == sorted((step, rank, str(k), s) for k, s, rank, step in want)
+    assert sum(written) < 2.5 * len(rows)  # over four times before; frequent keys at a cut are written twice

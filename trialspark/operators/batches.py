@@ -81,17 +81,19 @@ def mixed_env_plan(
     if not 0.0 <= ratio <= 1.0:
         raise TrialError("ratio must lie in [0, 1]")
     rows, total = O.counted(df.select(F.col(key).alias("row_key"), F.col(env).alias("env")))
-    sizes = rows.groupBy("env").agg(F.count(F.lit(1)).alias("n")).withColumn("__h", hash_order(_seed(seed, epoch, "env"), "env"))
-    sizes = materialize(sizes)
+    turn = hash_order(_seed(seed, epoch, "env"), "env")
+    sizes = materialize(rows.groupBy("env").agg(F.count(F.lit(1)).alias("n")).withColumn("__h", turn))
     n_env = int(total * ratio)
     cum = O.running_sums(sizes, [], [F.col("__h"), F.col("env")], {"upto": F.col("n")}, split_rows)
-    take = cum.select("env", F.greatest(F.lit(0), F.least(F.col("n"), F.lit(n_env) - (F.col("upto") - F.col("n")))).alias("take")).filter("take > 0")
-    inside = rows.withColumn("__h", hash_order(_seed(seed, epoch, "row"), "row_key"))
-    inside = O.positions(inside, ["env"], [F.col("__h"), F.col("row_key")], "pos", split_rows, total)
-    first = inside.join(take, "env").filter(F.col("pos") <= F.col("take")).select("row_key", F.lit("env").alias("source"))
-    loose = rows.withColumn("__h", hash_order(_seed(seed, epoch, "random"), "row_key"))
-    loose = O.positions(loose, [], [F.col("__h"), F.col("row_key")], "pos", split_rows, total)
-    second = loose.filter(F.col("pos") <= total - n_env).select("row_key", F.lit("random").alias("source"))
-    mixed = first.unionByName(second).withColumn("__h", hash_order(_seed(seed, epoch, "mix"), "source", "row_key"))
-    dealt = O.positions(mixed, [], [F.col("__h"), F.col("source"), F.col("row_key")], "pos", split_rows)
+    # environments are whole up to the first that doesn't fit, which is cut; without an environment a row is in neither
+    cut = cum.filter(F.col("upto") > n_env).orderBy("upto").first()
+    first = rows.filter(F.col("env").isNotNull())
+    if cut is not None:
+        inside, at = rows.filter(F.col("env") == F.lit(cut["env"])), (turn == F.lit(cut["__h"])) & (F.col("env") < F.lit(cut["env"]))
+        first = first.filter((turn < F.lit(cut["__h"])) | at).select("row_key").unionByName(
+            O.lowest(inside.select("row_key"), hash_order(_seed(seed, epoch, "row"), "row_key"), [F.col("row_key")], n_env - cut["upto"] + cut["n"], cut["n"], split_rows)
+        )
+    second = O.lowest(rows.select("row_key"), hash_order(_seed(seed, epoch, "random"), "row_key"), [F.col("row_key")], total - n_env, total, split_rows)
+    mixed = first.select("row_key", F.lit("env").alias("source")).unionByName(second.select("row_key", F.lit("random").alias("source")))
+    dealt = O.digest_positions(mixed, hash_order(_seed(seed, epoch, "mix"), "source", "row_key"), [F.col("source"), F.col("row_key")], "pos", total, split_rows)
     return dealt.select("row_key", "source", ((F.col("pos") - 1) % world).alias("rank"), F.expr(f"(pos - 1) div {world}").alias("step"))

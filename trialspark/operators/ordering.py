@@ -82,6 +82,51 @@ def positions(
     return running_sums(df, group, order, {out: F.lit(1).cast("long")}, split_rows, known)
 
 
+def _beginning(digest: Column, rows: int, split_rows: int) -> Column:
+    """So many digits of a hex digest that rows with the same ones are about ``split_rows`` at most; '' for NULL, which comes first."""
+    digits = 1
+    while 16**digits * split_rows < rows:
+        digits += 1
+    return F.coalesce(F.substring(digest, 1, digits), F.lit(""))
+
+
+def lowest(df: DataFrame, digest: Column, order: list[Column], n: int, rows: int, split_rows: int = SPLIT_ROWS) -> DataFrame:
+    """The ``n`` rows of ``df`` that are first by a hex ``digest`` and then by ``order``.
+
+    ``rows`` is their number or more. They are counted by the beginning of the digest, so that only those of the
+    beginning where the cut lies are ordered; all others are kept or left where they are read. ``df`` is read three times.
+    """
+    if n <= 0:
+        return df.filter(F.lit(False))
+    if n >= rows:
+        return df
+    begins = _beginning(digest, rows, split_rows)
+    sizes, known = counted(df.groupBy(begins.alias("__begins")).agg(F.count(F.lit(1)).alias("__n")))
+    cut = running_sums(sizes, [], [F.col("__begins")], {"__upto": F.col("__n")}, split_rows, known).filter(F.col("__upto") >= n).orderBy("__upto").first()
+    if cut is None:  # fewer rows than said
+        return df
+    before = df.filter(begins < F.lit(cut["__begins"]))
+    at = df.filter(begins == F.lit(cut["__begins"])).withColumn("__digest", digest)
+    placed = positions(at, [], [F.col("__digest"), *order], "__place", split_rows)
+    return before.unionByName(placed.filter(F.col("__place") <= n - cut["__upto"] + cut["__n"]).select(*df.columns))
+
+
+def digest_positions(df: DataFrame, digest: Column, order: list[Column], out: str, rows: int, split_rows: int = SPLIT_ROWS) -> DataFrame:
+    """1-based position of every row by a hex ``digest`` and then by ``order``, which must be total.
+
+    Rows are counted and dealt by the beginning of the digest, so that they are shuffled once, without their digests, and
+    nothing of their number is written besides. ``rows`` is about their number. ``df`` is read twice.
+    """
+    begins = _beginning(digest, rows, split_rows)
+    sizes, known = counted(df.groupBy(begins.alias("__begins")).agg(F.count(F.lit(1)).alias("__n")))
+    upto = running_sums(sizes, [], [F.col("__begins")], {"__upto": F.col("__n")}, split_rows, known)
+    offsets = upto.select("__begins", (F.col("__upto") - F.col("__n")).alias("__before"))
+    inside = Window.partitionBy("__begins").orderBy(F.col("__digest"), *order)
+    dealt = df.repartition(begins).withColumns({"__begins": begins, "__digest": digest})
+    placed = dealt.withColumn("__place", F.row_number().over(inside)).join(offsets, "__begins")
+    return placed.select(*df.columns, (F.col("__before") + F.col("__place")).alias(out))
+
+
 def dense_codes(
     df: DataFrame,
     group: list[str],
