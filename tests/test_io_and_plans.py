@@ -347,3 +347,16 @@ def test_a_large_log_is_read_in_splits(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert (r["tag"], r["dropout"], r["cv_val_pcc"], r["cv_val_loss"], r["test_pcc"], r["test_mse"]) == ("tiny", 0.3, 0.41, 2.5, 0.3, 7.0)
     assert folds == [("2020", 0.5)]
+
+
+def test_small_logs_are_opened_once(spark, tmp_path):
+    """The files are read while the lines that tell something are written; the result reads these alone."""
+    from trialspark.catalog.sources import _user, write_by_job
+
+    jobs = [(f"run-tiny-{i}", f"start\nDROPOUT=0.{i % 5}\ncv/mean_val_loss: {i}.5\n[TEST] fold_2020: env_avg_pearson=0.25, mse={i}") for i in range(60)]
+    where = write_by_job(spark.createDataFrame([*jobs, (None, "no test line")], "job string, value string"), scratch_path(spark, "logs"))
+    assert len(spark.read.text([where]).select("_metadata.file_path").distinct().collect()) == 61
+    parsed = _user(L.parse_run_logs(spark, [where]))
+    assert "FileScan text" not in parsed._jdf.queryExecution().executedPlan().toString()
+    got = {(r["user_id"], r["tag"], r["dropout"], r["cv_val_loss"], r["test_pcc"], r["test_mse"]) for r in parsed.collect()}
+    assert got == {(i, "tiny", (i % 5) / 10, i + 0.5, 0.25, float(i)) for i in range(60)}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from trialspark import fixtures as FX
@@ -86,7 +87,7 @@ LOG_BASE = """with u as (select user_id, count(*) as n, round(avg(value), 2) as
 
 
 def written_logs(spark, sf):
-    """One log file per user: header, CV summary, several test lines; kind 3 has no test lines."""
+    """Paths of one log file per user: header, CV summary, several test lines; kind 3 has no test lines."""
     e = FX.table(spark, sf, "events")
     u = e.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 2).alias("v"), F.round(F.max("value"), 2).alias("mx"), F.round(F.min("value"), 2).alias("mn"))
     kind = F.col("user_id") % 4
@@ -107,26 +108,52 @@ def written_logs(spark, sf):
         F.when(kind != 3, F.concat(F.lit("[TEST] fold_2021: env_avg_pearson="), num(F.col("v")), F.lit(", mse="), num(F.col("mn")))),
         F.lit("done"),
     ]
-    base = scratch_path(spark, "logs")
-    text = u.select(F.concat_ws("\n", *lines).alias("value"), F.concat(F.lit("run-"), tag, F.lit("-"), uid).alias("job"))
-    text.write.partitionBy("job").text(base)
+    text = u.select(F.concat(F.lit("run-"), tag, F.lit("-"), uid).alias("job"), F.concat_ws("\n", *lines).alias("value"))
+    return write_by_job(text, scratch_path(spark, "logs"))
+
+
+def write_by_job(text, base: str) -> str:
+    """One text file per row of ``job, value``; returns the paths to read.
+
+    Spark's writer makes a folder per job, renames it and sets modes file by file; in a folder that tasks can
+    open, they write the files themselves, all in one folder. A task that runs again writes the same files.
+    """
+    spark = text.sparkSession
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.getUri().getScheme() != "file":
+        text.write.partitionBy("job").text(base)
+        return f"{base}/*/*.txt"
+    fs.mkdirs(where)
+    folder = where.toUri().getPath()
+
+    def write(batches):
+        n = 0
+        for batch in batches:
+            for job, value in zip(batch["job"].to_pylist(), batch["value"].to_pylist(), strict=True):
+                with open(f"{folder}/job={job or '__HIVE_DEFAULT_PARTITION__'}.txt", "w", encoding="utf-8", newline="") as f:
+                    f.write(f"{value}\n")
+                n += 1
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    text.mapInArrow(write, "n long").agg(F.sum("n")).collect()
     return base
 
 
 def _user(df):
-    return df.withColumn("user_id", F.regexp_extract("log_file", r"job=run-[^/]*-(\d+)/", 1).cast("long")).drop("log_file")
+    return df.withColumn("user_id", F.regexp_extract("log_file", r"/job=run-[^/]*-(\d+)(?:\.txt|/[^/]*)$", 1).cast("long")).drop("log_file")
 
 
 @query("s4_parse_run_logs", "S4", LOG_BASE + """select user_id, case when kind = 0 then 'baseline' when kind = 1 then concat('drop0.', user_id % 10) else 'tiny' end as tag,
 case when kind = 0 then (concat('0.', user_id % 7))::double when kind = 1 then (concat('0.', user_id % 5))::double end as dropout, v as cv_val_pcc, case when kind <> 2 then mx end as cv_val_loss,
 case when kind = 0 then v else mn end as test_pcc, case when kind = 0 then n::double else mx end as test_mse from u where kind <> 3""")
 def _(spark, sf):
-    return _user(L.parse_run_logs(spark, [written_logs(spark, sf) + "/*/*.txt"]))
+    return _user(L.parse_run_logs(spark, [written_logs(spark, sf)]))
 
 
 @query("s4_fold_scores", "S4", LOG_BASE + "select user_id, '2021' as fold, v as test_pcc from u where kind <> 3 union all select user_id, '2022', mx from u where kind <> 3")
 def _(spark, sf):
-    return _user(L.parse_fold_scores(spark, [written_logs(spark, sf) + "/*/*.txt"]))
+    return _user(L.parse_fold_scores(spark, [written_logs(spark, sf)]))
 
 
 @query("s5_best_epoch", "S5", """with e as (select user_id, row_number() over (partition by user_id order by ts, event_id)::double as epoch, -value as val_loss, event_type from events)

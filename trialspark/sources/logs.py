@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialspark.functions.expressions import file_stem, finite
-from trialspark.shared import materialize
+from trialspark.shared import in_few_files, materialize
 
 # Fixed values that results depend on: patterns and keys of the log formats.
 TAG_IN_PATH = r"-(baseline|tiny|huge_drop|no_moe|zero_drop|drop[\d.]+)-"
@@ -58,13 +59,13 @@ def _first_match(pattern: str) -> Column:
     return F.min_by(F.when(got != "", got), F.when(got != "", F.col("at"))).try_cast("double")
 
 
-def _first_after(lines: DataFrame, key: str) -> DataFrame:
+def _first_after(lines: DataFrame, told: DataFrame, key: str) -> DataFrame:
     """``log_file, number``: the first number behind the first ``key`` of a file, on the same line or a later one.
 
-    Lines with the key are few; only files whose number isn't beside its key are looked through again.
+    ``told`` has all lines with the key; only files whose number isn't beside its key are looked through again.
     """
     beside = F.regexp_extract("value", re.escape(key) + r"[^\d]*" + NUMBER, 1)
-    keyed = lines.filter(F.col("value").contains(key)).groupBy("log_file").agg(F.min(F.struct("at", F.nullif(beside, F.lit("")).alias("number"))).alias("k"))
+    keyed = told.filter(F.col("value").contains(key)).groupBy("log_file").agg(F.min(F.struct("at", F.nullif(beside, F.lit("")).alias("number"))).alias("k"))
     keyed = materialize(keyed.select("log_file", "k.at", "k.number"))
     late = keyed.filter("number is null").select("log_file", F.col("at").alias("key_at"))
     if late.isEmpty():
@@ -79,24 +80,27 @@ def parse_run_logs(spark: SparkSession, globs: list[str]) -> DataFrame:
     ``best_fold`` (its last line) or else of the first test line.
 
     Test results and dropout settings stand on one line each; the number of a CV summary may follow later.
+    Files are opened once: the lines that tell something are written, many small files to a task.
     """
-    lines = read_log_lines(spark, globs)
-    tests = _test_lines(lines)
+    lines = in_few_files(read_log_lines(spark, globs))
+    dropout = F.lower("value").contains("dropout")
+    told = materialize(lines.filter(reduce(lambda a, b: a | b, [F.col("value").contains(k) for k in ("[TEST]", CV_PCC, CV_LOSS)], dropout)))
+    tests = _test_lines(told)
     best = F.col("eval_tag") == "best_fold"
     result = F.struct("pcc", "mse")
     pick = tests.groupBy("log_file").agg(F.max_by(result, F.when(best, F.col("pos"))).alias("b"), F.min_by(result, "pos").alias("f"))
     pick = pick.select("log_file", F.coalesce("b", "f").alias("t"))
-    settings = lines.filter(F.lower("value").contains("dropout")).groupBy("log_file").agg(F.coalesce(_first_match(DROPOUT_ENV), _first_match(DROPOUT_TEXT)).alias("dropout"))
+    settings = told.filter(dropout).groupBy("log_file").agg(F.coalesce(_first_match(DROPOUT_ENV), _first_match(DROPOUT_TEXT)).alias("dropout"))
     tag = F.coalesce(F.nullif(F.regexp_extract("log_file", TAG_IN_PATH, 1), F.lit("")), file_stem("log_file"))
     out = pick.join(settings, "log_file", "left")
     for name, key in (("cv_val_pcc", CV_PCC), ("cv_val_loss", CV_LOSS)):
-        out = out.join(_first_after(lines, key).select("log_file", F.col("number").try_cast("double").alias(name)), "log_file", "left")
+        out = out.join(_first_after(lines, told, key).select("log_file", F.col("number").try_cast("double").alias(name)), "log_file", "left")
     return out.select("log_file", tag.alias("tag"), "dropout", "cv_val_pcc", "cv_val_loss", F.col("t.pcc").alias("test_pcc"), F.col("t.mse").alias("test_mse"))
 
 
 def parse_fold_scores(spark: SparkSession, globs: list[str]) -> DataFrame:
     """Test PCC per log and fold tag ``fold_<year>`` (the last line of a tag counts)."""
-    lines = _test_lines(read_log_lines(spark, globs)).filter(F.col("eval_tag").contains("fold_"))
+    lines = _test_lines(in_few_files(read_log_lines(spark, globs))).filter(F.col("eval_tag").contains("fold_"))
     fold = F.replace("eval_tag", F.lit("fold_"), F.lit(""))
     return lines.groupBy("log_file", fold.alias("fold")).agg(F.max_by("pcc", "pos").alias("test_pcc"))
 
