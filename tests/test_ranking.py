@@ -7,7 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from trialspark.operators import metrics as M
 from trialspark.operators import ordering as O
+from trialspark.operators import pair_counts as PC
 from trialspark.operators import pairs as PJ
 from trialspark.operators import ranking as R
 
@@ -186,3 +188,25 @@ def test_null_group_keeps_its_ranks(spark):
     for s in (10**6, 1):
         got = {r["env"]: r["tau_b"] for r in R.tau_b(df, ["env"], split_rows=s).collect()}
         assert got == {None: -1.0, "a": 1.0}
+
+
+def test_rank_terms_share_the_rows_that_are_written(spark, monkeypatch):
+    """Against brute force, with a NULL environment, repeated and NULL keys and equal values; the rows are written once for all terms."""
+    rng = np.random.default_rng(8)
+    rows = [(None if i % 5 == 4 else f"E{i % 5}", "same" if i % 7 == 0 else None if i % 11 == 0 else f"r{i}", float(rng.integers(0, 30)) / 10, float(rng.integers(0, 40)) / 10) for i in range(203)]
+    written = []
+    for module in (M, O, R, PC):
+        monkeypatch.setattr(module, "materialize", lambda df, f=module.materialize: written.append((t := f(df)).count()) or t)
+    df = spark.createDataFrame(rows, "env string, row_key string, actual double, pred double")
+    got = {r["term"]: r["value"] for r in M.composite_score(df, "envspearman+triplet").collect()}
+
+    def ranks(x):
+        return np.array([(x < v).sum() + ((x == v).sum() + 1) / 2 for v in x])
+
+    rhos, hinges = [], []
+    for env in {r[0] for r in rows}:
+        a, p = (np.array([r[c] for r in rows if r[0] == env]) for c in (2, 3))
+        rhos.append(1 - 6 * ((ranks(a) - ranks(p)) ** 2).sum() / (len(a) * (len(a) ** 2 - 1)))
+        hinges += [max(0.0, 0.5 - (p[i] - p[j])) for i in range(len(a)) for j in range(len(a)) if a[j] < a[i] - 0.2]
+    assert got["envspearman"] == pytest.approx(1 - np.mean(rhos)) and got["triplet"] == pytest.approx(np.mean(hinges))
+    assert written.count(len(rows)) == 1

@@ -462,8 +462,11 @@ def composite_score(
     if len(ws) != len(terms):
         raise TrialError(f"{len(ws)} weights given for {len(terms)} terms")
     df = finite_pairs(df, actual, pred)
+    rows, grouped = None, df
     if RANK_TERMS & set(terms):  # several scans follow
         df = materialize(df.select(*dict.fromkeys([env, actual, pred, key])))
+        rows = df.count()
+        grouped = R.numbered_groups(df, env) if {"envspearman", "triplet"} & set(terms) else df
     moments = env_moments(df, env, actual, pred)
     total = combine_moments(moments)
     registry = {
@@ -473,9 +476,9 @@ def composite_score(
         "envccc": lambda: (_envccc_loss(moments), "loss"),
         "envpcc": lambda: (_envpcc_loss(moments), "loss"),
         "spearman": lambda: (R.spearman(df, actual, pred), "loss"),
-        "envspearman": lambda: (R.env_spearman_loss(df, env, actual, pred), "loss"),
+        "envspearman": lambda: (R.env_spearman_loss(grouped, env, actual, pred, rows=rows), "loss"),
         "ktau": lambda: (R.ktau(df, [], actual, pred, key), "loss"),
-        "triplet": lambda: (R.rank_hinge(df, env, actual, pred, key), "hinge"),
+        "triplet": lambda: (R.rank_hinge(grouped, env, actual, pred, key, rows=rows), "hinge"),
     }
     parts = []
     for term, w in zip(terms, ws):

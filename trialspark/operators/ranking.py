@@ -18,17 +18,29 @@ HINGE_MARGIN, HINGE_GAP, HINGE_MIN_N = 0.5, 0.2, 3
 NORM_EPS = 1e-8
 
 
-def _both_ranks(base: DataFrame, group: list[str], split_rows: int) -> DataFrame:
-    base, rows = O.counted(base)
+def _both_ranks(base: DataFrame, group: list[str], split_rows: int, rows: int | None = None) -> DataFrame:
+    if rows is None:
+        base, rows = O.counted(base)
     ranked = O.average_ranks(base, group, "__a", "__ra", split_rows, rows)
     return O.average_ranks(ranked, group, "__p", "__rp", split_rows, rows)
 
 
-def env_spearman(df: DataFrame, group: str | list[str] = "env", actual: str = "actual", pred: str = "pred", split_rows: int = O.SPLIT_ROWS) -> DataFrame:
-    """Per group ``1 − 6Σd²/(n(n²−1))`` over average ranks; NULL below two rows or without spread."""
+def numbered_groups(df: DataFrame, group: str) -> DataFrame:
+    """``df`` with a number for each value of ``group`` (also for NULL) in its place, where only the rows' grouping matters; ``df`` should be cheap to read again."""
+    numbers = materialize(df.select(group).distinct().withColumn("__number", F.monotonically_increasing_id()))
+    return null_safe_join(df, numbers, [group]).withColumn(group, F.col("__number")).drop("__number")
+
+
+def env_spearman(
+    df: DataFrame, group: str | list[str] = "env", actual: str = "actual", pred: str = "pred", split_rows: int = O.SPLIT_ROWS, rows: int | None = None
+) -> DataFrame:
+    """Per group ``1 − 6Σd²/(n(n²−1))`` over average ranks; NULL below two rows or without spread.
+
+    With ``rows``, their number, ``df`` is cheap to read again and isn't written first (here and below).
+    """
     group = [group] if isinstance(group, str) else list(group)
     base = df.select(*group, F.col(actual).alias("__a"), F.col(pred).alias("__p"))
-    ranked = _both_ranks(base, group, split_rows)
+    ranked = _both_ranks(base, group, split_rows, rows)
     d = F.col("__ra") - F.col("__rp")
     m = ranked.groupBy(*group).agg(
         F.count(F.lit(1)).alias("n"),
@@ -41,8 +53,10 @@ def env_spearman(df: DataFrame, group: str | list[str] = "env", actual: str = "a
     return m.select(*group, "n", F.when((F.col("n") >= 2) & F.col("__sa") & F.col("__sp"), rho).alias("spearman"))
 
 
-def env_spearman_loss(df: DataFrame, group: str = "env", actual: str = "actual", pred: str = "pred", split_rows: int = O.SPLIT_ROWS) -> DataFrame:
-    per = env_spearman(df, group, actual, pred, split_rows)
+def env_spearman_loss(
+    df: DataFrame, group: str = "env", actual: str = "actual", pred: str = "pred", split_rows: int = O.SPLIT_ROWS, rows: int | None = None
+) -> DataFrame:
+    per = env_spearman(df, group, actual, pred, split_rows, rows)
     return per.agg(
         F.count("spearman").alias("n_envs"), (F.lit(1.0) - F.coalesce(F.avg("spearman"), F.lit(0.0))).alias("loss")
     )
@@ -126,6 +140,7 @@ def rank_hinge(
     margin: float = HINGE_MARGIN,
     gap: float = HINGE_GAP,
     split_rows: int = O.SPLIT_ROWS,
+    rows: int | None = None,
 ) -> DataFrame:
     """Mean of ``max(0, margin − (p_i − p_j))`` over all pairs of an environment with ``y_j < y_i − gap``.
 
@@ -133,7 +148,10 @@ def rank_hinge(
     hinge total of a query is the sum of ``p_j − (p_i − margin)`` over earlier points above it. Pairs
     with a NULL prediction count and add nothing; one with a NaN or infinite prediction makes the mean NaN.
     """
-    base, rows = O.counted(df.select(F.col(env).alias("__g"), F.col(actual).cast("double").alias("__a"), F.col(pred).cast("double").alias("__p"), F.col(key).alias("__k")))
+    # equal targets give no pair, so the key's digest only spreads them over slices
+    base = df.select(F.col(env).alias("__g"), F.col(actual).cast("double").alias("__a"), F.col(pred).cast("double").alias("__p"), F.xxhash64(key).alias("__k"))
+    if rows is None:
+        base, rows = O.counted(base)
     both = F.explode(
         F.array(
             F.struct(F.col("__a").alias("t"), F.col("__p").alias("v"), F.lit(1).alias("pt")),
