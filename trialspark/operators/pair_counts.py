@@ -42,34 +42,45 @@ def pair_totals(group: np.ndarray, rank: np.ndarray, value: np.ndarray, point: n
     """
     n, groups = len(group), int(group[-1]) + 1 if len(group) else 0
     below, above, gap = np.zeros(groups), np.zeros(groups), np.zeros(groups)
-    at = np.arange(n)
+    at, valued = np.arange(n), bool(value.any())
     first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if n else np.zeros(0, np.int64)
     start = first[group] if n else at
     end = np.append(first[1:], n)[group] if n else at
 
     def before(x: np.ndarray) -> np.ndarray:
         """Sum of ``x`` over earlier rows of the same node."""
-        total = np.concatenate([np.zeros(1, x.dtype), np.cumsum(x)])
-        return total[at] - total[start]
+        total = running(x)
+        return total[:-1] - total[start]
+
+    def running(x: np.ndarray) -> np.ndarray:
+        total = np.zeros(n + 1, np.int64 if x.dtype == bool else x.dtype)
+        np.cumsum(x, out=total[1:])
+        return total
+
+    def per_group(x: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(x, first)
 
     for bit in reversed(range(int(rank.max()).bit_length() if n else 0)):
         one = (rank >> bit) & 1 == 1
         high = point & one
-        low_before, high_before = before((point & ~one).astype(np.int64)), before(high.astype(np.int64))
-        up, down = asked & one, asked & ~one
-        below += np.bincount(group[up], low_before[up], groups)
-        above += np.bincount(group[down], high_before[down], groups)
-        weight = before(np.where(high, value, 0.0)) - value * high_before
-        gap += np.bincount(group[down], weight[down], groups)
-        ones = before(one.astype(np.int64))
-        total_ones = np.concatenate([[0], np.cumsum(one)])
-        zeros = (end - start) - (total_ones[end] - total_ones[start])
-        to = start + np.where(one, zeros + ones, at - start - ones)
-        split = start + zeros
-        start, end = np.where(one, split, start), np.where(one, end, split)
+        low_before, high_before = before(point & ~one), before(high)
+        down = asked & ~one
+        below += per_group(low_before * (asked & one))
+        above += per_group(high_before * down)
+        if valued:
+            weight = before(np.where(high, value, 0.0)) - value * high_before
+            gap += per_group(np.where(down, weight, 0.0))
+        if not bit:
+            break
+        set_bits = running(one)
+        ones = set_bits[:-1] - set_bits[start]
+        split = end - (set_bits[end] - set_bits[start])
+        to = np.where(one, split + ones, at - ones)
         back = np.empty(n, np.int64)
         back[to] = at
-        group, rank, value, point, asked, start, end = (x[back] for x in (group, rank, value, point, asked, start, end))
+        rank, value, point, asked = (x[back] for x in (rank, value, point, asked))
+        lower = at < split  # a node's bounds and group belong to its places, whichever rows take them
+        start, end = np.where(lower, start, split), np.where(lower, split, end)
     return below, above, gap
 
 
